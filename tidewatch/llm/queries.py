@@ -2,14 +2,35 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from pyspark.sql import functions as F
+
+from . import bpe, quality_rules, token_store
 from .common import table
 
 
+def tokenizer(name: str) -> str:
+    """Place of a public tokenizer file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_quality_rules(spark, sf_dir):
     return quality_rules.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op9_bpe(spark, sf_dir):
+    path = tokenizer("word_bpe_49k.json")
+    docs = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return docs.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op10_token_store(spark, sf_dir):
+    store = token_store.write(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=2)
+    return token_store.digest(token_store.read(store), store.width)
+
+
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w,
@@ -33,7 +54,11 @@ FROM m
 
 
 def queries():
-    return {"op1_quality_rules": op1_quality_rules}
+    return {
+        "op1_quality_rules": op1_quality_rules,
+        "op9_bpe": op9_bpe,
+        "op10_token_store": op10_token_store,
+    }
 
 
 def oracle_sql():
