@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, quality_rules, token_store
+from . import bpe, quality_rules, simhash, token_store
 from .common import table
 
 
@@ -19,6 +19,11 @@ def op1_quality_rules(spark, sf_dir):
     return quality_rules.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op4_simhash(spark, sf_dir):
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_bpe(spark, sf_dir):
     path = tokenizer("word_bpe_49k.json")
     docs = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
@@ -56,6 +61,7 @@ FROM m
 def queries():
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op4_simhash": op4_simhash,
         "op9_bpe": op9_bpe,
         "op10_token_store": op10_token_store,
     }
