@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, quality_rules, simhash, token_store
+from . import bpe, mixing, quality_classifier, quality_rules, simhash, token_store
 from .common import table
 
 
@@ -24,6 +24,16 @@ def op4_simhash(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_mixing(spark, sf_dir):
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
+def op8_quality_classifier(spark, sf_dir):
+    """Sites are the sources, paths their languages: the nearest that the table has to hosts and paths."""
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.classify(docs, table(spark, sf_dir, "labels"), docs["source"], docs["lang"])
+
+
 def op9_bpe(spark, sf_dir):
     path = tokenizer("word_bpe_49k.json")
     docs = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
@@ -62,6 +72,8 @@ def queries():
     return {
         "op1_quality_rules": op1_quality_rules,
         "op4_simhash": op4_simhash,
+        "op7_mixing": op7_mixing,
+        "op8_quality_classifier": op8_quality_classifier,
         "op9_bpe": op9_bpe,
         "op10_token_store": op10_token_store,
     }
