@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality_classifier, quality_rules, simhash, token_store
+from . import bpe, mixing, quality_classifier, quality_rules, simhash, token_store, toxicity
 from .common import table
 
 
@@ -24,6 +24,11 @@ def op4_simhash(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_mixing(spark, sf_dir):
     return mixing.report(table(spark, sf_dir, "documents"))
 
@@ -72,6 +77,7 @@ def queries():
     return {
         "op1_quality_rules": op1_quality_rules,
         "op4_simhash": op4_simhash,
+        "op5_toxicity": op5_toxicity,
         "op7_mixing": op7_mixing,
         "op8_quality_classifier": op8_quality_classifier,
         "op9_bpe": op9_bpe,
