@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 #: Longest word that is remembered, and the most words or fragments in a memo.
-MEMO_CHARS, MEMO_ENTRIES = 48, 1_000_000
+MEMO_CHARS, MEMO_ENTRIES = 48, 300_000
 
 #: Printable ASCII and Latin letters with marks: the normalizer only lower-cases such text if it is composed, and words part as below.
 LATIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
@@ -57,6 +57,17 @@ class Memo(dict):
         return value
 
 
+def tokens_by_id(spec: dict) -> list[str]:
+    found = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+    return [found.get(i, "") for i in range(max(found) + 1)]
+
+
+@lru_cache(maxsize=4)
+def token_list(path: str) -> list[str]:
+    with open(path, encoding="utf-8") as file:
+        return tokens_by_id(json.load(file))
+
+
 class Codec:
     """Encoder and decoder of one tokenizer file whose pre-tokenizer drops white space and whose words carry an end suffix."""
 
@@ -79,8 +90,7 @@ class Codec:
         self.joined = {t[i : i + 2] for t in plain for i in range(len(t) - 1)}
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.added, self.added_split = added, re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
-        everything = {i: t for t, i in [*self.vocab.items(), *added.items()]}
-        self.tokens = [everything.get(i, "") for i in range(max(everything) + 1)]
+        self.tokens = tokens_by_id(spec)
         self.dtype = np.uint16 if len(self.tokens) <= 1 << 16 else np.uint32
         self.letter = "H" if self.dtype is np.uint16 else "I"
         self.fragments = Memo(self._fragment)
@@ -197,7 +207,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", column: str = "decoded"
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import pyarrow.compute as pc
 
-        tokens = pa.array(codec(path).tokens)
+        tokens = pa.array(token_list(path))
         for lists in batches:
             words = pa.ListArray.from_arrays(pc.subtract(lists.offsets, lists.offsets[0]), tokens.take(lists.flatten()))
             yield pc.binary_join(words, " ")
