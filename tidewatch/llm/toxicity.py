@@ -27,11 +27,11 @@ SPACE, MEMO_ENTRIES = 1 << 18, 400_000
 
 
 def token_features(token: str) -> list[int]:
-    """Hashed features of a blank-separated token: its letters in lower case as a whole, three prefixes and a suffix."""
+    """Hashed features of a blank-separated token: a constant one, its letters in lower case as a whole, three prefixes and a suffix."""
     word = "".join(WORD.findall(token)).lower()
     if not word:
         return [0]
-    return [zlib.crc32(x.encode()) % SPACE for x in (f"w {word}", f"4 {word[:4]}", f"5 {word[:5]}", f"6 {word[:6]}", f"s {word[-4:]}")]
+    return [0] + [1 + zlib.crc32(x.encode()) % (SPACE - 2) for x in (f"w {word}", f"4 {word[:4]}", f"5 {word[:5]}", f"6 {word[:6]}", f"s {word[-4:]}")]
 
 
 @dataclass
@@ -96,16 +96,38 @@ def _document_features(p, starts, lengths):
     return out
 
 
-def token_labels(docs: list[list[str]], toxic: list[int], least: int = 3, odds: float = 12.0) -> set[int]:
-    """Features (whole words and prefixes) that mark a token toxic: in ``least`` toxic documents or more, and ``odds`` times as frequent there as in the others."""
+def copies(docs: list[list[str]], size: int = 16, shared: int = 5) -> list[int]:
+    """A group number for each document: near copies, which share ``shared`` of the ``size`` words of least hash, have the first one's."""
+    owner: dict[int, int] = {}
+    groups = []
+    for i, tokens in enumerate(docs):
+        sketch = sorted({zlib.crc32(t.encode()) for t in tokens})[:size]
+        seen = Counter(owner[h] for h in sketch if h in owner).most_common(1)
+        group = seen[0][0] if seen and seen[0][1] >= min(shared, len(sketch)) else i
+        for h in sketch:
+            owner.setdefault(h, group)
+        groups.append(group)
+    return groups
+
+
+def token_labels(docs: list[list[str]], toxic: list[int], least: int = 3, share: float = 0.03, odds: float = 20.0) -> set[int]:
+    """Features (whole words and prefixes) that mark a token toxic.
+
+    They stand in ``least`` toxic documents and in the ``share`` of them or more, and are ``odds`` times as frequent there as in
+    the others. Near copies count as one document: else the rare words of a copied toxic document would pass for toxic.
+    """
+    seen: dict[int, tuple[int, set[int]]] = {}
+    for tokens, label, group in zip(docs, toxic, copies(docs), strict=True):
+        seen.setdefault(group, (label, set()))[1].update(f for t in set(tokens) for f in token_features(t)[1:5])
     marked, clean = Counter(), Counter()
-    for tokens, label in zip(docs, toxic, strict=True):
-        (marked if label else clean).update({f for t in set(tokens) for f in token_features(t)[:4]})
-    n, m = max(1, sum(toxic)), max(1, len(toxic) - sum(toxic))
-    return {f for f, k in marked.items() if k >= least and f and (k / n) / ((clean[f] + 0.5) / m) >= odds}
+    for label, found in seen.values():
+        (marked if label else clean).update(found)
+    n = max(1, sum(label for label, _ in seen.values()))
+    m = max(1, len(seen) - n)
+    return {f for f, k in marked.items() if k >= max(least, share * n) and (k / n) / ((clean[f] + 0.5) / m) >= odds}
 
 
-def train(texts: list[str], toxic: list[int], weights: list[float] | None = None, segment: int = 48, rounds: int = 40, rate: float = 0.35, penalty: float = 1e-4) -> Chain:
+def train(texts: list[str], toxic: list[int], weights: list[float] | None = None, segment: int = 48, rounds: int = 45, rate: float = 0.35, penalty: float = 1e-4) -> Chain:
     """The chain of labelled documents. ``weights`` tell how many documents each stands for."""
     import numpy as np
 
@@ -117,7 +139,7 @@ def train(texts: list[str], toxic: list[int], weights: list[float] | None = None
     for doc, label in zip(docs, toxic, strict=True):
         for at in range(0, len(doc), segment):
             part = doc[at : at + segment]
-            tag = [int(bool(label) and any(f in known for f in feats[t][:4])) for t in part]
+            tag = [int(bool(label) and any(f in known for f in feats[t][1:5])) for t in part]
             if any(tag) or zlib.crc32(" ".join(part).encode()) % 4 == 0:
                 rows.append(part)
                 tags.append(tag)
@@ -125,17 +147,16 @@ def train(texts: list[str], toxic: list[int], weights: list[float] | None = None
     if not any(map(any, tags)):
         return Chain(np.full(SPACE, -2.0, np.float32), ((0.0, 0.0), (0.0, 0.0)), (-4.0, 0.0, 0.0, 0.0))
     n, width = len(rows), segment
-    ids = np.zeros((n, width, 5), np.int64)
+    ids = np.full((n, width, 6), SPACE - 1, np.int64)  # the last place stands for no feature and weighs nothing
     real, y = np.zeros((n, width), bool), np.zeros((n, width))
     for i, (part, tag) in enumerate(zip(rows, tags, strict=True)):
         for j, (t, k) in enumerate(zip(part, tag, strict=True)):
-            f = feats[t]
-            ids[i, j] = [*f, *[0] * (5 - len(f))]
+            ids[i, j, : len(feats[t])] = feats[t]
             real[i, j], y[i, j] = True, k
     used, place = np.unique(ids, return_inverse=True)
     place = place.reshape(ids.shape)
     w, move = np.zeros(len(used)), np.zeros((2, 2))
-    w[0] = -1.0
+    blank = np.searchsorted(used, SPACE - 1)
     scale = np.array(scale)
     moments = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(move), np.zeros_like(move)]
     total = scale.sum()
@@ -158,7 +179,7 @@ def train(texts: list[str], toxic: list[int], weights: list[float] | None = None
         z = np.logaddexp(alpha[-1, :, 0], alpha[-1, :, 1])
         p = np.exp(np.clip(alpha[:, :, 1] + beta[:, :, 1] - z, -60, 0)).T
         gap = np.where(real, y - p, 0.0) * scale[:, None] / total
-        gw = np.bincount(place.ravel(), np.repeat(gap.ravel(), 5), len(w)) - penalty * w
+        gw = np.bincount(place.ravel(), np.repeat(gap.ravel(), 6), len(w)) - penalty * w
         gm = np.zeros((2, 2))
         for s in (0, 1):
             for d in (0, 1):
@@ -170,6 +191,7 @@ def train(texts: list[str], toxic: list[int], weights: list[float] | None = None
             moments[m] = 0.9 * moments[m] + 0.1 * g
             moments[v] = 0.99 * moments[v] + 0.01 * g * g
             x += rate * (moments[m] / (1 - 0.9**k)) / (np.sqrt(moments[v] / (1 - 0.99**k)) + 1e-8)
+        w[blank : blank + 1] = 0.0
     table = np.zeros(SPACE, np.float32)
     table[used] = w
     moves = tuple(tuple(float(v) for v in row) for row in move)
@@ -177,7 +199,7 @@ def train(texts: list[str], toxic: list[int], weights: list[float] | None = None
     # Document model on the sample's marginals.
     lengths = np.array([len(d) for d in docs])
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
-    emissions = np.array([float(table[feats[t]].sum()) if len(feats[t]) > 1 else float(table[0]) * 5 for d in docs for t in d])
+    emissions = np.array([float(table[feats[t]].sum()) for d in docs for t in d])
     x = _document_features(marginals(emissions, starts, lengths, moves), starts, lengths)
     x = np.hstack([np.ones((len(x), 1)), x])
     target, mass = np.array(toxic, float), np.array(weights or [1.0] * len(toxic))
@@ -224,14 +246,13 @@ def score(docs: DataFrame, chain: Chain, column: str = "text", threshold: float
         import numpy as np
 
         chain = shared.value
-        table, bias = chain.weights, float(chain.weights[0]) * 5
+        table = chain.weights
         memo: dict[str, float] = {}
 
         def emission(token: str) -> float:
             found = memo.get(token)
             if found is None:
-                f = token_features(token)
-                found = float(table[f].sum()) if len(f) > 1 else bias
+                found = float(table[token_features(token)].sum())
                 if len(token) <= 48:
                     if len(memo) >= MEMO_ENTRIES:
                         memo.clear()
