@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, mixing, quality_classifier, quality_rules, simhash, token_store, toxicity
+from . import bpe, licenses, mixing, quality_classifier, quality_rules, simhash, token_store, topk, toxicity
 from .common import table
 
 
@@ -19,6 +19,22 @@ def op1_quality_rules(spark, sf_dir):
     return quality_rules.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op2_top_k(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), topk.quantized(vectors["embedding"]).alias("q"))
+    return topk.top_k(vectors, F.col("vec_id") % 100 == 0, k=10)
+
+
+OP2_SQL = """
+WITH v AS (SELECT row_number() OVER () AS u, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+           WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.u, a.vec_id AS query_id, b.vec_id, b.u AS bu, list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::BIGINT AS score
+      FROM v a JOIN v b ON a.u <> b.u AND len(a.q) = len(b.q) WHERE a.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY score DESC, vec_id, bu)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 def op4_simhash(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -102,6 +118,7 @@ FROM m
 def queries():
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_top_k": op2_top_k,
         "op4_simhash": op4_simhash,
         "op5_toxicity": op5_toxicity,
         "op6_license_scan": op6_license_scan,
@@ -113,4 +130,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_quality_rules": OP1_SQL, "op6_license_scan": _op6_sql()}
+    return {"op1_quality_rules": OP1_SQL, "op2_top_k": OP2_SQL, "op6_license_scan": _op6_sql()}
