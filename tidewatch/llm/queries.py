@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, mixing, quality_classifier, quality_rules, simhash, token_store, topk, toxicity
+from . import bpe, html_extract, licenses, mixing, quality_classifier, quality_rules, simhash, token_store, topk, toxicity
 from .common import table
 
 
@@ -35,6 +35,11 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+def op3_html_extract(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.fit(pages))
+
+
 def op4_simhash(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -90,7 +95,7 @@ def op9_bpe(spark, sf_dir):
 
 def op10_token_store(spark, sf_dir):
     store = token_store.write(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=2)
-    return token_store.digest(token_store.read(store), store.width)
+    return token_store.digest(store)
 
 
 OP1_SQL = r"""
@@ -119,6 +124,7 @@ def queries():
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_top_k": op2_top_k,
+        "op3_html_extract": op3_html_extract,
         "op4_simhash": op4_simhash,
         "op5_toxicity": op5_toxicity,
         "op6_license_scan": op6_license_scan,

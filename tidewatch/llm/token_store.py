@@ -15,10 +15,12 @@ then checks every address and root.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from hashlib import blake2b
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,49 +29,67 @@ from pyspark.sql import functions as F
 from .common import shared_dir, stored, text_of
 
 #: Ids in the rolling window, in the shortest chunk, between chance cuts on average, and in the longest chunk.
-WINDOW, LEAST, MEAN, MOST = 16, 32, 128, 1024
-MEMO_ENTRIES = 600_000
+WINDOW, LEAST, MEAN, MOST = 16, 64, 256, 2048
+MEMO_ENTRIES = 350_000
 
 
 class Encoder:
     """Ids of a text by the tokenizers library, with a bounded memo of the runs between single blanks.
 
     A byte-level token never holds a blank after its first character unless it is all white space. So a blank that
-    follows a character other than white space, or comes before one, starts a new token, and text parts there.
+    follows a character other than white space, or comes before one, starts a new token, and text parts there; so does a
+    lone line feed between such characters. A comma or full stop right after a letter starts a new token too, so runs that
+    end in one are looked up without it. Texts with other white space part at safe blanks alone and skip the memo.
     """
 
     def __init__(self, path: str):
         import re
 
-        import numpy as np
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.width, self.letter = (2, "H") if self.library.get_vocab_size() <= 1 << 16 else (4, "I")
+        self.unsafe, self.safe = re.compile(r"\s\s|^\s|\s$|[^\S \n]").search, re.compile(r"(?<=\S)(?= )|(?= \S)").split
+        #: Ids of a run, with the blank before it or the line feed that it begins with; and those of the marks that may end one.
         self.memo: dict[str, bytes] = {}
-        self.unsafe, self.safe = re.compile(r"\s \s|\s $|^ \s").search, re.compile(r"(?<=\S)(?= )|(?= \S)").split
+        self.marks = {m: self.pack(self.library.encode(m, add_special_tokens=False).ids) for m in ",."}
 
-    def runs(self, text: str) -> list[str]:
-        if self.unsafe(text):
-            return [x for x in self.safe(text) if x]
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
+    def pack(self, ids: list[int]) -> bytes:
+        return array(self.letter, ids).tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
+    def _learn(self, runs: set[str]) -> None:
+        whole = {x[:-1] if len(x) > 1 and x[-1] in self.marks and x[-2].isalpha() else x for x in runs}
+        new = list(whole - self.memo.keys())
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            for run, found in zip(part, self.library.encode_batch_fast([x if x[0] == "\n" else " " + x for x in part], add_special_tokens=False), strict=True):
+                self.memo[run] = self.pack(found.ids)
+        for x in runs:
+            if x not in self.memo:
+                self.memo[x] = self.memo[x[:-1]] + self.marks[x[-1]]
 
-        runs = [self.runs(t) for t in texts]
+    def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.memo) > MEMO_ENTRIES:
             self.memo.clear()
+        odd, plain, heads = {}, [], []
+        for i, text in enumerate(texts):
+            if self.unsafe(text):  # runs of white space: part where it is safe, encode the parts without memo
+                odd[i] = [x for x in self.safe(text) if x]
+                plain.append([])
+                heads.append("")
+            else:
+                head, *rest = text.replace("\n", " \n").split(" ")
+                heads.append(head)
+                plain.append(rest)
+        self._learn(set(chain.from_iterable(plain)) - self.memo.keys())
+        first = [self.pack(f.ids) for f in self.library.encode_batch_fast(heads, add_special_tokens=False)]
         memo = self.memo
-        new = list({x for run in runs for x in run if x not in memo})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for run, found in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                memo[run] = np.array(found.ids, self.dtype).tobytes()
-        return [b"".join(map(memo.__getitem__, run)) for run in runs]
+        out = [head + b"".join(map(memo.__getitem__, rest)) for head, rest in zip(first, plain, strict=True)]
+        for i, parts in odd.items():
+            out[i] = b"".join(self.pack(f.ids) for f in self.library.encode_batch_fast(parts, add_special_tokens=False))
+        return out
 
 
 @lru_cache(maxsize=4)
@@ -120,6 +140,7 @@ def address(chunk: bytes) -> bytes:
     return blake2b(chunk, digest_size=16).digest()
 
 
+PACK = ["uid", "doc_id", "n_tokens", "addresses", "sizes", "theirs", "lends", "payload"]
 SPOOL = "doc_id bigint, uid bigint, n_tokens bigint, addresses array<binary>, sizes array<int>, payload binary"
 
 
@@ -132,13 +153,13 @@ def spool(docs: DataFrame, path: str, end_id: int, column: str = "text") -> Data
         import zstandard
 
         own, zstd = encoder(path), zstandard.ZstdCompressor(level=1)
-        width, end = own.dtype.itemsize, np.array([end_id], own.dtype).tobytes()
+        width, kind, end = own.width, np.dtype(f"<u{own.width}"), own.pack([end_id])
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 250):
+                part = batch.slice(at, 250)
                 found = [x + end for x in own.encode(part.column(2).to_pylist())]
-                joined = np.frombuffer(b"".join(found), own.dtype)
-                hits = np.flatnonzero(rolling(joined) % np.uint64(MEAN) == 0) + 1
+                joined = np.frombuffer(b"".join(found), kind)
+                hits = np.flatnonzero((rolling(joined) & np.uint64(MEAN - 1)) == 0) + 1
                 begin, addresses, sizes = 0, [], []
                 for blob in found:
                     n = len(blob) // width
@@ -181,31 +202,36 @@ def write(docs: DataFrame, path: str, end_id: int = 2, column: str = "text") ->
     """
     spark = docs.sparkSession
     rows = stored(spool(docs, path, end_id, column), "spool")
-    width = encoder(path).dtype.itemsize
+    width = encoder(path).width
     refs = rows.select("uid", F.posexplode("addresses").alias("pos", "address"))
     # Addresses of several places: the first by (uid, pos) owns the chunk. Counts combine before the shuffle.
-    shared = refs.groupBy("address").agg(F.min(F.struct("uid", "pos")).alias("owner"), F.count("*").alias("n")).where("n > 1").select("address", "owner")
+    shared = stored(refs.groupBy("address").agg(F.min(F.struct("uid", "pos")).alias("owner"), F.count("*").alias("n")).where("n > 1").select("address", "owner"), "shared")
     borrowed = stored(refs.join(shared, "address").where(F.struct("uid", "pos") != F.col("owner")).select("uid", "pos", "address"), "borrowed")
+    places = borrowed.select("uid", "pos", F.lit(True).alias("theirs")).unionByName(shared.select("owner.uid", "owner.pos", F.lit(False).alias("theirs")))
+    sides = places.groupBy("uid").agg(*(F.sort_array(F.collect_list(F.when(F.col("theirs") == k, F.col("pos")))).alias(name) for name, k in (("theirs", True), ("lends", False))))
 
     def keep_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         pack, unpack = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+        at_payload, at_theirs = PACK.index("payload"), PACK.index("theirs")
         for batch in batches:
-            payloads = []
-            for sizes, payload, theirs in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                if theirs:
-                    blob, at, mine, theirs = unpack.decompress(payload), 0, [], set(theirs)
-                    for pos, size in enumerate(sizes):
-                        if pos not in theirs:
-                            mine.append(blob[at : at + size])
-                        at += size
-                    payload = pack.compress(b"".join(mine))
-                payloads.append(payload)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(payloads, pa.binary()), batch.column(3)], names=["uid", "sizes", "payload", "theirs"])
-
-    theirs = borrowed.groupBy("uid").agg(F.sort_array(F.collect_list("pos")).alias("theirs"))
-    packs = rows.select("uid", "sizes", "payload").join(theirs, "uid", "left").mapInArrow(keep_own, "uid bigint, sizes array<int>, payload binary, theirs array<int>")
+            payloads = batch.column(at_payload)
+            theirs = batch.column(at_theirs)
+            if theirs.null_count < len(theirs):
+                payloads = payloads.to_pylist()
+                for row, taken in enumerate(theirs.to_pylist()):
+                    if taken:
+                        blob, at, mine, taken = unpack.decompress(payloads[row]), 0, [], set(taken)
+                        for pos, size in enumerate(batch.column(PACK.index("sizes"))[row].as_py()):
+                            if pos not in taken:
+                                mine.append(blob[at : at + size])
+                            at += size
+                        payloads[row] = pack.compress(b"".join(mine))
+                payloads = pa.array(payloads, pa.binary())
+            yield pa.RecordBatch.from_arrays([payloads if k == at_payload else c for k, c in enumerate(batch.columns)], names=PACK)
+
+    packs = rows.join(sides, "uid", "left").select(*PACK).mapInArrow(keep_own, "uid bigint, doc_id bigint, n_tokens bigint, addresses array<binary>, sizes array<int>, theirs array<int>, lends array<int>, payload binary")
     packs = stored(packs, "packs")
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,37 +261,35 @@ def write(docs: DataFrame, path: str, end_id: int = 2, column: str = "text") ->
 
 
 def read(store: Store) -> DataFrame:
-    """doc_id, start, n_tokens and ``ids`` (bytes, little-endian) of each document, rebuilt from the store.
+    """uid, doc_id, n_tokens and ``ids`` (bytes, little-endian) of each document, rebuilt from the store.
 
-    A chunk that doesn't hash to its address, or a document whose chunks don't give its root, fails the job.
+    A chunk that doesn't hash to its address, or a document whose chunks don't give the root in its recipe, fails the job.
+    Documents that borrow no chunk are rebuilt where they lie.
     """
-    recipes = store.recipes.select("uid", "doc_id", "start", "n_tokens", "addresses", "root")
-    wanted = store.borrowed.select("address").distinct()
-    # Own chunks of each document, cut out of its pack where another document wants them.
 
-    def own_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def lent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             found, chunks = [], []
-            for sizes, payload, theirs, want in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                blob, at, theirs = unpack.decompress(payload), 0, set(theirs or ())
-                want = {x["pos"]: x["address"] for x in want}
+            for addresses, sizes, theirs, lends, payload in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                blob, at, theirs, lends = unpack.decompress(payload), 0, set(theirs or ()), set(lends)
                 for pos, size in enumerate(sizes):
                     if pos not in theirs:
-                        if pos in want:
-                            found.append(want[pos])
+                        if pos in lends:
+                            found.append(addresses[pos])
                             chunks.append(blob[at : at + size])
                         at += size
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(chunks, pa.binary())], names=["address", "chunk"])
 
-    places = store.recipes.select("uid", F.posexplode("addresses").alias("pos", "address")).join(wanted, "address", "left_semi")
-    owners = places.groupBy("address").agg(F.min(F.struct("uid", "pos")).alias("o")).groupBy("o.uid").agg(F.collect_list(F.struct("o.pos", "address")).alias("want"))
-    lent = store.packs.join(owners, "uid").select("sizes", "payload", "theirs", "want").mapInArrow(own_chunks, "address binary, chunk binary")
-    fetched = store.borrowed.join(lent, "address").groupBy("uid").agg(F.collect_list(F.struct("pos", "chunk")).alias("fetched"))
-    alone = store.packs.where("theirs is null").withColumn("fetched", F.lit(None).cast("array<struct<pos:int,chunk:binary>>"))
-    mixed = store.packs.where("theirs is not null").join(fetched, "uid")
+    lenders = store.packs.where(F.size("lends") > 0).select("addresses", "sizes", "theirs", "lends", "payload")
+    fetched = store.borrowed.join(lenders.mapInArrow(lent, "address binary, chunk binary"), "address")
+    fetched = fetched.groupBy("uid").agg(F.collect_list(F.struct("pos", "chunk")).alias("fetched"))
+    borrows = F.coalesce(F.size("theirs") > 0, F.lit(False))
+    columns = ["uid", "doc_id", "n_tokens", "addresses", "sizes", "payload", "fetched"]
+    alone = store.packs.where(~borrows).withColumn("fetched", F.lit(None).cast("array<struct<pos:int,chunk:binary>>")).select(columns)
+    mixed = store.packs.where(borrows).join(fetched, "uid", "left").select(columns)
     width = store.width
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,8 +297,8 @@ def read(store: Store) -> DataFrame:
 
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            out = []
-            for n, addresses, root, sizes, payload, fetched in zip(*(batch.column(k).to_pylist() for k in range(2, 8)), strict=True):
+            out, roots = [], []
+            for n, addresses, sizes, payload, fetched in zip(*(batch.column(k).to_pylist() for k in range(2, 7)), strict=True):
                 blob, at, parts, got = unpack.decompress(payload), 0, [], {x["pos"]: x["chunk"] for x in fetched or ()}
                 for pos, size in enumerate(sizes):
                     if pos in got:
@@ -284,21 +308,29 @@ def read(store: Store) -> DataFrame:
                         at += size
                 found = [address(x) for x in parts]
                 whole = b"".join(parts)
-                if found != addresses or merkle(found) != root or len(whole) != n * width:
-                    raise ValueError("the store doesn't give back a document: its chunks differ from its recipe")
+                if found != addresses or len(whole) != n * width:
+                    raise ValueError("the store doesn't give back a document: its chunks differ from its addresses")
                 out.append(whole)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
+                roots.append(merkle(found))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary()), pa.array(roots, pa.binary())], names=["uid", "doc_id", "n_tokens", "ids", "root"])
+
+    return alone.unionByName(mixed).mapInArrow(rebuild, "uid bigint, doc_id bigint, n_tokens bigint, ids binary, root binary")
 
-    joined = alone.unionByName(mixed).join(recipes, "uid").select("doc_id", "start", "n_tokens", "addresses", "root", "sizes", "payload", "fetched")
-    return joined.mapInArrow(rebuild, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
 
+def digest(store: Store) -> DataFrame:
+    """doc_id, start, n_tokens and the CRC-32 of the ids as little-endian unsigned 32-bit integers, of the documents as they are read back.
+
+    A document whose Merkle root differs from its recipe's fails the job. Ids don't travel: digests join the recipes.
+    """
+    width = store.width
 
-def digest(documents: DataFrame, width: int) -> DataFrame:
-    """doc_id, start, n_tokens and the CRC-32 of the ids as little-endian unsigned 32-bit integers."""
     @F.arrow_udf("bigint")
     def crc(blobs: pa.Array) -> pa.Array:
         import numpy as np
 
         return pa.array([zlib.crc32(np.frombuffer(b, f"<u{width}").astype("<u4").tobytes()) for b in blobs.to_pylist()], pa.int64())
 
-    return documents.select("doc_id", "start", "n_tokens", crc("ids").alias("ids_crc32"))
+    found = read(store).select("uid", crc("ids").alias("ids_crc32"), F.col("root").alias("found"))
+    joined = store.recipes.join(found, "uid", "left")
+    intact = F.assert_true(F.coalesce(F.col("root") == F.col("found"), F.lit(False)), "a document differs from its recipe").isNull()
+    return joined.where(intact).select("doc_id", "start", "n_tokens", "ids_crc32")
