@@ -1 +1,164 @@
+"""Order-book states and the metrics on them."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tidewatch.functions import exprs as X
+from tidewatch.operators import book as B
+from tidewatch.operators import rolling as R
+from tidewatch.operators.blocks import trailing_sum
+
+from .registry import query
+
+R6 = lambda c: F.round(c, 6)
+EVERY = 10_000
+
+LEVELS = """
+lx AS (SELECT *, sum(CASE WHEN action = 'delete' THEN -qty ELSE qty END) OVER w AS s FROM depth WINDOW w AS (PARTITION BY instrument_id, side, price ORDER BY ts_ms, seq)),
+lv AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY instrument_id, side, price ORDER BY ts_ms, seq)) AS level_qty, lead(ts_ms) OVER (PARTITION BY instrument_id, side, price ORDER BY ts_ms, seq) AS to_ms FROM lx)"""
+BOOK = f"""{LEVELS},
+g AS (SELECT unnest(range(0, (SELECT max(ts_ms) FROM depth) + 1, {EVERY})) AS instant),
+live AS (SELECT instant, instrument_id, side, price, level_qty AS qty, row_number() OVER (PARTITION BY instant, instrument_id, side ORDER BY CASE WHEN side = 'buy' THEN -price ELSE price END) AS level
+         FROM g JOIN lv ON lv.ts_ms <= instant AND (to_ms IS NULL OR to_ms > instant) WHERE level_qty > 0),
+b AS (SELECT instrument_id, instant, max(price) FILTER (WHERE side = 'buy') AS best_bid, min(price) FILTER (WHERE side = 'sell') AS best_ask, max(qty) FILTER (WHERE side = 'buy' AND level = 1) AS bid_qty, max(qty) FILTER (WHERE side = 'sell' AND level = 1) AS ask_qty,
+             coalesce(sum(qty) FILTER (WHERE side = 'buy' AND level <= 5), 0) AS bid_vol, coalesce(sum(qty) FILTER (WHERE side = 'sell' AND level <= 5), 0) AS ask_vol, count(*) FILTER (WHERE side = 'buy') AS bid_levels, count(*) FILTER (WHERE side = 'sell') AS ask_levels
+      FROM live GROUP BY ALL)"""
+
+
+def book(v):
+    return B.summary(v.depth, EVERY)
+
+
+@query("book_levels", f"{LEVELS} SELECT instrument_id, seq, level_qty FROM lv")
+def book_levels(v):
+    return B.levels(v.depth).select("instrument_id", "seq", "level_qty")
+
+
+@query("book_levels_absolute", "l AS (SELECT instrument_id, side, price, arg_max(qty, ts_ms) AS qty FROM depth_abs WHERE ts_ms <= 300000 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY instrument_id, side ORDER BY CASE WHEN side = 'buy' THEN -price ELSE price END) AS level FROM l WHERE qty > 0) SELECT instrument_id, side, round(price, 6) AS price, qty, level FROM r WHERE level <= 5")
+def book_levels_absolute(v):
+    return B.levels_absolute(v.depth_abs, 300_000, 5).select("instrument_id", "side", R6("price").alias("price"), "qty", "level")
+
+
+@query("book_best", f"{BOOK} SELECT instrument_id, instant, round(best_bid, 6) AS best_bid, round(best_ask, 6) AS best_ask, bid_qty, ask_qty FROM b")
+def book_best(v):
+    return book(v).select("instrument_id", "instant", R6("best_bid").alias("best_bid"), R6("best_ask").alias("best_ask"), "bid_qty", "ask_qty")
+
+
+@query("book_head", f"{BOOK} SELECT instrument_id, instant, side, level, round(price, 6) AS price, qty FROM live WHERE level <= 3")
+def book_head(v):
+    return B.ranked(B.at_instants(v.depth, EVERY), ["instrument_id", "instant"], 3).select("instrument_id", "instant", "side", "level", R6("price").alias("price"), "qty")
+
+
+@query("interval_join_levels", f"{BOOK} SELECT instrument_id, instant, side, round(price, 6) AS price, qty FROM live")
+def interval_join_levels(v):
+    return B.at_instants(v.depth, EVERY).select("instrument_id", "instant", "side", R6("price").alias("price"), "qty")
+
+
+def _simple(name, columns, sql):
+    @query(name, f"{BOOK} SELECT instrument_id, instant, {sql} FROM b")
+    def run(v):
+        return book(v).select("instrument_id", "instant", *(R6(F.col(c).cast("double")).alias(c) for c in columns))
+
+
+_simple("book_topn_volume", ["bid_vol", "ask_vol"], "bid_vol, ask_vol")
+_simple("book_imbalance", ["imbalance"], "round((bid_vol - ask_vol) / nullif(bid_vol + ask_vol, 0), 6) AS imbalance")
+_simple("book_dominance_levels", ["level_share_bid"], "round(bid_levels / nullif(bid_levels + ask_levels, 0)::DOUBLE, 6) AS level_share_bid")
+_simple("book_dominance_volume", ["dominance_bid"], "round(bid_vol / nullif(bid_vol + ask_vol, 0), 6) AS dominance_bid")
+_simple("book_spread_mid", ["spread", "wmid"], "round(greatest(best_ask - best_bid, 0), 6) AS spread, round((best_ask + best_bid) / 2, 6) AS wmid")
+_simple("m_spread_usd", ["spread"], "round(greatest(best_ask - best_bid, 0), 6) AS spread")
+_simple("m_wmid", ["wmid"], "round((best_ask + best_bid) / 2, 6) AS wmid")
+_simple("m_imbalance", ["imbalance"], "round((bid_vol - ask_vol) / nullif(bid_vol + ask_vol, 0), 6) AS imbalance")
+_simple("m_dominance", ["level_share_bid"], "round(bid_levels / nullif(bid_levels + ask_levels, 0)::DOUBLE, 6) AS level_share_bid")
+
+
+@query("book_depletion_pct", f"{BOOK}, p AS (SELECT *, lag(bid_vol) OVER w AS pb, lag(ask_vol) OVER w AS pa FROM b WINDOW w AS (PARTITION BY instrument_id ORDER BY instant)) SELECT instrument_id, instant, round(greatest(0, (pb - bid_vol) / nullif(pb, 0)), 6) AS bid, round(greatest(0, (pa - ask_vol) / nullif(pa, 0)), 6) AS ask FROM p")
+def book_depletion_pct(v):
+    w = Window.partitionBy("instrument_id").orderBy("instant")
+    return book(v).select("instrument_id", "instant", R6(B.depletion(F.col("bid_vol"), F.lag("bid_vol").over(w))).alias("bid"), R6(B.depletion(F.col("ask_vol"), F.lag("ask_vol").over(w))).alias("ask"))
+
+
+@query("book_snapshot_arrays", f"{BOOK} SELECT instrument_id, instant, list_resize(coalesce(list(round(price, 6) ORDER BY level) FILTER (WHERE side = 'buy' AND level <= 4), []), 4, 0::DOUBLE)[1] AS bid1, list_resize(coalesce(list(round(price, 6) ORDER BY level) FILTER (WHERE side = 'sell' AND level <= 4), []), 4, 0::DOUBLE)[4] AS ask4, list_resize(coalesce(list(qty ORDER BY level) FILTER (WHERE side = 'sell' AND level <= 4), []), 4, 0::DOUBLE)[2] AS ask_q2 FROM live GROUP BY ALL")
+def book_snapshot_arrays(v):
+    got = B.padded(B.at_instants(v.depth, EVERY), ["instrument_id", "instant"], 4)
+    return got.select("instrument_id", "instant", R6(F.col("bid_prices")[0]).alias("bid1"), R6(F.col("ask_prices")[3]).alias("ask4"), F.col("ask_qtys")[1].alias("ask_q2"))
+
+
+# Means and changes of the metrics over trailing windows, on the instants.
+def timed(v):
+    return book(v).withColumns({"ts_ms": F.col("instant"), "seq": F.col("instant")})
+
+
+@query("m_imbalance_doc", f"{BOOK} SELECT instrument_id, instant, round(avg((bid_vol - ask_vol) / nullif(bid_vol + ask_vol, 0)) OVER (PARTITION BY instrument_id ORDER BY instant RANGE BETWEEN 30000 PRECEDING AND CURRENT ROW), 6) AS mean FROM b")
+def m_imbalance_doc(v):
+    return R.mean(timed(v), ["instrument_id"], "imbalance", 30_000).select("instrument_id", "instant", R6("mean").alias("mean"))
+
+
+@query("m_dominance_doc", f"{BOOK}, d AS (SELECT *, avg(bid_vol / nullif(bid_vol + ask_vol, 0)) OVER (PARTITION BY instrument_id ORDER BY instant RANGE BETWEEN 20000 PRECEDING AND CURRENT ROW) AS m FROM b) SELECT instrument_id, instant, round(m, 6) AS bid, round(1 - m, 6) AS ask FROM d")
+def m_dominance_doc(v):
+    return R.mean(timed(v), ["instrument_id"], "dominance_bid", 20_000).select("instrument_id", "instant", R6("mean").alias("bid"), R6(1 - F.col("mean")).alias("ask"))
+
+
+@query("m_depletion_doc", f"{BOOK} SELECT x.instrument_id, x.instant, x.bid_vol - p.bid_vol AS bid, x.ask_vol - p.ask_vol AS ask FROM b x LEFT JOIN b p ON p.instrument_id = x.instrument_id AND p.instant = (SELECT max(q.instant) FROM b q WHERE q.instrument_id = x.instrument_id AND q.instant <= x.instant - 30000 AND q.instant >= x.instant - 90000)")
+def m_depletion_doc(v):
+    bid = R.delta(timed(v), ["instrument_id"], "bid_vol", 30_000, 90_000).withColumnRenamed("delta", "bid").drop("ref")
+    return R.delta(bid, ["instrument_id"], "ask_vol", 30_000, 90_000).select("instrument_id", "instant", "bid", F.col("delta").alias("ask"))
+
+
+@query("m_basis", "SELECT instrument_id, seq, round((mark_price / index_price - 1) * 1e4, 6) AS basis FROM mark_funding")
+def m_basis(v):
+    return v.mark_funding.select("instrument_id", "seq", R6(X.basis_bps()).alias("basis"))
+
+
+@query("m_basis_velocity", "b AS (SELECT *, (mark_price / index_price - 1) * 1e4 AS b FROM mark_funding) SELECT instrument_id, seq, round((b - lag(b) OVER w) / greatest((ts_ms - lag(ts_ms) OVER w) / 1000.0::DOUBLE, 1e-6), 5) AS velocity FROM b WINDOW w AS (PARTITION BY instrument_id ORDER BY ts_ms, seq)")
+def m_basis_velocity(v):
+    return X.basis_velocity(v.mark_funding).select("instrument_id", "seq", F.round("velocity", 5).alias("velocity"))
+
+
+DOC = "b AS (SELECT *, (index_price - mark_price) / mark_price * 1e4 AS b FROM mark_funding)"
+
+
+def basis_doc(v):
+    return v.mark_funding.withColumn("b", (F.col("index_price") - F.col("mark_price")) / F.col("mark_price") * 1e4)
+
+
+@query("m_basis_doc", f"{DOC} SELECT instrument_id, seq, round(b, 6) AS basis FROM b")
+def m_basis_doc(v):
+    return basis_doc(v).select("instrument_id", "seq", R6("b").alias("basis"))
+
+
+BREF = "LEFT JOIN LATERAL (SELECT p.{c} AS v, p.ts_ms AS t FROM {t} p WHERE p.instrument_id = x.instrument_id AND p.ts_ms <= x.ts_ms - 5000 AND p.ts_ms >= x.ts_ms - 20000 ORDER BY p.ts_ms DESC, p.seq DESC LIMIT 1) r ON true"
+
+
+@query("m_basis_velocity_doc", f"{DOC} SELECT x.instrument_id, x.seq, round((x.b - r.v) / ((x.ts_ms - r.t) / 1000.0::DOUBLE), 5) AS slope FROM b x {BREF.format(c='b', t='b')}")
+def m_basis_velocity_doc(v):
+    return R.derivative(basis_doc(v), ["instrument_id"], "b", 5000, 20000).select("instrument_id", "seq", F.round("slope", 5).alias("slope"))
+
+
+@query("m_basis_accel_doc", f"{DOC}, d AS (SELECT x.instrument_id, x.seq, x.ts_ms, (x.b - r.v) / ((x.ts_ms - r.t) / 1000.0::DOUBLE) AS s FROM b x {BREF.format(c='b', t='b')}) SELECT x.instrument_id, x.seq, round((x.s - r.v) / ((x.ts_ms - r.t) / 1000.0::DOUBLE), 5) AS accel FROM d x {BREF.format(c='s', t='d')}")
+def m_basis_accel_doc(v):
+    return R.second_derivative(basis_doc(v), ["instrument_id"], "b", 5000, 20000).select("instrument_id", "seq", F.round("accel", 5).alias("accel"))
+
+
+@query("m_dep_refill", """
+s AS (SELECT x.instrument_id, x.seq, x.side, (SELECT sum(qty) FROM depth p WHERE p.instrument_id = x.instrument_id AND p.side = x.side AND p.seq <= x.seq AND p.ts_ms >= x.ts_ms - 3000 AND action <> 'delete') AS ins,
+             (SELECT sum(qty) FROM depth p WHERE p.instrument_id = x.instrument_id AND p.side = x.side AND p.seq <= x.seq AND p.ts_ms >= x.ts_ms - 3000 AND action = 'delete') AS del FROM depth x)
+SELECT instrument_id, seq, side, round(coalesce(del, 0) / nullif(coalesce(ins, 0) + coalesce(del, 0), 0), 6) AS dep, round(least(coalesce(ins, 0) / nullif(del, 0), 1), 6) AS refill FROM s""")
+def m_dep_refill(v):
+    key = ["instrument_id", "side"]
+    rows = trailing_sum(v.depth, key, F.when(F.col("action") != "delete", F.col("qty")), 3000, "ins")
+    rows = trailing_sum(rows, key, F.when(F.col("action") == "delete", F.col("qty")), 3000, "del")
+    return rows.select("instrument_id", "seq", "side", R6(F.try_divide(F.col("del"), F.col("ins") + F.col("del"))).alias("dep"), R6(F.least(F.try_divide(F.col("ins"), F.col("del")), F.lit(1.0))).alias("refill"))
+
+
+@query("m_oi_delta_pct", "SELECT x.instrument_id, x.seq, round((x.open_interest - r.v) / nullif(r.v, 0) * 100, 6) AS pct FROM open_interest x LEFT JOIN LATERAL (SELECT p.open_interest AS v FROM open_interest p WHERE p.instrument_id = x.instrument_id AND p.ts_ms <= x.ts_ms - 60000 ORDER BY p.ts_ms DESC, p.seq DESC LIMIT 1) r ON true")
+def m_oi_delta_pct(v):
+    return R.percent_change(v.open_interest, ["instrument_id"], "open_interest", 60_000).select("instrument_id", "seq", R6("pct").alias("pct"))
+
+
+@query("metrics_unpivot", f"{BOOK}, u AS (SELECT instrument_id, instant, unnest([{{'m': 'spread_usd', 'w': 0, 'x': greatest(best_ask - best_bid, 0)}}, {{'m': 'wmid', 'w': 0, 'x': (best_ask + best_bid) / 2}}, {{'m': 'imbalance', 'w': 0, 'x': (bid_vol - ask_vol) / nullif(bid_vol + ask_vol, 0)}}]) AS r FROM b) SELECT instrument_id, instant, r.m AS metric, r.w AS window_s, round(r.x, 6) AS value FROM u WHERE r.x IS NOT NULL")
+def metrics_unpivot(v):
+    wide = book(v).select("instrument_id", "instant", F.col("spread").alias("spread_usd"), "wmid", "imbalance")
+    long = wide.unpivot(["instrument_id", "instant"], ["spread_usd", "wmid", "imbalance"], "metric", "value")
+    return R.clean(long, "value").select("instrument_id", "instant", "metric", F.lit(0).alias("window_s"), R6("value").alias("value"))

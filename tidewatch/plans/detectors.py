@@ -1 +1,248 @@
+"""Detectors on trades, depth and book samples."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tidewatch.functions import exprs as X
+from tidewatch.operators import detect as D
+from tidewatch.operators import rolling as R
+
+from . import books
+from .registry import query
+
+R6 = lambda c: F.round(c, 6)
+
+
+def runs_sql(table: str, gap: int, equal: bool = False) -> str:
+    moved = f"coalesce(side <> lag(side) OVER o OR price <> lag(price) OVER o OR ts_ms - lag(ts_ms) OVER o > {gap}, true)"
+    odd = "coalesce(qty <> lag(qty) OVER o, false)" if equal else "false"
+    return f"""
+r0 AS (SELECT *, {moved} AS moved, {odd} AS uneq FROM {table} WINDOW o AS (PARTITION BY instrument_id ORDER BY ts_ms, seq)),
+r1 AS (SELECT *, uneq AND NOT moved AS odd, sum((moved OR uneq)::INT) OVER (PARTITION BY instrument_id ORDER BY ts_ms, seq) AS run FROM r0),
+r2 AS (SELECT *, count(*) OVER i AS k, sum(qty) OVER i AS volume FROM r1 WINDOW i AS (PARTITION BY instrument_id, run ORDER BY ts_ms, seq))"""
+
+
+def cooled_sql(source: str, keys: str, ms: int, out: str = "fired") -> str:
+    """Candidates that fire, by a recursion over the candidates of each key."""
+    on = " AND ".join(f"c.{k} = f.{k}" for k in keys.split(", "))
+    return f"""
+cn AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY ts_ms, seq) AS rn FROM {source}),
+rf AS (SELECT {keys}, rn, ts_ms AS last, true AS hit FROM cn WHERE rn = 1 UNION ALL
+       SELECT {', '.join('c.' + k for k in keys.split(', '))}, c.rn, CASE WHEN c.ts_ms - f.last >= {ms} THEN c.ts_ms ELSE f.last END, c.ts_ms - f.last >= {ms} FROM rf f JOIN cn c ON {on} AND c.rn = f.rn + 1),
+{out} AS (SELECT cn.* FROM cn JOIN rf USING ({keys}, rn) WHERE hit)"""
+
+
+
+@query("det_slicing_hitting", f"{runs_sql('trades', 800)} SELECT instrument_id, seq, side, round(price, 6) AS price, k, volume AS intensity, CASE WHEN volume >= 10 THEN 'HIGH' WHEN volume >= 5 THEN 'MEDIUM' ELSE 'LOW' END AS severity, CASE WHEN side = 'buy' THEN 'R5' ELSE 'R6' END AS rule FROM r2 WHERE k >= 5 AND volume >= 10")
+def det_slicing_hitting(v):
+    from tidewatch.operators.rules import rated
+
+    got = D.slicing(v.trades, 800, 5, 10.0)
+    return rated(got).select("instrument_id", "seq", "side", R6("price").alias("price"), "k", "intensity", "severity", "rule")
+
+
+@query("det_slicing_iceberg", f"{runs_sql('trades', 2000, True)} SELECT instrument_id, seq, side, k, volume AS intensity FROM r2 WHERE k >= 2 AND volume >= 2 AND NOT odd")
+def det_slicing_iceberg(v):
+    return D.slicing(v.trades, 2000, 2, 2.0, equal=True, mode="iceberg").select("instrument_id", "seq", "side", "k", "intensity")
+
+
+@query("det_slicing_passive", f"dp AS (SELECT * FROM depth WHERE action = 'insert' AND qty > 0), {runs_sql('dp', 2000)} SELECT instrument_id, seq, side, k, volume AS intensity FROM r2 WHERE k >= 2 AND volume >= 5")
+def det_slicing_passive(v):
+    return D.slicing_passive(v.depth, 2000, 2, 5.0).select("instrument_id", "seq", "side", "k", "intensity")
+
+
+ABSORB = """
+rw AS (SELECT t.*, b.best_bid, b.best_ask, CASE WHEN side = 'buy' THEN best_ask ELSE best_bid END AS passive FROM trades t ASOF LEFT JOIN b ON b.instrument_id = t.instrument_id AND b.instant <= t.ts_ms),
+pv AS (SELECT *, last_value(CASE WHEN side = 'buy' THEN ts_ms END IGNORE NULLS) OVER w AS pb, last_value(CASE WHEN side = 'sell' THEN ts_ms END IGNORE NULLS) OVER w AS ps FROM rw WINDOW w AS (PARTITION BY instrument_id ORDER BY ts_ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+sx AS (SELECT *, CASE WHEN side = 'buy' THEN pb ELSE ps END AS own, CASE WHEN side = 'buy' THEN ps ELSE pb END AS opp FROM pv),
+an AS (SELECT *, last_value(CASE WHEN own IS NULL OR opp > own + 10000 THEN {'p': passive} END IGNORE NULLS) OVER (PARTITION BY instrument_id, side ORDER BY ts_ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS anchor,
+              (SELECT sum(qty) FROM trades q WHERE q.instrument_id = sx.instrument_id AND q.side = sx.side AND q.seq <= sx.seq AND q.ts_ms >= sx.ts_ms - 10000) AS volume FROM sx)"""
+
+
+@query("det_absorption", f"{books.BOOK}, {ABSORB} SELECT instrument_id, seq, side, volume AS intensity FROM an WHERE volume >= 20 AND abs(passive - anchor.p) <= 0.2 + 1e-9")
+def det_absorption(v):
+    best = books.timed(v).select("instrument_id", "ts_ms", "seq", "best_bid", "best_ask")
+    return D.absorption(v.trades, best, 10_000, 20.0, 0.2).select("instrument_id", "seq", "side", "intensity")
+
+
+BREAK = f"""
+{runs_sql('trades', 800)},
+sl AS (SELECT * FROM r2 WHERE k >= 3 AND volume >= 5),
+s1 AS (SELECT *, sum(coalesce(side <> pside, true)::INT) OVER (PARTITION BY instrument_id ORDER BY ts_ms, seq) AS streak FROM (SELECT *, lag(side) OVER (PARTITION BY instrument_id ORDER BY ts_ms, seq) AS pside FROM sl)),
+s2 AS (SELECT *, count(*) OVER (PARTITION BY instrument_id, streak ORDER BY ts_ms, seq) AS n FROM s1),
+mk AS (SELECT instrument_id, ts_ms, seq, (b - lag(b) OVER w) / greatest((ts_ms - lag(ts_ms) OVER w) / 1000.0::DOUBLE, 1e-6) AS velocity, (index_price - 100) * 20 - 10 AS bid_change, 10 - (index_price - 100) * 20 AS ask_change
+       FROM (SELECT *, (mark_price / index_price - 1) * 1e4 AS b FROM mark_funding) WINDOW w AS (PARTITION BY instrument_id ORDER BY ts_ms, seq)),
+bw AS (SELECT s2.*, velocity, CASE WHEN side = 'buy' THEN ask_change ELSE bid_change END AS change FROM s2 ASOF LEFT JOIN mk ON mk.instrument_id = s2.instrument_id AND mk.ts_ms <= s2.ts_ms)
+SELECT instrument_id, seq, side, n, CASE WHEN n < 3 THEN 'streak' WHEN velocity IS NULL THEN 'no_velocity' WHEN abs(velocity) < 20 THEN 'velocity' WHEN change IS NULL THEN 'no_depletion' WHEN -change < 2 THEN 'depletion' WHEN greatest(change, 0) > 10 THEN 'refill' END AS gate"""
+
+
+def break_rows(v):
+    swing = (F.col("index_price") - 100) * 20 - 10
+    metrics = X.basis_velocity(v.mark_funding).select("instrument_id", "ts_ms", "seq", "velocity", swing.alias("bid_change"), (10 - (F.col("index_price") - 100) * 20).alias("ask_change"))
+    return D.break_wall(D.slicing(v.trades, 800, 3, 5.0), metrics, 3, 20.0, 2.0, 10.0)
+
+
+@query("det_break_wall", f"{BREAK} FROM bw")
+def det_break_wall(v):
+    return break_rows(v).select("instrument_id", "seq", "side", "n", "gate")
+
+
+@query("audit_breakwall_from_raw", f"{BREAK.replace('SELECT instrument_id, seq, side, n, CASE', 'SELECT instrument_id, seq, side, CASE side WHEN $$buy$$ THEN $$R1$$ ELSE $$R2$$ END AS expected_rule FROM bw WHERE (CASE')} ) IS NULL".replace(" END AS gate )", " END)"))
+def audit_breakwall_from_raw(v):
+    return break_rows(v).where("gate is null").select("instrument_id", "seq", "side", F.when(F.col("side") == "buy", "R1").otherwise("R2").alias("expected_rule"))
+
+
+@query("det_dominance", f"{books.BOOK}, d AS (SELECT *, bid_vol / nullif(bid_vol + ask_vol, 0) AS s FROM b) SELECT instrument_id, instant, CASE WHEN s >= 0.6 THEN 'buy' ELSE 'sell' END AS side, round(greatest(s, 1 - s), 6) AS intensity FROM d WHERE (s >= 0.6 OR 1 - s >= 0.6) AND greatest(best_ask - best_bid, 0) <= 0.5")
+def det_dominance(v):
+    return D.dominance(books.timed(v), F.col("dominance_bid"), F.col("spread"), 0.6, 0.5).select("instrument_id", "instant", "side", R6("intensity").alias("intensity"))
+
+
+TAPE = """
+tp AS (SELECT x.*, (SELECT sum(CASE WHEN p.side = 'buy' THEN qty ELSE 0 END) / sum(qty) FROM trades p WHERE p.instrument_id = x.instrument_id AND p.seq <= x.seq AND p.ts_ms >= x.ts_ms - 3000) AS ratio FROM trades x),
+cand AS (SELECT instrument_id, ts_ms, seq, ratio FROM tp WHERE ratio >= 0.8 OR ratio <= 0.2)"""
+
+
+@query("det_tape_pressure", f"{TAPE}, {cooled_sql('cand', 'instrument_id', 20000)} SELECT instrument_id, seq, CASE WHEN ratio >= 0.8 THEN 'buy' ELSE 'sell' END AS side, round(ratio, 6) AS intensity FROM fired")
+def det_tape_pressure(v):
+    return D.tape_pressure(v.trades, 3000, 0.8, 0.2, 20_000).select("instrument_id", "seq", "side", R6("intensity").alias("intensity"))
+
+
+REVERT = """
+bv AS (SELECT instrument_id, ts_ms, seq, b, (b - lag(b) OVER w) / greatest((ts_ms - lag(ts_ms) OVER w) / 1000.0::DOUBLE, 1e-6) AS vel FROM (SELECT *, (mark_price / index_price - 1) * 1e4 AS b FROM mark_funding) WINDOW w AS (PARTITION BY instrument_id ORDER BY ts_ms, seq)),
+cand AS (SELECT * FROM (SELECT *, lag(vel) OVER (PARTITION BY instrument_id ORDER BY ts_ms, seq) AS was FROM bv) WHERE sign(vel) <> 0 AND sign(was) <> 0 AND sign(vel) <> sign(was) AND abs(b) <= 60 AND abs(vel) >= 1.5)"""
+
+
+@query("det_basis_mean_revert", f"{REVERT}, {cooled_sql('cand', 'instrument_id', 60000)} SELECT instrument_id, seq, CASE WHEN vel > 0 THEN 'buy' ELSE 'sell' END AS side, round(vel, 5) AS intensity FROM fired")
+def det_basis_mean_revert(v):
+    return D.mean_revert(X.basis_velocity(v.mark_funding), 60.0, 1.5, 60_000).select("instrument_id", "seq", "side", F.round("intensity", 5).alias("intensity"))
+
+
+def held_sql(source: str, condition: str, hold: int) -> str:
+    return f"""
+h0 AS (SELECT *, coalesce({condition}, false) AS c FROM {source}),
+h1 AS (SELECT *, coalesce(c <> lag(c) OVER o, true) AS brk FROM h0 WINDOW o AS (PARTITION BY instrument_id ORDER BY ts_ms, seq)),
+h2 AS (SELECT *, sum(brk::INT) OVER (PARTITION BY instrument_id ORDER BY ts_ms, seq) AS run FROM h1),
+cand AS (SELECT * FROM (SELECT *, min(ts_ms) OVER (PARTITION BY instrument_id, run) AS armed FROM h2) WHERE c AND ts_ms - armed >= {hold})"""
+
+
+BASIS = "bm AS (SELECT *, (mark_price / index_price - 1) * 1e4 AS b FROM mark_funding)"
+
+
+@query("det_metric_trigger", f"{BASIS}, {held_sql('bm', 'b >= 20', 500)}, {cooled_sql('cand', 'instrument_id', 30000)} SELECT instrument_id, seq, round(b, 6) AS intensity FROM fired")
+def det_metric_trigger(v):
+    return D.metric_trigger(v.mark_funding.withColumn("b", X.basis_bps()), F.col("b"), 20.0, True, 500, 30_000, "basis").select("instrument_id", "seq", R6("intensity").alias("intensity"))
+
+
+@query("det_basis_extreme", f"{BASIS}, {held_sql('bm', 'b <= -50', 500)}, {cooled_sql('cand', 'instrument_id', 30000)} SELECT instrument_id, seq, round(b, 6) AS intensity FROM fired")
+def det_basis_extreme(v):
+    return D.metric_trigger(v.mark_funding.withColumn("b", X.basis_bps()), F.col("b"), -50.0, False, 500, 30_000, "basis").select("instrument_id", "seq", R6("intensity").alias("intensity"))
+
+
+DEPL = f"""{books.BOOK},
+dd AS (SELECT x.instrument_id, x.instant AS ts_ms, x.instant AS seq, least(greatest(-(x.bid_vol - p.bid_vol), 0), 200) AS amount FROM b x LEFT JOIN b p ON p.instrument_id = x.instrument_id AND p.instant = (SELECT max(q.instant) FROM b q WHERE q.instrument_id = x.instrument_id AND q.instant <= x.instant - 30000 AND q.instant >= x.instant - 90000))"""
+
+
+@query("det_depletion", f"{DEPL}, {held_sql('dd', 'amount >= 5', 0)}, {cooled_sql('cand', 'instrument_id', 30000)} SELECT instrument_id, ts_ms, round(least(greatest((amount - 5) / 45, 0), 1), 6) AS intensity FROM fired")
+def det_depletion(v):
+    rows = R.delta(books.timed(v), ["instrument_id"], "bid_vol", 30_000, 90_000)
+    return D.depletion(rows, F.col("delta"), "buy", 5.0, 50.0, 200.0, 0, 30_000).select("instrument_id", "ts_ms", R6("intensity").alias("intensity"))
+
+
+@query("calib_depletion", f"{DEPL}, x AS (SELECT amount AS x FROM dd WHERE amount > 0) SELECT round(quantile_cont(x, 0.9), 6) AS p90, round(quantile_cont(x, 0.95), 6) AS p95, round(quantile_cont(x, 0.99), 6) AS p99, count(*) AS n FROM x")
+def calib_depletion(v):
+    from tidewatch.operators.calibrate import percentiles
+
+    rows = R.delta(books.timed(v), ["instrument_id"], "bid_vol", 30_000, 90_000)
+    amount = F.least(F.greatest(-F.col("delta"), F.lit(0.0)), F.lit(200.0))
+    return percentiles(rows.where(amount > 0), amount)
+
+
+@query("det_spread_squeeze", f"{books.BOOK}, sq AS (SELECT *, instant AS ts_ms, instant AS seq FROM b), {held_sql('sq', 'greatest(best_ask - best_bid, 0) <= 1.0 AND bid_vol >= 1 AND ask_vol >= 1', 10000)}, {cooled_sql('cand', 'instrument_id', 30000)} SELECT instrument_id, ts_ms FROM fired")
+def det_spread_squeeze(v):
+    tight = (F.col("spread") <= 1.0) & (F.col("bid_vol") >= 1) & (F.col("ask_vol") >= 1)
+    return D.held(books.timed(v), tight, 10_000, 30_000).select("instrument_id", "ts_ms")
+
+
+SPOOF = """
+so AS (SELECT *, (action = 'insert' AND qty >= 5 AND CASE WHEN side = 'buy' THEN 100 - price ELSE price - 100.1 END >= 0.2 - 1e-9)::INT AS o FROM depth),
+se AS (SELECT * FROM (SELECT *, sum(o) OVER (PARTITION BY instrument_id, side, price ORDER BY ts_ms, seq) AS episode FROM so) WHERE episode > 0),
+st AS (SELECT *, min(ts_ms) OVER (PARTITION BY instrument_id, side, price, episode) AS t0 FROM se),
+sc AS (SELECT *, min(seq) FILTER (WHERE ts_ms > t0 + 4000) OVER (PARTITION BY instrument_id, side, price, episode) AS s1, min(ts_ms) FILTER (WHERE ts_ms > t0 + 4000) OVER (PARTITION BY instrument_id, side, price, episode) AS t1 FROM st),
+sw AS (SELECT instrument_id, side, price, episode, t0, t1, s1, sum(CASE WHEN seq < s1 AND action = 'delete' THEN qty ELSE 0 END) AS cancelled, sum(CASE WHEN seq < s1 AND action <> 'delete' THEN qty ELSE 0 END) AS added FROM sc WHERE s1 IS NOT NULL GROUP BY ALL),
+sz AS (SELECT *, cancelled / nullif(added + cancelled, 0) AS rate, coalesce((SELECT sum(t.qty) FROM trades t WHERE t.instrument_id = sw.instrument_id AND t.ts_ms BETWEEN sw.t0 AND sw.t1 AND abs(t.price - sw.price) <= 0.15), 0) AS executed FROM sw)"""
+
+
+def spoof_rows(v):
+    return D.spoofing(v.depth, v.trades, 5.0, 0.2, 100.0, 100.1, 4000, 0.3, 5.0, 0.1)
+
+
+@query("det_spoofing", f"{SPOOF} SELECT instrument_id, t1 AS ts_ms, side, round(price, 6) AS price, round(rate, 6) AS cancel_rate, executed FROM sz WHERE rate >= 0.3 AND executed <= 5")
+def det_spoofing(v):
+    return spoof_rows(v).select("instrument_id", "ts_ms", "side", R6("price").alias("price"), R6("cancel_rate").alias("cancel_rate"), "executed")
+
+
+@query("near_price_join", f"{SPOOF} SELECT instrument_id, t1 AS ts_ms, side, round(price, 6) AS price, executed FROM sz WHERE rate >= 0.3 AND executed <= 1e9")
+def near_price_join(v):
+    return D.spoofing(v.depth, v.trades, 5.0, 0.2, 100.0, 100.1, 4000, 0.3, 1e9, 0.1).select("instrument_id", "ts_ms", "side", R6("price").alias("price"), "executed")
+
+
+from .aggregates import OI_RUN  # noqa: E402
+
+
+@query("det_oi_skew", f"{OI_RUN}, cand AS (SELECT * REPLACE (row_number() OVER (PARTITION BY underlying ORDER BY ts_ms, seq, seq2, instrument_id) AS seq), CASE WHEN calls >= 1.1 * puts THEN 'calls' ELSE 'puts' END AS side FROM o WHERE (calls >= 1.1 * puts OR puts >= 1.1 * calls) AND calls + puts >= 100), {cooled_sql('cand', 'underlying, side', 60000)} SELECT underlying, ts_ms, side, round(greatest(calls, puts) / nullif(least(calls, puts), 0), 6) AS intensity FROM fired")
+def det_oi_skew(v):
+    running = X.running_oi(X.with_instruments(v.options_ticker, v.options_instruments))
+    running = running.withColumn("seq", F.row_number().over(Window.partitionBy("underlying").orderBy("ts_ms", "seq", "seq2", "instrument_id")).cast("long"))
+    return D.oi_skew(running, 1.1, 100.0, 60_000).select("underlying", "ts_ms", "side", R6("intensity").alias("intensity"))
+
+
+@query("det_iv_spike_tick")
+def det_iv_spike_tick(v):
+    return D.iv_spike_ticks(v.options_ticker, 0.2, 0.2, 600_000, 60_000).select("instrument_id", "ts_ms", "seq", "side", R6("intensity").alias("intensity"))
+
+
+# Audits: the same runs, a row each.
+@query("audit_slicing_blocks", f"{runs_sql('trades', 100000000)} SELECT instrument_id, side, min(seq) AS first_seq, count(*) AS k, sum(qty) AS volume FROM r2 GROUP BY instrument_id, run, side HAVING count(*) >= 5 AND sum(qty) >= 5")
+def audit_slicing_blocks(v):
+    return _blocks(D.slicing(v.trades, 100_000_000, 1, 0.0), 5, 5.0)
+
+
+@query("audit_slicing_blocks_iceberg", f"{runs_sql('trades', 100000000, True)} SELECT instrument_id, side, min(seq) AS first_seq, count(*) AS k, sum(qty) AS volume FROM r2 GROUP BY instrument_id, run, side HAVING count(*) >= 3 AND sum(qty) >= 3")
+def audit_slicing_blocks_iceberg(v):
+    from tidewatch.operators.blocks import run_ids
+
+    w = D._ordered()
+    changed = (F.col("side") != F.lag("side").over(w)) | (F.col("price") != F.lag("price").over(w)) | (F.col("qty") != F.lag("qty").over(w))
+    return _blocks(run_ids(v.trades, ["instrument_id"], changed), 3, 3.0)
+
+
+def _blocks(rows, k, volume):
+    got = rows.groupBy("instrument_id", "run", "side").agg(F.min("seq").alias("first_seq"), F.count("*").alias("k"), F.sum("qty").alias("volume"))
+    return got.where((F.col("k") >= k) & (F.col("volume") >= volume)).drop("run")
+
+
+@query("audit_slicing_passive_blocks", f"dp AS (SELECT * FROM depth WHERE action = 'insert' AND qty > 0), {runs_sql('dp', 2000)} SELECT instrument_id, side, min(seq) AS first_seq, count(*) AS k, sum(qty) AS volume FROM r2 GROUP BY instrument_id, run, side HAVING count(*) >= 2 AND sum(qty) >= 5 ORDER BY first_seq LIMIT 100")
+def audit_slicing_passive_blocks(v):
+    return _blocks(D.slicing_passive(v.depth, 2000, 1, 0.0), 2, 5.0).orderBy("first_seq").limit(100)
+
+
+@query("audit_slicing_by_second", "SELECT instrument_id, ts_ms // 1000 AS sec, side, round(price, 6) AS price, count(*) AS k, sum(qty) AS volume FROM trades GROUP BY ALL")
+def audit_slicing_by_second(v):
+    return v.trades.groupBy("instrument_id", F.floor(F.col("ts_ms") / 1000).alias("sec"), "side", R6("price").alias("price")).agg(F.count("*").alias("k"), F.sum("qty").alias("volume"))
+
+
+@query("audit_absorption_exact", "a AS (SELECT x.instrument_id, x.seq, x.side, (SELECT {'v': sum(qty), 'd': max(price) - min(price)} FROM trades p WHERE p.instrument_id = x.instrument_id AND p.side = x.side AND p.seq <= x.seq AND p.ts_ms >= x.ts_ms - 10000) AS r FROM trades x) SELECT instrument_id, seq, side, r.v AS vol_exec, round(r.d / 0.1, 4) AS price_drift_ticks FROM a WHERE r.v >= 20 AND r.d / 0.1 <= 2 + 1e-6")
+def audit_absorption_exact(v):
+    from tidewatch.operators.blocks import bucketed, trailing_sum, unbucketed
+
+    rows = trailing_sum(v.trades, ["instrument_id", "side"], F.col("qty"), 10_000, "vol_exec")
+    w = Window.partitionBy("instrument_id", "side", "_bucket").orderBy("ts_ms").rangeBetween(-10_000, 0)
+    rows = unbucketed(bucketed(rows, 10_000).withColumn("drift", (F.max("price").over(w) - F.min("price").over(w)) / 0.1))
+    return rows.where((F.col("vol_exec") >= 20) & (F.col("drift") <= 2 + 1e-6)).select("instrument_id", "seq", "side", "vol_exec", F.round("drift", 4).alias("price_drift_ticks"))
+
+
+@query("audit_breakwall_snapshots", f"{books.BOOK} SELECT instrument_id, instant, round(greatest(best_ask - best_bid, 0), 6) AS spread, bid_vol, ask_vol, round((bid_vol - ask_vol) / nullif(bid_vol + ask_vol, 0), 6) AS imbalance FROM b")
+def audit_breakwall_snapshots(v):
+    return books.book(v).select("instrument_id", "instant", R6("spread").alias("spread"), "bid_vol", "ask_vol", R6("imbalance").alias("imbalance"))

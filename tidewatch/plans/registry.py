@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None):
         QUERIES[name] = lambda spark, sf_dir: f(Views(spark, sf_dir))
         if sql is not None:
             body = sql.strip()
-            ORACLES[name] = f"WITH {SQL_VIEWS.strip()}{'' if body.upper().startswith('SELECT') else ','}\n{body}"
+            ORACLES[name] = f"WITH RECURSIVE {SQL_VIEWS.strip()}{'' if body.upper().startswith('SELECT') else ','}\n{body}"
         return f
 
     return add
