@@ -1 +1,151 @@
+"""Rules, alerts, dispatch, drill-down, and calibration on events."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidewatch.operators import detect as D
+from tidewatch.operators import rules as S
+from tidewatch.operators.calibrate import percentiles
+
+from . import books
+from .aggregates import P3, PCT
+from .detectors import SPOOF, TAPE, cooled_sql, runs_sql, spoof_rows
+from .registry import query
+
+R6 = lambda c: F.round(c, 6)
+EVENTS = f"{runs_sql('trades', 800)}, sl AS (SELECT instrument_id, ts_ms, seq, 'slicing_aggr' AS kind, side, price, volume AS intensity FROM r2 WHERE k >= 5 AND volume >= 5)"
+SEV = "CASE WHEN abs(intensity) >= 10 THEN 'HIGH' WHEN abs(intensity) >= 5 THEN 'MEDIUM' ELSE 'LOW' END"
+
+
+def events(v):
+    got = D.slicing(v.trades, 800, 5, 5.0)
+    return got.select("instrument_id", "ts_ms", "seq", "kind", "side", "price", "intensity", "k", F.create_map(F.lit("mode"), F.col("mode"), F.lit("k"), F.col("k").cast("string")).alias("fields"))
+
+
+TAPES = cooled_sql("cand", "instrument_id", 20000)
+
+
+@query("rule_eval", f"{EVENTS}, {TAPE}, {TAPES} SELECT instrument_id, seq, CASE WHEN side = 'buy' THEN 'R5' ELSE 'R6' END AS rule, {SEV} AS severity FROM sl UNION ALL SELECT instrument_id, seq, CASE WHEN ratio >= 0.8 THEN 'R23' ELSE 'R24' END, CASE WHEN ratio >= 0.9 THEN 'HIGH' WHEN ratio >= 0.8 THEN 'MEDIUM' ELSE 'LOW' END FROM fired")
+def rule_eval(v):
+    tape = D.tape_pressure(v.trades, 3000, 0.8, 0.2, 20_000)
+    both = events(v).select("instrument_id", "seq", "kind", "side", "intensity").unionByName(tape.select("instrument_id", "seq", "kind", "side", "intensity"))
+    return S.rated(both).select("instrument_id", "seq", "rule", "severity")
+
+
+@query("severity_abs", "SELECT event_id, CASE WHEN value - 50 IS NULL THEN 'MEDIUM' WHEN abs(value - 50) >= 40 THEN 'HIGH' WHEN abs(value - 50) >= 20 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM ev")
+def severity_abs(v):
+    return v.ev.select("event_id", S.severity(F.col("value") - 50, F.lit(20.0), F.lit(40.0)).alias("severity"))
+
+
+@query("severity_val", "SELECT event_id, CASE WHEN k % 9 = 0 THEN 'MEDIUM' WHEN value >= 100 THEN 'HIGH' WHEN value >= 50 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM ev")
+def severity_val(v):
+    return v.ev.select("event_id", S.severity(F.when(F.col("k") % 9 != 0, F.col("value")), F.lit(50.0), F.lit(100.0)).alias("severity"))
+
+
+@query("severity_norm", "SELECT event_id, CASE k % 4 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'LOW' ELSE 'MEDIUM' END AS severity FROM ev")
+def severity_norm(v):
+    word = F.when(F.col("k") % 4 == 0, " high").when(F.col("k") % 4 == 1, "low").when(F.col("k") % 4 == 2, "medium").otherwise("odd")
+    return v.ev.select("event_id", S.normal_severity(word).alias("severity"))
+
+
+KEYED = f"""{EVENTS}, al AS (SELECT *, instrument_id || '|' || CASE WHEN side = 'buy' THEN 'R5' ELSE 'R6' END || '|' || side || '|' || kind || '|' || printf('%.2f', price) || '|' || printf('%.4f', 1.0::DOUBLE) || '|' || substring(sha1('{{"mode":"hitting"}}'), 1, 8) AS dedup_key FROM sl)"""
+
+
+def keyed(v):
+    rows = S.rated(events(v)).withColumn("intensity", F.lit(1.0))
+    return rows.withColumn("dedup_key", S.dedup_key(F.map_filter("fields", lambda k, _: k == "mode")))
+
+
+@query("dedup_key", f"{KEYED} SELECT instrument_id, seq, dedup_key FROM al")
+def dedup_key(v):
+    return keyed(v).select("instrument_id", "seq", "dedup_key")
+
+
+UPSERT = f"""{KEYED}, a1 AS (SELECT *, row_number() OVER (PARTITION BY dedup_key ORDER BY ts_ms, seq) AS rn FROM al),
+rf AS (SELECT dedup_key, rn, ts_ms AS first, ts_ms AS t FROM a1 WHERE rn = 1 UNION ALL SELECT c.dedup_key, c.rn, CASE WHEN c.ts_ms - f.first >= 90000 THEN c.ts_ms ELSE f.first END, c.ts_ms FROM rf f JOIN a1 c ON c.dedup_key = f.dedup_key AND c.rn = f.rn + 1)"""
+
+
+@query("alert_upsert_suppress", f"{UPSERT} SELECT dedup_key, first AS ts_first, max(t) AS ts_last, count(*) AS n_hits FROM rf GROUP BY ALL")
+def alert_upsert_suppress(v):
+    return S.suppressed(keyed(v)).select("dedup_key", "ts_first", "ts_last", "n_hits")
+
+
+@query("alert_text", f"{EVENTS} SELECT instrument_id, seq, '#' || CASE WHEN side = 'buy' THEN 'R5' ELSE 'R6' END || ' ' || {SEV} || ' | ' || instrument_id || ' ' || upper(side) || ' @ ' || printf('%.2f', price) || ' | volume ' || printf('%.1f', intensity) AS text FROM sl")
+def alert_text(v):
+    return S.rated(events(v)).select("instrument_id", "seq", S.text().alias("text"))
+
+
+@query("alert_lag", f"{EVENTS} SELECT side, (10000000 - max(ts_ms)) / 1000.0::DOUBLE AS lag_s, count(*) AS n FROM sl GROUP BY 1")
+def alert_lag(v):
+    return events(v).groupBy("side").agg(((F.lit(10_000_000) - F.max("ts_ms")) / 1000.0).alias("lag_s"), F.count("*").alias("n"))
+
+
+@query("dispatch_throttle", f"{EVENTS}, d AS (SELECT *, row_number() OVER (PARTITION BY ts_ms // 60000 ORDER BY ts_ms, seq) AS rn FROM sl) SELECT instrument_id, seq, CASE WHEN rn <= 60 THEN 'sent' ELSE 'rate_limit' END AS status FROM d")
+def dispatch_throttle(v):
+    return S.throttled(events(v).withColumn("router", F.lit("chat"))).select("instrument_id", "seq", "status")
+
+
+@query("dispatch_log", f"{EVENTS} SELECT event_id AS alert_id, k FROM ev WHERE event_id IN (SELECT seq FROM sl)")
+def dispatch_log(v):
+    return S.dispatch_log(v.ev.select(F.col("event_id").alias("alert_id"), "k"), events(v).select(F.col("seq").alias("alert_id")))
+
+
+@query("discard_reasons", "x AS (SELECT *, CASE WHEN k % 5 = 0 THEN 'no_velocity' WHEN value < 20 THEN 'threshold' END AS reason FROM ev) SELECT reason, count(*) AS n FROM x WHERE reason IS NOT NULL GROUP BY 1")
+def discard_reasons(v):
+    reason = F.when(F.col("k") % 5 == 0, "no_velocity").when(F.col("value") < 20, "threshold")
+    return v.ev.groupBy(reason.alias("reason")).agg(F.count("*").alias("n")).where("reason is not null")
+
+
+@query("event_drilldown", f"{EVENTS} SELECT instrument_id, seq, 'hitting' AS mode, intensity FROM sl ORDER BY ts_ms DESC LIMIT 50")
+def event_drilldown(v):
+    return events(v).where(F.col("fields")["mode"] == "hitting").orderBy(F.desc("ts_ms")).limit(50).select("instrument_id", "seq", F.col("fields")["mode"].alias("mode"), "intensity")
+
+
+@query("calib_slicing", f"{EVENTS}, x AS (SELECT intensity AS x FROM sl) SELECT {P3} FROM x")
+def calib_slicing(v):
+    return percentiles(events(v), F.col("intensity"))
+
+
+@query("calib_spoofing", f"{SPOOF}, x AS (SELECT cancelled AS x FROM sz WHERE rate >= 0.3 AND executed <= 5) SELECT {P3} FROM x")
+def calib_spoofing(v):
+    return percentiles(spoof_rows(v), F.col("intensity"))
+
+
+@query("calib_absorption", "a AS (SELECT (SELECT sum(qty) FROM trades p WHERE p.instrument_id = x.instrument_id AND p.side = x.side AND p.seq <= x.seq AND p.ts_ms >= x.ts_ms - 10000) AS x FROM trades x) SELECT " + P3 + " FROM a WHERE x >= 20")
+def calib_absorption(v):
+    from tidewatch.operators.blocks import trailing_sum
+
+    return percentiles(trailing_sum(v.trades, ["instrument_id", "side"], F.col("qty"), 10_000, "volume").where("volume >= 20"), F.col("volume"))
+
+
+@query("calib_spread", f"{books.BOOK}, x AS (SELECT greatest(best_ask - best_bid, 0) AS x FROM b WHERE best_ask IS NOT NULL AND best_bid IS NOT NULL) SELECT {PCT(0.5, 0.9, 0.95, 0.99)} FROM x")
+def calib_spread(v):
+    return percentiles(books.book(v).where("best_ask is not null and best_bid is not null"), F.col("spread"), (0.5, 0.9, 0.95, 0.99))
+
+
+@query("calib_dominance", f"{books.BOOK}, x AS (SELECT instrument_id, bid_vol / (bid_vol + ask_vol) AS x FROM b WHERE bid_vol + ask_vol > 0) SELECT instrument_id, {P3} FROM x GROUP BY 1")
+def calib_dominance(v):
+    return percentiles(books.book(v).where("dominance_bid is not null"), F.col("dominance_bid"), by=["instrument_id"])
+
+
+REFILL = """s AS (SELECT x.side, (SELECT sum(qty) FROM depth p WHERE p.instrument_id = x.instrument_id AND p.side = x.side AND p.seq <= x.seq AND p.ts_ms >= x.ts_ms - 3000 AND action <> 'delete') AS ins,
+(SELECT sum(qty) FROM depth p WHERE p.instrument_id = x.instrument_id AND p.side = x.side AND p.seq <= x.seq AND p.ts_ms >= x.ts_ms - 3000 AND action = 'delete') AS del FROM depth x), x AS (SELECT least(coalesce(ins, 0) / nullif(del, 0), 1) AS x FROM s)"""
+
+
+@query("calib_refill", f"{REFILL} SELECT {P3} FROM x WHERE x > 0")
+def calib_refill(v):
+    from tidewatch.operators.blocks import trailing_sum
+
+    key = ["instrument_id", "side"]
+    rows = trailing_sum(v.depth, key, F.when(F.col("action") != "delete", F.col("qty")), 3000, "ins")
+    rows = trailing_sum(rows, key, F.when(F.col("action") == "delete", F.col("qty")), 3000, "del").withColumn("r", F.least(F.try_divide("ins", "del"), F.lit(1.0)))
+    return percentiles(rows.where("r > 0"), F.col("r"))
+
+
+@query("calib_dep_refill_amounts", f"{books.BOOK}, p AS (SELECT bid_vol - lag(bid_vol) OVER (PARTITION BY instrument_id ORDER BY instant) AS d FROM b), x AS (SELECT greatest(-d, 0) AS x FROM p WHERE d IS NOT NULL) SELECT {PCT(0.5, 0.9, 0.95, 0.99)} FROM x")
+def calib_dep_refill_amounts(v):
+    from pyspark.sql.window import Window
+
+    d = F.col("bid_vol") - F.lag("bid_vol").over(Window.partitionBy("instrument_id").orderBy("instant"))
+    return percentiles(books.book(v).withColumn("d", d).where("d is not null"), F.greatest(-F.col("d"), F.lit(0.0)), (0.5, 0.9, 0.95, 0.99))

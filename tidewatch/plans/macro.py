@@ -1 +1,88 @@
+"""Polled detectors."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidewatch.functions import exprs as X
+from tidewatch.operators import macro as M
+from tidewatch.operators import rolling as R
+from tidewatch.operators.blocks import asof_join, trailing_sum
+
+from . import aggregates as A
+from .detectors import cooled_sql
+from .registry import query
+
+R6 = lambda c: F.round(c, 6)
+GRID = "g AS (SELECT instrument_id, unnest(range(0, (SELECT max(ts_ms) FROM ev), 30000)) AS ts_ms FROM (SELECT DISTINCT instrument_id FROM ev))"
+LAT = "LEFT JOIN LATERAL (SELECT p.{c} AS v, p.ts_ms AS t FROM {t} p WHERE p.instrument_id = x.instrument_id AND p.ts_ms <= x.ts_ms - {w} ORDER BY p.ts_ms DESC, p.seq DESC LIMIT 1) {a} ON true"
+SCALE = lambda x, a, b: f"least(greatest(({x} - {a}) / {b - a}, 0), 1)"
+
+
+def grid(v):
+    return X.poll_grid(v.ev, 30_000)
+
+
+OI = f"{GRID}, oi AS (SELECT x.*, (x.open_interest - r.v) / nullif(r.v, 0) * 100 AS pct FROM open_interest x {LAT.format(c='open_interest', t='open_interest', w=120000, a='r')}), mv AS (SELECT x.*, x.mark_price - r.v AS move FROM mark_funding x {LAT.format(c='mark_price', t='mark_funding', w=60000, a='r')}), pl AS (SELECT x.*, x.ts_ms AS seq, a.v AS pct, b.v AS move FROM g x {LAT.format(c='pct', t='oi', w=0, a='a')} {LAT.format(c='move', t='mv', w=0, a='b')}), cand AS (SELECT * FROM pl WHERE abs(pct) >= 0.8 AND abs(move) >= 1)"
+
+
+@query("det_oi_spike", f"{OI}, {cooled_sql('cand', 'instrument_id', 60000)} SELECT instrument_id, ts_ms, CASE WHEN move > 0 THEN 'buy' ELSE 'sell' END AS side, round(({SCALE('abs(pct)', 0.8, 20.0)} + {SCALE('abs(move)', 1.0, 5.0)}) / 2, 6) AS intensity FROM fired")
+def det_oi_spike(v):
+    oi = R.percent_change(v.open_interest, ["instrument_id"], "open_interest", 120_000)
+    mid = R.percent_change(v.mark_funding, ["instrument_id"], "mark_price", 60_000).withColumn("move", F.col("mark_price") - F.col("ref.v"))
+    return M.oi_spike(grid(v), oi, mid, 0.8, 20.0, 1.0, 5.0, 60_000).select("instrument_id", "ts_ms", "side", R6("intensity").alias("intensity"))
+
+
+TOP = f"{GRID}, pl AS (SELECT x.*, x.ts_ms AS seq, a.v AS la, 1 - a.v AS sa, b.v AS lp, 1 - b.v AS sp FROM g x {LAT.format(c='long_ratio', t='account_ratio', w=0, a='a')} {LAT.format(c='long_ratio', t='position_ratio', w=0, a='b')}), cand AS (SELECT *, greatest(la, lp, sa, sp) AS best FROM pl WHERE la IS NOT NULL AND lp IS NOT NULL AND greatest(la, lp, sa, sp) >= 0.7)"
+
+
+@query("det_top_traders", f"{TOP}, {cooled_sql('cand', 'instrument_id', 60000)} SELECT instrument_id, ts_ms, CASE WHEN best = la OR best = lp THEN 'buy' ELSE 'sell' END AS side, round({SCALE('best', 0.7, 0.95)}, 5) AS intensity FROM fired")
+def det_top_traders(v):
+    return M.top_traders(grid(v), v.account_ratio, v.position_ratio, 0.7, 0.95, 60_000).select("instrument_id", "ts_ms", "side", F.round("intensity", 5).alias("intensity"))
+
+
+DISL = f"{GRID}, bs AS (SELECT instrument_id, ts_ms, seq, b, (b - lag(b) OVER w) / greatest((ts_ms - lag(ts_ms) OVER w) / 1000.0::DOUBLE, 1e-6) AS vel FROM (SELECT *, (mark_price / index_price - 1) * 1e4 AS b FROM mark_funding) WINDOW w AS (PARTITION BY instrument_id ORDER BY ts_ms, seq)), fu AS (SELECT x.instrument_id, x.ts_ms, x.seq, (x.funding_rate - r.v) / greatest((x.ts_ms - r.t) / 1000.0::DOUBLE, 1) AS trend FROM mark_funding x {LAT.format(c='funding_rate', t='mark_funding', w=9000, a='r')}), pl AS (SELECT x.*, x.ts_ms AS seq, a.v AS b, c.v AS vel, d.v AS trend FROM g x {LAT.format(c='b', t='bs', w=0, a='a')} {LAT.format(c='vel', t='bs', w=0, a='c')} {LAT.format(c='trend', t='fu', w=0, a='d')}), cand AS (SELECT * FROM pl WHERE abs(b) >= 20 AND abs(vel) >= 1 AND abs(trend) >= 1e-7)"
+
+
+@query("det_basis_dislocation", f"{DISL}, {cooled_sql('cand', 'instrument_id', 60000)} SELECT instrument_id, ts_ms, CASE WHEN b > 0 THEN 'buy' ELSE 'sell' END AS side, round({SCALE('abs(b)', 20.0, 200.0)}, 6) AS intensity FROM fired")
+def det_basis_dislocation(v):
+    funding = R.trend(v.mark_funding, ["instrument_id"], "funding_rate", 9_000)
+    return M.basis_dislocation(grid(v), X.basis_velocity(v.mark_funding), funding, 20.0, 200.0, 1.0, 1e-7, 60_000).select("instrument_id", "ts_ms", "side", R6("intensity").alias("intensity"))
+
+
+def shock_sql(c, k, least, strong, slope, cool):
+    return f"{A.IV1M}, {A.ASOF_M.format(c=c, k=k)}, cand AS (SELECT 'BTC' AS instrument_id, bucket * 60000 AS ts_ms, bucket AS seq, d FROM b WHERE abs(d) >= {least} AND abs(d) / dt >= {slope}), {cooled_sql('cand', 'instrument_id', cool)} SELECT ts_ms, d > 0 AS up, round({SCALE('abs(d)', least, strong)}, 5) AS intensity FROM fired"
+
+
+@query("det_skew_shock", shock_sql("rr", 5, 0.01, 0.1, 1e-6, 300000))
+def det_skew_shock(v):
+    rows = M.change_shock(A._delta(A._iv1m(v), "rr", 300_000), "skew_shock", 0.01, 0.1, 1e-6, 300_000)
+    return rows.select("ts_ms", (F.col("side") == "bull").alias("up"), F.round("intensity", 5).alias("intensity"))
+
+
+@query("det_iv_spike", shock_sql("iv", 5, 0.005, 0.05, 0.0, 300000))
+def det_iv_spike(v):
+    rows = M.change_shock(A._delta(A._iv1m(v), "iv", 300_000), "iv_spike", 0.005, 0.05, 0.0, 300_000, ("up", "down"))
+    return rows.select("ts_ms", (F.col("side") == "up").alias("up"), F.round("intensity", 5).alias("intensity"))
+
+
+@query("det_term_structure_invert", f"{A.TERM}, cand AS (SELECT 'BTC' AS instrument_id, bucket * 60000 AS ts_ms, bucket AS seq, sp FROM s WHERE sp >= 0.05), {cooled_sql('cand', 'instrument_id', 300000)} SELECT ts_ms, round({SCALE('sp', 0.05, 0.4)}, 5) AS intensity FROM fired")
+def det_term_structure_invert(v):
+    return M.term_inversion(A._term(v), 0.05, 0.4, 300_000).select("ts_ms", F.round("intensity", 5).alias("intensity"))
+
+
+@query("det_liq_cluster")
+def det_liq_cluster(v):
+    usd = F.coalesce("quote_qty_usd", "qty")
+    rows = trailing_sum(v.liquidations, ["instrument_id"], F.when(F.col("side") == "buy", usd), 60_000, "buy")
+    rows = trailing_sum(rows, ["instrument_id"], F.when(F.col("side") == "sell", usd), 60_000, "sell").withColumn("both", F.struct("buy", "sell"))
+    polls = asof_join(asof_join(grid(v), rows, ["instrument_id"], F.col("both"), "v"), v.mark_funding, ["instrument_id"], F.col("mark_price"), "mid")
+    polls = polls.select("instrument_id", "ts_ms", F.coalesce("v.buy", F.lit(0.0)).alias("buy"), F.coalesce("v.sell", F.lit(0.0)).alias("sell"), F.col("mid"))
+    return M.liq_cluster(polls, 1000.0, 200_000.0, 0.5, 5.0, 10_000, 60_000).select("instrument_id", "ts_ms", "side", R6("intensity").alias("intensity"))
+
+
+@query("det_gamma_flip")
+def det_gamma_flip(v):
+    rows = X.gamma_exposure(X.with_instruments(v.options_ticker, v.options_instruments))
+    polls = rows.groupBy("underlying", (F.floor(F.col("ts_ms") / 60_000) * 60_000).alias("ts_ms")).agg(F.sum("gex").alias("net"))
+    return M.gamma_flip(polls, 100.0, 0.1, 2, 300_000).select("underlying", "ts_ms", "sign_from", "sign_to", F.round("net", 3).alias("net"))
