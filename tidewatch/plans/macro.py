@@ -66,9 +66,9 @@ def det_iv_spike(v):
     return rows.select("ts_ms", (F.col("side") == "up").alias("up"), F.round("intensity", 5).alias("intensity"))
 
 
-@query("det_term_structure_invert", f"{A.TERM}, cand AS (SELECT 'BTC' AS instrument_id, bucket * 60000 AS ts_ms, bucket AS seq, sp FROM s WHERE sp >= 0.05), {cooled_sql('cand', 'instrument_id', 300000)} SELECT ts_ms, round({SCALE('sp', 0.05, 0.4)}, 5) AS intensity FROM fired")
+@query("det_term_structure_invert", f"{A.TERM}, cand AS (SELECT 'BTC' AS instrument_id, bucket * 60000 AS ts_ms, bucket AS seq, sp FROM s WHERE sp >= -0.02), {cooled_sql('cand', 'instrument_id', 300000)} SELECT ts_ms, round({SCALE('sp', -0.02, 0.4)}, 5) AS intensity FROM fired")
 def det_term_structure_invert(v):
-    return M.term_inversion(A._term(v), 0.05, 0.4, 300_000).select("ts_ms", F.round("intensity", 5).alias("intensity"))
+    return M.term_inversion(A._term(v), -0.02, 0.4, 300_000).select("ts_ms", F.round("intensity", 5).alias("intensity"))
 
 
 @query("det_liq_cluster")

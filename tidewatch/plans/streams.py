@@ -1 +1,57 @@
+"""Streaming queries, run over the events to their end."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidewatch.streaming import jobs as J
+
+from .registry import query
+
+
+def events(v):
+    return J.source(v.spark, v.sf_dir, "events")
+
+
+@query("stream_tumbling", "SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') AS minute, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_tumbling(v):
+    rows = J.finished(J.tumbling(events(v)), "update")
+    newest = rows.groupBy("start", "event_type").agg(F.max_by("n", "batch").alias("n"))
+    return newest.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("minute"), "event_type", "n")
+
+
+@query("stream_dedup", "SELECT DISTINCT event_id, event_type FROM events")
+def stream_dedup(v):
+    twice = events(v).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    return J.finished(J.deduplicated(twice.drop("copy"), ["event_id"])).select("event_id", "event_type")
+
+
+@query("stream_watermark", "SELECT event_id, user_id FROM events WHERE value >= 20")
+def stream_watermark(v):
+    rows = events(v).withWatermark("ts", "2 seconds").where("value >= 20")
+    return J.finished(rows).select("event_id", "user_id")
+
+
+SESSION = """
+t AS (SELECT user_id, event_id AS seq, event_id * 50 AS ts_ms, CASE WHEN event_type IN ('click', 'view') THEN 'buy' ELSE 'sell' END AS side, ceil(value / 50) AS qty FROM events),
+b AS (SELECT *, coalesce(side <> lag(side) OVER w OR ts_ms - lag(ts_ms) OVER w > 20000, true) AS brk FROM t WINDOW w AS (PARTITION BY user_id ORDER BY ts_ms, seq)),
+r AS (SELECT *, sum(brk::INT) OVER (PARTITION BY user_id ORDER BY ts_ms, seq) AS run FROM b),
+c AS (SELECT *, count(*) OVER w AS k, sum(qty) OVER w AS volume FROM r WINDOW w AS (PARTITION BY user_id, run ORDER BY ts_ms, seq))"""
+
+
+@query("stream_session", f"{SESSION} SELECT user_id, seq, side, k, volume FROM c WHERE k >= 2 AND volume >= 2")
+def stream_session(v):
+    side = F.when(F.col("event_type").isin("click", "view"), "buy").otherwise("sell")
+    trades = events(v).select("user_id", F.col("event_id").alias("seq"), (F.col("event_id") * 50).alias("ts_ms"), side.alias("side"), F.ceil(F.col("value") / 50).cast("double").alias("qty"))
+    return J.finished(J.sessions(trades, 20_000, 2, 2.0)).drop("batch")
+
+
+@query("stream_stateful_detect", f"{SESSION} SELECT user_id, seq, CASE WHEN volume >= 10 THEN 'HIGH' WHEN volume >= 5 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM c WHERE k >= 3 AND volume >= 3")
+def stream_stateful_detect(v):
+    """The run detector on a stream, rated by the fixed rules table in a stream-static join."""
+    from tidewatch.operators.rules import rated
+
+    side = F.when(F.col("event_type").isin("click", "view"), "buy").otherwise("sell")
+    trades = events(v).select("user_id", F.col("event_id").alias("seq"), (F.col("event_id") * 50).alias("ts_ms"), side.alias("side"), F.ceil(F.col("value") / 50).cast("double").alias("qty"))
+    found = J.sessions(trades, 20_000, 3, 3.0).withColumns({"kind": F.lit("slicing_aggr"), "intensity": F.col("volume")})
+    return J.finished(rated(found).select("user_id", "seq", "severity")).drop("batch")
