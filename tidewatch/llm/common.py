@@ -36,6 +36,14 @@ def count_of(text: Column, characters: str) -> Column:
     return sum((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(c), F.lit(""))) for c in characters[1:]), F.octet_length(text) - F.octet_length(F.replace(text, F.lit(characters[0]), F.lit(""))))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have yet: ``name``, with underscores before it as needed."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; one of our own only where none is named."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored, text_of, words
+from .common import fresh, stored, text_of, words
 
 #: Weights dealt to the sources in order, repeating; and how often a source may be taken.
 WEIGHTS, MOST = (5, 2, 1), 3
@@ -91,7 +91,7 @@ def mix(docs: DataFrame, column: str = "text", block: int = 32, shard_slots: int
     """
     spark = docs.sparkSession
     text = text_of(docs, column)
-    rows = docs.select("*", F.size(words(text)).cast("long").alias("_size"), F.xxhash64(docs["doc_id"]).alias("_h"), F.xxhash64(text).alias("_t"), F.monotonically_increasing_id().alias("_uid"))
+    rows = docs.select("doc_id", "source", F.size(words(text)).cast("long").alias("_size"), F.xxhash64(docs["doc_id"]).alias("_h"), F.xxhash64(text).alias("_t"), F.monotonically_increasing_id().alias("_uid"))
     slim = stored(rows.select("doc_id", "source", "_size", "_h", "_t", "_uid"), "sizes")
     per = slim.groupBy("source").agg(F.sum("_size").alias("size"), F.count("*").alias("n")).collect()
     per.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
@@ -175,8 +175,9 @@ def mixed_documents(docs: DataFrame, column: str = "text", **options) -> DataFra
     """
     docs = stored(docs, "mixing")
     plan = mix(docs, column, **options)
-    pieces = _pieces(plan).groupBy("_uid").agg(F.sort_array(F.collect_list(F.struct("start", "n", "times"))).alias("pieces"))
-    keyed = docs.withColumn("_uid", F.monotonically_increasing_id())
+    uid, parts = fresh(docs, "_uid"), fresh(docs, "pieces")
+    pieces = _pieces(plan).groupBy(F.col("_uid").alias(uid)).agg(F.sort_array(F.collect_list(F.struct("start", "n", "times"))).alias(parts))
+    keyed = docs.withColumn(uid, F.monotonically_increasing_id())
     names = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +186,7 @@ def mixed_documents(docs: DataFrame, column: str = "text", **options) -> DataFra
         word = re.compile("[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*")
         for batch in batches:
             rows, texts = [], []
-            for row, (text, pieces) in enumerate(zip(batch.column(column).to_pylist(), batch.column("pieces").to_pylist(), strict=True)):
+            for row, (text, pieces) in enumerate(zip(batch.column(column).to_pylist(), batch.column(parts).to_pylist(), strict=True)):
                 found = None
                 for done in range(max(p["times"] for p in pieces)):
                     mine = [p for p in pieces if p["times"] > done]
@@ -197,4 +198,4 @@ def mixed_documents(docs: DataFrame, column: str = "text", **options) -> DataFra
             columns = [pa.array(texts, pa.string()) if name == column else pa.array([len(t) for t in texts], kept.column(name).type) if name == "n_chars" else kept.column(name) for name in names]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return keyed.join(pieces, "_uid").drop("_uid").mapInArrow(cut, docs.schema)
+    return keyed.join(pieces, uid).drop(uid).mapInArrow(cut, docs.schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_of
+from .common import fresh, stored, text_of
 from .components import components
 
 EVEN_BITS = 0x5555555555555555
@@ -148,10 +148,10 @@ def near_duplicates(docs: DataFrame, column: str = "text", width: int = 3, most:
 
 def dedup(docs: DataFrame, column: str = "text", width: int = 3, most: int = 3) -> DataFrame:
     """``docs`` with one row per component, all columns kept: the row of the least doc_id (of repeated rows, one)."""
-    keyed = docs.withColumn("_row", F.monotonically_increasing_id())
-    keyed = stored(keyed, "dedup")
-    found = near_duplicates(keyed, column, width, most, carry=("_row",))
+    row = fresh(docs, "_row")
+    keyed = stored(docs.withColumn(row, F.monotonically_increasing_id()), "dedup")
+    found = near_duplicates(keyed.select("doc_id", column, keyed[row].alias("_uid")), column, width, most, carry=("_uid",))
     # The survivor by (doc_id, row) of each component; counts combine before the shuffle. A component without any doc_id keeps its first row.
     group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp").cast("string")))
-    first = found.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row"))
-    return keyed.join(first.select("_row"), "_row", "left_semi").drop("_row")
+    first = found.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_uid"))["_uid"].alias(row))
+    return keyed.join(first.select(row), row, "left_semi").select(docs.columns)

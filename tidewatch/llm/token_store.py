@@ -30,7 +30,7 @@ from .common import shared_dir, stored, text_of
 
 #: Ids in the rolling window, in the shortest chunk, between chance cuts on average, and in the longest chunk.
 WINDOW, LEAST, MEAN, MOST = 16, 64, 256, 2048
-MEMO_ENTRIES = 350_000
+MEMO_ENTRIES = 250_000
 
 
 class Encoder:
@@ -51,11 +51,16 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.width, self.letter = (2, "H") if self.library.get_vocab_size() <= 1 << 16 else (4, "I")
-        self.unsafe, self.safe = re.compile(r"\s\s|^\s|\s$|[^\S \n]").search, re.compile(r"(?<=\S)(?= )|(?= \S)").split
+        self.safe = re.compile(r"(?<=\S)(?= )|(?= \S)").split
+        #: What a text with other white space than lone blanks and line feeds holds.
+        self.odd = ["  ", "\n\n", " \n", "\n ", *(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n")]
         #: Ids of a run, with the blank before it or the line feed that it begins with; and those of the marks that may end one.
         self.memo: dict[str, bytes] = {}
         self.marks = {m: self.pack(self.library.encode(m, add_special_tokens=False).ids) for m in ",."}
 
+    def unsafe(self, text: str) -> bool:
+        return text[:1].isspace() or text[-1:].isspace() or any(x in text for x in self.odd)
+
     def pack(self, ids: list[int]) -> bytes:
         return array(self.letter, ids).tobytes()
 
@@ -187,6 +192,13 @@ class Store:
     width: int
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, which bound what becomes Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def delete(spark: SparkSession, df: DataFrame) -> None:
     """Drop the files of a table that ``stored`` wrote and that nothing reads any more."""
     for file in df.inputFiles()[:1]:
@@ -215,7 +227,7 @@ def write(docs: DataFrame, path: str, end_id: int = 2, column: str = "text") ->
 
         pack, unpack = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
         at_payload, at_theirs = PACK.index("payload"), PACK.index("theirs")
-        for batch in batches:
+        for batch in sliced(batches):
             payloads = batch.column(at_payload)
             theirs = batch.column(at_theirs)
             if theirs.null_count < len(theirs):
@@ -238,7 +250,7 @@ def write(docs: DataFrame, path: str, end_id: int = 2, column: str = "text") ->
         from pyspark import TaskContext
 
         part, before = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in sliced(batches):
             local = []
             for n in batch.column(2).to_pylist():
                 local.append(before)
@@ -271,7 +283,7 @@ def read(store: Store) -> DataFrame:
         import zstandard
 
         unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in sliced(batches):
             found, chunks = [], []
             for addresses, sizes, theirs, lends, payload in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 blob, at, theirs, lends = unpack.decompress(payload), 0, set(theirs or ()), set(lends)
@@ -296,7 +308,7 @@ def read(store: Store) -> DataFrame:
         import zstandard
 
         unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in sliced(batches):
             out, roots = [], []
             for n, addresses, sizes, payload, fetched in zip(*(batch.column(k).to_pylist() for k in range(2, 7)), strict=True):
                 blob, at, parts, got = unpack.decompress(payload), 0, [], {x["pos"]: x["chunk"] for x in fetched or ()}
