@@ -97,11 +97,12 @@ def _document_features(p, starts, lengths):
 
 
 def copies(docs: list[list[str]], size: int = 16, shared: int = 5) -> list[int]:
-    """A group number for each document: near copies, which share ``shared`` of the ``size`` words of least hash, have the first one's."""
+    """A group number for each document: near copies, which share ``shared`` of the ``size`` three-word shingles of least hash, have the first one's."""
     owner: dict[int, int] = {}
     groups = []
     for i, tokens in enumerate(docs):
-        sketch = sorted({zlib.crc32(t.encode()) for t in tokens})[:size]
+        shingles = {" ".join(tokens[k : k + 3]) for k in range(max(1, len(tokens) - 2))}
+        sketch = sorted(zlib.crc32(x.encode()) for x in shingles)[:size]
         seen = Counter(owner[h] for h in sketch if h in owner).most_common(1)
         group = seen[0][0] if seen and seen[0][1] >= min(shared, len(sketch)) else i
         for h in sketch:
