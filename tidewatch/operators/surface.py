@@ -71,10 +71,11 @@ def band_iv(ticks: DataFrame, keys: list[str]) -> DataFrame:
 def build(ticks: DataFrame, back_ms: int = 600_000, ahead_ms: int = 5_000) -> DataFrame:
     """The surface of every minute at once: a tick serves the minutes whose window [minute - back, minute + ahead] holds it, the latest of each
     instrument counts, expiries weigh by the open interest of their picks."""
-    first, last = F.ceil((F.col("ts_ms") - ahead_ms) / 60_000), F.floor((F.col("ts_ms") + back_ms) / 60_000)
-    rows = ticks.withColumn("tenor", tenor(F.col("expiry_days"))).where("tenor is not null").withColumn("minute", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)))
-    newest = F.row_number().over(Window.partitionBy("minute", "instrument_id").orderBy(F.desc("ts_ms"), F.desc("seq"), F.desc("seq2")))
-    rows = rows.withColumn("_n", newest).where("_n = 1")
+    first, last = F.greatest(F.ceil((F.col("ts_ms") - ahead_ms) / 60_000), F.lit(0)), F.floor((F.col("ts_ms") + back_ms) / 60_000)
+    # A tick serves from its first minute to the one before the first minute of the instrument's next tick.
+    after = F.lead(first).over(Window.partitionBy("instrument_id").orderBy("ts_ms", "seq", "seq2"))
+    rows = ticks.withColumns({"_a": first, "_z": F.least(last, F.coalesce(after - 1, last)), "tenor": tenor(F.col("expiry_days"))}).where("tenor is not null and _a <= _z")
+    rows = rows.withColumn("minute", F.explode(F.sequence("_a", "_z"))).drop("_a", "_z")
     per = components(rows, ["minute", "underlying", "tenor", "expiry_days"])
     full = F.col("rr_25d").isNotNull() & F.col("bf_25d").isNotNull()
     mean = lambda c, w: F.try_divide(F.sum(F.when(w, F.col(c) * F.col("weight"))), F.sum(F.when(w & F.col(c).isNotNull(), F.col("weight"))))
