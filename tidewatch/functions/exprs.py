@@ -89,9 +89,9 @@ def gamma_exposure(rows: DataFrame, most_gamma: float = 1.0, most_oi: float = 1e
 
 def running_oi(ticks: DataFrame) -> DataFrame:
     """Open interest of calls and puts per underlying after each tick, from the last of each instrument."""
-    before = F.lag("open_interest").over(Window.partitionBy("instrument_id").orderBy("ts_ms", "seq", "seq2"))
+    before = F.lag("open_interest").over(Window.partitionBy("instrument_id").orderBy("ts_ms", "seq", "seq2", "open_interest"))
     rows = ticks.withColumn("_x", F.col("open_interest") - F.coalesce(before, F.lit(0.0)))
-    w = Window.partitionBy("underlying").orderBy("ts_ms", "seq", "seq2", "instrument_id").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("underlying").orderBy("ts_ms", "seq", "seq2", "instrument_id", "open_interest").rowsBetween(Window.unboundedPreceding, 0)
     side = lambda t: F.sum(F.when(F.col("option_type") == t, F.col("_x")).otherwise(0.0)).over(w)
     return rows.withColumns({"calls": side("C"), "puts": side("P")}).drop("_x")
 

@@ -140,8 +140,8 @@ def ticker_iv_mean(v):
 
 
 OI_RUN = """
-d AS (SELECT t.*, i.underlying, i.option_type, t.open_interest - coalesce(lag(t.open_interest) OVER (PARTITION BY t.instrument_id ORDER BY t.ts_ms, t.seq, t.seq2), 0) AS x FROM options_ticker t JOIN options_instruments i USING (instrument_id)),
-o AS (SELECT instrument_id, ts_ms, seq, seq2, underlying, sum(CASE WHEN option_type = 'C' THEN x ELSE 0 END) OVER w AS calls, sum(CASE WHEN option_type = 'P' THEN x ELSE 0 END) OVER w AS puts FROM d WINDOW w AS (PARTITION BY underlying ORDER BY ts_ms, seq, seq2, instrument_id))"""
+d AS (SELECT t.*, i.underlying, i.option_type, t.open_interest - coalesce(lag(t.open_interest) OVER (PARTITION BY t.instrument_id ORDER BY t.ts_ms, t.seq, t.seq2, t.open_interest), 0) AS x FROM options_ticker t JOIN options_instruments i USING (instrument_id)),
+o AS (SELECT instrument_id, ts_ms, seq, seq2, open_interest, underlying, sum(CASE WHEN option_type = 'C' THEN x ELSE 0 END) OVER w AS calls, sum(CASE WHEN option_type = 'P' THEN x ELSE 0 END) OVER w AS puts FROM d WINDOW w AS (PARTITION BY underlying ORDER BY ts_ms, seq, seq2, instrument_id, open_interest))"""
 
 
 @query("oi_calls_puts_running", f"{OI_RUN} SELECT instrument_id, seq, seq2, calls, puts FROM o")

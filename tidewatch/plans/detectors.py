@@ -191,10 +191,10 @@ def near_price_join(v):
 from .aggregates import OI_RUN  # noqa: E402
 
 
-@query("det_oi_skew", f"{OI_RUN}, cand AS (SELECT * REPLACE (row_number() OVER (PARTITION BY underlying ORDER BY ts_ms, seq, seq2, instrument_id) AS seq), CASE WHEN calls >= 1.1 * puts THEN 'calls' ELSE 'puts' END AS side FROM o WHERE (calls >= 1.1 * puts OR puts >= 1.1 * calls) AND calls + puts >= 100), {cooled_sql('cand', 'underlying, side', 60000)} SELECT underlying, ts_ms, side, round(greatest(calls, puts) / nullif(least(calls, puts), 0), 6) AS intensity FROM fired")
+@query("det_oi_skew", f"{OI_RUN}, cand AS (SELECT * REPLACE (row_number() OVER (PARTITION BY underlying ORDER BY ts_ms, seq, seq2, instrument_id, open_interest) AS seq), CASE WHEN calls >= 1.1 * puts THEN 'calls' ELSE 'puts' END AS side FROM o WHERE (calls >= 1.1 * puts OR puts >= 1.1 * calls) AND calls + puts >= 100), {cooled_sql('cand', 'underlying, side', 60000)} SELECT underlying, ts_ms, side, round(greatest(calls, puts) / nullif(least(calls, puts), 0), 6) AS intensity FROM fired")
 def det_oi_skew(v):
     running = X.running_oi(X.with_instruments(v.options_ticker, v.options_instruments))
-    running = running.withColumn("seq", F.row_number().over(Window.partitionBy("underlying").orderBy("ts_ms", "seq", "seq2", "instrument_id")).cast("long"))
+    running = running.withColumn("seq", F.row_number().over(Window.partitionBy("underlying").orderBy("ts_ms", "seq", "seq2", "instrument_id", "open_interest")).cast("long"))
     return D.oi_skew(running, 1.1, 100.0, 60_000).select("underlying", "ts_ms", "side", R6("intensity").alias("intensity"))
 
 
