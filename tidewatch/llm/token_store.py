@@ -45,6 +45,7 @@ class Encoder:
     def __init__(self, path: str):
         import re
 
+        import numpy as np
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -52,6 +53,10 @@ class Encoder:
         self.library.no_padding()
         self.width, self.letter = (2, "H") if self.library.get_vocab_size() <= 1 << 16 else (4, "I")
         self.safe = re.compile(r"(?<=\S)(?= )|(?= \S)").split
+        self.kind = np.dtype(f"<u{self.width}")
+        names = [self.library.id_to_token(i) or "" for i in range(self.library.get_vocab_size())]
+        #: Whether a token begins with white space (in the byte-level map, blank and line feed are the characters below).
+        self.begins = np.array([t[:1] in ("\u0120", "\u010a") for t in names])
         #: What a text with other white space than lone blanks and line feeds holds.
         self.odd = ["  ", "\n\n", " \n", "\n ", *(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n")]
         #: Ids of a run, with the blank before it or the line feed that it begins with; and those of the marks that may end one.
@@ -65,12 +70,21 @@ class Encoder:
         return array(self.letter, ids).tobytes()
 
     def _learn(self, runs: set[str]) -> None:
+        import numpy as np
+
         whole = {x[:-1] if len(x) > 1 and x[-1] in self.marks and x[-2].isalpha() else x for x in runs}
         new = list(whole - self.memo.keys())
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for run, found in zip(part, self.library.encode_batch_fast([x if x[0] == "\n" else " " + x for x in part], add_special_tokens=False), strict=True):
-                self.memo[run] = self.pack(found.ids)
+        parts = [new[at : at + 500] for at in range(0, len(new), 500)]
+        joined = ["".join(x if x[0] == "\n" else " " + x for x in part) for part in parts]
+        for part, found in zip(parts, self.library.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            # Each run begins with white space and holds no more of it, so the tokens that begin with white space begin the runs.
+            ids = np.array(found.ids, self.kind)
+            starts = np.flatnonzero(self.begins[ids]).tolist()
+            if len(starts) != len(part):
+                raise ValueError("runs and tokens don't match")
+            blob, width = ids.tobytes(), self.width
+            ends = [*starts[1:], len(ids)]
+            self.memo.update(zip(part, [blob[a * width : b * width] for a, b in zip(starts, ends, strict=True)], strict=True))
         for x in runs:
             if x not in self.memo:
                 self.memo[x] = self.memo[x[:-1]] + self.marks[x[-1]]
@@ -160,8 +174,8 @@ def spool(docs: DataFrame, path: str, end_id: int, column: str = "text") -> Data
         own, zstd = encoder(path), zstandard.ZstdCompressor(level=1)
         width, kind, end = own.width, np.dtype(f"<u{own.width}"), own.pack([end_id])
         for batch in batches:
-            for at in range(0, batch.num_rows, 250):
-                part = batch.slice(at, 250)
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
                 found = [x + end for x in own.encode(part.column(2).to_pylist())]
                 joined = np.frombuffer(b"".join(found), kind)
                 hits = np.flatnonzero((rolling(joined) & np.uint64(MEAN - 1)) == 0) + 1
