@@ -55,3 +55,26 @@ def stream_stateful_detect(v):
     trades = events(v).select("user_id", F.col("event_id").alias("seq"), (F.col("event_id") * 50).alias("ts_ms"), side.alias("side"), F.ceil(F.col("value") / 50).cast("double").alias("qty"))
     found = J.sessions(trades, 20_000, 3, 3.0).withColumns({"kind": F.lit("slicing_aggr"), "intensity": F.col("volume")})
     return J.finished(rated(found).select("user_id", "seq", "severity")).drop("batch")
+
+
+def samples(v):
+    return events(v).select("user_id", F.col("event_id").alias("seq"), (F.col("event_id") * 50).alias("ts_ms"), F.ceil(F.col("value") / 50).cast("double").alias("qty"))
+
+
+SAMPLES = "s AS (SELECT user_id, event_id AS seq, event_id * 50 AS ts_ms, ceil(value / 50) AS qty FROM events)"
+
+
+@query("stream_sliding", f"{SAMPLES} SELECT user_id, seq, sum(qty) OVER (PARTITION BY user_id ORDER BY ts_ms RANGE BETWEEN 60000 PRECEDING AND CURRENT ROW) AS volume FROM s")
+def stream_sliding(v):
+    return J.finished(J.sliding(samples(v), 60_000)).drop("batch")
+
+
+@query("stream_timer_poll", f"{SAMPLES}, n AS (SELECT *, lead(ts_ms) OVER (PARTITION BY user_id ORDER BY ts_ms) AS nxt FROM s) SELECT user_id, unnest(range(CASE WHEN ts_ms % 30000 = 0 THEN ts_ms ELSE (ts_ms // 30000 + 1) * 30000 END, nxt, 30000)) AS poll_ms, qty FROM n WHERE nxt IS NOT NULL")
+def stream_timer_poll(v):
+    return J.finished(J.polled(samples(v), 30_000)).drop("batch")
+
+
+@query("stream_rules_update", "SELECT event_id, event_type FROM events WHERE (event_type = 'click' AND value >= 40) OR (event_type = 'error' AND value >= 10)")
+def stream_rules_update(v):
+    thresholds = v.spark.createDataFrame([("click", 40.0), ("error", 10.0)], "event_type string, threshold double")
+    return J.finished(J.over_threshold(events(v).drop("ts"), thresholds).select("event_id", "event_type")).drop("batch")

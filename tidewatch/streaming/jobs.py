@@ -74,3 +74,51 @@ def sessions(trades: DataFrame, gap_ms: int, k_min: int, qty_min: float) -> Data
         yield pd.DataFrame(out, columns=["user_id", "seq", "side", "k", "volume"])
 
     return trades.groupBy("user_id").applyInPandasWithState(step, "user_id long, seq long, side string, k long, volume double", STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def sliding(trades: DataFrame, window_ms: int) -> DataFrame:
+    """Trailing sum of ``qty`` per user at each row: state is the rows of the last window."""
+
+    def step(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
+        from collections import deque
+
+        import pandas as pd
+
+        times, sizes = (deque(x) for x in state.get) if state.exists else (deque(), deque())
+        total, out = sum(sizes), []
+        for r in pd.concat(list(frames)).sort_values(["ts_ms", "seq"]).itertuples():
+            times.append(int(r.ts_ms))
+            sizes.append(float(r.qty))
+            total += float(r.qty)
+            while times[0] < r.ts_ms - window_ms:
+                times.popleft()
+                total -= sizes.popleft()
+            out.append((key[0], int(r.seq), total))
+        state.update((list(times), list(sizes)))
+        yield pd.DataFrame(out, columns=["user_id", "seq", "volume"])
+
+    return trades.groupBy("user_id").applyInPandasWithState(step, "user_id long, seq long, volume double", "times array<long>, sizes array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
+def polled(samples: DataFrame, every_ms: int) -> DataFrame:
+    """The last ``qty`` of each user at multiples of ``every_ms`` in event time, up to the user's newest row: state is the last sample."""
+
+    def step(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
+        import pandas as pd
+
+        last, value = state.get if state.exists else (None, None)
+        out = []
+        for r in pd.concat(list(frames)).sort_values(["ts_ms", "seq"]).itertuples():
+            if last is not None:
+                first = -(-last // every_ms) * every_ms
+                out += [(key[0], t, value) for t in range(first, int(r.ts_ms), every_ms)]
+            last, value = int(r.ts_ms), float(r.qty)
+        state.update((last, value))
+        yield pd.DataFrame(out, columns=["user_id", "poll_ms", "qty"])
+
+    return samples.groupBy("user_id").applyInPandasWithState(step, "user_id long, poll_ms long, qty double", "last long, value double", "append", GroupStateTimeout.NoTimeout)
+
+
+def over_threshold(events: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """Events at or over the threshold of their type; the static side is read anew by every micro-batch, so changed rules reach a running stream."""
+    return events.join(thresholds, "event_type").where("value >= threshold")
