@@ -38,7 +38,7 @@ def book_levels(v):
 
 @query("book_levels_absolute", "l AS (SELECT instrument_id, side, price, arg_max(qty, ts_ms) AS qty FROM depth_abs WHERE ts_ms <= 300000 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY instrument_id, side ORDER BY CASE WHEN side = 'buy' THEN -price ELSE price END) AS level FROM l WHERE qty > 0) SELECT instrument_id, side, round(price, 6) AS price, qty, level FROM r WHERE level <= 5")
 def book_levels_absolute(v):
-    return B.levels_absolute(v.depth_abs, 300_000, 5).select("instrument_id", "side", R6("price").alias("price"), "qty", "level")
+    return B.levels_absolute(v.depth_abs, 300_000, 5).select("instrument_id", "side", R6("price").alias("price"), "qty", F.col("level").cast("long").alias("level"))
 
 
 @query("book_best", f"{BOOK} SELECT instrument_id, instant, round(best_bid, 6) AS best_bid, round(best_ask, 6) AS best_ask, bid_qty, ask_qty FROM b")
@@ -48,7 +48,7 @@ def book_best(v):
 
 @query("book_head", f"{BOOK} SELECT instrument_id, instant, side, level, round(price, 6) AS price, qty FROM live WHERE level <= 3")
 def book_head(v):
-    return B.ranked(B.at_instants(v.depth, EVERY), ["instrument_id", "instant"], 3).select("instrument_id", "instant", "side", "level", R6("price").alias("price"), "qty")
+    return B.ranked(B.at_instants(v.depth, EVERY), ["instrument_id", "instant"], 3).select("instrument_id", "instant", "side", F.col("level").cast("long").alias("level"), R6("price").alias("price"), "qty")
 
 
 @query("interval_join_levels", f"{BOOK} SELECT instrument_id, instant, side, round(price, 6) AS price, qty FROM live")

@@ -37,7 +37,7 @@ def surface_spot(v):
 
 @query("surface_expiries", f"d AS (SELECT DISTINCT underlying, expiry_days, {TENOR.format(d='expiry_days')} AS tenor FROM options_instruments) SELECT * FROM (SELECT underlying, tenor, expiry_days, row_number() OVER (PARTITION BY underlying, tenor ORDER BY expiry_days) AS n FROM d WHERE tenor IS NOT NULL) WHERE n <= 3")
 def surface_expiries(v):
-    return V.expiries(v.options_instruments).select("underlying", "tenor", "expiry_days", "n")
+    return V.expiries(v.options_instruments).select("underlying", "tenor", "expiry_days", F.col("n").cast("long").alias("n"))
 
 
 def nearest(cond: str, target: float) -> str:
