@@ -30,7 +30,7 @@ from .common import shared_dir, stored, text_of
 
 #: Ids in the rolling window, in the shortest chunk, between chance cuts on average, and in the longest chunk.
 WINDOW, LEAST, MEAN, MOST = 16, 64, 256, 2048
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 150_000
 
 
 class Encoder:
@@ -174,8 +174,8 @@ def spool(docs: DataFrame, path: str, end_id: int, column: str = "text") -> Data
         own, zstd = encoder(path), zstandard.ZstdCompressor(level=1)
         width, kind, end = own.width, np.dtype(f"<u{own.width}"), own.pack([end_id])
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 250):
+                part = batch.slice(at, 250)
                 found = [x + end for x in own.encode(part.column(2).to_pylist())]
                 joined = np.frombuffer(b"".join(found), kind)
                 hits = np.flatnonzero((rolling(joined) & np.uint64(MEAN - 1)) == 0) + 1
