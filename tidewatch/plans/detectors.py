@@ -57,14 +57,14 @@ ABSORB = """
 rw AS (SELECT t.*, b.best_bid, b.best_ask, CASE WHEN side = 'buy' THEN best_ask ELSE best_bid END AS passive FROM trades t ASOF LEFT JOIN b ON b.instrument_id = t.instrument_id AND b.instant <= t.ts_ms),
 pv AS (SELECT *, last_value(CASE WHEN side = 'buy' THEN ts_ms END IGNORE NULLS) OVER w AS pb, last_value(CASE WHEN side = 'sell' THEN ts_ms END IGNORE NULLS) OVER w AS ps FROM rw WINDOW w AS (PARTITION BY instrument_id ORDER BY ts_ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 sx AS (SELECT *, CASE WHEN side = 'buy' THEN pb ELSE ps END AS own, CASE WHEN side = 'buy' THEN ps ELSE pb END AS opp FROM pv),
-an AS (SELECT *, last_value(CASE WHEN own IS NULL OR opp > own + 10000 THEN {'p': passive} END IGNORE NULLS) OVER (PARTITION BY instrument_id, side ORDER BY ts_ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS anchor,
-              (SELECT sum(qty) FROM trades q WHERE q.instrument_id = sx.instrument_id AND q.side = sx.side AND q.seq <= sx.seq AND q.ts_ms >= sx.ts_ms - 10000) AS volume FROM sx)"""
+an AS (SELECT *, last_value(CASE WHEN own IS NULL OR opp > own + 3000 THEN {'p': passive} END IGNORE NULLS) OVER (PARTITION BY instrument_id, side ORDER BY ts_ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS anchor,
+              (SELECT sum(qty) FROM trades q WHERE q.instrument_id = sx.instrument_id AND q.side = sx.side AND q.seq <= sx.seq AND q.ts_ms >= sx.ts_ms - 3000) AS volume FROM sx)"""
 
 
-@query("det_absorption", f"{books.BOOK}, {ABSORB} SELECT instrument_id, seq, side, volume AS intensity FROM an WHERE volume >= 20 AND abs(passive - anchor.p) <= 0.2 + 1e-9")
+@query("det_absorption", f"{books.BOOK}, {ABSORB} SELECT instrument_id, seq, side, volume AS intensity FROM an WHERE volume >= 5 AND abs(passive - anchor.p) <= 0.2 + 1e-9")
 def det_absorption(v):
     best = books.timed(v).select("instrument_id", "ts_ms", "seq", "best_bid", "best_ask")
-    return D.absorption(v.trades, best, 10_000, 20.0, 0.2).select("instrument_id", "seq", "side", "intensity")
+    return D.absorption(v.trades, best, 3_000, 5.0, 0.2).select("instrument_id", "seq", "side", "intensity")
 
 
 BREAK = f"""
