@@ -82,16 +82,19 @@ class Mix:
     block: int
 
 
-def mix(docs: DataFrame, column: str = "text", block: int = 32, shard_slots: int = 1024, seed: int = 17, weights=WEIGHTS, most: int = MOST, bucket_rows: int = 4096) -> Mix:
+def mix(docs: DataFrame, column: str = "text", block: int = 32, shard_slots: int = 1024, seed: int = 17, weights=WEIGHTS, most: int = MOST, bucket_rows: int = 4096, uid: str | None = None) -> Mix:
     """Plan the mix of ``docs`` (doc_id, source and a text column; other columns stay).
 
+    ``uid`` names a column of ``docs`` that numbers its rows, for callers that join the plan to them: it must be written, as numbers
+    made anew in another scan can differ. Without it, rows are numbered here.
+
     A null text has size 0 and a document without words is never taken. The null source comes last and is a source like
     any other. Repeated rows are documents of their own. The plan depends on the rows alone, not on their order or partitioning,
     so reruns agree. The table of sources, a row each, is all that comes to the driver.
     """
     spark = docs.sparkSession
     text = text_of(docs, column)
-    rows = docs.select("doc_id", "source", F.size(words(text)).cast("long").alias("_size"), F.xxhash64(docs["doc_id"]).alias("_h"), F.xxhash64(text).alias("_t"), F.monotonically_increasing_id().alias("_uid"))
+    rows = docs.select("doc_id", "source", F.size(words(text)).cast("long").alias("_size"), F.xxhash64(docs["doc_id"]).alias("_h"), F.xxhash64(text).alias("_t"), (docs[uid] if uid else F.monotonically_increasing_id()).alias("_uid"))
     slim = stored(rows.select("doc_id", "source", "_size", "_h", "_t", "_uid"), "sizes")
     per = slim.groupBy("source").agg(F.sum("_size").alias("size"), F.count("*").alias("n")).collect()
     per.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
@@ -173,11 +176,11 @@ def mixed_documents(docs: DataFrame, column: str = "text", **options) -> DataFra
     A document that a pass takes as a whole keeps its text as it is; else the taken stretches follow each other, white space included.
     ``n_chars``, if there, is the length of the new text.
     """
-    docs = stored(docs, "mixing")
-    plan = mix(docs, column, **options)
     uid, parts = fresh(docs, "_uid"), fresh(docs, "pieces")
+    # The plan and the cut below scan the rows apart; one written number serves both.
+    keyed = stored(docs.withColumn(uid, F.monotonically_increasing_id()), "mixing")
+    plan = mix(keyed, column, uid=uid, **options)
     pieces = _pieces(plan).groupBy(F.col("_uid").alias(uid)).agg(F.sort_array(F.collect_list(F.struct("start", "n", "times"))).alias(parts))
-    keyed = docs.withColumn(uid, F.monotonically_increasing_id())
     names = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
