@@ -7,6 +7,9 @@ as a halo, so a single busy instrument spreads over as many tasks as it has buck
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -87,21 +90,23 @@ def latest(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
 def cooled(candidates: DataFrame, keys: list[str], cooldown_ms: int) -> DataFrame:
     """The candidates that fire: the first, then each that comes at least ``cooldown_ms`` after the last that fired.
 
-    A candidate so long after the one before it surely fires, so there the chain is cut into independent pieces, each
-    scanned by a fold. Memory is that of a piece.
+    Each key's candidates stream in order past a fold that holds the last firing alone, however dense they are.
     """
-    w = Window.partitionBy(*keys).orderBy("ts_ms", "seq")
-    cut = F.coalesce(F.col("ts_ms") - F.lag("ts_ms").over(w) >= cooldown_ms, F.lit(True))
     names = candidates.columns
-    pieces = candidates.withColumn("_cut", cut.cast("int")).withColumn("_piece", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = pieces.groupBy(*keys, "_piece").agg(F.sort_array(F.collect_list(F.struct("ts_ms", "seq"))).alias("_all"))
-
-    def step(fired: Column, x: Column) -> Column:
-        late = (F.size(fired) == 0) | (x["ts_ms"] - F.element_at(fired, -1)["ts_ms"] >= cooldown_ms)
-        return F.when(late, F.concat(fired, F.array(x))).otherwise(fired)
-
-    empty = F.array().cast("array<struct<ts_ms:bigint,seq:bigint>>")
-    fired = rows.select(*keys, F.explode(F.aggregate("_all", empty, step)).alias("_f")).select(*keys, F.col("_f.ts_ms").alias("ts_ms"), F.col("_f.seq").alias("seq"))
+    times = candidates.select(*keys, "ts_ms", "seq")
+
+    def fire(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, None
+        for batch in batches:
+            held = [batch.column(k).to_pylist() for k in range(len(keys))]
+            chosen = []
+            for row, (key, ts) in enumerate(zip(zip(*held, strict=True), batch.column("ts_ms").to_pylist(), strict=True)):
+                if ts is not None and (now is None or key != now or ts - last >= cooldown_ms):
+                    now, last = key, ts
+                    chosen.append(row)
+            yield batch.take(pa.array(chosen, pa.int64()))
+
+    fired = times.repartition(*keys).sortWithinPartitions(*keys, "ts_ms", "seq").mapInArrow(fire, times.schema)
     return candidates.join(fired, [*keys, "ts_ms", "seq"], "left_semi").select(*names)
 
 

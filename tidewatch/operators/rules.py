@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 # For each kind of event the rules of the buy and sell side, and the intensities of MEDIUM and HIGH.
@@ -44,21 +48,29 @@ def dedup_key(fields: Column) -> Column:
 def suppressed(alerts: DataFrame, window_ms: int = 90_000) -> DataFrame:
     """An alert per key and suppression window: the first hit opens it, hits less than ``window_ms`` after that merge into it.
 
-    Hits fold in order within pieces that a long enough pause separates.
+    Each key's hits stream in order past a fold that holds the open window alone.
     """
-    w = Window.partitionBy("dedup_key").orderBy("ts_ms", "seq")
-    cut = F.coalesce(F.col("ts_ms") - F.lag("ts_ms").over(w) >= window_ms, F.lit(True))
-    pieces = alerts.withColumn("_cut", cut.cast("int")).withColumn("_piece", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    times = pieces.groupBy("dedup_key", "_piece").agg(F.sort_array(F.collect_list("ts_ms")).alias("_t"))
-    kind = "array<struct<ts_first:bigint,ts_last:bigint,n_hits:bigint>>"
-
-    def step(out: Column, t: Column) -> Column:
-        last = F.element_at(out, -1)
-        merged = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(last["ts_first"].alias("ts_first"), t.alias("ts_last"), (last["n_hits"] + 1).alias("n_hits"))))
-        fresh = F.concat(out, F.array(F.struct(t.alias("ts_first"), t.alias("ts_last"), F.lit(1).cast("long").alias("n_hits"))))
-        return F.when((F.size(out) > 0) & (t - F.get(out, F.size(out) - 1)["ts_first"] < window_ms), F.when(F.size(out) > 0, merged)).otherwise(fresh)
-
-    return times.select("dedup_key", F.explode(F.aggregate("_t", F.array().cast(kind), step)).alias("a")).select("dedup_key", "a.*")
+    kind = StructType([alerts.schema["dedup_key"], *(StructField(c, LongType()) for c in ("ts_first", "ts_last", "n_hits"))])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(closed: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in closed], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=kind.names)
+
+        window = None
+        for batch in batches:
+            closed = []
+            for key, t in zip(batch.column("dedup_key").to_pylist(), batch.column("ts_ms").to_pylist(), strict=True):
+                if window and key == window[0] and t - window[1] < window_ms:
+                    window[2:] = t, window[3] + 1
+                else:
+                    closed += [window] if window else []
+                    window = [key, t, t, 1]
+            yield rows(closed)
+        if window:
+            yield rows([window])
+
+    hits = alerts.where("ts_ms is not null").select("dedup_key", "ts_ms").repartition("dedup_key").sortWithinPartitions("dedup_key", "ts_ms")
+    return hits.mapInArrow(fold, kind)
 
 
 def text() -> Column:
