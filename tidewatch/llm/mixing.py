@@ -1,11 +1,11 @@
 """Mixing sources to target weights by blocks.
 
 The words of a source, its documents in a fixed pseudorandom order, are packed into blocks of a
-fixed number of words. Output slots are grouped into shards; each shard draws how many slots each
-source gets (multinomial, the whole parts of the expected counts fixed and the rest drawn). Slot j
-of a source takes block ``perm(j mod blocks)``, ``perm`` being a keyed pseudorandom permutation of
-the source's block indices, so a block is taken again only after all others of its source. Slots and
-blocks join by (source, block index).
+fixed number of words. Output slots are grouped into shards; each shard draws how many of its slots
+each source gets: a multinomial draw, given that the shards together meet each source's total (see
+``dealt``). Slot j of a source takes block ``perm(j mod blocks)``, ``perm`` being a keyed
+pseudorandom permutation of the source's block indices, so a block is taken again only after all
+others of its source. Slots and blocks join by (source, block index).
 """
 
 from __future__ import annotations
@@ -49,29 +49,78 @@ def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, most: int = MO
     return [float(full.get(i, 0)) for i in range(len(sizes))]
 
 
-def permuted(index, n: int, key: int, rounds: int = 4):
-    """Pseudorandom permutation of 0..n-1 at each of ``index``: a Feistel network over the next even power of two, walked until inside."""
+def permuted(index, n, key, rounds: int = 4):
+    """Pseudorandom permutation of 0..n-1 at each of ``index``: a Feistel network over the next even power of two, walked until inside.
+
+    ``n`` and ``key`` are numbers, or arrays with a value for each index.
+    """
     import numpy as np
 
-    half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
-    mask, shift = np.uint64((1 << half) - 1), np.uint64(half)
-    keys = [np.uint64((key * 0x9E3779B97F4A7C15 + r * 0xD1B54A32D192ED03 + 1) & (2**64 - 1)) for r in range(rounds)]
+    x, n, key = np.broadcast_arrays(np.asarray(index, np.uint64), np.asarray(n, np.uint64), np.asarray(key, np.uint64))
+    bits = np.frexp(np.maximum(n, 2).astype(np.float64) - 1)[1]
+    shift = ((bits + 1) // 2).astype(np.uint64)
+    mask = (np.uint64(1) << shift) - np.uint64(1)
 
-    def once(x):
+    def once(x, shift, mask, key):
         left, right = x >> shift, x & mask
-        for k in keys:
-            mixed = (right ^ k) * np.uint64(0xBF58476D1CE4E5B9)
+        for r in range(rounds):
+            mixed = (right ^ (key * np.uint64(0x9E3779B97F4A7C15) + np.uint64((r * 0xD1B54A32D192ED03 + 1) & (2**64 - 1)))) * np.uint64(0xBF58476D1CE4E5B9)
             mixed ^= mixed >> np.uint64(31)
             mixed *= np.uint64(0x94D049BB133111EB)
             left, right = right, (left ^ (mixed >> np.uint64(40))) & mask
         return (left << shift) | right
 
-    x = once(np.asarray(index, np.uint64))
-    while (outside := x >= np.uint64(n)).any():
-        x[outside] = once(x[outside])
+    x = once(x, shift, mask, key)
+    while len(outside := np.flatnonzero(x >= n)):
+        x[outside] = once(x[outside], shift[outside], mask[outside], key[outside])
     return x.astype(np.int64)
 
 
+def drawn_half(counts, n: int, seed: list[int]):
+    """How many of each kind are among ``n`` drawn from ``counts`` without putting back: multivariate hypergeometric, a kind at a time.
+
+    From 10^9 up, beyond what the library draws, a normal of the same mean and variance stands for it, held to what is possible.
+    """
+    import numpy as np
+
+    rng, out, left, want = np.random.default_rng(seed), np.zeros(len(counts), np.int64), int(counts.sum()), n
+    for i, c in enumerate(counts.tolist()):
+        others = left - c
+        if max(c, others) < 10**9:
+            k = int(rng.hypergeometric(c, others, want))
+        else:
+            mean = want * c / left
+            k = round(rng.normal(mean, (mean * others / left * (left - want) / (left - 1)) ** 0.5))
+            k = min(max(k, 0, want - others), c, want)
+        out[i], left, want = k, others, want - k
+    return out
+
+
+def dealt(totals, width: int, a: int, b: int, seed: int) -> Iterator[tuple[int, list[int], list[int]]]:
+    """(shard, slots of each source in it, slots of each source in all shards before it) of the shards ``a`` to ``b`` - 1.
+
+    The slots of all shards are ``totals`` by source; a shard has ``width`` of them, the last the rest. Independent multinomial draws by
+    shard, given their totals, are draws without putting back; those part by halves: how many of a source lie in the first
+    half of the shards is drawn with a seed that the halves name, then each half parts alike. So any shard's counts, and the sums before it,
+    follow from log(shards) draws, in any task, without a pass over the other shards.
+    """
+    import numpy as np
+
+    def down(lo: int, hi: int, counts, before):
+        if hi <= a or lo >= b:
+            return
+        if hi - lo == 1:
+            yield lo, counts, before
+            return
+        mid = (lo + hi) // 2
+        first = drawn_half(counts, (mid - lo) * width, [seed, lo, hi])
+        yield from down(lo, mid, first, before)
+        yield from down(mid, hi, counts - first, before + first)
+
+    counts = np.asarray(totals, np.int64)
+    yield from down(0, -(-int(counts.sum()) // width), counts, np.zeros_like(counts))
+
+
 @dataclass
 class Mix:
     """``docs``: the input with uid, size, source number and word offset in its source; ``times``: how often each (source number, block) is taken."""
@@ -83,18 +132,19 @@ class Mix:
 
 
 def mix(docs: DataFrame, column: str = "text", block: int = 32, shard_slots: int = 1024, seed: int = 17, weights=WEIGHTS, most: int = MOST, bucket_rows: int = 4096, uid: str | None = None) -> Mix:
-    """Plan the mix of ``docs`` (doc_id, source and a text column; other columns stay).
+    """Plan the mix of ``docs`` (doc_id, source and a text column; other columns are left out).
 
     ``uid`` names a column of ``docs`` that numbers its rows, for callers that join the plan to them: it must be written, as numbers
     made anew in another scan can differ. Without it, rows are numbered here.
 
     A null text has size 0 and a document without words is never taken. The null source comes last and is a source like
-    any other. Repeated rows are documents of their own. The plan depends on the rows alone, not on their order or partitioning,
+    any other. Repeated rows are documents of their own; which of two equal rows is which makes no difference. A very long text is a number of
+    words like others. An empty table gives an empty plan. The plan depends on the rows alone, not on their order or partitioning,
     so reruns agree. The table of sources, a row each, is all that comes to the driver.
     """
     spark = docs.sparkSession
     text = text_of(docs, column)
-    rows = docs.select("doc_id", "source", F.size(words(text)).cast("long").alias("_size"), F.xxhash64(docs["doc_id"]).alias("_h"), F.xxhash64(text).alias("_t"), (docs[uid] if uid else F.monotonically_increasing_id()).alias("_uid"))
+    rows = docs.select("doc_id", "source", F.size(words(text)).cast("long").alias("_size"), F.xxhash64(docs["doc_id"], text).alias("_h"), F.xxhash64(text).alias("_t"), (docs[uid] if uid else F.monotonically_increasing_id()).alias("_uid"))
     slim = stored(rows.select("doc_id", "source", "_size", "_h", "_t", "_uid"), "sizes")
     per = slim.groupBy("source").agg(F.sum("_size").alias("size"), F.count("*").alias("n")).collect()
     per.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
@@ -112,42 +162,25 @@ def mix(docs: DataFrame, column: str = "text", block: int = 32, shard_slots: int
     placed = slim.withColumn("_in", F.coalesce(F.sum("_size").over(inside), F.lit(0))).join(sums, ["_s", "_b"]).withColumn("_at", F.col("_base") + F.col("_in")).drop("_base", "_in", "_b", "_h", "_t")
     placed = stored(placed, "placed")
 
-    # Slots by source: words wanted over the mean words of a block of it.
-    expected = [s.target * s.blocks / s.size if s.size else 0.0 for s in sources]
-    slots = round(sum(expected))
-    shards = -(-slots // shard_slots)
-    share = [x / sum(expected) if slots else 0.0 for x in expected]
-
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        for batch in batches:
-            out: list[tuple[int, int, int]] = []
-            for shard in batch.column(0).to_pylist():
-                n = min(shard_slots, slots - shard * shard_slots)
-                mean = n * np.array(share)
-                counts = np.floor(mean).astype(np.int64)
-                if rest := n - counts.sum():
-                    part = mean - counts
-                    counts += np.random.default_rng([seed, shard]).multinomial(rest, part / part.sum())
-                out += [(shard, int(i), int(counts[i])) for i in np.flatnonzero(counts)]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 3, (pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["shard", "s", "n"])
-
-    drawn = spark.range(shards).mapInArrow(draw, "shard bigint, s int, n bigint")
-    earlier = Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    drawn = drawn.withColumn("first", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    # Slots by source: words wanted over the mean words of a block of it; most is the cap on how often a block is taken.
     blocks = [s.blocks for s in sources]
+    totals = [min(round(s.target * s.blocks / s.size), most * s.blocks) if s.size else 0 for s in sources]
+    shards = -(-sum(totals) // shard_slots)
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        own = np.array(blocks, np.int64)
         for batch in batches:
-            for s, n, first in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                j = np.arange(first, min(first + n, most * blocks[s]))
-                if len(j):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), s, np.int32)), pa.array(permuted(j % blocks[s], blocks[s], seed * 1_000_003 + s))], names=["_s", "block"])
-
-    taken = drawn.select("s", "n", "first").mapInArrow(take, "_s int, block bigint")
+            for at in range(0, batch.num_rows, 64):
+                ids = batch.column(0).slice(at, 64)
+                rows = [x for _, *x in dealt(totals, shard_slots, ids[0].as_py(), ids[-1].as_py() + 1, seed)]
+                n, first = (np.concatenate(x) for x in zip(*rows, strict=True))
+                s = np.repeat(np.tile(np.arange(len(own)), len(rows)), n)
+                j = np.arange(len(s)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+                yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), pa.array(permuted(j % own[s], own[s], seed * 1_000_003 + s))], names=["_s", "block"])
+
+    taken = spark.range(shards).mapInArrow(take, "_s int, block bigint")
     times = stored(taken.groupBy("_s", "block").agg(F.count("*").alias("times")), "slots")
     return Mix(placed, times, sources, block)
 
@@ -162,7 +195,10 @@ def _pieces(plan: Mix) -> DataFrame:
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source_size, target of its source and ``taken`` (words the mix takes from it, repeats counted) for each document."""
+    """doc_id, size, source_size, target of its source and ``taken`` (words the mix takes from it, repeats counted) for each document.
+
+    Nulls, empty and very long texts, repeated rows and other columns are as in ``mix``; an empty table gives no rows.
+    """
     plan = mix(docs.select("doc_id", "source", options.get("column", "text")), **options)
     spark = docs.sparkSession
     sums = _pieces(plan).groupBy("_uid").agg(F.sum(F.col("n") * F.col("times")).alias("taken"))
@@ -174,7 +210,8 @@ def mixed_documents(docs: DataFrame, column: str = "text", **options) -> DataFra
     """What the mix takes, as documents with the columns of ``docs``: for each document and pass a row with the words taken in that pass.
 
     A document that a pass takes as a whole keeps its text as it is; else the taken stretches follow each other, white space included.
-    ``n_chars``, if there, is the length of the new text.
+    ``n_chars``, if there, is the length of the new text. Null and empty texts are never taken; an empty table gives no rows; repeated rows are
+    documents of their own; other columns stay, whatever their names.
     """
     uid, parts = fresh(docs, "_uid"), fresh(docs, "pieces")
     # The plan and the cut below scan the rows apart; one written number serves both.
