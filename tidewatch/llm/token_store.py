@@ -2,11 +2,12 @@
 
 Format. A document's ids (little-endian integers, 2 or 4 bytes by vocabulary size) are cut into
 chunks where a rolling hash over the last 16 ids meets a pattern, so equal passages give equal
-chunks wherever they stand. A chunk's address is its BLAKE2b-128 digest. The store holds
+chunks wherever they stand. A chunk's address is its BLAKE2b-128 digest. The store is a table of a
+row per document, its files in ascending doc_id order:
 
-* ``packs``: a row per document with the chunks that it is the first to hold (zstd),
-* ``recipes``: a row per document in ascending doc_id order, with the addresses of its chunks,
-  the Merkle root over them, its start (ids of all documents before it) and its number of ids.
+* the recipe: the addresses and sizes of its chunks, the Merkle root over the addresses, its start
+  (ids of all documents before it) and its number of ids,
+* the pack: the chunks that the document is the first to hold (zstd).
 
 Each distinct chunk is stored once. Reading fetches the chunks of other documents by address,
 then checks every address and root.
@@ -14,13 +15,13 @@ then checks every address and root.
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from hashlib import blake2b
-from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +31,8 @@ from .common import shared_dir, stored, text_of
 
 #: Ids in the rolling window, in the shortest chunk, between chance cuts on average, and in the longest chunk.
 WINDOW, LEAST, MEAN, MOST = 16, 64, 256, 2048
-MEMO_ENTRIES = 150_000
+#: Runs in each of the two generations of the encoder's memo.
+MEMO_ENTRIES = 250_000
 
 
 class Encoder:
@@ -40,17 +42,26 @@ class Encoder:
     follows a character other than white space, or comes before one, starts a new token, and text parts there; so does a
     lone line feed between such characters. A comma or full stop right after a letter starts a new token too, so runs that
     end in one are looked up without it. Texts with other white space part at safe blanks alone and skip the memo.
+
+    The memo has two generations: runs that are used move to the young one, and when that is full, it becomes the old one and
+    what was used in neither is forgotten.
     """
 
     def __init__(self, path: str):
         import re
 
         import numpy as np
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        if model["type"] == "BPE" and not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")):
+            # The same model without the library's own memo, which the runs that come here have missed already.
+            merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+            self.library.model = models.BPE(model["vocab"], merges, cache_capacity=0)
         self.width, self.letter = (2, "H") if self.library.get_vocab_size() <= 1 << 16 else (4, "I")
         self.safe = re.compile(r"(?<=\S)(?= )|(?= \S)").split
         self.kind = np.dtype(f"<u{self.width}")
@@ -60,7 +71,8 @@ class Encoder:
         #: What a text with other white space than lone blanks and line feeds holds.
         self.odd = ["  ", "\n\n", " \n", "\n ", *(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n")]
         #: Ids of a run, with the blank before it or the line feed that it begins with; and those of the marks that may end one.
-        self.memo: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.marks = {m: self.pack(self.library.encode(m, add_special_tokens=False).ids) for m in ",."}
 
     def unsafe(self, text: str) -> bool:
@@ -70,12 +82,18 @@ class Encoder:
         return array(self.letter, ids).tobytes()
 
     def _learn(self, runs: set[str]) -> None:
+        """Move ``runs``, which the young generation lacks, to it from the old one, or encode them."""
         import numpy as np
 
-        whole = {x[:-1] if len(x) > 1 and x[-1] in self.marks and x[-2].isalpha() else x for x in runs}
-        new = list(whole - self.memo.keys())
+        young, old, marks = self.young, self.old, self.marks
+        young.update({x: old[x] for x in runs & old.keys()})
+        runs -= old.keys()
+        stems = {x: x[:-1] for x in runs if len(x) > 1 and x[-1] in marks and x[-2].isalpha()}
+        whole = {stems.get(x, x) for x in runs} - young.keys()
+        young.update({x: old[x] for x in whole & old.keys()})
+        new = list(whole - old.keys())
         parts = [new[at : at + 500] for at in range(0, len(new), 500)]
-        joined = ["".join(x if x[0] == "\n" else " " + x for x in part) for part in parts]
+        joined = ["".join([x if x[0] == "\n" else " " + x for x in part]) for part in parts]
         for part, found in zip(parts, self.library.encode_batch_fast(joined, add_special_tokens=False), strict=True):
             # Each run begins with white space and holds no more of it, so the tokens that begin with white space begin the runs.
             ids = np.array(found.ids, self.kind)
@@ -84,28 +102,32 @@ class Encoder:
                 raise ValueError("runs and tokens don't match")
             blob, width = ids.tobytes(), self.width
             ends = [*starts[1:], len(ids)]
-            self.memo.update(zip(part, [blob[a * width : b * width] for a, b in zip(starts, ends, strict=True)], strict=True))
-        for x in runs:
-            if x not in self.memo:
-                self.memo[x] = self.memo[x[:-1]] + self.marks[x[-1]]
+            young.update(zip(part, [blob[a * width : b * width] for a, b in zip(starts, ends, strict=True)], strict=True))
+        for x, stem in stems.items():
+            young[x] = young[stem] + marks[x[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo.clear()
-        odd, plain, heads = {}, [], []
+        if len(self.young) > MEMO_ENTRIES:
+            self.young, self.old = {}, self.young
+        odd, heads, tails, waiting, missed = {}, [], [], {}, set()
+        get = self.young.get
         for i, text in enumerate(texts):
+            head, tail = "", []
             if self.unsafe(text):  # runs of white space: part where it is safe, encode the parts without memo
                 odd[i] = [x for x in self.safe(text) if x]
-                plain.append([])
-                heads.append("")
             else:
                 head, *rest = text.replace("\n", " \n").split(" ")
-                heads.append(head)
-                plain.append(rest)
-        self._learn(set(chain.from_iterable(plain)) - self.memo.keys())
+                tail = list(map(get, rest))
+                if None in tail:
+                    missed.update([x for x, found in zip(rest, tail, strict=True) if found is None])
+                    waiting[i] = rest
+            heads.append(head)
+            tails.append(tail)
+        self._learn(missed)
+        for i, rest in waiting.items():
+            tails[i] = map(self.young.__getitem__, rest)
         first = [self.pack(f.ids) for f in self.library.encode_batch_fast(heads, add_special_tokens=False)]
-        memo = self.memo
-        out = [head + b"".join(map(memo.__getitem__, rest)) for head, rest in zip(first, plain, strict=True)]
+        out = [head + b"".join(tail) for head, tail in zip(first, tails, strict=True)]
         for i, parts in odd.items():
             out[i] = b"".join(self.pack(f.ids) for f in self.library.encode_batch_fast(parts, add_special_tokens=False))
         return out
@@ -159,7 +181,6 @@ def address(chunk: bytes) -> bytes:
     return blake2b(chunk, digest_size=16).digest()
 
 
-PACK = ["uid", "doc_id", "n_tokens", "addresses", "sizes", "theirs", "lends", "payload"]
 SPOOL = "doc_id bigint, uid bigint, n_tokens bigint, addresses array<binary>, sizes array<int>, payload binary"
 
 
@@ -171,37 +192,35 @@ def spool(docs: DataFrame, path: str, end_id: int, column: str = "text") -> Data
         import numpy as np
         import zstandard
 
-        own, zstd = encoder(path), zstandard.ZstdCompressor(level=1)
+        own, zstd = encoder(path), zstandard.ZstdCompressor(level=3)
         width, kind, end = own.width, np.dtype(f"<u{own.width}"), own.pack([end_id])
-        for batch in batches:
-            for at in range(0, batch.num_rows, 250):
-                part = batch.slice(at, 250)
-                found = [x + end for x in own.encode(part.column(2).to_pylist())]
-                joined = np.frombuffer(b"".join(found), kind)
-                hits = np.flatnonzero((rolling(joined) & np.uint64(MEAN - 1)) == 0) + 1
-                begin, addresses, sizes = 0, [], []
-                for blob in found:
-                    n = len(blob) // width
-                    lo, hi = np.searchsorted(hits, (begin + LEAST, begin + n))
-                    ends = cuts((hits[lo:hi] - begin).tolist(), n)
-                    starts = [0, *ends[:-1]]
-                    addresses.append([address(blob[a * width : b * width]) for a, b in zip(starts, ends, strict=True)])
-                    sizes.append([(b - a) * width for a, b in zip(starts, ends, strict=True)])
-                    begin += n
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([len(x) // width for x in found], pa.int64()), pa.array(addresses, pa.list_(pa.binary())), pa.array(sizes, pa.list_(pa.int32())), pa.array([zstd.compress(x) for x in found], pa.binary())],
-                    names=["doc_id", "uid", "n_tokens", "addresses", "sizes", "payload"],
-                )
+        for part in sliced(batches, 250):
+            found = [x + end for x in own.encode(part.column(2).to_pylist())]
+            joined = np.frombuffer(b"".join(found), kind)
+            hits = np.flatnonzero((rolling(joined) & np.uint64(MEAN - 1)) == 0) + 1
+            begin, addresses, sizes = 0, [], []
+            for blob in found:
+                n = len(blob) // width
+                lo, hi = np.searchsorted(hits, (begin + LEAST, begin + n))
+                ends = cuts((hits[lo:hi] - begin).tolist(), n)
+                starts = [0, *ends[:-1]]
+                addresses.append([address(blob[a * width : b * width]) for a, b in zip(starts, ends, strict=True)])
+                sizes.append([(b - a) * width for a, b in zip(starts, ends, strict=True)])
+                begin += n
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), pa.array([len(x) // width for x in found], pa.int64()), pa.array(addresses, pa.list_(pa.binary())), pa.array(sizes, pa.list_(pa.int32())), pa.array([zstd.compress(x) for x in found], pa.binary())],
+                names=["doc_id", "uid", "n_tokens", "addresses", "sizes", "payload"],
+            )
 
     return rows.mapInArrow(run, SPOOL)
 
 
 @dataclass
 class Store:
-    """The tables of a store; ``borrowed`` says which chunks a document takes from which address."""
+    """``packs``: a row per document with recipe and own chunks; ``theirs`` and ``lends`` are the positions of the chunks that another
+    document holds for it, and of those that it holds for others. ``borrowed``: (uid, pos, address) of the chunks held by others."""
 
     packs: DataFrame
-    recipes: DataFrame
     borrowed: DataFrame
     width: int
 
@@ -220,74 +239,84 @@ def delete(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+PACKS = "part int, doc_id bigint, uid bigint, local bigint, n_tokens bigint, root binary, addresses array<binary>, sizes array<int>, theirs array<int>, lends array<int>, payload binary"
+
+
 def write(docs: DataFrame, path: str, end_id: int = 2, column: str = "text") -> Store:
     """Encode ``docs`` (doc_id and a text column; others are left out) and write the store into the shared folder.
 
-    A null text counts as empty, an empty text has the end id alone. Rows that share a doc_id are documents of their
-    own; they and null doc_ids (first) keep a fixed order. An empty table gives an empty store.
+    A null text counts as empty, an empty text has the end id alone, a very long text is cut into chunks like others. Rows that share a doc_id
+    are documents of their own; they and null doc_ids (first) keep a fixed order. An empty table gives an empty store.
+
+    Payloads travel once: a shuffle by doc_id range brings each document to its place in the files, and with it, as a row
+    sorted just before it, the positions of the chunks that it shares. All other shuffles carry addresses and numbers alone.
     """
     spark = docs.sparkSession
     rows = stored(spool(docs, path, end_id, column), "spool")
     width = encoder(path).width
-    refs = rows.select("uid", F.posexplode("addresses").alias("pos", "address"))
+    refs = rows.select("doc_id", "uid", F.posexplode("addresses").alias("pos", "address"))
     # Addresses of several places: the first by (uid, pos) owns the chunk. Counts combine before the shuffle.
-    shared = stored(refs.groupBy("address").agg(F.min(F.struct("uid", "pos")).alias("owner"), F.count("*").alias("n")).where("n > 1").select("address", "owner"), "shared")
-    borrowed = stored(refs.join(shared, "address").where(F.struct("uid", "pos") != F.col("owner")).select("uid", "pos", "address"), "borrowed")
-    places = borrowed.select("uid", "pos", F.lit(True).alias("theirs")).unionByName(shared.select("owner.uid", "owner.pos", F.lit(False).alias("theirs")))
-    sides = places.groupBy("uid").agg(*(F.sort_array(F.collect_list(F.when(F.col("theirs") == k, F.col("pos")))).alias(name) for name, k in (("theirs", True), ("lends", False))))
+    shared = stored(refs.groupBy("address").agg(F.min(F.struct("uid", "pos", "doc_id")).alias("owner"), F.count("*").alias("n")).where("n > 1").select("address", "owner"), "shared")
+    borrowed = stored(refs.join(shared, "address").where(F.struct("uid", "pos") != F.struct("owner.uid", "owner.pos")).select("doc_id", "uid", "pos", "address"), "borrowed")
+    places = borrowed.select("doc_id", "uid", "pos", F.lit(True).alias("theirs")).unionByName(shared.select("owner.doc_id", "owner.uid", "owner.pos", F.lit(False).alias("theirs")))
+    sides = places.groupBy("doc_id", "uid").agg(*(F.sort_array(F.collect_list(F.when(F.col("theirs") == k, F.col("pos")))).alias(name) for name, k in (("theirs", True), ("lends", False))))
 
-    def keep_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
-
-        pack, unpack = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
-        at_payload, at_theirs = PACK.index("payload"), PACK.index("theirs")
-        for batch in sliced(batches):
-            payloads = batch.column(at_payload)
-            theirs = batch.column(at_theirs)
-            if theirs.null_count < len(theirs):
-                payloads = payloads.to_pylist()
-                for row, taken in enumerate(theirs.to_pylist()):
-                    if taken:
-                        blob, at, mine, taken = unpack.decompress(payloads[row]), 0, [], set(taken)
-                        for pos, size in enumerate(batch.column(PACK.index("sizes"))[row].as_py()):
-                            if pos not in taken:
-                                mine.append(blob[at : at + size])
-                            at += size
-                        payloads[row] = pack.compress(b"".join(mine))
-                payloads = pa.array(payloads, pa.binary())
-            yield pa.RecordBatch.from_arrays([payloads if k == at_payload else c for k, c in enumerate(batch.columns)], names=PACK)
-
-    packs = rows.join(sides, "uid", "left").select(*PACK).mapInArrow(keep_own, "uid bigint, doc_id bigint, n_tokens bigint, addresses array<binary>, sizes array<int>, theirs array<int>, lends array<int>, payload binary")
-    packs = stored(packs, "packs")
-
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, before = TaskContext.get().partitionId(), 0
+        pack, unpack = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+        held = ([], [])
         for batch in sliced(batches):
-            local = []
-            for n in batch.column(2).to_pylist():
+            kinds, theirs, lends = (batch.column(name).to_pylist() for name in ("kind", "theirs", "lends"))
+            kept, found, payloads = [], [], {}
+            for row, kind in enumerate(kinds):
+                if not kind:  # what the next row shares
+                    held = theirs[row], lends[row]
+                    continue
+                if held[0]:
+                    blob, at, mine, taken = unpack.decompress(batch.column("payload")[row].as_py()), 0, [], set(held[0])
+                    for pos, size in enumerate(batch.column("sizes")[row].as_py()):
+                        if pos not in taken:
+                            mine.append(blob[at : at + size])
+                        at += size
+                    payloads[len(kept)] = pack.compress(b"".join(mine))
+                kept.append(row)
+                found.append(held)
+                held = ([], [])
+            if not kept:
+                continue
+            own = batch.take(pa.array(kept, pa.int64())) if len(kept) < batch.num_rows else batch
+            payload = own.column("payload")
+            if payloads:
+                payload = pa.array([payloads.get(i, x) for i, x in enumerate(payload.to_pylist())], pa.binary())
+            local, counts = [], own.column("n_tokens").to_pylist()
+            for n in counts:
                 local.append(before)
                 before += n
-            roots = [merkle(a) for a in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(roots, pa.binary()), pa.array([part] * batch.num_rows, pa.int32()), pa.array(local, pa.int64())], names=["doc_id", "uid", "n_tokens", "addresses", "root", "part", "local"])
-
-    ordered = rows.select("doc_id", "uid", "n_tokens", "addresses").repartitionByRange("doc_id", "uid").sortWithinPartitions("doc_id", "uid")
-    recipes = stored(ordered.mapInArrow(summed, "doc_id bigint, uid bigint, n_tokens bigint, addresses array<binary>, root binary, part int, local bigint"), "recipes")
-    delete(spark, rows)
-    # A row per partition of the recipes: its ids, and those of all partitions before it.
-    ends = recipes.groupBy("part").agg(F.max(F.col("local") + F.col("n_tokens")).alias("ids"))
+            roots = [merkle(a) for a in own.column("addresses").to_pylist()]
+            positions = [pa.array([x[k] for x in found], pa.list_(pa.int32())) for k in (0, 1)]
+            columns = [pa.array([part] * len(kept), pa.int32()), own.column("doc_id"), own.column("uid"), pa.array(local, pa.int64()), own.column("n_tokens"), pa.array(roots, pa.binary()), own.column("addresses"), own.column("sizes"), *positions, payload]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "doc_id", "uid", "local", "n_tokens", "root", "addresses", "sizes", "theirs", "lends", "payload"])
+
+    both = rows.withColumn("kind", F.lit(1)).unionByName(sides.withColumn("kind", F.lit(0)), allowMissingColumns=True)
+    packs = stored(both.repartitionByRange("doc_id", "uid").sortWithinPartitions("doc_id", "uid", "kind").mapInArrow(placed, PACKS), "packs")
+    for used in (rows, shared):
+        delete(spark, used)
+    # A row per part of the files: its ids, and those of all parts before it.
+    ends = packs.groupBy("part").agg(F.max(F.col("local") + F.col("n_tokens")).alias("ids"))
     before, offsets = 0, []
     for part, ids in sorted(ends.collect()):
         offsets.append((part, before))
         before += ids
     starts = spark.createDataFrame(offsets, "part int, before bigint")
-    recipes = recipes.join(F.broadcast(starts), "part", "left").select("doc_id", "uid", "n_tokens", "addresses", "root", (F.col("before") + F.col("local")).alias("start"))
-    return Store(packs, recipes, borrowed, width)
+    packs = packs.join(F.broadcast(starts), "part").withColumn("start", F.col("before") + F.col("local")).drop("part", "before", "local")
+    return Store(packs, borrowed.drop("doc_id"), width)
 
 
-def read(store: Store) -> DataFrame:
-    """uid, doc_id, n_tokens and ``ids`` (bytes, little-endian) of each document, rebuilt from the store.
+def rebuilt(store: Store, make, name: str, kind: str, made: pa.DataType) -> DataFrame:
+    """doc_id, start, n_tokens and ``name`` (of the type ``kind``, in Arrow ``made``): ``make`` of the ids (bytes, little-endian) of each document, rebuilt from the store.
 
     A chunk that doesn't hash to its address, or a document whose chunks don't give the root in its recipe, fails the job.
     Documents that borrow no chunk are rebuilt where they lie.
@@ -300,7 +329,7 @@ def read(store: Store) -> DataFrame:
         for batch in sliced(batches):
             found, chunks = [], []
             for addresses, sizes, theirs, lends, payload in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                blob, at, theirs, lends = unpack.decompress(payload), 0, set(theirs or ()), set(lends)
+                blob, at, theirs, lends = unpack.decompress(payload), 0, set(theirs), set(lends)
                 for pos, size in enumerate(sizes):
                     if pos not in theirs:
                         if pos in lends:
@@ -312,10 +341,9 @@ def read(store: Store) -> DataFrame:
     lenders = store.packs.where(F.size("lends") > 0).select("addresses", "sizes", "theirs", "lends", "payload")
     fetched = store.borrowed.join(lenders.mapInArrow(lent, "address binary, chunk binary"), "address")
     fetched = fetched.groupBy("uid").agg(F.collect_list(F.struct("pos", "chunk")).alias("fetched"))
-    borrows = F.coalesce(F.size("theirs") > 0, F.lit(False))
-    columns = ["uid", "doc_id", "n_tokens", "addresses", "sizes", "payload", "fetched"]
-    alone = store.packs.where(~borrows).withColumn("fetched", F.lit(None).cast("array<struct<pos:int,chunk:binary>>")).select(columns)
-    mixed = store.packs.where(borrows).join(fetched, "uid", "left").select(columns)
+    columns = ["doc_id", "start", "n_tokens", "root", "addresses", "sizes", "payload", "fetched"]
+    alone = store.packs.where(F.size("theirs") == 0).withColumn("fetched", F.lit(None).cast("array<struct<pos:int,chunk:binary>>")).select(columns)
+    mixed = store.packs.where(F.size("theirs") > 0).join(fetched, "uid", "left").select(columns)
     width = store.width
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,8 +351,8 @@ def read(store: Store) -> DataFrame:
 
         unpack = zstandard.ZstdDecompressor()
         for batch in sliced(batches):
-            out, roots = [], []
-            for n, addresses, sizes, payload, fetched in zip(*(batch.column(k).to_pylist() for k in range(2, 7)), strict=True):
+            out = []
+            for n, root, addresses, sizes, payload, fetched in zip(*(batch.column(k).to_pylist() for k in range(2, 8)), strict=True):
                 blob, at, parts, got = unpack.decompress(payload), 0, [], {x["pos"]: x["chunk"] for x in fetched or ()}
                 for pos, size in enumerate(sizes):
                     if pos in got:
@@ -334,29 +362,26 @@ def read(store: Store) -> DataFrame:
                         at += size
                 found = [address(x) for x in parts]
                 whole = b"".join(parts)
-                if found != addresses or len(whole) != n * width:
-                    raise ValueError("the store doesn't give back a document: its chunks differ from its addresses")
-                out.append(whole)
-                roots.append(merkle(found))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary()), pa.array(roots, pa.binary())], names=["uid", "doc_id", "n_tokens", "ids", "root"])
+                if found != addresses or len(whole) != n * width or merkle(found) != root:
+                    raise ValueError("the store doesn't give back a document: its chunks differ from its recipe")
+                out.append(make(whole))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, made)], names=["doc_id", "start", "n_tokens", name])
 
-    return alone.unionByName(mixed).mapInArrow(rebuild, "uid bigint, doc_id bigint, n_tokens bigint, ids binary, root binary")
+    return alone.unionByName(mixed).mapInArrow(rebuild, f"doc_id bigint, start bigint, n_tokens bigint, {name} {kind}")
 
 
-def digest(store: Store) -> DataFrame:
-    """doc_id, start, n_tokens and the CRC-32 of the ids as little-endian unsigned 32-bit integers, of the documents as they are read back.
+def read(store: Store) -> DataFrame:
+    """doc_id, start, n_tokens and ``ids`` (bytes, little-endian) of each document, rebuilt from the store and checked."""
+    return rebuilt(store, bytes, "ids", "binary", pa.binary())
 
-    A document whose Merkle root differs from its recipe's fails the job. Ids don't travel: digests join the recipes.
-    """
+
+def digest(store: Store) -> DataFrame:
+    """doc_id, start, n_tokens and the CRC-32 of the ids as little-endian unsigned 32-bit integers, of the documents as they are read back."""
     width = store.width
 
-    @F.arrow_udf("bigint")
-    def crc(blobs: pa.Array) -> pa.Array:
+    def crc(ids: bytes) -> int:
         import numpy as np
 
-        return pa.array([zlib.crc32(np.frombuffer(b, f"<u{width}").astype("<u4").tobytes()) for b in blobs.to_pylist()], pa.int64())
+        return zlib.crc32(np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes())
 
-    found = read(store).select("uid", crc("ids").alias("ids_crc32"), F.col("root").alias("found"))
-    joined = store.recipes.join(found, "uid", "left")
-    intact = F.assert_true(F.coalesce(F.col("root") == F.col("found"), F.lit(False)), "a document differs from its recipe").isNull()
-    return joined.where(intact).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return rebuilt(store, crc, "ids_crc32", "bigint", pa.int64())
