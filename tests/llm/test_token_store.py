@@ -64,14 +64,29 @@ def test_damage_is_found(docs, column):
         token_store.read(store).collect()
 
 
-def test_memo_of_two_generations(monkeypatch):
-    monkeypatch.setattr(token_store, "MEMO_ENTRIES", 60)
-    rng, own, plain = random.Random(5), token_store.Encoder(PATH), library()
-    parts = ["the", "The", "an,", "inan.", "x1", "don't", "é", "日本", "a.b,c", "1,", ",", ".", "--", "<|endoftext|>", "\n", "THE", "é", "\x85"]
-    for _ in range(60):
-        texts = [" ".join(rng.choice(parts) + rng.choice(["", "", rng.choice(parts)]) for _ in range(rng.randint(0, 40))) + rng.choice(["", "", " ", "\n", "  x"]) for _ in range(8)]
-        assert own.encode(texts) == [own.pack(plain.encode(t, add_special_tokens=False).ids) for t in texts]
-    assert len(own.young) < 400
+def test_encoder_against_the_library():
+    """Every character of the Latin range in every kind of place, and random texts, of any script, with special tokens and endless white space."""
+    own, plain = token_store.Encoder(PATH), library()
+    assert own.merge is not None
+    check = lambda texts: [own.pack(f.ids) for f in plain.encode_batch_fast(texts, add_special_tokens=False)]
+    latin = [chr(c) for c in [*range(0x250), *range(0x2010, 0x2028), 0x20AC]]
+    assert not any(token_store.FOREIGN.search(c) for c in latin)
+    texts = [t for c in latin for t in (c, f"a{c}b", f" {c} {c}{c}", f"1{c}2 {c}.", f"x {c}", f"{c}\n{c} \n", f"'{c}s'{c}'ll", f"\t{c}  {c}")]
+    assert own.encode(texts) == check(texts)
+    rng = random.Random(5)
+    parts = ["the", "The", "an,", "inan.", "x1", "don't", "WE'LL", "é", "日本", "a.b,c", "1,", ",", ".", "--", "<|endoftext|>", "\n", "  ", "\x85", "\xa0", "ﬁ", "א", "👍🏽", "\u3000"]
+    for size in (12, 18, len(parts)):
+        for _ in range(60):
+            texts = ["".join(rng.choice(parts[:size]) + rng.choice(["", " ", rng.choice(parts[:size])]) for _ in range(rng.randint(0, 40))) for _ in range(20)]
+            assert own.encode(texts) == check(texts)
+    for text in (" " * 3_000_000 + "x", "a" * 200_000, "-" * 200_000, "\n" * 2_000_000):
+        assert own.encode([text]) == check([text])
+
+
+def test_other_tokenizers_go_to_their_library():
+    other = token_store.Encoder(tokenizer("word_bpe_49k.json"))
+    assert other.merge is None
+    assert other.encode(["Hello  World", ""]) == [other.pack(other.library.encode("Hello  World", add_special_tokens=False).ids), b""]
 
 
 def test_an_empty_table_and_extra_columns(spark):

@@ -16,6 +16,7 @@ then checks every address and root.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -27,112 +28,79 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored, text_of
+from .bpe import byte_symbols
+from .common import stored, text_of
 
 #: Ids in the rolling window, in the shortest chunk, between chance cuts on average, and in the longest chunk.
 WINDOW, LEAST, MEAN, MOST = 16, 64, 256, 2048
-#: Runs in each of the two generations of the encoder's memo.
-MEMO_ENTRIES = 250_000
+#: Fixed value: how the byte-level tokenizer parts a text before its merges.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Anything but Latin letters, their marks and signs, and common punctuation.
+FOREIGN = re.compile("[^\0-\u024f\u2010-\u2027\u20ac]")
 
 
 class Encoder:
-    """Ids of a text by the tokenizers library, with a bounded memo of the runs between single blanks.
+    """Ids of texts as the tokenizers library gives them, as bytes.
 
-    A byte-level token never holds a blank after its first character unless it is all white space. So a blank that
-    follows a character other than white space, or comes before one, starts a new token, and text parts there; so does a
-    lone line feed between such characters. A comma or full stop right after a letter starts a new token too, so runs that
-    end in one are looked up without it. Texts with other white space part at safe blanks alone and skip the memo.
-
-    The memo has two generations: runs that are used move to the young one, and when that is full, it becomes the old one and
-    what was used in neither is forgotten.
+    A byte-level vocabulary in which each merge makes the next id can also be read as ranks of byte strings; then a faster
+    library merges the same pairs in the same order (a pair whose joint string has the least rank is just the pair that the merge
+    list names: the merges inside it, all of lower rank, are done, and none crossed its ends). It serves texts of Latin letters,
+    for which both libraries know the same classes of characters. All other texts, and those with special tokens in
+    them, go to the tokenizers library itself, as do all where the file describes another kind of tokenizer.
     """
 
     def __init__(self, path: str):
-        import re
-
-        import numpy as np
-        from tokenizers import Tokenizer, models
+        from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
-        if model["type"] == "BPE" and not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")):
-            # The same model without the library's own memo, which the runs that come here have missed already.
-            merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-            self.library.model = models.BPE(model["vocab"], merges, cache_capacity=0)
         self.width, self.letter = (2, "H") if self.library.get_vocab_size() <= 1 << 16 else (4, "I")
-        self.safe = re.compile(r"(?<=\S)(?= )|(?= \S)").split
-        self.kind = np.dtype(f"<u{self.width}")
-        names = [self.library.id_to_token(i) or "" for i in range(self.library.get_vocab_size())]
-        #: Whether a token begins with white space (in the byte-level map, blank and line feed are the characters below).
-        self.begins = np.array([t[:1] in ("\u0120", "\u010a") for t in names])
-        #: What a text with other white space than lone blanks and line feeds holds.
-        self.odd = ["  ", "\n\n", " \n", "\n ", *(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n")]
-        #: Ids of a run, with the blank before it or the line feed that it begins with; and those of the marks that may end one.
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.marks = {m: self.pack(self.library.encode(m, add_special_tokens=False).ids) for m in ",."}
-
-    def unsafe(self, text: str) -> bool:
-        return text[:1].isspace() or text[-1:].isspace() or any(x in text for x in self.odd)
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        ranks = byte_ranks(spec)
+        self.merge = None
+        if ranks is not None:
+            import tiktoken
+
+            self.merge = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def pack(self, ids: list[int]) -> bytes:
         return array(self.letter, ids).tobytes()
 
-    def _learn(self, runs: set[str]) -> None:
-        """Move ``runs``, which the young generation lacks, to it from the old one, or encode them."""
-        import numpy as np
-
-        young, old, marks = self.young, self.old, self.marks
-        young.update({x: old[x] for x in runs & old.keys()})
-        runs -= old.keys()
-        stems = {x: x[:-1] for x in runs if len(x) > 1 and x[-1] in marks and x[-2].isalpha()}
-        whole = {stems.get(x, x) for x in runs} - young.keys()
-        young.update({x: old[x] for x in whole & old.keys()})
-        new = list(whole - old.keys())
-        parts = [new[at : at + 500] for at in range(0, len(new), 500)]
-        joined = ["".join([x if x[0] == "\n" else " " + x for x in part]) for part in parts]
-        for part, found in zip(parts, self.library.encode_batch_fast(joined, add_special_tokens=False), strict=True):
-            # Each run begins with white space and holds no more of it, so the tokens that begin with white space begin the runs.
-            ids = np.array(found.ids, self.kind)
-            starts = np.flatnonzero(self.begins[ids]).tolist()
-            if len(starts) != len(part):
-                raise ValueError("runs and tokens don't match")
-            blob, width = ids.tobytes(), self.width
-            ends = [*starts[1:], len(ids)]
-            young.update(zip(part, [blob[a * width : b * width] for a, b in zip(starts, ends, strict=True)], strict=True))
-        for x, stem in stems.items():
-            young[x] = young[stem] + marks[x[-1]]
+    def plain(self, text: str) -> bool:
+        return (text.isascii() or not FOREIGN.search(text)) and not any(t in text for t in self.special)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.young) > MEMO_ENTRIES:
-            self.young, self.old = {}, self.young
-        odd, heads, tails, waiting, missed = {}, [], [], {}, set()
-        get = self.young.get
+        kind, out, rest = f"<u{self.width}", [b""] * len(texts), []
         for i, text in enumerate(texts):
-            head, tail = "", []
-            if self.unsafe(text):  # runs of white space: part where it is safe, encode the parts without memo
-                odd[i] = [x for x in self.safe(text) if x]
-            else:
-                head, *rest = text.replace("\n", " \n").split(" ")
-                tail = list(map(get, rest))
-                if None in tail:
-                    missed.update([x for x, found in zip(rest, tail, strict=True) if found is None])
-                    waiting[i] = rest
-            heads.append(head)
-            tails.append(tail)
-        self._learn(missed)
-        for i, rest in waiting.items():
-            tails[i] = map(self.young.__getitem__, rest)
-        first = [self.pack(f.ids) for f in self.library.encode_batch_fast(heads, add_special_tokens=False)]
-        out = [head + b"".join(tail) for head, tail in zip(first, tails, strict=True)]
-        for i, parts in odd.items():
-            out[i] = b"".join(self.pack(f.ids) for f in self.library.encode_batch_fast(parts, add_special_tokens=False))
+            try:
+                if self.merge is None or not self.plain(text):
+                    rest.append(i)
+                else:
+                    out[i] = self.merge.encode_to_numpy(text, disallowed_special=()).astype(kind).tobytes()
+            except ValueError:  # white space without end, which the pattern can't hold
+                rest.append(i)
+        for i, found in zip(rest, self.library.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = self.pack(found.ids)
         return out
 
 
+def byte_ranks(spec: dict) -> dict[bytes, int] | None:
+    """Ranks of the byte strings of a byte-level tokenizer file; None if its merges don't make the ids in order, or it is of another kind."""
+    model, before = spec["model"], spec["pre_tokenizer"] or {}
+    odd = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
+    if model["type"] != "BPE" or any(model.get(x) for x in odd) or spec["normalizer"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        return None
+    byte_of = {chr(symbol): byte for byte, symbol in byte_symbols().items()}
+    joined = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    added = {t["content"] for t in spec["added_tokens"]}
+    if [model["vocab"].get(t) for t in joined] != list(range(256, 256 + len(joined))) or len(model["vocab"].keys() - added) != 256 + len(joined):
+        return None
+    return {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if token not in added}
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
     import os
