@@ -7,7 +7,8 @@ down from the root, elements are outside, then content, then excluded, never bac
 article takes all below it out and no part of a menu comes back in.
 
 Pages carry no labels, so the trees are fitted to a bounded sample whose labels come from its markup, with
-known boilerplate of many forms grafted in and the article's own container renamed.
+boilerplate and content of many forms (lists, tables, quotations, figures, nested sections) grafted in and the article's own
+container renamed.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import html
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -49,7 +51,13 @@ class Page:
 def parse(source: str) -> Page:
     """Elements and text of a page, with the usual tolerance: optional end tags, stray end tags, unclosed elements, cut pages."""
     page, stack, block, at = Page(), [0], 0, 0
-    tags = page.tags
+    tags, opened = page.tags, Counter()
+
+    def close(depth: int) -> None:
+        for i in stack[depth:]:
+            opened[tags[i]] -= 1
+        del stack[depth:]
+
     while True:
         m = TOKEN.search(source, at)
         text = source[at : m.start() if m else len(source)]
@@ -65,9 +73,11 @@ def parse(source: str) -> Page:
         if m[1]:
             if name not in INLINE:
                 block += 1
-            if any(tags[i] == name for i in stack[1:]):
-                while tags[stack.pop()] != name:
-                    pass
+            if opened[name]:
+                depth = len(stack) - 1
+                while tags[stack[depth]] != name:
+                    depth -= 1
+                close(depth)
             continue
         if name == "br":
             page.runs.append((stack[-1], block, " "))
@@ -78,10 +88,10 @@ def parse(source: str) -> Page:
             continue
         if name in CLOSES_P or name in ("li", "dd", "dt", "tr", "td", "th", "option"):
             limit = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}.get(name)
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1 if limit or opened["p"] else 0, 0, -1):
                 tag = tags[stack[depth]]
                 if limit is None and tag == "p" or limit is not None and (tag == name or {tag, name} in ({"dd", "dt"}, {"td", "th"})):
-                    del stack[depth:]
+                    close(depth)
                     break
                 if limit is None and tag not in INLINE or limit is not None and tag in limit:
                     break
@@ -94,6 +104,7 @@ def parse(source: str) -> Page:
             at = end.end() if end else len(source)
         elif not (m[3] or "").endswith("/") or name in INLINE or name in CLOSES_P:
             stack.append(index)
+            opened[name] += 1
 
 
 def attribute_tokens(attributes: str) -> set[str]:
@@ -108,7 +119,7 @@ def attribute_tokens(attributes: str) -> set[str]:
     return found
 
 
-FEATURES = len(KINDS) + 24
+FEATURES = len(KINDS) + 25
 
 
 def features(page: Page):
@@ -128,7 +139,7 @@ def features(page: Page):
         if length and before[i] < 0:
             before[i] = total
         total += length
-    in_link, good, bad, good_above, bad_above, semantic, excluded = (np.zeros(n) for _ in range(7))
+    in_link, good, bad, good_above, bad_above, semantic, excluded, headed = (np.zeros(n) for _ in range(8))
     child, children, same = np.zeros(n), np.zeros(n), np.zeros(n)
     counts: dict[tuple[int, str], int] = {}
     for i in range(1, n):
@@ -139,7 +150,8 @@ def features(page: Page):
         good[i], bad[i] = len(GOOD.intersection(tokens)), len(BAD.intersection(tokens))
         good_above[i], bad_above[i] = good_above[p] + (good[p] > 0), bad_above[p] + (bad[p] > 0)
         semantic[i] = semantic[p] or page.tags[p] in ("article", "main")
-        excluded[i] = excluded[p] or page.tags[p] in ("nav", "footer", "header", "aside", "form")
+        excluded[i] = excluded[p] or page.tags[p] in ("nav", "footer", "aside", "form")
+        headed[i] = headed[p] or page.tags[p] == "header"
         child[i] = children[p]
         children[p] += 1
         same[i] = counts.get((p, tag), 0)
@@ -164,7 +176,7 @@ def features(page: Page):
     rest = (
         np.log1p(own), np.log1p(subtree), links / np.maximum(subtree, 1), subtree / tags, marked / np.maximum(subtree, 1), tags, depth, good, bad,
         np.minimum(good_above, 3), np.minimum(bad_above, 3), semantic, excluded, in_link, child, child / np.maximum(children[parents], 1), siblings, same / siblings,
-        subtree / max(total, 1), subtree / np.maximum(subtree[parents], 1), np.minimum(first, total) / max(total, 1), children, subtree[parents] / max(total, 1), bad[parents],
+        subtree / max(total, 1), subtree / np.maximum(subtree[parents], 1), np.minimum(first, total) / max(total, 1), children, subtree[parents] / max(total, 1), bad[parents], headed,
     )
     for j, column in enumerate(rest):
         x[:, k + j] = column
@@ -193,6 +205,8 @@ class Trees:
 
 
 DEPTH, BINS = 4, 24
+#: What an element without text of its own counts in the decoding, and in the fit, where one with ``n`` characters counts log(1 + n) more.
+NODE, NODE_FIT = 1.0, 0.5
 
 
 def boost(x, y, weight, trees: int = 40, rate: float = 0.25, ridge: float = 2.0) -> Trees:
@@ -242,7 +256,7 @@ def decode(page: Page, odds) -> list[bool]:
     size = [0] * n
     for i, _, text in page.runs:
         size[i] += len(text)
-    gain = [float(odds[i]) * (0.2 + math.log1p(size[i])) for i in range(n)]
+    gain = [float(odds[i]) * (NODE + math.log1p(size[i])) for i in range(n)]
     outside, content, excluded = [-g for g in gain], list(gain), [-g for g in gain]
     for i in range(n - 1, 0, -1):
         p = page.parents[i]
@@ -275,6 +289,7 @@ def text_of_page(page: Page, kept: list[bool]) -> str:
 # Forms of boilerplate to graft ({a} {b} {c}: words), and containers of the article.
 GRAFTS = (
     '<aside class="sidebar"><h3>{a}</h3><p>{b}</p></aside>', '<div class="sidebar"><ul><li>{a}</li><li>{b}</li></ul><p>{c}</p></div>', '<div id="side"><p>{b}</p></div>', "<aside><p>{c}</p></aside>",
+    '<aside><h4>{a}</h4><ul><li><a href="/e">{a}</a></li><li><a href="/h">{b}</a></li></ul></aside>', "<aside><ul><li>{a}</li><li>{b}</li></ul></aside>", "<aside><h3>{a}</h3><p>{b}</p><blockquote>{b}</blockquote></aside>", '<aside><h4>{a}</h4><ul><li><a href="/e">{a}</a></li></ul></aside>',
     '<div class="cookie-notice"><p>{b}</p><button>{a}</button></div>', '<div class="notice">{c}</div>', '<section class="alert"><p>{b}</p></section>', '<div id="gdpr-consent">{b}</div>', '<p class="notice">{b}</p>', '<div role="alert">{b}</div>',
     '<section id="comments"><h2>{a}</h2><div class="comment"><p>{b}</p></div><div class="comment"><p>{c}</p></div></section>', '<div class="comments"><p>{c}</p><p>{b}</p></div>', '<ol class="commentlist"><li><p>{b}</p></li><li><p>{c}</p></li></ol>', '<div class="user-comment">{b}</div>', '<div class="replies"><blockquote>{c}</blockquote></div>',
     '<form action="/s"><label>{a}</label><input name="q"><button>{a}</button></form>', '<form class="newsletter"><p>{b}</p><select><option>{a}</option><option>{a}</option></select></form>', '<div class="login-form"><label>{a}</label><p>{b}</p></div>',
@@ -283,23 +298,59 @@ GRAFTS = (
     '<header><div class="logo">{a}</div><p>{b}</p></header>', '<div class="header"><p>{b}</p></div>', '<div id="header">{a}</div>', '<footer><p>{b}</p></footer>', '<div class="footer">{c}</div>', '<div id="page-footer"><p>{b}</p><a href="/z">{a}</a></div>',
     '<div class="related-posts"><h4>{a}</h4><ul><li><a href="/u">{b}</a></li><li><a href="/v">{b}</a></li></ul></div>', '<div class="pagination"><a href="?p=2">{a}</a></div>', '<div class="subscribe"><p>{b}</p></div>', '<div class="widget"><h3>{a}</h3><p>{c}</p></div>', '<p class="copyright">{b}</p>', '<div class="popup modal"><p>{b}</p></div>',
 )
+CONTENT = (
+    "<ul><li>{a}</li><li>{b}</li><li>{a}</li></ul>", "<ol><li>{b}</li><li>{c}</li></ol>", "<ol><li><p>{b}</p></li><li><p>{c}</p></li></ol>", '<ul class="list"><li>{a}</li><li><a href="/w">{a}</a> {b}</li><li>{b}</li></ul>', "<ul><li><b>{a}</b> {b}</li><li>{b}</li></ul>",
+    "<table><tr><th>{a}</th><th>{a}</th></tr><tr><td>{a}</td><td>{b}</td></tr></table>", "<table><caption>{a}</caption><tbody><tr><td>{b}</td><td>{a}</td></tr><tr><td>{a}</td><td>{b}</td></tr></tbody></table>", '<table class="data"><thead><tr><th>{a}</th></tr></thead><tbody><tr><td>{b}</td></tr></tbody></table>',
+    "<blockquote>{b}</blockquote>", "<blockquote><p>{c}</p></blockquote>", "<blockquote><p>{b}</p><cite>{a}</cite></blockquote>", "<pre>{b}</pre>", "<pre><code>{b}</code></pre>", '<figure><img src="/i.png"><figcaption>{b}</figcaption></figure>', "<figure><figcaption>{a}</figcaption></figure>",
+    "<dl><dt>{a}</dt><dd>{b}</dd><dt>{a}</dt><dd>{c}</dd></dl>", "<div>{b}</div>", "<div><p>{b}</p></div>", "<div><div><p>{b}</p><p>{c}</p></div></div>", '<div class="row"><p>{c}</p></div>', "<section><h2>{a}</h2><p>{c}</p></section>", "<section><h3>{a}</h3><p>{b}</p><ul><li>{b}</li><li>{a}</li></ul></section>",
+    "<h2>{a}</h2>", "<h3>{a}</h3><p>{b}</p>", "<p>{a}</p>", "<p><em>{a}</em></p>", "<p><span>{b}</span></p>", '<p class="lead">{b}</p>', '<p><a href="/y">{a}</a> {b}</p>', "<details><summary>{a}</summary><p>{b}</p></details>",
+)
+HEADS = ("<header><h1>{a}</h1></header>", "<header><h1>{a}</h1><p>{b}</p></header>", "<h1>{a}</h1>", "<hgroup><h1>{a}</h1><p>{a}</p></hgroup>")
 CONTAINERS = ("article", "article", "main", 'div class="content"', 'div id="main-content"', 'div class="post-body"', 'div class="entry"', 'section class="story"', 'div class="article-text"', 'div itemprop="articleBody"', "div", 'article class="post"', 'div role="main"')
+#: Forms that an article's paragraphs take as a whole: before, each, after.
+FORMS = (
+    ("<ol>", "<li>{}</li>", "</ol>"), ("<ul>", "<li>{}</li>", "</ul>"), ("<ol>", "<li><p>{}</p></li>", "</ol>"), ("<table>", "<tr><td>{}</td></tr>", "</table>"), ("", "<div>{}</div>", ""), ("<div>", "<p>{}</p>", "</div>"),
+    ("<blockquote>", "<p>{}</p>", "</blockquote>"), ("<dl>", "<dd>{}</dd>", "</dl>"), ("", "<blockquote>{}</blockquote>", ""), ("", "<pre>{}</pre>", ""), ("<section>", "<p>{}</p>", "</section>"), ("", "{}<br><br>", ""),
+)
+PARAGRAPH = re.compile(r"<p>(.*?)</p>", re.S)
 
 
 def augmented(source: str, words: list[str], rng: random.Random) -> str:
-    """The page with boilerplate grafted in (marked data-x-label 0) and its article's container (marked 1) renamed."""
+    """The page with boilerplate grafted in (marked data-x-label 0), content grafted into its article, whose paragraphs may take another form, and the
+    article's container (marked 1) renamed."""
     def some(lo: int, hi: int) -> str:
         at = rng.randrange(max(1, len(words) - hi))
         return html.escape(" ".join(words[at : at + rng.randint(lo, hi)]))
 
-    def graft() -> str:
-        form = rng.choice(GRAFTS).format(a=some(1, 4), b=some(5, 40), c=some(10, 80))
-        return re.sub(r"^<(\w+)", r"<\1 data-x-label=0", form)
+    def filled(forms: tuple[str, ...]) -> str:
+        return rng.choice(forms).format(a=some(1, 4), b=some(5, 40), c=some(10, 80))
 
-    box = rng.choice(CONTAINERS)
-    source = re.sub(r"<(article|main)\b[^>]*>", lambda m: f"{graft() if rng.random() < 0.6 else ''}<{box} data-x-label=1>", source, count=1)
-    source = re.sub(r"</(article|main)>", lambda m: f"{graft() if rng.random() < 0.5 else ''}</{box.split()[0]}>{graft() if rng.random() < 0.6 else ''}", source, count=1)
-    return re.sub(r"</p>(?=<p)", lambda m: m[0] + (graft() if rng.random() < 0.08 else ""), source)
+    def graft() -> str:
+        return re.sub(r"^<(\w+)", r"<\1 data-x-label=0", filled(GRAFTS))
+
+    def maybe(share: float, make) -> str:
+        return make() if rng.random() < share else ""
+
+    def content() -> str:
+        return filled(CONTENT)
+
+    inside = re.search(r"<(article|main)\b[^>]*>(.*?)</\1>", source, re.S)
+    if not inside:
+        return re.sub(r"</p>(?=<p)", lambda m: m[0] + maybe(0.08, graft), source)
+    box, body = rng.choice(CONTAINERS), inside[2]
+    first = PARAGRAPH.search(body)
+    if first and rng.random() < 0.25:
+        before, each, after = rng.choice(FORMS)
+        last = body.rindex("</p>") + 4
+        body = body[: first.start()] + before + PARAGRAPH.sub(lambda m: each.format(m[1]), body[first.start() : last]) + after + body[last:]
+    if rng.random() < 0.3:
+        body = re.sub(r"<h1>.*?</h1>", "", body, count=1, flags=re.S)
+        body = f"{re.sub(r'^<(header|hgroup)', r'<\1 data-x-label=1', filled(HEADS))}{maybe(0.3, graft)}{body}"
+    body = re.sub(r"</(?:p|li|div)>(?=<(?:p|li|div)>)", lambda m: m[0] + (maybe(0.12, content) + maybe(0.08, graft) if m[0] == "</p>" else ""), body)
+    body = f"{maybe(0.15, graft)}{body}{maybe(0.3, content)}{maybe(0.2, graft)}"
+    whole = f"{maybe(0.6, graft)}<{box} data-x-label=1>{body}</{box.split()[0]}>{maybe(0.6, graft)}{maybe(0.3, graft)}"
+    # Some pages are cut down to a bare fragment.
+    return whole if rng.random() < 0.06 else f"{source[: inside.start()]}{whole}{source[inside.end() :]}"
 
 
 def labels(page: Page) -> list[int]:
@@ -307,22 +358,31 @@ def labels(page: Page) -> list[int]:
     found = [0] * len(page.tags)
     for i in range(1, len(page.tags)):
         tag, attributes, above = page.tags[i], page.attributes[i], found[page.parents[i]]
-        if above == -1 or "data-x-label=0" in attributes or tag in ("nav", "footer", "header", "aside", "form"):
+        if above == -1 or "data-x-label=0" in attributes:
+            found[i] = -1
+        elif "data-x-label=1" in attributes:
+            found[i] = 1
+        elif tag in ("nav", "footer", "header", "aside", "form"):
             found[i] = -1
-        elif above == 1 or tag in ("article", "main") or "data-x-label=1" in attributes:
+        elif above == 1 or tag in ("article", "main"):
             found[i] = 1
     return [max(0, f) for f in found]
 
 
-def fit(pages: DataFrame, column: str = "html", sample_pages: int = 120, chars: int = 30_000, copies: int = 3, seed: int = 5) -> Trees:
+def fit(pages: DataFrame, column: str = "html", sample_pages: int = 120, chars: int = 30_000, copies: int = 5, seed: int = 5) -> Trees:
     """Trees fitted to at most ``sample_pages`` pages, the least by a hash of their id, of which ``chars`` characters serve.
 
-    Without a page that has an article, pages of the grafts alone serve.
+    The pages are picked by ids and hashes alone, so whole pages never gather. Null pages and ids don't serve. Without a page that has an article
+    (an empty table, for one), pages of the grafts alone serve.
     """
     import numpy as np
 
-    rows = pages.where(F.col(column).isNotNull()).orderBy(F.xxhash64("page_id"), "page_id").limit(sample_pages).select(F.left(column, F.lit(chars)).alias("h")).collect()
-    sources = [r["h"] for r in rows if re.search(r"<(article|main)\b", r["h"])]
+    given = pages.where(F.col(column).isNotNull() & F.col("page_id").isNotNull())
+    keyed = given.select(F.xxhash64("page_id").alias("_a"), F.xxhash64(column).alias("_b"), F.left(column, F.lit(chars)).alias("_h"))
+    picked = keyed.select("_a", "_b").orderBy("_a", "_b").limit(sample_pages)
+    rows = {(r["_a"], r["_b"]): r for r in keyed.join(F.broadcast(picked), ["_a", "_b"], "left_semi").limit(4 * sample_pages).collect()}
+    rows = [rows[k] for k in sorted(rows)]
+    sources = [r["_h"] for r in rows if re.search(r"<(article|main)\b", r["_h"])]
     rng, filler = random.Random(seed), "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor".split()
     if not sources:
         sources = [f"<html><body><nav><a href=/>{' '.join(filler[:3])}</a></nav><article><h1>{' '.join(filler)}</h1>{('<p>' + ' '.join(filler * 3) + '.</p>') * n}</article><footer>{filler[0]}</footer></body></html>" for n in range(1, 30)]
@@ -336,14 +396,16 @@ def fit(pages: DataFrame, column: str = "html", sample_pages: int = 120, chars:
                 size[i] += len(text)
             xs.append(x)
             ys.append(np.array(labels(page), float))
-            ws.append(0.2 + np.log1p(size))
+            ws.append(NODE_FIT + np.log1p(size))
     return boost(np.vstack(xs), np.concatenate(ys), np.concatenate(ws))
 
 
 def extract(pages: DataFrame, trees: Trees, column: str = "html") -> DataFrame:
     """page_id, url, text and n_chars (code points) of each page, from the whole html.
 
-    A null or empty page, and one without an article, has an empty text. Repeated rows are extracted one by one.
+    A null or empty page, and one without an article, has an empty text; a very long page is parsed whole, in time that grows with its
+    length. Repeated rows are extracted one by one, an empty table gives no rows, and columns other than page_id, url and the html are left
+    out, whatever their names.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
