@@ -1,14 +1,16 @@
 """Exact top-k search by inner product: ball trees per shard, branch and bound.
 
-Vectors are dealt to shards of bounded size by hash, queries to blocks. A task builds the ball tree of a
-shard and searches it for the queries of a block: nodes are opened in descending order of the upper bound
-``q.c + |q| r`` and the search ends when no bound can beat the current k-th score. A first round over one
-shard per query gives each query a k-th score, with which the second round starts in all other shards.
+Vectors are dealt to shards of bounded size by hash; a shard's ball tree is built once and written. Queries stream through the
+trees: nodes are opened in descending order of the upper bound ``q.c + |q| r`` and the search ends when no bound can beat the current
+k-th score. Shards are met in rounds of 1, 2, 4, ... for each query, beginning with a shard of its own; between rounds the best of all shards so
+far give each query the k-th score from which the next round starts.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -18,8 +20,8 @@ from pyspark.sql.window import Window
 
 from .common import stored
 
-#: Vectors of a leaf, of a shard, and queries of a block.
-LEAF, SHARD, BLOCK = 64, 16_384, 4_096
+#: Vectors of a leaf and of a shard, and queries searched at once.
+LEAF, SHARD, BLOCK = 64, 16_384, 1_024
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
@@ -122,46 +124,81 @@ def quantized(embedding: Column) -> Column:
     return F.when(~F.exists(doubles, bad), F.transform(doubles, lambda x: F.floor(x * 1024).cast("long")))
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, shard_rows: int = SHARD, block_rows: int = BLOCK) -> DataFrame:
+def matrix(table: pa.Table | pa.RecordBatch):
+    """The vectors (column q) of rows of one dimension."""
+    import numpy as np
+
+    lists = table.column("q")
+    flat = lists.combine_chunks().flatten() if isinstance(lists, pa.ChunkedArray) else lists.flatten()
+    return np.array(flat, np.int64).reshape(table.num_rows, -1)
+
+
+def plant(vectors: pa.Table) -> pa.Table:
+    """The tree of a shard, in a row; components take as few bytes as they need."""
+    import numpy as np
+
+    x = matrix(vectors)
+    small = next(t for t in (np.int16, np.int32, np.int64) if t is np.int64 or np.abs(x).max(initial=0) <= np.iinfo(t).max)
+    tree = build(x, np.array(vectors.column("vec_id"), np.int64), np.array(vectors.column("uid"), np.int64))
+    tree.vectors = tree.vectors.astype(small)
+    key = [vectors.column(c).slice(0, 1) for c in ("dim", "shard")]
+    return pa.table({"dim": key[0], "shard": key[1], "tree": pa.array([pickle.dumps(tree)], pa.binary())})
+
+
+FOUND = "quid long, query_id long, vec_id long, uid long, score long"
+
+
+def searched(trees: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """The best k of each shard for the queries that want it: sorted partitions stream each tree and then its queries past the search."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        key = tree = None
+        for batch in batches:
+            keys = np.stack([np.array(batch.column(c), np.int64) for c in ("dim", "shard", "kind")], axis=1)
+            at = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)] if len(keys) else []
+            for lo, hi in zip(at, at[1:], strict=False):
+                if keys[lo, 2] == 0:
+                    key, tree = tuple(keys[lo, :2]), pickle.loads(batch.column("tree")[lo].as_py())
+                elif key == tuple(keys[lo, :2]):
+                    for first in range(lo, hi, BLOCK):
+                        part = batch.slice(first, min(BLOCK, hi - first))
+                        names, mine = (np.array(part.column(c), np.int64) for c in ("vec_id", "uid"))
+                        floors = [LEAST if f is None else f for f in part.column("floor").to_pylist()]
+                        out = [(int(row), int(name), -i[1], -i[2], i[0]) for name, row, best in zip(names, mine, search(tree, matrix(part), mine, floors, k), strict=True) for i in best]
+                        columns = list(zip(*out, strict=True)) if out else [[]] * 5
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[c.split()[0] for c in FOUND.split(", ")])
+
+    both = wanted.withColumn("kind", F.lit(1)).unionByName(trees.withColumn("kind", F.lit(0)), allowMissingColumns=True)
+    return both.repartition("dim", "shard").sortWithinPartitions("dim", "shard", "kind").mapInArrow(run, FOUND)
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, shard_rows: int = SHARD) -> DataFrame:
     """query_id, rank, vec_id and score: for each row of ``vectors`` (vec_id, q: array<long>) that is a query the best k other rows.
 
     Ties go to the smaller vec_id (of repeated rows, to the one read first). Vectors meet those of their own dimension only. Rows without
-    id or vector take no part; a query's own row is no candidate, a copy of it is. Scores are held to 64 bits.
+    id or vector take no part; a query's own row is no candidate, a copy of it is. Scores are held to 64 bits. An empty table, or one without queries,
+    gives no rows; very long vectors are a dimension like others; other columns are left out, whatever their names.
     """
     rows = vectors.where("vec_id is not null and q is not null").select("vec_id", "q", F.size("q").alias("dim"), is_query.alias("is_query"), F.monotonically_increasing_id().alias("uid"))
     rows = stored(rows, "vectors")
-    n, nq = rows.agg(F.count("*"), F.count_if("is_query")).first()
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-nq // block_rows))
-    rows = rows.withColumns({"shard": F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int"), "block": F.pmod(F.xxhash64("uid", F.lit(7)), F.lit(blocks)).cast("int")})
-    queries = stored(rows.where("is_query").select("uid", "vec_id", "q", "dim", "block"), "queries")
-    # Every block meets every shard: the stated query set against all rows, in blocks.
-    left = rows.select("uid", "vec_id", "q", "dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    first = F.pmod(F.col("block"), F.lit(shards))
-
-    def task(candidates: pa.Table, wanted: pa.Table) -> pa.Table:
-        import numpy as np
-
-        out: list[tuple[int, int, int, int, int]] = []
-        if candidates.num_rows and wanted.num_rows:
-            matrix = lambda t: np.array(t.column("q").combine_chunks().flatten(), np.int64).reshape(t.num_rows, -1)
-            ints = lambda t, name: np.array(t.column(name), np.int64)
-            tree = build(matrix(candidates), ints(candidates, "vec_id"), ints(candidates, "uid"))
-            names, mine = ints(wanted, "vec_id"), ints(wanted, "uid")
-            floors = [LEAST if f is None else f for f in wanted.column("floor").to_pylist()]
-            for name, row, best in zip(names, mine, search(tree, matrix(wanted), mine, floors, k), strict=True):
-                out += [(int(row), int(name), -item[1], -item[2], item[0]) for item in best]
-        columns = list(zip(*out, strict=True)) if out else [[]] * 5
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("quid", "query_id", "vec_id", "uid", "score"), columns, strict=True)})
-
-    schema = "quid long, query_id long, vec_id long, uid long, score long"
-
-    def run(candidates: DataFrame, wanted: DataFrame) -> DataFrame:
-        return candidates.groupBy("dim", "shard", "block").cogroup(wanted.groupBy("dim", "shard", "block")).applyInArrow(task, schema)
-
-    pilot = stored(run(left.where(F.col("shard") == first), queries.select("*", first.alias("shard"), F.lit(None).cast("long").alias("floor"))), "pilot")
-    floors = pilot.groupBy("quid").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
-    others = queries.select("*", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")).where(F.col("shard") != first)
-    others = others.join(floors, others["uid"] == floors["quid"], "left").drop("quid")
-    found = pilot.unionByName(run(left.where(F.col("shard") != first), others))
+    shards = max(1, -(-rows.count() // shard_rows))
+    trees = stored(rows.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int")).groupBy("dim", "shard").applyInArrow(plant, "dim int, shard int, tree binary"), "trees")
+    queries = stored(rows.where("is_query").select("uid", "vec_id", "q", "dim", F.pmod(F.xxhash64("uid", F.lit(7)), F.lit(shards)).alias("turn")), "queries")
     rank = F.row_number().over(Window.partitionBy("quid").orderBy(F.desc("score"), "vec_id", "uid"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best, done, step = None, 0, 1
+    while done < shards:
+        # The stated query set against all rows, a round of shards at a time.
+        upto = min(shards, done + step)
+        wanted = queries.withColumn("shard", F.explode(F.sequence(F.lit(done), F.lit(upto - 1)))).withColumn("shard", F.pmod(F.col("turn") + F.col("shard"), F.lit(shards)).cast("int"))
+        if best is None:
+            wanted = wanted.withColumn("floor", F.lit(None).cast("long"))
+        else:
+            floors = best.groupBy("quid").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
+            wanted = wanted.join(floors, wanted["uid"] == floors["quid"], "left").drop("quid")
+        found = searched(trees, wanted.drop("turn"), k)
+        found = found if best is None else best.unionByName(found)
+        best = stored(found.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank"), "best")
+        done, step = upto, 2 * step
+    return best.withColumn("rank", rank).select("query_id", "rank", "vec_id", "score")
