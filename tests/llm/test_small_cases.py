@@ -237,18 +237,45 @@ def test_license_join_is_exact(spark):
     rng, vocabulary = random.Random(4), ["licensed", "under", "cc", "by", "nc", "4", "0", "all", "rights", "reserved", "x", "y", "the", "mit", "license", "released"]
     lines = [" ".join(rng.choices(vocabulary, k=rng.randint(0, 12))) for _ in range(400)]
     docs = spark.createDataFrame([(i, "\n".join(lines[i * 4 : i * 4 + 4])) for i in range(100)], "doc_id long, text string")
-    got = {(r.doc_id, b["line"], b["label"], round(b["containment"], 9)) for r in licenses.scan(docs).collect() for b in r.blocks or ()}
+    got = {(r.doc_id, b["first"], b["words"], b["label"], round(b["containment"], 9)) for r in licenses.scan(docs).collect() for b in r.blocks or ()}
     want = set()
     for d in range(100):
-        for k, line in enumerate(lines[d * 4 : d * 4 + 4]):
-            for label, sentence in licenses.TEMPLATES:
-                t = licenses.template_words(sentence)
-                c = len(set(line.split()) & set(t)) / len(t)
+        text = " ".join(lines[d * 4 : d * 4 + 4]).split()
+        for label, sentence in licenses.TEMPLATES:
+            t = licenses.template_words(sentence)
+            width = 1
+            while width < len(licenses.split_words(sentence)):
+                width *= 2
+            for first in range(0, len(text), width):
+                c = len(set(text[first : first + 2 * width]) & set(t)) / len(t)
                 if c >= 0.8 - 1e-12:
-                    want.add((d, k, label, round(c, 9)))
+                    want.add((d, first, 2 * width, label, round(c, 9)))
     assert got == want and want
 
 
+def test_wrapped_notices(spark):
+    """A notice is found whatever lines it stands on, after any number of words, and scattered words are none."""
+    import textwrap
+
+    rows = []
+    for i, (label, sentence) in enumerate(licenses.TEMPLATES):
+        for shift in (0, 1, 7, 30):
+            for width in (20, 60, 1000):
+                rows.append((len(rows), " ".join(["zzz"] * shift) + "\n" + textwrap.fill(sentence, width, initial_indent=" * ", subsequent_indent=" * ") + "\nzzz zzz", label))
+        scattered = " ".join(w + " zzz" * 40 for w in licenses.split_words(sentence))
+        rows.append((len(rows), scattered, None))
+    rows.append((len(rows), "\u212a\u0130 ALL RIGHTS RESERVED", "all-rights-reserved"))
+    rows.append((len(rows), "all r\u0130ghts reserved \u212a", None))
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    for i, _, label in rows:
+        assert label in got[i].labels.split(",") if label else got[i].labels == ""
+
+
+def test_license_scan_of_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "All rights reserved", 5, "x")], "doc_id long, text string, uid int, blocks string")
+    assert [(r.doc_id, r.labels) for r in licenses.scan(docs).collect()] == [(1, "all-rights-reserved")]
+
+
 def test_toxicity(spark):
     import random
 
@@ -300,7 +327,7 @@ def test_top_k(spark):
     rows += [(2000, None), (2100, [1.0, None, 0.0, 0.0, 0.0]), (2200, [float("nan")] * 5), (2300, [float("inf")] * 5), (None, rows[0][1]), (2400, [1.0, 2.0]), (2401, [3.0, 4.0]), (100, rows[100][1])]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     q = vectors.select("vec_id", topk.quantized(vectors["embedding"]).alias("q"))
-    got = topk.top_k(q, F.col("vec_id") % 100 == 0, k=10, shard_rows=150, block_rows=4).collect()
+    got = topk.top_k(q, F.col("vec_id") % 100 == 0, k=10, shard_rows=150).collect()
     import math
 
     clean = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]

@@ -56,17 +56,18 @@ def op6_license_scan(spark, sf_dir):
 
 def _op6_sql() -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    sets = ", ".join(f"({quoted(label)}, [{', '.join(map(quoted, licenses.template_words(sentence)))}])" for label, sentence in licenses.TEMPLATES)
+    sets = ", ".join(f"({quoted(label)}, {licenses.width_of(sentence)}, [{', '.join(map(quoted, licenses.template_words(sentence)))}])" for label, sentence in licenses.TEMPLATES)
     return rf"""
-WITH d AS (SELECT row_number() OVER () AS u, doc_id, regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]', ' ', 'g') AS t FROM documents),
-w AS (SELECT u, doc_id, t, list_filter(string_split(replace(t, chr(10), ' '), ' '), lambda x: x <> '') AS w FROM d),
+WITH d AS (SELECT row_number() OVER () AS u, doc_id, regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]', ' ', 'g') AS t FROM documents),
+w AS (SELECT u, doc_id, list_filter(string_split(t, ' '), lambda x: x <> '') AS w FROM d),
 p AS (SELECT u, unnest(range(1, len(w) + 1)) AS i, w FROM w WHERE list_contains(w, 'license')),
 hit AS (SELECT u, i - 1 AS i, CASE WHEN w[i] = 'mit' THEN 'mit' WHEN w[i] = 'apache' THEN 'apache' ELSE 'gpl' END AS label FROM p
         WHERE (w[i] IN ('mit', 'apache') AND w[i + 1] = 'license') OR (w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license')),
 base AS (SELECT u, count(*) AS n, min(i) AS a, max(i) AS z, list(DISTINCT label) AS l FROM hit GROUP BY u),
-lines AS (SELECT u, list_distinct(list_filter(string_split(unnest(string_split(t, chr(10))), ' '), lambda x: x <> '')) AS b FROM d),
-sets(label, s) AS (VALUES {sets}),
-found AS (SELECT u, label, len(list_intersect(b, s)) / len(s)::DOUBLE AS c FROM lines, sets WHERE list_has_any(b, s)),
+sets(label, width, s) AS (VALUES {sets}),
+cut AS (SELECT u, width, w, unnest(range(0, (len(w) + width - 1) // width)) AS k FROM w, (SELECT DISTINCT width FROM sets)),
+blocks AS (SELECT u, width, list_distinct(w[k * width + 1 : (k + 2) * width]) AS b FROM cut),
+found AS (SELECT u, label, len(list_intersect(b, s)) / len(s)::DOUBLE AS c FROM blocks JOIN sets USING (width) WHERE list_has_any(b, s)),
 best AS (SELECT u, list(DISTINCT label) AS l, max(c) AS c FROM found WHERE c >= 0.8 - 1e-9 GROUP BY u)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, a::BIGINT AS first_word, z::BIGINT AS last_word,
        array_to_string(list_sort(coalesce(base.l, [])), ',') AS base_labels,
