@@ -48,14 +48,16 @@ def measured(docs: DataFrame, site: Column, path: Column, column: str = "text",
 
 
 def fit(rows: DataFrame, labels: DataFrame, sample_rows: int = 5000, penalty: float = 0.5) -> list[float]:
-    """Weights (intercept first) of a logistic model, from at most ``sample_rows`` labelled rows, the least by a hash of their id.
+    """Weights (intercept first) of a logistic model, from at most ``sample_rows`` labelled documents, the least by a hash of their id.
 
-    Without labels of both classes all weights are zero but an intercept that keeps every document.
+    Ids are picked from the labels alone, so no more than those rows travel; of rows that share an id one serves. Without labels of both
+    classes all weights are zero but an intercept that keeps every document.
     """
     import numpy as np
 
-    good = labels.where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    sample = rows.join(good, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(sample_rows).select("quality", *FEATURES).collect()
+    good = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    picked = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    sample = rows.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct(*FEATURES)).alias("f")).orderBy("doc_id").select("quality", *(F.col("f")[c] for c in FEATURES)).collect()
     y = np.array([r[0] for r in sample], float)
     if not len(y) or y.min() == y.max():
         return [4.0, *[0.0] * len(FEATURES)]
@@ -130,16 +132,17 @@ def score(rows: DataFrame, fitted: Model, threshold: float = 0.5, broadcast_path
 def classify(docs: DataFrame, labels: DataFrame, site: Column, path: Column, column: str = "text", threshold: float = 0.5, **fitting) -> DataFrame:
     """doc_id, doc_score (of the text alone), site_rate, path_rate, score and kept (score >= threshold).
 
-    Null sites and paths are a group of their own. Labels serve the fit alone, in a bounded sample. Repeated rows are scored one by one,
-    and an empty table gives no rows.
+    Null sites and paths are a group of their own; a null or empty text has no words and no marks, a very long one is measured whole. Labels serve
+    the fit alone, in a bounded sample. Repeated rows are scored one by one, an empty table gives no rows, other columns are left out.
     """
     rows = stored(measured(docs, site, path, column), "measured")
     return score(rows, model(rows, labels, **fitting), threshold).select("doc_id", "doc_score", "site_rate", "path_rate", "score", "kept")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, site: Column, path: Column, column: str = "text", threshold: float = 0.5, **fitting) -> DataFrame:
-    """The documents that the classifier keeps, with all their columns.
+    """The documents that the classifier keeps, with all their columns, whatever their names.
 
+    Nulls, empty and very long texts and repeated rows are as in ``classify``; an empty table stays empty.
     Measures are computed again beside the text, which is cheaper than to shuffle texts by row.
     """
     fitted = model(stored(measured(docs, site, path, column), "measured"), labels, **fitting)

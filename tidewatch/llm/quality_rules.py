@@ -166,7 +166,8 @@ def quality_filter(docs: DataFrame, rules=RULES, column: str = "text", **samplin
 def quality_report(docs: DataFrame, rules=RULES, column: str = "text", **sampling) -> DataFrame:
     """doc_id, the base measures, ``base_failed`` and the cascade's verdict ``kept`` for each document.
 
-    Measures are those of the whole text; a null text has none of anything and fails.
+    Measures are those of the whole text, however long; a null or empty text has none of anything and fails. Repeated rows are judged one by one, an
+    empty table gives no rows, other columns are left out, whatever their names.
     """
     order = [rule for rule, _, _ in ordered(docs, rules, column, **sampling)]
     text = text_of(docs, column)

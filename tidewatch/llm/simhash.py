@@ -135,7 +135,8 @@ def near_duplicates(docs: DataFrame, column: str = "text", width: int = 3, most:
     """doc_id, ``fp``, ``component_id`` (least doc_id of the component) and the columns ``carry`` for each document.
 
     A null text is empty; empty texts share the fingerprint zero, which links like any other. Repeated rows stay repeated and
-    link to each other. A null doc_id takes part but names no component unless it is alone. An empty table gives no rows.
+    link to each other. A null doc_id takes part but names no component unless it is alone. A very long text is hashed whole. An empty table gives no
+    rows; columns not in ``carry`` are left out, whatever their names.
     """
     rows = stored(docs.select("doc_id", *carry, fingerprint(text_of(docs, column), width).alias("fp")), "fingerprints")
     prints = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")

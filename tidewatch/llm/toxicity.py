@@ -237,7 +237,8 @@ def held_out(doc_id):
 def score(docs: DataFrame, chain: Chain, column: str = "text", threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted and ``spans`` (start and end, in code points, of offending stretches) for each document.
 
-    A null text counts as empty; an empty one has the score of a document without toxic tokens. Labels, language, source and id take no part.
+    A null text counts as empty; an empty one has the score of a document without toxic tokens; a very long one is read whole. Labels, language, source
+    and id take no part. Repeated rows are scored one by one, an empty table gives no rows, other columns are left out, whatever their names.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(chain)  # SPACE weights: a fixed size
