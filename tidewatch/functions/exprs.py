@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewatch.operators.blocks import clamp01, intensity  # noqa: F401
+from tidewatch.operators.blocks import clamp01, intensity, previous, running  # noqa: F401
+
+from .metrics import resolve_metric  # noqa: F401
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
@@ -39,18 +41,6 @@ def instrument_range(df: DataFrame, instrument: str, from_ms: int, to_ms: int) -
     return df.where((F.col("instrument_id") == instrument) & (F.col("ts_ms") >= from_ms) & (F.col("ts_ms") < to_ms))
 
 
-def resolve_metric(doc: Column, legacy: Column, doc_key: str, legacy_key: str, source: str = "auto", flip_doc: bool = False) -> Column:
-    """struct(value, used_key, used_source): the documented metric, the legacy one, or (auto) the first that is finite."""
-    finite = lambda x: F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), x)
-    a, b = finite(-doc if flip_doc else doc), finite(legacy)
-    pick = lambda x, key, kind: F.struct(x.alias("value"), F.lit(key).alias("used_key"), F.lit(kind).alias("used_source"))
-    if source == "doc":
-        return pick(a, doc_key, "doc")
-    if source == "legacy":
-        return pick(b, legacy_key, "legacy")
-    return F.when(a.isNotNull(), pick(a, doc_key, "doc")).otherwise(pick(b, legacy_key, "legacy"))
-
-
 def with_instruments(ticker: DataFrame, instruments: DataFrame) -> DataFrame:
     """Ticks with their instrument's terms; Spark broadcasts the instruments while they are small and shuffles them beyond."""
     return ticker.join(instruments, "instrument_id")
@@ -88,12 +78,12 @@ def gamma_exposure(rows: DataFrame, most_gamma: float = 1.0, most_oi: float = 1e
 
 
 def running_oi(ticks: DataFrame) -> DataFrame:
-    """Open interest of calls and puts per underlying after each tick, from the last of each instrument."""
+    """Open interest of calls and puts per underlying after each tick, from the last of each instrument; ``nth`` numbers an underlying's ticks."""
     before = F.lag("open_interest").over(Window.partitionBy("instrument_id").orderBy("ts_ms", "seq", "seq2", "open_interest"))
     rows = ticks.withColumn("_x", F.col("open_interest") - F.coalesce(before, F.lit(0.0)))
-    w = Window.partitionBy("underlying").orderBy("ts_ms", "seq", "seq2", "instrument_id", "open_interest").rowsBetween(Window.unboundedPreceding, 0)
-    side = lambda t: F.sum(F.when(F.col("option_type") == t, F.col("_x")).otherwise(0.0)).over(w)
-    return rows.withColumns({"calls": side("C"), "puts": side("P")}).drop("_x")
+    side = lambda t: F.when(F.col("option_type") == t, F.col("_x")).otherwise(0.0)
+    order = ["ts_ms", "seq", "seq2", "instrument_id", "open_interest"]
+    return running(rows, ["underlying"], order, calls=side("C"), puts=side("P"), nth=F.lit(1).cast("long")).drop("_x")
 
 
 def telemetry(rows: DataFrame, reasons: tuple[str, ...]) -> DataFrame:
@@ -108,7 +98,6 @@ def basis_bps() -> Column:
 
 def basis_velocity(marks: DataFrame) -> DataFrame:
     """basis and its change per second against the row before."""
-    w = Window.partitionBy("instrument_id").orderBy("ts_ms", "seq")
-    rows = marks.withColumn("basis", basis_bps())
-    dt = F.greatest((F.col("ts_ms") - F.lag("ts_ms").over(w)) / 1000.0, F.lit(1e-6))
-    return rows.withColumn("velocity", (F.col("basis") - F.lag("basis").over(w)) / dt)
+    rows = previous(marks.withColumn("basis", basis_bps()), ["instrument_id"], ["ts_ms", "basis"], "_was")
+    dt = F.greatest((F.col("ts_ms") - F.col("_was.ts_ms")) / 1000.0, F.lit(1e-6))
+    return rows.withColumn("velocity", (F.col("basis") - F.col("_was.basis")) / dt).drop("_was")

@@ -21,9 +21,10 @@ def levels(depth: DataFrame) -> DataFrame:
     return clamped_sum(depth, LEVEL, signed, "level_qty")
 
 
-def levels_absolute(depth: DataFrame, as_of_ms: int, trim: int) -> DataFrame:
-    """The best ``trim`` levels of each side as of an instant, from absolute quantities (zero removes a level)."""
-    last = depth.where(F.col("ts_ms") <= as_of_ms).groupBy(*LEVEL).agg(F.max_by("qty", F.struct("ts_ms", "seq")).alias("qty")).where("qty > 0")
+def levels_absolute(depth: DataFrame, as_of_ms: int | None, trim: int) -> DataFrame:
+    """The best ``trim`` levels of each side as of an instant (None: after all rows), from absolute quantities (zero removes a level)."""
+    seen = depth if as_of_ms is None else depth.where(F.col("ts_ms") <= as_of_ms)
+    last = seen.groupBy(*LEVEL).agg(F.max_by("qty", F.struct("ts_ms", "seq")).alias("qty")).where("qty > 0")
     return ranked(last, ["instrument_id"], trim)
 
 
@@ -40,6 +41,24 @@ def lifetimes(depth: DataFrame) -> DataFrame:
     return rows.select(*LEVEL, F.col("level_qty").alias("qty"), F.col("ts_ms").alias("from_ms"), "to_ms").where("to_ms is null or to_ms > from_ms")
 
 
+def with_best(depth: DataFrame, rows: DataFrame, span_ms: int = 1000) -> DataFrame:
+    """``rows`` of ``depth`` with ``best_bid`` and ``best_ask`` as of each, all deltas of that instant up to the row applied.
+
+    Lifetimes of levels, by order of arrival, meet the rows in time buckets.
+    """
+    place = F.struct("ts_ms", "seq")
+    until = F.lead(place).over(Window.partitionBy(*LEVEL).orderBy("ts_ms", "seq"))
+    lives = levels(depth).withColumns({"_from": place, "_to": until}).where("level_qty > 0")
+    end = depth.agg(F.max("ts_ms").alias("_end"))
+    bucket = lambda t: F.floor(t / span_ms)
+    lives = lives.crossJoin(F.broadcast(end)).select("instrument_id", F.col("side").alias("_side"), F.col("price").alias("_price"), "_from", "_to", F.explode(F.sequence(bucket(F.col("ts_ms")), bucket(F.coalesce("_to.ts_ms", "_end")))).alias("_bucket"))
+    keyed = rows.withColumns({"_bucket": bucket(F.col("ts_ms")), "_at": place})
+    met = keyed.select("instrument_id", "_bucket", "_at").join(lives, ["instrument_id", "_bucket"]).where((F.col("_from") <= F.col("_at")) & (F.col("_to").isNull() | (F.col("_to") > F.col("_at"))))
+    side = lambda s: F.when(F.col("_side") == s, F.col("_price"))
+    best = met.groupBy("instrument_id", "_at").agg(F.max(side("buy")).alias("best_bid"), F.min(side("sell")).alias("best_ask"))
+    return keyed.join(best, ["instrument_id", "_at"], "left").drop("_bucket", "_at")
+
+
 def at_instants(depth: DataFrame, every_ms: int) -> DataFrame:
     """The live levels (instant, side, price, qty) at multiples of ``every_ms`` up to the last row, the instant's own rows included."""
     end = depth.agg((F.floor(F.max("ts_ms") / every_ms) * every_ms).alias("_end"))

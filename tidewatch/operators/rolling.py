@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .blocks import asof, asof_growing, bucketed, unbucketed
+from .blocks import asof, asof_growing, bucketed, carried, cut, local, unbucketed
 
 
 def clean(df: DataFrame, value: str) -> DataFrame:
@@ -50,15 +50,18 @@ def trend(df: DataFrame, keys: list[str], value: str, window_ms: int) -> DataFra
     return ref.withColumn("trend", (F.col(value) - F.col("ref.v")) / F.greatest((F.col("ts_ms") - F.col("ref.ts_ms")) / 1000.0, F.lit(1.0)))
 
 
-def _last(df: DataFrame):
-    return F.max("u").over(Window.partitionBy("instrument_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+def _with_last(df: DataFrame) -> DataFrame:
+    """``_last``: the greatest id among the instrument's rows before."""
+    frame = local(["instrument_id"]).rowsBetween(Window.unboundedPreceding, -1)
+    df = carried(cut(df).withColumn("_near", F.max("u").over(frame)), ["instrument_id"], _far=(F.max("u"), F.max))
+    return df.withColumn("_last", F.greatest("_near", "_far")).drop("_bucket", "_near", "_far")
 
 
 def continuity(df: DataFrame, huge: int = 500_000) -> DataFrame:
     """kind of each update by its previous id against the last one seen: first, in_sync, stale, huge_gap (rebase) or gap (resync)."""
     last, pu = F.col("_last"), F.col("pu")
     kind = F.when(last.isNull(), "first").when(pu == last, "in_sync").when(pu < last, "stale").when(pu - last >= huge, "huge_gap").otherwise("gap")
-    return df.withColumn("_last", _last(df)).withColumn("kind", kind).drop("_last")
+    return _with_last(df).withColumn("kind", kind).drop("_last")
 
 
 def continuity_overlap(df: DataFrame) -> DataFrame:
@@ -66,7 +69,7 @@ def continuity_overlap(df: DataFrame) -> DataFrame:
     last = F.col("_last")
     inside = (F.col("first_u") <= last + 1) & (F.col("u") >= last + 1)
     kind = F.when(last.isNull(), "first").when((F.col("pu") == last) | inside, "in_sync").when(F.col("u") <= last, "stale").otherwise("gap")
-    return df.withColumn("_last", _last(df)).withColumn("kind", kind).drop("_last")
+    return _with_last(df).withColumn("kind", kind).drop("_last")
 
 
 def option_gap(df: DataFrame, w: WindowSpec) -> DataFrame:

@@ -10,27 +10,74 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-# For each kind of event the rules of the buy and sell side, and the intensities of MEDIUM and HIGH.
-RULES = {
-    "break_wall": ("R1", "R2", 2.0, 3.0), "absorption": ("R3", "R4", 300.0, 600.0), "slicing_aggr": ("R5", "R6", 5.0, 10.0), "slicing_pass": ("R7", "R8", 10.0, 25.0),
-    "dominance": ("R9", "R10", 80.0, 90.0), "spoofing": ("R11", "R12", 50.0, 100.0), "depletion": ("R13", "R14", 0.40, 0.60), "metric_trigger": ("R15", "R16", 50.0, 100.0),
-    "basis_mean_revert": ("R18", "R17", 2.0, 3.0), "iv_spike": ("R19", "R20", 0.60, 0.80), "oi_skew": ("R21", "R22", None, None), "tape_pressure": ("R23", "R24", 0.8, 0.9),
-    "oi_spike": ("R28", "R29", 0.60, 0.80), "top_traders": ("R30", "R31", 0.60, 0.80), "liq_cluster": ("R32", "R33", 0.40, 0.80), "basis_dislocation": ("R34", "R34", 0.60, 0.80),
-    "skew_shock": ("R35", "R35", 0.60, 0.80), "gamma_flip": ("R36", "R36", 0.60, 0.80), "term_structure_invert": ("R37", "R37", 0.60, 0.80),
-}
+# Rule, kind of event, its side (None: any), its metric (None: any), further test, side of the alert (None: the event's),
+# what is rated (value, size, velocity) or the fixed severity, and the thresholds of MEDIUM and HIGH.
+RULES = [
+    ("R1", "break_wall", "buy", None, "rising", None, "velocity", 2.0, 3.0),
+    ("R2", "break_wall", "sell", None, "falling", None, "velocity", 2.0, 3.0),
+    ("R3", "absorption", "buy", None, None, None, "value", 300.0, 600.0),
+    ("R4", "absorption", "sell", None, None, None, "value", 300.0, 600.0),
+    ("R5", "slicing_aggr", "buy", None, None, None, "value", 5.0, 10.0),
+    ("R6", "slicing_aggr", "sell", None, None, None, "value", 5.0, 10.0),
+    ("R7", "slicing_pass", "buy", None, None, None, "value", 10.0, 25.0),
+    ("R8", "slicing_pass", "sell", None, None, None, "value", 10.0, 25.0),
+    ("R9", "dominance", "buy", None, None, None, "value", 80.0, 90.0),
+    ("R10", "dominance", "sell", None, None, None, "value", 80.0, 90.0),
+    ("R11", "spoofing", "buy", None, None, None, "value", 50.0, 100.0),
+    ("R12", "spoofing", "sell", None, None, None, "value", 50.0, 100.0),
+    ("R13", "depletion", "buy", None, None, None, "value", 0.40, 0.60),
+    ("R14", "depletion", "sell", None, None, None, "value", 0.40, 0.60),
+    ("R15", "metric_trigger", None, "basis_bps", "above", "na", "value", 50.0, 100.0),
+    ("R16", "metric_trigger", None, "basis_bps", "below", "na", "size", 50.0, 100.0),
+    ("R17", "basis_mean_revert", "sell", None, None, None, "size", 2.0, 3.0),
+    ("R18", "basis_mean_revert", "buy", None, None, None, "size", 2.0, 3.0),
+    ("R19", "iv_spike", None, None, None, None, "value", 0.60, 0.80),
+    ("R19", "iv_spike_up", None, None, None, "na", "HIGH", None, None),
+    ("R20", "iv_spike_down", None, None, None, "na", "HIGH", None, None),
+    ("R21", "oi_skew_bull", None, None, None, "na", "MEDIUM", None, None),
+    ("R22", "oi_skew_bear", None, None, None, "na", "MEDIUM", None, None),
+    ("R23", "tape_pressure", "buy", None, None, None, "value", 0.8, 0.9),
+    ("R24", "tape_pressure", "sell", None, None, None, "value", 0.8, 0.9),
+    ("R27", "metric_trigger", None, "spread_usd", None, "na", "size_or_0", 0.5, 1.0),
+    ("R28", "oi_spike", "buy", None, None, None, "value", 0.60, 0.80),
+    ("R29", "oi_spike", "sell", None, None, None, "value", 0.60, 0.80),
+    ("R30", "top_traders", "long", None, None, None, "value", 0.60, 0.80),
+    ("R31", "top_traders", "short", None, None, None, "value", 0.60, 0.80),
+    ("R32", "liq_cluster", "sell", None, None, None, "value", 0.40, 0.80),
+    ("R33", "liq_cluster", "buy", None, None, None, "value", 0.40, 0.80),
+    ("R34", "basis_dislocation", None, None, None, "na", "value", 0.60, 0.80),
+    ("R35", "skew_shock", None, None, None, "na", "value", 0.60, 0.80),
+    ("R36", "gamma_flip", None, None, None, "na", "value", 0.60, 0.80),
+    ("R37", "term_structure_invert", None, None, None, "na", "value", 0.60, 0.80),
+]
+OPTIONAL = {"metric": "string", "threshold": "double", "velocity": "double"}
 
 
 def severity(value: Column, medium: Column, high: Column) -> Column:
-    """HIGH, MEDIUM or LOW by size; MEDIUM where there is no value or no threshold."""
-    return F.when(value.isNull() | medium.isNull(), "MEDIUM").when(F.abs(value) >= high, "HIGH").when(F.abs(value) >= medium, "MEDIUM").otherwise("LOW")
+    """HIGH, MEDIUM or LOW by value; MEDIUM where there is none. Rated by size, a value comes in as its absolute."""
+    return F.when(value.isNull(), "MEDIUM").when(value >= high, "HIGH").when(value >= medium, "MEDIUM").otherwise("LOW")
 
 
 def rated(events: DataFrame) -> DataFrame:
-    """Events (kind, side, intensity) with their rule and severity; kinds without a rule go. The rules are a fixed table of a row per kind."""
-    table = events.sparkSession.createDataFrame([(k, *x) for k, x in RULES.items()], "kind string, _buy string, _sell string, _medium double, _high double")
-    rows = events.join(F.broadcast(table), "kind")
-    bullish = F.col("side").isin("buy", "up", "calls", "bull")
-    return rows.withColumns({"rule": F.when(bullish, F.col("_buy")).otherwise(F.col("_sell")), "severity": severity(F.col("intensity"), F.col("_medium"), F.col("_high"))}).drop("_buy", "_sell", "_medium", "_high")
+    """A row for each event and rule that fits it, with ``rule``, the alert's ``side`` and ``severity``; an event has none, one or more.
+
+    Events have kind, side (null: na) and intensity, and may have metric, threshold and velocity. The rules are a fixed table.
+    """
+    columns = "rule string, kind string, _side string, _metric string, _test string, _out string, _mode string, _medium double, _high double"
+    table = events.sparkSession.createDataFrame(RULES, columns)
+    names = events.columns
+    rows = events.withColumns({c: F.lit(None).cast(t) for c, t in OPTIONAL.items() if c not in names}).withColumn("side", F.lower(F.coalesce("side", F.lit("na"))))
+    value, limit, speed = F.col("intensity"), F.coalesce("threshold", F.lit(0.0)), F.coalesce("velocity", F.lit(0.0))
+    tests = {"rising": speed > 0, "falling": speed < 0, "above": (value >= limit) & (limit >= 0), "below": value <= -F.abs(limit)}
+    passed = F.col("_test").isNull()
+    for name, test in tests.items():
+        passed |= (F.col("_test") == name) & F.coalesce(test, F.lit(False))
+    rows = rows.join(F.broadcast(table), "kind").where((F.col("_side").isNull() | (F.col("_side") == F.col("side"))) & (F.col("_metric").isNull() | (F.col("_metric") == F.col("metric"))) & passed)
+    mode = F.col("_mode")
+    rating = F.when(mode == "value", value).when(mode == "size", F.abs(value)).when(mode == "size_or_0", F.abs(F.coalesce(value, F.lit(0.0)))).when(mode == "velocity", F.abs(speed))
+    level = F.when(mode.isin("HIGH", "MEDIUM"), mode).otherwise(severity(rating, F.col("_medium"), F.col("_high")))
+    rows = rows.withColumns({"side": F.coalesce("_out", "side"), "severity": level})
+    return rows.select(*names, "rule", "severity")
 
 
 def normal_severity(word: Column) -> Column:
@@ -39,10 +86,13 @@ def normal_severity(word: Column) -> Column:
 
 
 def dedup_key(fields: Column) -> Column:
-    """Instrument, rule, side, kind, price (2 places), intensity (4) and a hash of the sorted fields, joined by bars."""
+    """Instrument, rule, side, kind, price (2 places; na where there is none or 0), intensity (4 places) and a hash of the fields (a map) in order of
+    their names, joined by bars; what is missing is na."""
     canonical = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(fields))))
-    number = lambda c, places: F.format_string(f"%.{places}f", F.coalesce(c, F.lit(0.0)))
-    return F.concat_ws("|", "instrument_id", "rule", "side", "kind", number(F.col("price"), 2), number(F.col("intensity"), 4), F.substring(F.sha1(canonical.cast("binary")), 1, 8))
+    text = [F.coalesce(c, F.lit("na")) for c in ("instrument_id", "rule", "side", "kind")]
+    price, value = F.nullif(F.col("price"), F.lit(0.0)), F.col("intensity")
+    parts = [F.when(c.isNull(), F.lit(f"{mark}=na")).otherwise(F.format_string(f"{mark}=%.{places}f", c)) for mark, c, places in (("p", price, 2), ("i", value, 4))]
+    return F.concat_ws("|", *text, *parts, F.substring(F.sha1(F.coalesce(canonical, F.lit("{}")).cast("binary")), 1, 8))
 
 
 def suppressed(alerts: DataFrame, window_ms: int = 90_000) -> DataFrame:

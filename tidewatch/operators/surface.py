@@ -37,49 +37,103 @@ def expiries(instruments: DataFrame, per_tenor: int = 3) -> DataFrame:
 
 
 def _nearest(score: Column, when: Column):
-    """IV and open interest of the row of least score (ties: the newest) among those where ``when`` holds."""
-    pick = F.struct(score.alias("s"), (-F.col("ts_ms")).alias("t"), (-F.col("seq")).alias("q"), (-F.col("seq2")).alias("q2"), F.col("mark_iv").alias("iv"), F.col("open_interest").alias("oi"))
+    """Id, IV and open interest of the row of least score (ties: the newest) among those where ``when`` holds."""
+    pick = F.struct(score.alias("s"), (-F.col("ts_ms")).alias("t"), (-F.col("seq")).alias("q"), (-F.col("seq2")).alias("q2"), F.col("mark_iv").alias("iv"), F.col("open_interest").alias("oi"), F.col("instrument_id").alias("id"))
     return F.min(F.when(when, pick))
 
 
 def by_delta(side: str, target: float = 0.25, within: float = 0.05):
-    """The option of a side (C or P) whose delta is nearest to ``target`` in size."""
+    """The option whose delta, above zero for a call (C) and below for a put (P), is nearest to ``target`` in size."""
     gap = F.round(F.abs(F.abs("delta") - target), 9)
-    signed = F.col("delta") > 0 if side == "C" else F.col("delta") < 0
-    return _nearest(gap, (F.col("option_type") == side) & signed & (gap <= within))
+    signed = F.col("delta") >= 0 if side == "C" else F.col("delta") <= 0
+    return _nearest(gap, signed & (gap <= within))
 
 
 def at_the_money():
-    return _nearest(F.round(F.abs(F.abs("delta") - 0.5), 9), F.col("delta").isNotNull())
+    """The option whose delta is nearest to a half in size; one without a delta counts by its distance from the spot."""
+    score = F.coalesce(F.abs(F.abs("delta") - 0.5), F.abs(F.col("strike") / F.col("underlying_price") - 1))
+    return _nearest(F.round(score, 9), score.isNotNull())
 
 
-def components(ticks: DataFrame, keys: list[str]) -> DataFrame:
-    """Risk reversal and butterfly per key: both need the 25-delta call and put, the latter the money too; weight is the open interest."""
-    got = ticks.groupBy(*keys).agg(by_delta("C").alias("c"), by_delta("P").alias("p"), at_the_money().alias("a"))
+def held(c: Column, low: float, high: float) -> Column:
+    return F.when(c.isNotNull(), F.greatest(F.least(c, F.lit(high)), F.lit(low)))
+
+
+def components(ticks: DataFrame, keys: list[str], most_iv: float = 5.0, most: float = 2.0) -> DataFrame:
+    """Risk reversal and butterfly per key, the 25-delta picks and the money held to sensible ranges; ``weight`` is the open interest of the picks, one
+    without any; ``n`` the options seen."""
+    got = ticks.groupBy(*keys).agg(by_delta("C").alias("c"), by_delta("P").alias("p"), at_the_money().alias("a"), F.count("*").alias("n"))
+    iv = {k: held(F.col(f"{k}.iv"), 0.0, most_iv) for k in "cpa"}
+    oi = sum((F.greatest(F.coalesce(f"{k}.oi", F.lit(0.0)), F.lit(0.0)) for k in "pa"), F.greatest(F.coalesce("c.oi", F.lit(0.0)), F.lit(0.0)))
     return got.select(
-        *keys, F.col("c.iv").alias("iv_call"), F.col("p.iv").alias("iv_put"), F.col("a.iv").alias("iv_atm"), (F.col("c.iv") - F.col("p.iv")).alias("rr_25d"), (0.5 * (F.col("c.iv") + F.col("p.iv")) - F.col("a.iv")).alias("bf_25d"),
-        (F.coalesce("c.oi", F.lit(0.0)) + F.coalesce("p.oi", F.lit(0.0)) + F.coalesce("a.oi", F.lit(0.0))).alias("weight"),
+        *keys, iv["c"].alias("iv_call"), iv["p"].alias("iv_put"), iv["a"].alias("iv_atm"), held(iv["c"] - iv["p"], -most, most).alias("rr_25d"), held(0.5 * (iv["c"] + iv["p"]) - iv["a"], -most, most).alias("bf_25d"),
+        F.coalesce(F.nullif(oi, F.lit(0.0)), F.lit(1.0)).alias("weight"), "n", *(F.col(k).isNull().cast("long").alias(f"no_{name}") for k, name in (("c", "call"), ("p", "put"), ("a", "atm"))),
     )
 
 
-def band_iv(ticks: DataFrame, keys: list[str]) -> DataFrame:
-    """Volatility by moneyness band, weighted by open interest; without any open interest it is zero."""
-    rows = ticks.withColumn("band", band(F.col("strike") / F.col("underlying_price"))).where("band is not null")
-    return rows.groupBy(*keys, "band").agg(F.coalesce(F.try_divide(F.sum(F.col("mark_iv") * F.col("open_interest")), F.sum("open_interest")), F.lit(0.0)).alias("iv"), F.count("*").alias("n_used"))
+def band_iv(ticks: DataFrame, keys: list[str], spot: Column | None = None, least_oi: float = 0.0, most_iv: float = 5.0) -> DataFrame:
+    """Volatility by moneyness band, weighted by open interest; without any open interest it is zero. ``weight`` is the open interest, one without any."""
+    price = F.col("underlying_price") if spot is None else spot
+    rows = ticks.withColumn("band", band(F.col("strike") / F.greatest(price, F.lit(1e-9)))).where(F.col("band").isNotNull() & F.col("mark_iv").isNotNull() & (F.coalesce("open_interest", F.lit(0.0)) >= least_oi))
+    oi = F.greatest(F.coalesce("open_interest", F.lit(0.0)), F.lit(0.0))
+    iv = held(F.col("mark_iv"), 0.0, most_iv)
+    got = rows.groupBy(*keys, "band").agg(F.sum(iv * oi).alias("_num"), F.sum(oi).alias("_den"), F.count("*").alias("n_used"))
+    return got.withColumns({"iv": F.coalesce(F.try_divide("_num", "_den"), F.lit(0.0)), "weight": F.coalesce(F.nullif("_den", F.lit(0.0)), F.lit(1.0))}).drop("_num", "_den")
 
 
-def build(ticks: DataFrame, back_ms: int = 600_000, ahead_ms: int = 5_000) -> DataFrame:
-    """The surface of every minute at once: a tick serves the minutes whose window [minute - back, minute + ahead] holds it, the latest of each
-    instrument counts, expiries weigh by the open interest of their picks."""
+def serving(ticks: DataFrame, back_ms: int, ahead_ms: int) -> DataFrame:
+    """A row per tick and ``minute`` that it serves: its window [minute - back, minute + ahead] holds the tick and no newer one of the instrument."""
     first, last = F.greatest(F.ceil((F.col("ts_ms") - ahead_ms) / 60_000), F.lit(0)), F.floor((F.col("ts_ms") + back_ms) / 60_000)
     # A tick serves from its first minute to the one before the first minute of the instrument's next tick.
     after = F.lead(first).over(Window.partitionBy("instrument_id").orderBy("ts_ms", "seq", "seq2"))
-    rows = ticks.withColumns({"_a": first, "_z": F.least(last, F.coalesce(after - 1, last)), "tenor": tenor(F.col("expiry_days"))}).where("tenor is not null and _a <= _z")
-    rows = rows.withColumn("minute", F.explode(F.sequence("_a", "_z"))).drop("_a", "_z")
-    per = components(rows, ["minute", "underlying", "tenor", "expiry_days"])
-    full = F.col("rr_25d").isNotNull() & F.col("bf_25d").isNotNull()
-    mean = lambda c, w: F.try_divide(F.sum(F.when(w, F.col(c) * F.col("weight"))), F.sum(F.when(w & F.col(c).isNotNull(), F.col("weight"))))
-    return per.groupBy("minute", "underlying", "tenor").agg(mean("iv_atm", F.lit(True)).alias("iv"), mean("rr_25d", full).alias("rr_25d"), mean("bf_25d", full).alias("bf_25d"), F.count_if(full).alias("n_used"))
+    rows = ticks.withColumns({"_a": first, "_z": F.least(last, F.coalesce(after - 1, last))}).where("_a <= _z")
+    return rows.withColumn("minute", F.explode(F.sequence("_a", "_z"))).drop("_a", "_z")
+
+
+def build(ticks: DataFrame, back_ms: int = 600_000, ahead_ms: int = 5_000, per_tenor: int = 3, quotes: bool = False, weigh: bool = True) -> DataFrame:
+    """The surface of every minute at once, a row per underlying, tenor and band: ``NA`` for the 25-delta picks, and the moneyness bands.
+
+    The nearest ``per_tenor`` expiries of a tenor count, with ``quotes`` only options with a bid and an ask. Expiries weigh by the open interest of their picks
+    (of their band), or alike without ``weigh``. An expiry without a call, a put or the money gives nothing to the NA row but its missing parts. Spot is the
+    newest underlying price of the minute. A row without any value is left out.
+    """
+    near = expiries(ticks.select("underlying", "expiry_days").distinct(), per_tenor).select("underlying", "expiry_days", "tenor")
+    rows = ticks.join(F.broadcast(near), ["underlying", "expiry_days"])  # at most per_tenor rows a tenor and underlying
+    rows = serving(rows, back_ms, ahead_ms)
+    if quotes:
+        rows = rows.where("coalesce(bid, 0) <> 0 and coalesce(ask, 0) <> 0")
+    keys = ["minute", "underlying", "tenor", "expiry_days"]
+    per = components(rows, keys)
+    full = (F.col("no_call") + F.col("no_put") + F.col("no_atm")) == 0
+    only = lambda c: F.when(full, F.col(c)).alias(c)
+    na = per.select(*keys, F.lit("NA").alias("band"), only("iv_atm").alias("iv"), only("rr_25d"), only("bf_25d"), "weight", F.col("n").alias("n_used"), "no_call", "no_put", "no_atm")
+    spots = rows.groupBy("minute", "underlying").agg(F.max_by("underlying_price", F.struct("ts_ms", "seq", "seq2")).alias("spot"))
+    bands = band_iv(rows.join(spots, ["minute", "underlying"]), keys, F.col("spot"))
+    both = na.unionByName(bands, allowMissingColumns=True).withColumn("w", F.col("weight") if weigh else F.lit(1.0))
+    given = F.coalesce("iv", "rr_25d", "bf_25d").isNotNull()
+    mean = lambda c: (F.sum(F.col(c) * F.col("w")) / F.sum(F.when(F.col(c).isNotNull(), F.col("w")))).alias(c)
+    many = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c.replace("no_", "missing_"))
+    got = both.groupBy("minute", "underlying", "tenor", "band").agg(
+        mean("iv"), mean("rr_25d"), mean("bf_25d"), F.count_if(given).alias("n_expiries_used"), F.coalesce(F.sum(F.when(given, F.col("n_used"))), F.lit(0)).alias("n_used"), F.sum(F.when(given, F.col("w"))).alias("sum_weights"),
+        F.min(F.when(given, F.col("expiry_days"))).alias("expiry_min"), F.max(F.when(given, F.col("expiry_days"))).alias("expiry_max"), *(many(c) for c in ("no_call", "no_put", "no_atm")),
+    )
+    return got.where(F.coalesce("iv", "rr_25d", "bf_25d").isNotNull())
+
+
+def meta(weigh: bool = True) -> Column:
+    """JSON that tells what a row of ``build`` rests on."""
+    fields = ["minute", "tenor", "band", "n_expiries_used", "n_used", "sum_weights", "expiry_min", "expiry_max", "missing_call", "missing_put", "missing_atm"]
+    return F.to_json(F.struct(*fields, F.lit("oi" if weigh else "equal").alias("weights_used")))
+
+
+def by_minute(surface: DataFrame) -> DataFrame:
+    """Minute means over an underlying's rows: iv_avg, rr_25d_avg, bf_25d_avg."""
+    return surface.groupBy(F.col("minute").alias("bucket"), "underlying").agg(*(F.avg(c).alias(f"{c}_avg") for c in ("iv", "rr_25d", "bf_25d")))
+
+
+def violations(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that stand more than once, and how often."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
 def option_parts(instrument: Column) -> Column:

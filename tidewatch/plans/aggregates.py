@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidewatch.functions import exprs as X
-from tidewatch.operators.blocks import asof_forward, asof_growing, asof_join, latest, trailing_sum
+from tidewatch.operators import surface as V
+from tidewatch.operators.blocks import asof_forward, asof_growing, asof_join, latest, previous, trailing_sum
 from tidewatch.operators.calibrate import percentiles
 
 from .registry import query
+from .surface_rows import BUILD, IV1M, JOINED, surface
 
 R6 = lambda c: F.round(c, 6)
 MINUTE = 60_000
@@ -39,9 +40,6 @@ def metric_resolve(v):
     return v.ev.select("event_id", got.alias("m")).select("event_id", R6(F.col("m.value")).alias("value"), "m.used_key", "m.used_source")
 
 
-JOINED = "options_ticker JOIN options_instruments USING (instrument_id)"
-
-
 @query("option_gates", f"SELECT instrument_id, seq, seq2 FROM {JOINED} WHERE expiry_days > 10 AND expiry_days < 60 AND strike BETWEEN 105 * 0.9 AND 105 * 1.1 AND abs(delta) BETWEEN 0.2 AND 0.8")
 def option_gates(v):
     return X.gate_options(X.with_instruments(v.options_ticker, v.options_instruments), 10, 60, 105.0, 0.1, 0.2, 0.8).select("instrument_id", "seq", "seq2")
@@ -111,9 +109,9 @@ def surface_bucket_avg(v):
     return X.with_instruments(v.options_ticker, v.options_instruments).groupBy("expiry_days").agg(R6(X.weighted_mean("mark_iv", "open_interest")).alias("iv"), F.count("*").alias("n"))
 
 
-@query("iv_surface_1m", f"SELECT ts_ms // 60000 AS bucket, underlying, round(avg(mark_iv), 6) AS iv_avg FROM {JOINED} GROUP BY ALL")
+@query("iv_surface_1m", f"{IV1M} SELECT bucket, underlying, round(iv, 6) AS iv_avg, round(rr, 6) AS rr_25d_avg, round(bf, 6) AS bf_25d_avg FROM m")
 def iv_surface_1m(v):
-    return X.with_instruments(v.options_ticker, v.options_instruments).groupBy(F.floor(F.col("ts_ms") / MINUTE).alias("bucket"), "underlying").agg(R6(F.avg("mark_iv")).alias("iv_avg"))
+    return V.by_minute(surface(v)).select("bucket", "underlying", *(R6(F.col(c)).alias(c) for c in ("iv_avg", "rr_25d_avg", "bf_25d_avg")))
 
 
 GEX = "least(gamma, 1) * least(open_interest, 1e6) * 105 * 105 * CASE WHEN option_type = 'C' THEN 1 ELSE -1 END"
@@ -173,20 +171,20 @@ def metrics_last_seen_topn(v):
     return v.ev.groupBy(F.col("event_type").alias("metric"), (F.col("k") % 5).alias("window_s")).agg(F.max("ts_ms").alias("last_ms")).orderBy(F.desc("last_ms"), "metric").limit(12)
 
 
-@query("surface_1m_health", "SELECT min(ts_ms // 60000) AS first_bucket, max(ts_ms // 60000) AS last_bucket, count(DISTINCT ts_ms // 60000) AS n FROM options_ticker")
+@query("surface_1m_health", f"{IV1M} SELECT min(bucket) AS first_bucket, max(bucket) AS last_bucket, count(*) AS n, count(rr) AS n_rr FROM m")
 def surface_1m_health(v):
-    b = v.options_ticker.select(F.floor(F.col("ts_ms") / MINUTE).alias("b")).distinct()
-    return b.agg(F.min("b").alias("first_bucket"), F.max("b").alias("last_bucket"), F.count("*").alias("n"))
+    return V.by_minute(surface(v)).agg(F.min("bucket").alias("first_bucket"), F.max("bucket").alias("last_bucket"), F.count("*").alias("n"), F.count("rr_25d_avg").alias("n_rr"))
 
 
-@query("surface_coverage", "SELECT count(*) AS n, max(ts_ms) AS newest, count(DISTINCT ts_ms // 60000) AS minutes FROM options_ticker")
+@query("surface_coverage", f"{BUILD} SELECT count(*) AS n, max(minute) AS newest, count(DISTINCT minute) AS minutes FROM sf")
 def surface_coverage(v):
-    return v.options_ticker.groupBy(F.floor(F.col("ts_ms") / MINUTE).alias("b")).agg(F.count("*").alias("c"), F.max("ts_ms").alias("m")).agg(F.sum("c").alias("n"), F.max("m").alias("newest"), F.count("*").alias("minutes"))
+    return surface(v).groupBy("minute").agg(F.count("*").alias("c")).agg(F.sum("c").alias("n"), F.max("minute").alias("newest"), F.count("*").alias("minutes"))
 
 
-@query("surface_key_violations", "SELECT instrument_id, ts_ms // 60000 AS minute, count(*) AS n FROM options_ticker GROUP BY ALL HAVING count(*) > 1")
+@query("surface_key_violations", f"{BUILD}, twice AS (SELECT underlying, minute - minute % 2 AS pair, tenor, band FROM sf) SELECT underlying, pair, tenor, band, count(*) AS n FROM twice GROUP BY ALL HAVING count(*) > 1")
 def surface_key_violations(v):
-    return v.options_ticker.groupBy("instrument_id", F.floor(F.col("ts_ms") / MINUTE).alias("minute")).count().withColumnRenamed("count", "n").where("n > 1")
+    # The surface has no double keys; with minutes taken in pairs it has.
+    return V.violations(surface(v).withColumn("pair", F.col("minute") - F.col("minute") % 2), ["underlying", "pair", "tenor", "band"])
 
 
 @query("surface_minute_max", f"SELECT ts_ms // 60000 AS minute, expiry_days, round(max(mark_iv), 6) AS iv, max(ts_ms) AS last_ms FROM {JOINED} GROUP BY ALL")
@@ -210,9 +208,10 @@ def topk_recent(v):
     return v.trades.orderBy(F.desc("ts_ms")).limit(50).select("instrument_id", "seq", "qty")
 
 
-@query("surface_latest_rows", "SELECT event_id, k::VARCHAR AS k FROM ev ORDER BY ts_ms DESC LIMIT 10")
+@query("surface_latest_rows", f"{BUILD} SELECT minute, tenor, band, round(iv, 6) AS iv, n_used::VARCHAR AS n_used, 'oi' AS weights_used FROM sf ORDER BY minute DESC, tenor, band LIMIT 10")
 def surface_latest_rows(v):
-    return v.table("events").orderBy(F.desc("event_id")).limit(10).select("event_id", X.json_text("props", "k").alias("k"))
+    rows = surface(v).withColumn("meta", V.meta()).orderBy(F.desc("minute"), "tenor", "band").limit(10)
+    return rows.select("minute", "tenor", "band", R6(F.col("iv")).alias("iv"), *(F.get_json_object("meta", f"$.{c}").alias(c) for c in ("n_used", "weights_used")))
 
 
 @query("surface_at_max_time", "SELECT instrument_id, seq, seq2 FROM options_ticker WHERE ts_ms = (SELECT max(ts_ms) FROM options_ticker)")
@@ -299,53 +298,49 @@ def calib_wmid_move(v):
     return percentiles(_delta(v.mark_funding, "mark_price", 30_000), F.abs("d"), (0.25, 0.5, 0.75, 0.95, 0.99))
 
 
-IV1M = "m AS (SELECT ts_ms // 60000 AS bucket, avg(mark_iv) AS iv, avg(mark_iv) FILTER (WHERE delta > 0) - avg(mark_iv) FILTER (WHERE delta < 0) AS rr FROM options_ticker GROUP BY 1)"
-
-
 def _iv1m(v):
-    up = F.avg(F.when(F.col("delta") > 0, F.col("mark_iv"))) - F.avg(F.when(F.col("delta") < 0, F.col("mark_iv")))
-    rows = v.options_ticker.groupBy(F.floor(F.col("ts_ms") / MINUTE).alias("bucket")).agg(F.avg("mark_iv").alias("iv"), up.alias("rr"))
-    return rows.withColumns({"instrument_id": F.lit("BTC"), "ts_ms": F.col("bucket") * MINUTE, "seq": F.col("bucket")})
+    rows = V.by_minute(surface(v)).withColumnsRenamed({"iv_avg": "iv", "rr_25d_avg": "rr", "bf_25d_avg": "bf"})
+    return rows.withColumns({"instrument_id": F.col("underlying"), "ts_ms": F.col("bucket") * MINUTE, "seq": F.col("bucket")})
 
 
 ASOF_M = "b AS (SELECT m.bucket, m.{c} - r.v AS d, (m.bucket - r.t) * 60.0::DOUBLE AS dt, r.v AS p FROM m JOIN LATERAL (SELECT q.{c} AS v, q.bucket AS t FROM m q WHERE q.bucket <= m.bucket - {k} ORDER BY q.bucket DESC LIMIT 1) r ON true)"
 
 
-@query("calib_iv_delta", f"{IV1M}, {ASOF_M.format(c='iv', k=5)}, x AS (SELECT d AS x FROM b) SELECT {P3} FROM x")
+@query("calib_iv_delta", f"{IV1M}, {ASOF_M.format(c='iv', k=5)}, x AS (SELECT d AS x FROM b) SELECT {P3.replace('count(*)', 'count(x)')} FROM x")
 def calib_iv_delta(v):
     return percentiles(_delta(_iv1m(v), "iv", 5 * MINUTE), F.col("d"))
 
 
-@query("calib_iv_pct", f"{IV1M}, {ASOF_M.format(c='iv', k=1)}, x AS (SELECT d / p * 100 AS x FROM b) SELECT {P3} FROM x")
+@query("calib_iv_pct", f"{IV1M}, {ASOF_M.format(c='iv', k=1)}, x AS (SELECT d / p * 100 AS x FROM b) SELECT {P3.replace('count(*)', 'count(x)')} FROM x")
 def calib_iv_pct(v):
     return percentiles(_delta(_iv1m(v), "iv", MINUTE), F.col("d") / F.col("p") * 100)
 
 
-@query("calib_skew_asof", f"{IV1M}, {ASOF_M.format(c='rr', k=5)}, x AS (SELECT abs(d) AS x FROM b) SELECT {P3} FROM x")
+@query("calib_skew_asof", f"{IV1M}, {ASOF_M.format(c='rr', k=5)}, x AS (SELECT abs(d) AS x FROM b) SELECT {P3.replace('count(*)', 'count(x)')} FROM x")
 def calib_skew_asof(v):
     return percentiles(_delta(_iv1m(v), "rr", 5 * MINUTE), F.abs("d"))
 
 
 @query("calib_skew_lag", f"{IV1M}, x AS (SELECT abs(rr - lag(rr) OVER (ORDER BY bucket)) AS x FROM m) SELECT {P3.replace('count(*)', 'count(x)')} FROM x")
 def calib_skew_lag(v):
-    w = Window.partitionBy("instrument_id").orderBy("ts_ms")
-    return percentiles(_iv1m(v).withColumn("x", F.col("rr") - F.lag("rr").over(w)), F.abs("x"))
+    rows = previous(_iv1m(v), ["instrument_id"], ["rr"])
+    return percentiles(rows, F.abs(F.col("rr") - F.col("was.rr")))
 
 
 @query("calib_surface_iv_delta", f"{IV1M}, x AS (SELECT (iv - lag(iv) OVER w) * 1e3 / greatest((bucket - lag(bucket) OVER w) * 60.0::DOUBLE, 1) AS x FROM m WINDOW w AS (ORDER BY bucket)) SELECT {P3.replace('count(*)', 'count(x)')} FROM x")
 def calib_surface_iv_delta(v):
-    w = Window.partitionBy("instrument_id").orderBy("ts_ms")
-    dt = F.greatest((F.col("bucket") - F.lag("bucket").over(w)) * 60.0, F.lit(1.0))
-    return percentiles(_iv1m(v).withColumn("x", (F.col("iv") - F.lag("iv").over(w)) * 1e3 / dt), F.col("x"))
+    rows = previous(_iv1m(v), ["instrument_id"], ["bucket", "iv"])
+    dt = F.greatest((F.col("bucket") - F.col("was.bucket")) * 60.0, F.lit(1.0))
+    return percentiles(rows, (F.col("iv") - F.col("was.iv")) * 1e3 / dt)
 
 
-TERM = f"m AS (SELECT ts_ms // 60000 AS bucket, max(mark_iv) FILTER (WHERE expiry_days <= 7) AS a, max(mark_iv) FILTER (WHERE expiry_days > 30 AND expiry_days <= 90) AS z FROM {JOINED} GROUP BY 1), s AS (SELECT bucket, a - z AS sp FROM m WHERE a IS NOT NULL AND z IS NOT NULL)"
+TERM = f"{BUILD}, s AS (SELECT minute AS bucket, underlying, max(iv) FILTER (WHERE tenor = '0_7d') - max(iv) FILTER (WHERE tenor = '30_90d') AS sp FROM sf WHERE band = 'NA' GROUP BY ALL HAVING sp IS NOT NULL)"
 
 
 def _term(v):
-    d = F.col("expiry_days")
-    rows = X.with_instruments(v.options_ticker, v.options_instruments).groupBy(F.floor(F.col("ts_ms") / MINUTE).alias("bucket")).agg(F.max(F.when(d <= 7, F.col("mark_iv"))).alias("a"), F.max(F.when((d > 30) & (d <= 90), F.col("mark_iv"))).alias("z"))
-    return rows.where("a is not null and z is not null").withColumns({"sp": F.col("a") - F.col("z"), "instrument_id": F.lit("BTC"), "ts_ms": F.col("bucket") * MINUTE, "seq": F.col("bucket")})
+    of = lambda t: F.max(F.when(F.col("tenor") == t, F.col("iv")))
+    rows = surface(v).where("band = 'NA'").groupBy(F.col("minute").alias("bucket"), "underlying").agg((of("0_7d") - of("30_90d")).alias("sp")).where("sp is not null")
+    return rows.withColumns({"instrument_id": F.col("underlying"), "ts_ms": F.col("bucket") * MINUTE, "seq": F.col("bucket")})
 
 
 @query("calib_term_minute_spread", f"{TERM}, x AS (SELECT sp AS x FROM s) SELECT {P3} FROM x")

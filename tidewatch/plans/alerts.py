@@ -14,8 +14,8 @@ from .detectors import SPOOF, TAPE, cooled_sql, runs_sql, spoof_rows
 from .registry import query
 
 R6 = lambda c: F.round(c, 6)
-EVENTS = f"{runs_sql('trades', 800)}, sl AS (SELECT instrument_id, ts_ms, seq, 'slicing_aggr' AS kind, side, price, volume AS intensity FROM r2 WHERE k >= 5 AND volume >= 5)"
-SEV = "CASE WHEN abs(intensity) >= 10 THEN 'HIGH' WHEN abs(intensity) >= 5 THEN 'MEDIUM' ELSE 'LOW' END"
+EVENTS = f"{runs_sql('trades', 800)}, sl AS (SELECT instrument_id, ts_ms, seq, 'slicing_aggr' AS kind, side, price, volume AS intensity, k FROM r2 WHERE k >= 5 AND volume >= 5)"
+SEV = "CASE WHEN intensity >= 10 THEN 'HIGH' WHEN intensity >= 5 THEN 'MEDIUM' ELSE 'LOW' END"
 
 
 def events(v):
@@ -25,22 +25,60 @@ def events(v):
 
 TAPES = cooled_sql("cand", "instrument_id", 20000)
 
-
-@query("rule_eval", f"{EVENTS}, {TAPE}, {TAPES} SELECT instrument_id, seq, CASE WHEN side = 'buy' THEN 'R5' ELSE 'R6' END AS rule, {SEV} AS severity FROM sl UNION ALL SELECT instrument_id, seq, CASE WHEN ratio >= 0.8 THEN 'R23' ELSE 'R24' END, CASE WHEN ratio >= 0.9 THEN 'HIGH' WHEN ratio >= 0.8 THEN 'MEDIUM' ELSE 'LOW' END FROM fired")
+#: Kinds of event and the scale of their intensities, for a catalogue of events of every kind, side and sign.
+KINDS = [
+    ("break_wall", 5.0), ("absorption", 900.0), ("slicing_aggr", 15.0), ("slicing_pass", 40.0), ("dominance", 100.0), ("spoofing", 150.0), ("depletion", 1.0), ("metric_trigger", 150.0), ("basis_mean_revert", 5.0),
+    ("iv_spike", 1.0), ("iv_spike_up", 30.0), ("iv_spike_down", 30.0), ("oi_skew_bull", 3.0), ("oi_skew_bear", 3.0), ("tape_pressure", 1.0), ("oi_spike", 1.0), ("top_traders", 1.0), ("liq_cluster", 1.0),
+    ("basis_dislocation", 1.0), ("skew_shock", 1.0), ("gamma_flip", 1.0), ("term_structure_invert", 1.0), ("unknown", 1.0),
+]
+SIDES = ["buy", "sell", "na", "long", "SHORT", None]
+METRICS = ["basis_bps", "spread_usd", "wmid"]
+text_list = lambda xs: "[" + ", ".join("NULL" if x is None else f"'{x}'" for x in xs) + "]"
+number = lambda x: "NULL" if x is None else f"{x}"
+EVERY_KIND = f"""
+ek AS (SELECT event_id AS seq, instrument_id, ({text_list(k for k, _ in KINDS)})[event_id % {len(KINDS)} + 1] AS kind, lower(coalesce(({text_list(SIDES)})[(event_id // 7) % {len(SIDES)} + 1], 'na')) AS side, ({text_list(METRICS)})[(event_id // 5) % {len(METRICS)} + 1] AS metric,
+       CASE WHEN k % 17 = 0 THEN NULL ELSE (k - 30) / 70::DOUBLE * (ARRAY{[x for _, x in KINDS]})[event_id % {len(KINDS)} + 1] END AS val, CASE WHEN k % 5 = 0 THEN NULL ELSE (k % 7 - 2) * 20::DOUBLE END AS thr, CASE WHEN k % 6 = 0 THEN NULL ELSE (k - 50) / 12::DOUBLE END AS vel FROM ev),
+th AS (SELECT *, coalesce(thr, 0) AS t, coalesce(vel, 0) AS u FROM ek),
+hit AS (
+SELECT *, CASE side WHEN 'buy' THEN 'R1' ELSE 'R2' END AS rule, side AS out_side, abs(u) AS x, 2.0 AS m, 3.0 AS h FROM th WHERE kind = 'break_wall' AND (side = 'buy' AND u > 0 OR side = 'sell' AND u < 0)
+UNION ALL SELECT th.*, CASE side WHEN 'buy' THEN r[1] ELSE r[2] END, side, val, m, h FROM th JOIN (VALUES ('absorption', ['R3', 'R4'], 300, 600), ('slicing_aggr', ['R5', 'R6'], 5, 10), ('slicing_pass', ['R7', 'R8'], 10, 25), ('dominance', ['R9', 'R10'], 80, 90), ('spoofing', ['R11', 'R12'], 50, 100), ('depletion', ['R13', 'R14'], 0.4, 0.6), ('tape_pressure', ['R23', 'R24'], 0.8, 0.9), ('oi_spike', ['R28', 'R29'], 0.6, 0.8), ('liq_cluster', ['R33', 'R32'], 0.4, 0.8)) q(kind, r, m, h) USING (kind) WHERE side IN ('buy', 'sell')
+UNION ALL SELECT *, CASE side WHEN 'long' THEN 'R30' ELSE 'R31' END, side, val, 0.6, 0.8 FROM th WHERE kind = 'top_traders' AND side IN ('long', 'short')
+UNION ALL SELECT *, 'R15', 'na', val, 50, 100 FROM th WHERE kind = 'metric_trigger' AND metric = 'basis_bps' AND val >= t AND t >= 0
+UNION ALL SELECT *, 'R16', 'na', abs(val), 50, 100 FROM th WHERE kind = 'metric_trigger' AND metric = 'basis_bps' AND val <= -abs(t)
+UNION ALL SELECT *, CASE side WHEN 'sell' THEN 'R17' ELSE 'R18' END, side, abs(val), 2, 3 FROM th WHERE kind = 'basis_mean_revert' AND side IN ('buy', 'sell')
+UNION ALL SELECT *, 'R19', side, val, 0.6, 0.8 FROM th WHERE kind = 'iv_spike'
+UNION ALL SELECT *, CASE kind WHEN 'iv_spike_up' THEN 'R19' ELSE 'R20' END, 'na', 1, 0, 0 FROM th WHERE kind IN ('iv_spike_up', 'iv_spike_down')
+UNION ALL SELECT *, CASE kind WHEN 'oi_skew_bull' THEN 'R21' ELSE 'R22' END, 'na', 1, 0, 9 FROM th WHERE kind IN ('oi_skew_bull', 'oi_skew_bear')
+UNION ALL SELECT *, 'R27', 'na', abs(coalesce(val, 0)), 0.5, 1 FROM th WHERE kind = 'metric_trigger' AND metric = 'spread_usd'
+UNION ALL SELECT *, CASE kind WHEN 'basis_dislocation' THEN 'R34' WHEN 'skew_shock' THEN 'R35' WHEN 'gamma_flip' THEN 'R36' ELSE 'R37' END, 'na', val, 0.6, 0.8 FROM th WHERE kind IN ('basis_dislocation', 'skew_shock', 'gamma_flip', 'term_structure_invert'))"""
+
+
+def every_kind(v):
+    """Events of every kind, derived from the raw events."""
+    pick = lambda xs, i: F.get(F.array(*(F.lit(x) for x in xs)), (i % len(xs)).cast("int"))
+    e, k = F.col("event_id"), F.col("k")
+    scale = pick([x for _, x in KINDS], e)
+    return v.ev.select(
+        e.alias("seq"), "instrument_id", pick([x for x, _ in KINDS], e).alias("kind"), pick(SIDES, F.floor(e / 7)).alias("side"), pick(METRICS, F.floor(e / 5)).alias("metric"),
+        F.when(k % 17 != 0, (k - 30) / 70.0 * scale).alias("intensity"), F.when(k % 5 != 0, (k % 7 - 2) * 20.0).alias("threshold"), F.when(k % 6 != 0, (k - 50) / 12.0).alias("velocity"),
+    )
+
+
+@query("rule_eval", f"{EVENTS}, {TAPE}, {TAPES}, {EVERY_KIND} SELECT instrument_id, seq, CASE WHEN side = 'buy' THEN 'R5' ELSE 'R6' END AS rule, side, {SEV} AS severity FROM sl UNION ALL SELECT instrument_id, seq, CASE WHEN ratio >= 0.8 THEN 'R23' ELSE 'R24' END, CASE WHEN ratio >= 0.8 THEN 'buy' ELSE 'sell' END, CASE WHEN ratio >= 0.9 THEN 'HIGH' WHEN ratio >= 0.8 THEN 'MEDIUM' ELSE 'LOW' END FROM fired UNION ALL SELECT instrument_id, seq, rule, out_side, CASE WHEN x IS NULL THEN 'MEDIUM' WHEN x >= h THEN 'HIGH' WHEN x >= m THEN 'MEDIUM' ELSE 'LOW' END FROM hit")
 def rule_eval(v):
     tape = D.tape_pressure(v.trades, 3000, 0.8, 0.2, 20_000)
-    both = events(v).select("instrument_id", "seq", "kind", "side", "intensity").unionByName(tape.select("instrument_id", "seq", "kind", "side", "intensity"))
-    return S.rated(both).select("instrument_id", "seq", "rule", "severity")
+    found = events(v).select("instrument_id", "seq", "kind", "side", "intensity").unionByName(tape.select("instrument_id", "seq", "kind", "side", "intensity"))
+    return S.rated(found.unionByName(every_kind(v), allowMissingColumns=True)).select("instrument_id", "seq", "rule", "side", "severity")
 
 
 @query("severity_abs", "SELECT event_id, CASE WHEN value - 50 IS NULL THEN 'MEDIUM' WHEN abs(value - 50) >= 40 THEN 'HIGH' WHEN abs(value - 50) >= 20 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM ev")
 def severity_abs(v):
-    return v.ev.select("event_id", S.severity(F.col("value") - 50, F.lit(20.0), F.lit(40.0)).alias("severity"))
+    return v.ev.select("event_id", S.severity(F.abs(F.col("value") - 50), F.lit(20.0), F.lit(40.0)).alias("severity"))
 
 
-@query("severity_val", "SELECT event_id, CASE WHEN k % 9 = 0 THEN 'MEDIUM' WHEN value >= 100 THEN 'HIGH' WHEN value >= 50 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM ev")
+@query("severity_val", "SELECT event_id, CASE WHEN k % 9 = 0 THEN 'MEDIUM' WHEN value - 50 >= 40 THEN 'HIGH' WHEN value - 50 >= 20 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM ev")
 def severity_val(v):
-    return v.ev.select("event_id", S.severity(F.when(F.col("k") % 9 != 0, F.col("value")), F.lit(50.0), F.lit(100.0)).alias("severity"))
+    return v.ev.select("event_id", S.severity(F.when(F.col("k") % 9 != 0, F.col("value") - 50), F.lit(20.0), F.lit(40.0)).alias("severity"))
 
 
 @query("severity_norm", "SELECT event_id, CASE k % 4 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'LOW' ELSE 'MEDIUM' END AS severity FROM ev")
@@ -49,12 +87,14 @@ def severity_norm(v):
     return v.ev.select("event_id", S.normal_severity(word).alias("severity"))
 
 
-KEYED = f"""{EVENTS}, al AS (SELECT *, instrument_id || '|' || CASE WHEN side = 'buy' THEN 'R5' ELSE 'R6' END || '|' || side || '|' || kind || '|' || printf('%.2f', price) || '|' || printf('%.4f', 1.0::DOUBLE) || '|' || substring(sha1('{{"mode":"hitting"}}'), 1, 8) AS dedup_key FROM sl)"""
+#: Intensities of runs grow from trade to trade; in steps of 20, hits of one run merge.
+KEYED = f"""{EVENTS}, al AS (SELECT *, instrument_id || '|' || CASE WHEN side = 'buy' THEN 'R5' ELSE 'R6' END || '|' || side || '|' || kind || '|p=' || printf('%.2f', price) || '|i=' || printf('%.4f', step) || '|' || substring(sha1('{{"mode":"hitting","step":"' || step::BIGINT::VARCHAR || '"}}'), 1, 8) AS dedup_key FROM (SELECT *, floor(intensity / 20) * 20 AS step FROM sl))"""
 
 
 def keyed(v):
-    rows = S.rated(events(v)).withColumn("intensity", F.lit(1.0))
-    return rows.withColumn("dedup_key", S.dedup_key(F.map_filter("fields", lambda k, _: k == "mode")))
+    step = F.floor(F.col("intensity") / 20) * 20
+    rows = S.rated(events(v)).withColumn("intensity", step.cast("double"))
+    return rows.withColumn("dedup_key", S.dedup_key(F.create_map(F.lit("step"), step.cast("string"), F.lit("mode"), F.col("fields")["mode"])))
 
 
 @query("dedup_key", f"{KEYED} SELECT instrument_id, seq, dedup_key FROM al")
@@ -107,7 +147,7 @@ def calib_slicing(v):
     return percentiles(events(v), F.col("intensity"))
 
 
-@query("calib_spoofing", f"{SPOOF}, x AS (SELECT cancelled AS x FROM sz WHERE rate >= 0.3 AND executed <= 5) SELECT {P3} FROM x")
+@query("calib_spoofing", f"{SPOOF}, x AS (SELECT wall AS x FROM sz WHERE rate >= 0.3 AND executed <= 5) SELECT {P3} FROM x")
 def calib_spoofing(v):
     return percentiles(spoof_rows(v), F.col("intensity"))
 

@@ -8,16 +8,17 @@ from pyspark.sql.window import Window
 from tidewatch.functions import exprs as X
 from tidewatch.operators import book as B
 from tidewatch.operators import rolling as R
-from tidewatch.operators.blocks import trailing_sum
+from tidewatch.operators.blocks import asof_join, bucketed, trailing_sum, unbucketed
 
 from .registry import query
 
 R6 = lambda c: F.round(c, 6)
-EVERY = 10_000
+#: Stride of the book samples. The longest lapse of a sample behind the book is this.
+EVERY = 1_000
 
 LEVELS = """
 lx AS (SELECT *, sum(CASE WHEN action = 'delete' THEN -qty ELSE qty END) OVER w AS s FROM depth WINDOW w AS (PARTITION BY instrument_id, side, price ORDER BY ts_ms, seq)),
-lv AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY instrument_id, side, price ORDER BY ts_ms, seq)) AS level_qty, lead(ts_ms) OVER (PARTITION BY instrument_id, side, price ORDER BY ts_ms, seq) AS to_ms FROM lx)"""
+lv AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY instrument_id, side, price ORDER BY ts_ms, seq)) AS level_qty, lead(ts_ms) OVER (PARTITION BY instrument_id, side, price ORDER BY ts_ms, seq) AS to_ms, lead(seq) OVER (PARTITION BY instrument_id, side, price ORDER BY ts_ms, seq) AS to_seq FROM lx)"""
 BOOK = f"""{LEVELS},
 g AS (SELECT unnest(range(0, (SELECT max(ts_ms) FROM depth) + 1, {EVERY})) AS instant),
 live AS (SELECT instant, instrument_id, side, price, level_qty AS qty, row_number() OVER (PARTITION BY instant, instrument_id, side ORDER BY CASE WHEN side = 'buy' THEN -price ELSE price END) AS level
@@ -36,9 +37,9 @@ def book_levels(v):
     return B.levels(v.depth).select("instrument_id", "seq", "level_qty")
 
 
-@query("book_levels_absolute", "l AS (SELECT instrument_id, side, price, arg_max(qty, ts_ms) AS qty FROM depth_abs WHERE ts_ms <= 300000 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY instrument_id, side ORDER BY CASE WHEN side = 'buy' THEN -price ELSE price END) AS level FROM l WHERE qty > 0) SELECT instrument_id, side, round(price, 6) AS price, qty, level FROM r WHERE level <= 5")
+@query("book_levels_absolute", "l AS (SELECT instrument_id, side, price, arg_max(qty, ts_ms) AS qty FROM depth_abs GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY instrument_id, side ORDER BY CASE WHEN side = 'buy' THEN -price ELSE price END) AS level FROM l WHERE qty > 0) SELECT instrument_id, side, round(price, 6) AS price, qty, level FROM r WHERE level <= 5")
 def book_levels_absolute(v):
-    return B.levels_absolute(v.depth_abs, 300_000, 5).select("instrument_id", "side", R6("price").alias("price"), "qty", F.col("level").cast("long").alias("level"))
+    return B.levels_absolute(v.depth_abs, None, 5).select("instrument_id", "side", R6("price").alias("price"), "qty", F.col("level").cast("long").alias("level"))
 
 
 @query("book_best", f"{BOOK} SELECT instrument_id, instant, round(best_bid, 6) AS best_bid, round(best_ask, 6) AS best_ask, bid_qty, ask_qty FROM b")
@@ -157,8 +158,55 @@ def m_oi_delta_pct(v):
     return R.percent_change(v.open_interest, ["instrument_id"], "open_interest", 60_000).select("instrument_id", "seq", R6("pct").alias("pct"))
 
 
-@query("metrics_unpivot", f"{BOOK}, u AS (SELECT instrument_id, instant, unnest([{{'m': 'spread_usd', 'w': 0, 'x': greatest(best_ask - best_bid, 0)}}, {{'m': 'wmid', 'w': 0, 'x': (best_ask + best_bid) / 2}}, {{'m': 'imbalance', 'w': 0, 'x': (bid_vol - ask_vol) / nullif(bid_vol + ask_vol, 0)}}]) AS r FROM b) SELECT instrument_id, instant, r.m AS metric, r.w AS window_s, round(r.x, 6) AS value FROM u WHERE r.x IS NOT NULL")
+# The whole snapshot: a row per instrument and instant with all metrics, documented forms beside the others.
+SNAP = f"""{BOOK},
+mb AS (SELECT instrument_id, ts_ms, seq, (mark_price / index_price - 1) * 1e4 AS b, (index_price - mark_price) / mark_price * 1e4 AS d FROM mark_funding),
+mv AS (SELECT *, (b - lag(b) OVER w) / greatest((ts_ms - lag(ts_ms) OVER w) / 1000.0::DOUBLE, 1e-6) AS vel FROM mb WINDOW w AS (PARTITION BY instrument_id ORDER BY ts_ms, seq)),
+md AS (SELECT x.*, (x.d - r.v) / ((x.ts_ms - r.t) / 1000.0::DOUBLE) AS s FROM mv x {BREF.format(c='d', t='mb')}),
+ma AS (SELECT x.*, (x.s - r.v) / ((x.ts_ms - r.t) / 1000.0::DOUBLE) AS a FROM md x {BREF.format(c='s', t='md')}),
+fl AS (SELECT instrument_id, instant, coalesce(sum(qty) FILTER (WHERE side = 'buy' AND action <> 'delete'), 0) AS ib, coalesce(sum(qty) FILTER (WHERE side = 'buy' AND action = 'delete'), 0) AS db,
+              coalesce(sum(qty) FILTER (WHERE side = 'sell' AND action <> 'delete'), 0) AS ia, coalesce(sum(qty) FILTER (WHERE side = 'sell' AND action = 'delete'), 0) AS da FROM g JOIN depth ON ts_ms <= instant AND ts_ms >= instant - 3000 GROUP BY ALL),
+s0 AS (SELECT *, bid_vol + ask_vol AS vol, bid_levels / nullif(bid_levels + ask_levels, 0)::DOUBLE AS lev FROM b),
+s1 AS (SELECT *, (bid_vol - ask_vol) / nullif(vol, 0) AS imb, avg((bid_vol - ask_vol) / nullif(vol, 0)) OVER w AS imb_doc, avg(bid_vol / nullif(vol, 0)) OVER w AS dom_doc FROM s0 WINDOW w AS (PARTITION BY instrument_id ORDER BY instant RANGE BETWEEN 5000 PRECEDING AND CURRENT ROW)),
+s2 AS (SELECT x.*, CASE WHEN p.instant >= x.instant - 9000 THEN x.bid_vol - p.bid_vol END AS dv_bid, CASE WHEN p.instant >= x.instant - 9000 THEN x.ask_vol - p.ask_vol END AS dv_ask FROM s1 x ASOF LEFT JOIN b p ON p.instrument_id = x.instrument_id AND p.instant <= x.instant - 3000),
+s3 AS (SELECT s2.*, ma.b AS basis, ma.vel, ma.d AS basis_d, ma.s AS vel_d, ma.a AS acc_d FROM s2 ASOF LEFT JOIN ma ON ma.instrument_id = s2.instrument_id AND ma.ts_ms <= s2.instant),
+sn AS (SELECT s3.instrument_id, s3.instant, s3.instant AS ts_ms, s3.instant AS seq, best_bid, best_ask, greatest(best_ask - best_bid, 0) AS spread_usd, basis AS basis_bps, vel AS basis_vel_bps_s, basis_d AS basis_bps_doc, vel_d AS basis_vel_bps_s_doc, acc_d AS basis_accel_bps_s2_doc,
+              lev AS dom_bid, 1 - lev AS dom_ask, dom_doc AS dominance_bid_doc, 1 - dom_doc AS dominance_ask_doc, imb AS imbalance, imb_doc AS imbalance_doc, coalesce(db, 0) / nullif(coalesce(ib, 0) + coalesce(db, 0), 0) AS dep_bid, coalesce(da, 0) / nullif(coalesce(ia, 0) + coalesce(da, 0), 0) AS dep_ask,
+              dv_bid AS depletion_bid_doc, dv_ask AS depletion_ask_doc, least(ib / nullif(db, 0), 1) AS refill_bid_3s, least(ia / nullif(da, 0), 1) AS refill_ask_3s, (best_ask + best_bid) / 2 AS wmid FROM s3 LEFT JOIN fl USING (instrument_id, instant))"""
+#: The metrics that are kept as a series, and the window of each in seconds.
+SERIES = {
+    "spread_usd": 1, "basis_bps": 1, "basis_vel_bps_s": 1, "basis_bps_doc": 5, "basis_vel_bps_s_doc": 5, "basis_accel_bps_s2_doc": 5, "dom_bid": 1, "dom_ask": 1, "dominance_bid_doc": 5, "dominance_ask_doc": 5, "imbalance": 1, "imbalance_doc": 5,
+    "dep_bid": 1, "dep_ask": 1, "depletion_bid_doc": 3, "depletion_ask_doc": 3, "refill_bid_3s": 1, "refill_ask_3s": 1, "wmid": 1,
+}
+
+
+def snapshots(v):
+    key = ["instrument_id"]
+    marks = X.basis_velocity(basis_doc(v))
+    marks = R.second_derivative(marks, key, "b", 5000, 20000)
+    marks = marks.select("instrument_id", "ts_ms", "seq", F.struct("basis", "velocity", "b", "slope", "accel").alias("m"))
+    rows = asof_join(timed(v), marks, key, F.col("m"), "m")
+    rows = bucketed(rows, 9_000)
+    here = Window.partitionBy("instrument_id", "_bucket").orderBy("ts_ms")
+    near, before = here.rangeBetween(-5_000, 0), here.rangeBetween(-9_000, -3_000)
+    rows = unbucketed(rows.withColumns({"imbalance_doc": F.avg("imbalance").over(near), "dominance_bid_doc": F.avg("dominance_bid").over(near), "_was": F.max(F.struct("ts_ms", "bid_vol", "ask_vol")).over(before)}))
+    # Each delta serves the instants up to 3 s after it.
+    first, last = F.ceil(F.col("ts_ms") / EVERY) * EVERY, F.floor((F.col("ts_ms") + 3000) / EVERY) * EVERY
+    gone = F.when(F.col("action") == "delete", F.col("qty")).otherwise(0.0)
+    came = F.when(F.col("action") != "delete", F.col("qty")).otherwise(0.0)
+    sums = [F.sum(F.when(F.col("side") == side, c).otherwise(0.0)).alias(f"{name}_{end}") for side, end in (("buy", "bid"), ("sell", "ask")) for c, name in ((came, "in"), (gone, "out"))]
+    flow = v.depth.withColumn("instant", F.explode(F.sequence(first, last, F.lit(EVERY).cast("long")))).groupBy("instrument_id", "instant").agg(*sums)
+    rows = rows.join(flow, ["instrument_id", "instant"], "left")
+    both = {f"dep_{e}": F.try_divide(f"out_{e}", F.col(f"in_{e}") + F.col(f"out_{e}")) for e in ("bid", "ask")} | {f"refill_{e}_3s": F.least(F.try_divide(f"in_{e}", f"out_{e}"), F.lit(1.0)) for e in ("bid", "ask")}
+    named = {
+        "spread_usd": F.col("spread"), "basis_bps": F.col("m.basis"), "basis_vel_bps_s": F.col("m.velocity"), "basis_bps_doc": F.col("m.b"), "basis_vel_bps_s_doc": F.col("m.slope"), "basis_accel_bps_s2_doc": F.col("m.accel"),
+        "dom_bid": F.col("level_share_bid"), "dom_ask": 1 - F.col("level_share_bid"), "dominance_ask_doc": 1 - F.col("dominance_bid_doc"), "depletion_bid_doc": F.col("bid_vol") - F.col("_was.bid_vol"), "depletion_ask_doc": F.col("ask_vol") - F.col("_was.ask_vol"),
+    }
+    return rows.withColumns(both | named).select("instrument_id", "instant", "ts_ms", "seq", "best_bid", "best_ask", *SERIES)
+
+
+@query("metrics_unpivot", f"{SNAP}, u AS (UNPIVOT (SELECT instrument_id, instant, {', '.join(SERIES)} FROM sn) ON {', '.join(SERIES)} INTO NAME metric VALUE value) SELECT instrument_id, instant, metric, CASE WHEN metric LIKE 'depletion%' THEN 3 WHEN metric LIKE '%_doc' THEN 5 ELSE 1 END AS window_s, round(value, 4) AS value FROM u")
 def metrics_unpivot(v):
-    wide = book(v).select("instrument_id", "instant", F.col("spread").alias("spread_usd"), "wmid", "imbalance")
-    long = wide.unpivot(["instrument_id", "instant"], ["spread_usd", "wmid", "imbalance"], "metric", "value")
-    return R.clean(long, "value").select("instrument_id", "instant", "metric", F.lit(0).alias("window_s"), R6("value").alias("value"))
+    long = snapshots(v).unpivot(["instrument_id", "instant"], list(SERIES), "metric", "value")
+    window = F.create_map(*(F.lit(x) for pair in SERIES.items() for x in pair))[F.col("metric")]
+    return R.clean(long, "value").select("instrument_id", "instant", "metric", window.alias("window_s"), F.round("value", 4).alias("value"))

@@ -7,7 +7,8 @@ from pyspark.sql.window import Window
 
 from tidewatch.functions import exprs as X
 from tidewatch.operators import detect as D
-from tidewatch.operators import rolling as R
+from tidewatch.operators.blocks import held, run_ids
+from tidewatch.operators.book import with_best
 
 from . import books
 from .registry import query
@@ -68,35 +69,71 @@ def det_absorption(v):
 
 
 BREAK = f"""
-{runs_sql('trades', 800)},
+{books.SNAP}, {runs_sql('trades', 800)},
 sl AS (SELECT * FROM r2 WHERE k >= 3 AND volume >= 5),
-s1 AS (SELECT *, sum(coalesce(side <> pside, true)::INT) OVER (PARTITION BY instrument_id ORDER BY ts_ms, seq) AS streak FROM (SELECT *, lag(side) OVER (PARTITION BY instrument_id ORDER BY ts_ms, seq) AS pside FROM sl)),
-s2 AS (SELECT *, count(*) OVER (PARTITION BY instrument_id, streak ORDER BY ts_ms, seq) AS n FROM s1),
-mk AS (SELECT instrument_id, ts_ms, seq, (b - lag(b) OVER w) / greatest((ts_ms - lag(ts_ms) OVER w) / 1000.0::DOUBLE, 1e-6) AS velocity, (index_price - 100) * 20 - 10 AS bid_change, 10 - (index_price - 100) * 20 AS ask_change
-       FROM (SELECT *, (mark_price / index_price - 1) * 1e4 AS b FROM mark_funding) WINDOW w AS (PARTITION BY instrument_id ORDER BY ts_ms, seq)),
-bw AS (SELECT s2.*, velocity, CASE WHEN side = 'buy' THEN ask_change ELSE bid_change END AS change FROM s2 ASOF LEFT JOIN mk ON mk.instrument_id = s2.instrument_id AND mk.ts_ms <= s2.ts_ms)
-SELECT instrument_id, seq, side, n, CASE WHEN n < 3 THEN 'streak' WHEN velocity IS NULL THEN 'no_velocity' WHEN abs(velocity) < 20 THEN 'velocity' WHEN change IS NULL THEN 'no_depletion' WHEN -change < 2 THEN 'depletion' WHEN greatest(change, 0) > 10 THEN 'refill' END AS gate"""
+w1 AS (SELECT *, sum(coalesce(side <> pside, true)::INT) OVER (PARTITION BY instrument_id ORDER BY ts_ms, seq) AS streak FROM (SELECT *, lag(side) OVER (PARTITION BY instrument_id ORDER BY ts_ms, seq) AS pside FROM sl)),
+w2 AS (SELECT *, count(*) OVER (PARTITION BY instrument_id, streak ORDER BY ts_ms, seq) AS n FROM w1),
+w3 AS (SELECT w2.instrument_id, w2.ts_ms, w2.seq, w2.side, w2.price, w2.volume, w2.n, sn.* EXCLUDE (instrument_id, instant, ts_ms, seq) FROM w2 ASOF LEFT JOIN sn ON sn.instrument_id = w2.instrument_id AND sn.ts_ms <= w2.ts_ms),
+w4 AS (SELECT *, coalesce(basis_vel_bps_s_doc, basis_vel_bps_s) AS auto_vel, CASE WHEN basis_vel_bps_s_doc IS NULL AND basis_vel_bps_s IS NOT NULL THEN 'legacy' ELSE 'doc' END AS auto_source, CASE WHEN side = 'buy' THEN depletion_ask_doc ELSE depletion_bid_doc END AS dv,
+              coalesce(CASE WHEN side = 'buy' THEN dep_ask ELSE dep_bid END, 0) AS dep, coalesce(CASE WHEN side = 'buy' THEN refill_ask_3s ELSE refill_bid_3s END, 0) AS refill, abs(price - CASE WHEN side = 'buy' THEN best_ask ELSE best_bid END) / 0.1 AS far FROM w3)"""
 
 
-def break_rows(v):
-    swing = (F.col("index_price") - 100) * 20 - 10
-    metrics = X.basis_velocity(v.mark_funding).select("instrument_id", "ts_ms", "seq", "velocity", swing.alias("bid_change"), (10 - (F.col("index_price") - 100) * 20).alias("ask_change"))
-    return D.break_wall(D.slicing(v.trades, 800, 3, 5.0), metrics, 3, 20.0, 2.0, 10.0)
+def gate_sql(source: str, speed: float, share: float, refill: float, warn: float, most: float, ticks: float) -> str:
+    """The gate of each slicing event: 'pass', a reason, or null."""
+    vel = {"legacy": "basis_vel_bps_s", "doc": "basis_vel_bps_s_doc", "auto": "auto_vel"}[source]
+    used = {"legacy": "'legacy'", "doc": "'doc'", "auto": "auto_source"}[source]
+    plain = f"CASE WHEN dep < {share} THEN 'dep_low' WHEN refill >= {refill} THEN 'refill_high' ELSE 'pass' END"
+    return f"""bw AS (SELECT *, {vel} AS vel, CASE WHEN n < 3 OR {vel} IS NULL THEN NULL WHEN abs({vel}) < {speed} THEN 'basis_vel_low' WHEN far > {ticks} THEN 'top_levels_gate' WHEN {used} = 'legacy' THEN {plain}
+        WHEN dv IS NULL THEN {plain if source == 'auto' else 'NULL'} WHEN dv >= 0 THEN 'no_depletion' WHEN least(-dv, 300) < {warn} THEN 'dep_low' ELSE 'pass' END AS verdict FROM w4)"""
 
 
-@query("det_break_wall", f"{BREAK} FROM bw")
-def det_break_wall(v):
-    return break_rows(v).select("instrument_id", "seq", "side", "n", "gate")
+GATES = {"legacy": (20.0, 0.3, 0.95, 8.0, 10.0, 8.0), "doc": (1.0, 0.3, 0.95, 8.0, 10.0, 8.0), "auto": (2.0, 0.3, 0.95, 8.0, 10.0, 8.0)}
 
 
-@query("audit_breakwall_from_raw", f"{BREAK.replace('SELECT instrument_id, seq, side, n, CASE', 'SELECT instrument_id, seq, side, CASE side WHEN $$buy$$ THEN $$R1$$ ELSE $$R2$$ END AS expected_rule FROM bw WHERE (CASE')} ) IS NULL".replace(" END AS gate )", " END)"))
+def break_rows(v, source):
+    speed, share, refill, warn, most, ticks = GATES[source]
+    return D.break_wall(D.slicing(v.trades, 800, 3, 5.0), books.snapshots(v), 3, speed, source, share, refill, warn, most, ticks=ticks)
+
+
+def _break_query(name, source):
+    @query(name, f"{BREAK}, {gate_sql(source, *GATES[source])} SELECT instrument_id, seq, side, n, verdict IS NOT NULL AND verdict = 'pass' AS fired, nullif(verdict, 'pass') AS gate FROM bw")
+    def run(v):
+        return break_rows(v, source).select("instrument_id", "seq", "side", "n", "fired", "gate")
+
+
+_break_query("det_break_wall", "auto")
+_break_query("det_break_wall_doc", "doc")
+_break_query("det_break_wall_legacy", "legacy")
+
+
+@query("audit_breakwall_from_raw", f"{BREAK}, {gate_sql('auto', *GATES['auto'])} SELECT instrument_id, seq, side, CASE WHEN side = 'buy' THEN 'R1' ELSE 'R2' END AS expected_rule FROM bw WHERE verdict = 'pass' AND (side = 'buy' AND vel > 0 OR side = 'sell' AND vel < 0)")
 def audit_breakwall_from_raw(v):
-    return break_rows(v).where("gate is null").select("instrument_id", "seq", "side", F.when(F.col("side") == "buy", "R1").otherwise("R2").alias("expected_rule"))
+    from tidewatch.operators.rules import rated
+
+    fired = break_rows(v, "auto").where("fired")
+    return rated(fired).select("instrument_id", "seq", "side", F.col("rule").alias("expected_rule"))
+
+
+DOM = f"""{books.SNAP}, tight AS (SELECT * FROM sn WHERE spread_usd <= 2.0),
+dd AS (SELECT instrument_id, ts_ms, seq, CASE WHEN dominance_bid_doc >= 0.6 THEN 'buy' ELSE 'sell' END AS side, 'doc' AS metric_source, 100 * greatest(dominance_bid_doc, dominance_ask_doc) AS x FROM tight WHERE dominance_bid_doc >= 0.6 OR dominance_ask_doc >= 0.6),
+d0 AS (SELECT instrument_id, ts_ms, seq, CASE WHEN dom_bid >= 0.55 THEN 'buy' ELSE 'sell' END AS side, 100 * greatest(dom_bid, dom_ask) AS x FROM tight t WHERE (dom_bid >= 0.55 OR dom_ask >= 0.55) AND {{rest}}),
+d1 AS (SELECT *, coalesce(side <> lag(side) OVER (PARTITION BY instrument_id ORDER BY ts_ms), true) AS turn FROM d0),
+cand AS (SELECT *, sum(turn::INT) OVER (PARTITION BY instrument_id ORDER BY ts_ms) AS run FROM d1), {cooled_sql('cand', 'instrument_id, run', 3000)}"""
+LEVEL_FORM = "SELECT instrument_id, ts_ms, side, 'legacy' AS metric_source, round(x, 6) AS intensity FROM fired"
 
 
-@query("det_dominance", f"{books.BOOK}, d AS (SELECT *, bid_vol / nullif(bid_vol + ask_vol, 0) AS s FROM b) SELECT instrument_id, instant, CASE WHEN s >= 0.6 THEN 'buy' ELSE 'sell' END AS side, round(greatest(s, 1 - s), 6) AS intensity FROM d WHERE (s >= 0.6 OR 1 - s >= 0.6) AND greatest(best_ask - best_bid, 0) <= 0.5")
+def _dominance(v, source):
+    return D.dominance(books.snapshots(v), source, 0.6, 0.55, 2.0, 3000).select("instrument_id", "ts_ms", "side", "metric_source", R6("intensity").alias("intensity"))
+
+
+@query("det_dominance", f"{DOM.format(rest='NOT EXISTS (SELECT 1 FROM dd WHERE dd.instrument_id = t.instrument_id AND dd.ts_ms = t.ts_ms)')} SELECT instrument_id, ts_ms, side, metric_source, round(x, 6) AS intensity FROM dd UNION ALL {LEVEL_FORM}")
 def det_dominance(v):
-    return D.dominance(books.timed(v), F.col("dominance_bid"), F.col("spread"), 0.6, 0.5).select("instrument_id", "instant", "side", R6("intensity").alias("intensity"))
+    return _dominance(v, "auto")
+
+
+@query("det_dominance_levels", f"{DOM.format(rest='true')} {LEVEL_FORM}")
+def det_dominance_levels(v):
+    return _dominance(v, "legacy")
 
 
 TAPE = """
@@ -119,88 +156,124 @@ def det_basis_mean_revert(v):
     return D.mean_revert(X.basis_velocity(v.mark_funding), 60.0, 1.5, 60_000).select("instrument_id", "seq", "side", F.round("intensity", 5).alias("intensity"))
 
 
-def held_sql(source: str, condition: str, hold: int) -> str:
+def held_sql(source: str, condition: str, hold: int, cool: int, out: str = "fired") -> str:
+    """Arm, hold, fire, by a recursion over the true samples of each instrument."""
+    armed, cooling = "CASE WHEN c.run = f.run THEN f.armed END", f"coalesce(c.ts_ms - f.last < {cool}, false)"
     return f"""
 h0 AS (SELECT *, coalesce({condition}, false) AS c FROM {source}),
 h1 AS (SELECT *, coalesce(c <> lag(c) OVER o, true) AS brk FROM h0 WINDOW o AS (PARTITION BY instrument_id ORDER BY ts_ms, seq)),
 h2 AS (SELECT *, sum(brk::INT) OVER (PARTITION BY instrument_id ORDER BY ts_ms, seq) AS run FROM h1),
-cand AS (SELECT * FROM (SELECT *, min(ts_ms) OVER (PARTITION BY instrument_id, run) AS armed FROM h2) WHERE c AND ts_ms - armed >= {hold})"""
+hn AS (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY ts_ms, seq) AS rn FROM h2 WHERE c),
+hf AS (SELECT instrument_id, rn, run, ts_ms AS armed, NULL::BIGINT AS last, false AS hit FROM hn WHERE rn = 1 UNION ALL
+       SELECT c.instrument_id, c.rn, c.run, CASE WHEN {cooling} THEN {armed} WHEN {armed} IS NULL THEN c.ts_ms WHEN c.ts_ms - {armed} >= {hold} THEN NULL ELSE {armed} END,
+              CASE WHEN NOT {cooling} AND coalesce(c.ts_ms - {armed} >= {hold}, false) THEN c.ts_ms ELSE f.last END, NOT {cooling} AND coalesce(c.ts_ms - {armed} >= {hold}, false)
+       FROM hf f JOIN hn c ON c.instrument_id = f.instrument_id AND c.rn = f.rn + 1),
+{out} AS (SELECT hn.* FROM hn JOIN hf USING (instrument_id, rn) WHERE hit)"""
+
 
+def _trigger(name, metric, threshold, above, source="legacy", doc=None, flip=True):
+    value = {"legacy": metric, "doc": f"{'-' if flip else ''}{doc or metric}", "auto": f"coalesce({'-' if flip else ''}{doc or metric}, {metric})"}[source]
+    sign = ">=" if above else "<="
 
-BASIS = "bm AS (SELECT *, (mark_price / index_price - 1) * 1e4 AS b FROM mark_funding)"
+    @query(name, f"{books.SNAP}, ms AS (SELECT *, {value} AS mv FROM sn), {held_sql('ms', f'mv {sign} {threshold}', 1500, 30000)} SELECT instrument_id, ts_ms, round(mv, 5) AS intensity FROM fired")
+    def run(v):
+        got = D.metric_trigger(books.snapshots(v), metric, threshold, above, 1500, 30_000, source, doc, flip)
+        return got.select("instrument_id", "ts_ms", F.round("intensity", 5).alias("intensity"))
 
 
-@query("det_metric_trigger", f"{BASIS}, {held_sql('bm', 'b >= 20', 500)}, {cooled_sql('cand', 'instrument_id', 30000)} SELECT instrument_id, seq, round(b, 6) AS intensity FROM fired")
-def det_metric_trigger(v):
-    return D.metric_trigger(v.mark_funding.withColumn("b", X.basis_bps()), F.col("b"), 20.0, True, 500, 30_000, "basis").select("instrument_id", "seq", R6("intensity").alias("intensity"))
+_trigger("det_metric_trigger", "basis_bps", 20.0, True, "auto", "basis_bps_doc")
+_trigger("det_metric_trigger_doc", "basis_bps", -20.0, False, "doc", "basis_bps_doc")
+_trigger("det_basis_extreme", "basis_bps", -50.0, False)
 
 
-@query("det_basis_extreme", f"{BASIS}, {held_sql('bm', 'b <= -50', 500)}, {cooled_sql('cand', 'instrument_id', 30000)} SELECT instrument_id, seq, round(b, 6) AS intensity FROM fired")
-def det_basis_extreme(v):
-    return D.metric_trigger(v.mark_funding.withColumn("b", X.basis_bps()), F.col("b"), -50.0, False, 500, 30_000, "basis").select("instrument_id", "seq", R6("intensity").alias("intensity"))
+def depl_sql(side: str, source: str, mode: str = "linear") -> str:
+    """Either form of a side's depletion with hold 1 s and cooldown 30 s."""
+    end = "bid" if side == "buy" else "ask"
+    used = {"legacy": "'legacy'", "doc": "'doc'", "auto": f"CASE WHEN depletion_{end}_doc IS NULL THEN 'legacy' ELSE 'doc' END"}[source]
+    degree = "(amount - 5) / 45" if mode == "linear" else "ln(1 + amount / 5) / ln(1 + 50 / 5)"
+    rows = f"dp AS (SELECT *, {used} AS used, least(greatest(-depletion_{end}_doc, 0), 200) AS amount, dep_{end} AS dep FROM sn)"
+    condition = "CASE WHEN used = 'doc' THEN amount >= 5 ELSE dep >= 0.4 END"
+    return f"{books.SNAP}, {rows}, {held_sql('dp', condition, 1000, 30000)} SELECT instrument_id, ts_ms, '{side}' AS side, used AS metric_source, round(CASE WHEN used = 'doc' THEN least(greatest({degree}, 0), 1) ELSE dep END, 6) AS intensity FROM fired"
 
 
-DEPL = f"""{books.BOOK},
-dd AS (SELECT x.instrument_id, x.instant AS ts_ms, x.instant AS seq, least(greatest(-(x.bid_vol - p.bid_vol), 0), 200) AS amount FROM b x LEFT JOIN b p ON p.instrument_id = x.instrument_id AND p.instant = (SELECT max(q.instant) FROM b q WHERE q.instrument_id = x.instrument_id AND q.instant <= x.instant - 30000 AND q.instant >= x.instant - 90000))"""
+def _depletion(name, side, source, mode="linear"):
+    @query(name, depl_sql(side, source, mode))
+    def run(v):
+        got = D.depletion(books.snapshots(v), side, source, 0.4, 5.0, 50.0, 200.0, 1000, 30_000, mode)
+        return got.select("instrument_id", "ts_ms", "side", "metric_source", R6("intensity").alias("intensity"))
 
 
-@query("det_depletion", f"{DEPL}, {held_sql('dd', 'amount >= 5', 0)}, {cooled_sql('cand', 'instrument_id', 30000)} SELECT instrument_id, ts_ms, round(least(greatest((amount - 5) / 45, 0), 1), 6) AS intensity FROM fired")
-def det_depletion(v):
-    rows = R.delta(books.timed(v), ["instrument_id"], "bid_vol", 30_000, 90_000)
-    return D.depletion(rows, F.col("delta"), "buy", 5.0, 50.0, 200.0, 0, 30_000).select("instrument_id", "ts_ms", R6("intensity").alias("intensity"))
+_depletion("det_depletion", "buy", "auto")
+_depletion("det_depletion_ask", "sell", "doc", "log")
+_depletion("det_depletion_legacy", "buy", "legacy")
+
+DEPL = f"""{books.SNAP}, dd AS (SELECT least(greatest(-depletion_bid_doc, 0), 200) AS amount FROM sn)"""
 
 
 @query("calib_depletion", f"{DEPL}, x AS (SELECT amount AS x FROM dd WHERE amount > 0) SELECT round(quantile_cont(x, 0.9), 6) AS p90, round(quantile_cont(x, 0.95), 6) AS p95, round(quantile_cont(x, 0.99), 6) AS p99, count(*) AS n FROM x")
 def calib_depletion(v):
     from tidewatch.operators.calibrate import percentiles
 
-    rows = R.delta(books.timed(v), ["instrument_id"], "bid_vol", 30_000, 90_000)
-    amount = F.least(F.greatest(-F.col("delta"), F.lit(0.0)), F.lit(200.0))
-    return percentiles(rows.where(amount > 0), amount)
+    amount = F.least(F.greatest(-F.col("depletion_bid_doc"), F.lit(0.0)), F.lit(200.0))
+    return percentiles(books.snapshots(v).where(amount > 0), amount)
 
 
-@query("det_spread_squeeze", f"{books.BOOK}, sq AS (SELECT *, instant AS ts_ms, instant AS seq FROM b), {held_sql('sq', 'greatest(best_ask - best_bid, 0) <= 1.0 AND bid_vol >= 1 AND ask_vol >= 1', 10000)}, {cooled_sql('cand', 'instrument_id', 30000)} SELECT instrument_id, ts_ms FROM fired")
+@query("det_spread_squeeze", f"{books.BOOK}, sq AS (SELECT *, instant AS ts_ms, instant AS seq FROM b), {held_sql('sq', 'greatest(best_ask - best_bid, 0) <= 0.5 AND bid_vol >= 20 AND ask_vol >= 20', 1500, 30000)} SELECT instrument_id, ts_ms FROM fired")
 def det_spread_squeeze(v):
-    tight = (F.col("spread") <= 1.0) & (F.col("bid_vol") >= 1) & (F.col("ask_vol") >= 1)
-    return D.held(books.timed(v), tight, 10_000, 30_000).select("instrument_id", "ts_ms")
+    tight = (F.col("spread") <= 0.5) & (F.col("bid_vol") >= 20) & (F.col("ask_vol") >= 20)
+    return held(books.timed(v), ["instrument_id"], tight, 1500, 30_000).select("instrument_id", "ts_ms")
 
 
-SPOOF = """
-so AS (SELECT *, (action = 'insert' AND qty >= 5 AND CASE WHEN side = 'buy' THEN 100 - price ELSE price - 100.1 END >= 0.2 - 1e-9)::INT AS o FROM depth),
-se AS (SELECT * FROM (SELECT *, sum(o) OVER (PARTITION BY instrument_id, side, price ORDER BY ts_ms, seq) AS episode FROM so) WHERE episode > 0),
-st AS (SELECT *, min(ts_ms) OVER (PARTITION BY instrument_id, side, price, episode) AS t0 FROM se),
-sc AS (SELECT *, min(seq) FILTER (WHERE ts_ms > t0 + 4000) OVER (PARTITION BY instrument_id, side, price, episode) AS s1, min(ts_ms) FILTER (WHERE ts_ms > t0 + 4000) OVER (PARTITION BY instrument_id, side, price, episode) AS t1 FROM st),
-sw AS (SELECT instrument_id, side, price, episode, t0, t1, s1, sum(CASE WHEN seq < s1 AND action = 'delete' THEN qty ELSE 0 END) AS cancelled, sum(CASE WHEN seq < s1 AND action <> 'delete' THEN qty ELSE 0 END) AS added FROM sc WHERE s1 IS NOT NULL GROUP BY ALL),
-sz AS (SELECT *, cancelled / nullif(added + cancelled, 0) AS rate, coalesce((SELECT sum(t.qty) FROM trades t WHERE t.instrument_id = sw.instrument_id AND t.ts_ms BETWEEN sw.t0 AND sw.t1 AND abs(t.price - sw.price) <= 0.15), 0) AS executed FROM sw)"""
+SPOOF = f"""{books.LEVELS},
+big AS (SELECT * FROM depth WHERE action = 'insert' AND qty >= 5),
+bb AS (SELECT x.instrument_id, x.seq, max(lv.price) FILTER (WHERE lv.side = 'buy') AS bid, min(lv.price) FILTER (WHERE lv.side = 'sell') AS ask FROM big x JOIN lv ON lv.instrument_id = x.instrument_id AND lv.seq <= x.seq AND (lv.to_seq IS NULL OR lv.to_seq > x.seq) WHERE lv.level_qty > 0 GROUP BY ALL),
+so AS (SELECT d.*, coalesce(floor(round(abs(d.price - CASE WHEN d.side = 'buy' THEN bid ELSE ask END) / 0.1, 6)), 0)::BIGINT AS away FROM depth d LEFT JOIN bb USING (instrument_id, seq)),
+sp AS (SELECT *, (action = 'insert' AND qty >= 5 AND away >= 3) AS o FROM so),
+se AS (SELECT * FROM (SELECT *, sum(o::INT) OVER (PARTITION BY instrument_id, side, price ORDER BY ts_ms, seq) AS episode FROM sp) WHERE episode > 0),
+st AS (SELECT *, min(ts_ms) OVER e AS t0, first_value(qty) OVER (PARTITION BY instrument_id, side, price, episode ORDER BY ts_ms, seq) AS wall, first_value(away) OVER (PARTITION BY instrument_id, side, price, episode ORDER BY ts_ms, seq) AS ticks FROM se WINDOW e AS (PARTITION BY instrument_id, side, price, episode)),
+sc AS (SELECT *, min(seq) FILTER (WHERE ts_ms - t0 > 4000) OVER e AS s1, min(ts_ms) FILTER (WHERE ts_ms - t0 > 4000) OVER e AS t1 FROM st WINDOW e AS (PARTITION BY instrument_id, side, price, episode)),
+sw AS (SELECT instrument_id, side, price, episode, t0, t1, wall, ticks, sum(CASE WHEN action = 'delete' THEN qty ELSE 0 END) AS cancelled FROM sc WHERE seq <= s1 GROUP BY ALL),
+sz AS (SELECT *, cancelled / (wall + cancelled) AS rate, coalesce((SELECT sum(t.qty) FROM trades t WHERE t.instrument_id = sw.instrument_id AND t.ts_ms BETWEEN sw.t0 AND sw.t1 AND abs(t.price - sw.price) <= 0.15 + 1e-9), 0) AS executed FROM sw)"""
 
 
-def spoof_rows(v):
-    return D.spoofing(v.depth, v.trades, 5.0, 0.2, 100.0, 100.1, 4000, 0.3, 5.0, 0.1)
+def spoof_rows(v, most_executed=5.0):
+    big = v.depth.where("action = 'insert' and qty >= 5")
+    best = with_best(v.depth, big).select("instrument_id", "ts_ms", "seq", "best_bid", "best_ask")
+    return D.spoofing(v.depth.join(best, ["instrument_id", "ts_ms", "seq"], "left"), v.trades, 5.0, 3, 4000, 0.3, most_executed, 0.1)
 
 
-@query("det_spoofing", f"{SPOOF} SELECT instrument_id, t1 AS ts_ms, side, round(price, 6) AS price, round(rate, 6) AS cancel_rate, executed FROM sz WHERE rate >= 0.3 AND executed <= 5")
+@query("det_spoofing", f"{SPOOF} SELECT instrument_id, t1 AS ts_ms, side, round(price, 6) AS price, wall AS intensity, ticks AS distance_ticks, round(rate, 6) AS cancel_rate, executed FROM sz WHERE rate >= 0.3 AND executed <= 5")
 def det_spoofing(v):
-    return spoof_rows(v).select("instrument_id", "ts_ms", "side", R6("price").alias("price"), R6("cancel_rate").alias("cancel_rate"), "executed")
+    return spoof_rows(v).select("instrument_id", "ts_ms", "side", R6("price").alias("price"), "intensity", "distance_ticks", R6("cancel_rate").alias("cancel_rate"), "executed")
 
 
 @query("near_price_join", f"{SPOOF} SELECT instrument_id, t1 AS ts_ms, side, round(price, 6) AS price, executed FROM sz WHERE rate >= 0.3 AND executed <= 1e9")
 def near_price_join(v):
-    return D.spoofing(v.depth, v.trades, 5.0, 0.2, 100.0, 100.1, 4000, 0.3, 1e9, 0.1).select("instrument_id", "ts_ms", "side", R6("price").alias("price"), "executed")
+    return spoof_rows(v, 1e9).select("instrument_id", "ts_ms", "side", R6("price").alias("price"), "executed")
 
 
 from .aggregates import OI_RUN  # noqa: E402
 
 
-@query("det_oi_skew", f"{OI_RUN}, cand AS (SELECT * REPLACE (row_number() OVER (PARTITION BY underlying ORDER BY ts_ms, seq, seq2, instrument_id, open_interest) AS seq), CASE WHEN calls >= 1.1 * puts THEN 'calls' ELSE 'puts' END AS side FROM o WHERE (calls >= 1.1 * puts OR puts >= 1.1 * calls) AND calls + puts >= 100), {cooled_sql('cand', 'underlying, side', 60000)} SELECT underlying, ts_ms, side, round(greatest(calls, puts) / nullif(least(calls, puts), 0), 6) AS intensity FROM fired")
+@query("det_oi_skew", f"{OI_RUN}, cand AS (SELECT * REPLACE (row_number() OVER (PARTITION BY underlying ORDER BY ts_ms, seq, seq2, instrument_id, open_interest) AS seq), CASE WHEN calls >= 1.1 * puts THEN 'bull' ELSE 'bear' END AS turn FROM o WHERE calls > 0 AND puts > 0 AND (calls >= 1.1 * puts OR puts >= 1.1 * calls) AND calls + puts >= 100), {cooled_sql('cand', 'underlying, turn', 60000)} SELECT underlying, ts_ms, 'oi_skew_' || turn AS kind, round(greatest(calls, puts) / least(calls, puts), 6) AS intensity FROM fired")
 def det_oi_skew(v):
-    running = X.running_oi(X.with_instruments(v.options_ticker, v.options_instruments))
-    running = running.withColumn("seq", F.row_number().over(Window.partitionBy("underlying").orderBy("ts_ms", "seq", "seq2", "instrument_id", "open_interest")).cast("long"))
-    return D.oi_skew(running, 1.1, 100.0, 60_000).select("underlying", "ts_ms", "side", R6("intensity").alias("intensity"))
+    seen = X.running_oi(X.with_instruments(v.options_ticker, v.options_instruments)).withColumn("seq", F.col("nth"))
+    return D.oi_skew(seen, 1.1, 100.0, 60_000).select("underlying", "ts_ms", "kind", R6("intensity").alias("intensity"))
+
 
+IV_TICKS = """
+it AS (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY ts_ms, seq, seq2) AS rn FROM options_ticker WHERE mark_iv > 0),
+ir AS (SELECT instrument_id, rn, ts_ms, seq, mark_iv AS base, ts_ms AS since, NULL::BIGINT AS up, NULL::BIGINT AS down, NULL::VARCHAR AS hit, NULL::DOUBLE AS move FROM it WHERE rn = 1 UNION ALL
+       SELECT instrument_id, rn, ts_ms, seq, CASE WHEN old OR hit IS NOT NULL OR turn IS NULL AND abs(mv) < 10 THEN iv ELSE base END, CASE WHEN old OR hit IS NOT NULL OR turn IS NULL AND abs(mv) < 10 THEN ts_ms ELSE since END,
+              CASE WHEN hit = 'up' THEN ts_ms ELSE up END, CASE WHEN hit = 'down' THEN ts_ms ELSE down END, hit, mv
+       FROM (SELECT *, CASE WHEN NOT old AND turn = 'up' AND (up IS NULL OR ts_ms - up >= 60000) OR NOT old AND turn = 'down' AND (down IS NULL OR ts_ms - down >= 60000) THEN turn END AS hit
+             FROM (SELECT *, CASE WHEN mv >= 20 THEN 'up' WHEN mv <= -20 THEN 'down' END AS turn
+                   FROM (SELECT c.instrument_id, c.rn, c.ts_ms, c.seq, c.mark_iv AS iv, f.base, f.since, f.up, f.down, c.ts_ms - f.since > 600000 AS old, (c.mark_iv / f.base - 1) * 100 AS mv FROM ir f JOIN it c ON c.instrument_id = f.instrument_id AND c.rn = f.rn + 1))))"""
 
-@query("det_iv_spike_tick")
+
+@query("det_iv_spike_tick", f"{IV_TICKS} SELECT instrument_id, ts_ms, seq, 'iv_spike_' || hit AS kind, round(move, 6) AS intensity FROM ir WHERE hit IS NOT NULL")
 def det_iv_spike_tick(v):
-    return D.iv_spike_ticks(v.options_ticker, 0.2, 0.2, 600_000, 60_000).select("instrument_id", "ts_ms", "seq", "side", R6("intensity").alias("intensity"))
+    return D.iv_spike_ticks(v.options_ticker, 20.0, -20.0, 600_000, 60_000).select("instrument_id", "ts_ms", "seq", "kind", R6("intensity").alias("intensity"))
 
 
 # Audits: the same runs, a row each.
@@ -211,11 +284,8 @@ def audit_slicing_blocks(v):
 
 @query("audit_slicing_blocks_iceberg", f"{runs_sql('trades', 100000000, True)} SELECT instrument_id, side, min(seq) AS first_seq, count(*) AS k, sum(qty) AS volume FROM r2 GROUP BY instrument_id, run, side HAVING count(*) >= 3 AND sum(qty) >= 3")
 def audit_slicing_blocks_iceberg(v):
-    from tidewatch.operators.blocks import run_ids
-
-    w = D._ordered()
-    changed = (F.col("side") != F.lag("side").over(w)) | (F.col("price") != F.lag("price").over(w)) | (F.col("qty") != F.lag("qty").over(w))
-    return _blocks(run_ids(v.trades, ["instrument_id"], changed), 3, 3.0)
+    changed = lambda was, now: (now["side"] != was["side"]) | (now["price"] != was["price"]) | (now["qty"] != was["qty"])
+    return _blocks(run_ids(v.trades, ["instrument_id"], ["side", "price", "qty"], changed), 3, 3.0)
 
 
 def _blocks(rows, k, volume):

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidewatch.operators import normalize as N
+from tidewatch.operators import sinks as K
 from tidewatch.operators.blocks import latest
+from tidewatch.streaming import jobs as J
 
 from .registry import query
+from .surface_rows import BUILD, surface
 
 R6 = lambda c: F.round(c, 6)
 
@@ -149,36 +154,52 @@ def tail_init_latest(v):
     return v.trades.groupBy("instrument_id").agg(F.max("seq").alias("cursor"))
 
 
+# Sinks: the events as a stream, a file or more a micro-batch, into keyed tables of files.
+def streamed(v):
+    """Trades as a stream, with the minute that partitions the tables."""
+    e = F.col("event_id")
+    rows = J.source(v.spark, v.sf_dir, "events").where(F.col("event_type").isin("click", "view", "purchase"))
+    k = F.get_json_object("props", "$.k").cast("int")
+    return rows.select(
+        F.concat(F.lit("SIM:PERP:"), (F.col("user_id") % 4).cast("string")).alias("instrument_id"), (e * 50 + k % 20).alias("ts_ms"), e.alias("seq"), F.when(F.floor(e / 128) % 2 == 0, "buy").otherwise("sell").alias("side"),
+        (F.lit(100.0) + F.lit(0.1) * (F.floor(e / 64) % 5)).alias("price"), F.ceil(F.col("value") / 50).cast("double").alias("qty"), F.floor((e * 50 + k % 20) / 60_000).alias("minute"),
+    )
+
+
 @query("sink_append_dedup", "SELECT DISTINCT instrument_id, seq, side FROM trades")
 def sink_append_dedup(v):
-    old, new = v.trades.where("seq % 3 <> 0"), v.trades.unionByName(v.trades.where("seq % 5 = 0"))
-    return N.append_new(old, new, ["instrument_id", "seq"]).select("instrument_id", "seq", "side")
+    twice = streamed(v).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+    return J.into(twice, "trades", "minute", K.append_once(["instrument_id", "seq"])).select("instrument_id", "seq", "side")
 
 
 @query("sink_metrics_series", "SELECT instrument_id, ts_ms, 60 AS window_s, 'qty' AS metric, max(qty) AS value FROM trades GROUP BY instrument_id, ts_ms")
 def sink_metrics_series(v):
-    rows = v.trades.select("instrument_id", "ts_ms", F.lit(60).alias("window_s"), F.lit("qty").alias("metric"), F.col("qty").alias("value"))
-    return N.append_new(rows.limit(0), latest(rows, ["instrument_id", "ts_ms", "window_s", "metric"], "value"), ["instrument_id", "ts_ms", "window_s", "metric"])
+    rows = streamed(v).select("instrument_id", "ts_ms", F.lit(60).alias("window_s"), F.lit("qty").alias("metric"), F.col("qty").alias("value"), "minute")
+    return J.into(rows, "series", "minute", K.upsert(["instrument_id", "ts_ms", "window_s", "metric"], ["value"])).drop("minute")
 
 
 @query("sink_slice_events", "SELECT instrument_id, ts_ms, 'slicing_aggr' AS event_type, side, round(qty, 6) AS intensity, (qty * 0.5 * 1000)::BIGINT AS duration_ms FROM trades WHERE qty >= 5")
 def sink_slice_events(v):
-    events = v.trades.where("qty >= 5").select("instrument_id", "ts_ms", F.lit("slicing_aggr").alias("kind"), "side", "price", F.col("qty").alias("intensity"), F.create_map(F.lit("dur_s"), (F.col("qty") * 0.5).cast("string")).alias("fields"))
-    return N.event_rows(events).select("instrument_id", "ts_ms", "event_type", "side", R6(F.col("intensity")).alias("intensity"), "duration_ms")
+    rows = streamed(v).where("qty >= 5").select("instrument_id", "ts_ms", F.lit("slicing_aggr").alias("kind"), "side", "price", F.col("qty").alias("intensity"), F.create_map(F.lit("dur_s"), (F.col("qty") * 0.5).cast("string")).alias("fields"))
+    rows = N.event_rows(rows).select("instrument_id", "ts_ms", "event_type", "side", R6(F.col("intensity")).alias("intensity"), "duration_ms", F.floor(F.col("ts_ms") / 60_000).alias("minute"))
+    return J.into(rows, "events", "minute", K.append_once(["instrument_id", "ts_ms", "event_type", "side"])).drop("minute")
 
 
-@query("sink_surface_upsert", "SELECT instrument_id, ts_ms // 60000 AS minute, arg_max(mark_iv, (seq, seq2)) AS iv FROM options_ticker GROUP BY ALL")
+@query("sink_surface_upsert", f"{BUILD}, s AS (SELECT * FROM sf UNION ALL SELECT * REPLACE (iv + 1 AS iv) FROM sf WHERE minute % 3 = 0) SELECT minute, underlying, tenor, band, round(max(iv), 6) AS iv FROM s GROUP BY ALL")
 def sink_surface_upsert(v):
-    rows = v.options_ticker.select("instrument_id", F.floor(F.col("ts_ms") / 60000).alias("minute"), "seq", "seq2", F.col("mark_iv").alias("iv"))
-    return latest(rows, ["instrument_id", "minute"], "seq", "seq2").select("instrument_id", "minute", "iv")
+    # The surface, then a second version of a third of its minutes, which replaces the first.
+    rows = surface(v).select("minute", "underlying", "tenor", "band", "iv", F.lit(0).alias("version"))
+    path, keys = f"{J.shared_dir(v.spark)}/surface-{uuid.uuid4().hex}", ["underlying", "minute", "tenor", "band"]
+    merge = K.upsert(keys, ["version"])
+    K.write(rows, 0, path, "minute", merge)
+    K.write(K.read(v.spark, path).where("minute % 3 = 0").select("minute", "underlying", "tenor", "band", (F.col("iv") + 1).alias("iv"), F.lit(1).alias("version")), 1, path, "minute", merge)
+    return K.read(v.spark, path).select(F.col("minute").cast("long").alias("minute"), "underlying", "tenor", "band", R6(F.col("iv")).alias("iv"))
 
 
-@query("sink_telemetry_add", "SELECT instrument_id, ts_ms // 60000 AS minute, count(*) + sum((qty > 5)::INT)::BIGINT AS emitted FROM trades GROUP BY ALL")
+@query("sink_telemetry_add", "SELECT instrument_id, ts_ms // 60000 AS minute, count(*) AS emitted, sum((qty > 5)::INT)::BIGINT AS large FROM trades GROUP BY ALL")
 def sink_telemetry_add(v):
-    minute = F.floor(F.col("ts_ms") / 60000).alias("minute")
-    now = v.trades.groupBy("instrument_id", minute).agg(F.count("*").alias("emitted"))
-    more = v.trades.groupBy("instrument_id", minute).agg(F.count_if(F.col("qty") > 5).alias("emitted"))
-    return N.add_counters(now, more, ["instrument_id", "minute"], ["emitted"])
+    rows = streamed(v).select("instrument_id", "minute", F.lit(1).cast("long").alias("emitted"), (F.col("qty") > 5).cast("long").alias("large"))
+    return J.into(rows, "telemetry", "minute", K.add(["instrument_id", "minute"], ["emitted", "large"])).withColumn("minute", F.col("minute").cast("long"))
 
 
 @query("stale_drop", "SELECT instrument_id, seq FROM ev_age WHERE age <= 2000".replace("ev_age", "(SELECT instrument_id, event_id AS seq, k * 50 AS age FROM ev)"))

@@ -4,22 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewatch.functions import exprs as X
 from tidewatch.operators import surface as V
 
-from .aggregates import JOINED
 from .registry import query
+from .surface_rows import BAND, BUILD, JOINED, TENOR, parts_sql, surface, ticks
 
 R6 = lambda c: F.round(c, 6)
-TENOR = "CASE WHEN {d} <= 0 THEN NULL WHEN {d} <= 7 THEN '0_7d' WHEN {d} <= 30 THEN '7_30d' WHEN {d} <= 90 THEN '30_90d' WHEN {d} <= 180 THEN '90_180d' END"
-BAND = "CASE WHEN {m} >= 0.9 AND {m} < 0.95 THEN '0.90_0.95' WHEN {m} >= 0.95 AND {m} < 1.0 THEN '0.95_1.00' WHEN {m} >= 1.0 AND {m} < 1.05 THEN '1.00_1.05' WHEN {m} >= 1.05 AND {m} < 1.1 THEN '1.05_1.10' END"
 MONEY = BAND.format(m="(strike / underlying_price)")
 
 
-def ticks(v):
-    return X.with_instruments(v.options_ticker, v.options_instruments)
-
-
 @query("tenor_bucket", f"SELECT instrument_id, {TENOR.format(d='expiry_days')} AS tenor FROM options_instruments")
 def tenor_bucket(v):
     return v.options_instruments.select("instrument_id", V.tenor(F.col("expiry_days")).alias("tenor"))
@@ -40,18 +33,6 @@ def surface_expiries(v):
     return V.expiries(v.options_instruments).select("underlying", "tenor", "expiry_days", F.col("n").cast("long").alias("n"))
 
 
-def nearest(cond: str, target: float) -> str:
-    return f"arg_min({{'iv': mark_iv, 'oi': open_interest}}, (round(abs(abs(delta) - {target}), 9), -ts_ms, -seq, -seq2)) FILTER (WHERE {cond})"
-
-
-CALL = "option_type = 'C' AND delta > 0 AND round(abs(abs(delta) - 0.25), 9) <= 0.05"
-PUT = "option_type = 'P' AND delta < 0 AND round(abs(abs(delta) - 0.25), 9) <= 0.05"
-
-
-def parts_sql(source: str, keys: str) -> str:
-    return f"cp AS (SELECT {keys}, {nearest(CALL, 0.25)} AS c, {nearest(PUT, 0.25)} AS p, {nearest('delta IS NOT NULL', 0.5)} AS a FROM {source} GROUP BY {keys})"
-
-
 @query("pick_by_delta", f"{parts_sql(JOINED, 'expiry_days')} SELECT expiry_days, round(c.iv, 6) AS iv_call, round(p.iv, 6) AS iv_put FROM cp")
 def pick_by_delta(v):
     return V.components(ticks(v), ["expiry_days"]).select("expiry_days", R6("iv_call").alias("iv_call"), R6("iv_put").alias("iv_put"))
@@ -62,7 +43,7 @@ def pick_atm(v):
     return V.components(ticks(v), ["expiry_days"]).select("expiry_days", R6("iv_atm").alias("iv_atm"))
 
 
-@query("rr_bf_atm", f"x AS (SELECT *, ts_ms // 3600000 AS hour FROM {JOINED}), {parts_sql('x', 'hour, expiry_days')} SELECT hour, expiry_days, round(c.iv - p.iv, 6) AS rr_25d, round(0.5 * (c.iv + p.iv) - a.iv, 6) AS bf_25d, coalesce(c.oi, 0) + coalesce(p.oi, 0) + coalesce(a.oi, 0) AS weight FROM cp")
+@query("rr_bf_atm", f"x AS (SELECT *, ts_ms // 3600000 AS hour FROM {JOINED}), {parts_sql('x', 'hour, expiry_days')} SELECT hour, expiry_days, round(c.iv - p.iv, 6) AS rr_25d, round(0.5 * (c.iv + p.iv) - a.iv, 6) AS bf_25d, coalesce(nullif(coalesce(c.oi, 0) + coalesce(p.oi, 0) + coalesce(a.oi, 0), 0), 1) AS weight FROM cp")
 def rr_bf_atm(v):
     rows = ticks(v).withColumn("hour", F.floor(F.col("ts_ms") / 3_600_000))
     return V.components(rows, ["hour", "expiry_days"]).select("hour", "expiry_days", R6("rr_25d").alias("rr_25d"), R6("bf_25d").alias("bf_25d"), "weight")
@@ -73,20 +54,13 @@ def moneyness_iv(v):
     return V.band_iv(ticks(v), ["expiry_days"]).select("expiry_days", "band", R6("iv").alias("iv"), "n_used")
 
 
-BUILD = f"""
-x AS (SELECT *, {TENOR.format(d='expiry_days')} AS tenor FROM {JOINED} WHERE ts_ms < 1200000),
-e AS (SELECT *, unnest(range(greatest(ceil((ts_ms - 5000) / 60000.0::DOUBLE)::BIGINT, 0), (ts_ms + 600000) // 60000 + 1)) AS minute FROM x WHERE tenor IS NOT NULL),
-n AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY minute, instrument_id ORDER BY ts_ms DESC, seq DESC, seq2 DESC) = 1),
-{parts_sql('n', 'minute, underlying, tenor, expiry_days')},
-k AS (SELECT *, c.iv - p.iv AS rr, 0.5 * (c.iv + p.iv) - a.iv AS bf, coalesce(c.oi, 0) + coalesce(p.oi, 0) + coalesce(a.oi, 0) AS w FROM cp)
-SELECT minute, underlying, tenor, round(sum(a.iv * w) / nullif(sum(w) FILTER (WHERE a.iv IS NOT NULL), 0), 6) AS iv, round(sum(rr * w) FILTER (WHERE rr IS NOT NULL AND bf IS NOT NULL) / nullif(sum(w) FILTER (WHERE rr IS NOT NULL AND bf IS NOT NULL), 0), 6) AS rr_25d,
-       round(sum(bf * w) FILTER (WHERE rr IS NOT NULL AND bf IS NOT NULL) / nullif(sum(w) FILTER (WHERE rr IS NOT NULL AND bf IS NOT NULL), 0), 6) AS bf_25d, count(*) FILTER (WHERE rr IS NOT NULL AND bf IS NOT NULL) AS n_used
-FROM k GROUP BY ALL"""
+SURFACE = "minute, underlying, tenor, band, round(iv, 6) AS iv, round(rr_25d, 6) AS rr_25d, round(bf_25d, 6) AS bf_25d, n_expiries_used, n_used, round(sum_weights, 4) AS sum_weights, expiry_min, expiry_max, missing_call, missing_put, missing_atm"
 
 
-@query("surface_build", BUILD.replace(" WHERE ts_ms < 1200000", ""))
+@query("surface_build", f"{BUILD} SELECT {SURFACE} FROM sf")
 def surface_build(v):
-    return V.build(ticks(v)).select("minute", "underlying", "tenor", R6("iv").alias("iv"), R6("rr_25d").alias("rr_25d"), R6("bf_25d").alias("bf_25d"), "n_used")
+    names = ["n_expiries_used", "n_used", F.round("sum_weights", 4).alias("sum_weights"), "expiry_min", "expiry_max", "missing_call", "missing_put", "missing_atm"]
+    return surface(v).select("minute", "underlying", "tenor", "band", *(R6(c).alias(c) for c in ("iv", "rr_25d", "bf_25d")), *names)
 
 
 @query("option_id_parse", "SELECT instrument_id, underlying, strike, option_type FROM options_instruments")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewatch.operators import rolling as R
-from tidewatch.operators.blocks import latest
+from tidewatch.operators.blocks import latest, previous
 
 from .registry import query
 
@@ -52,8 +52,8 @@ def roll_trim_clean(v):
 
 @query("lag_prev", "SELECT instrument_id, seq, round(lag(open_interest) OVER w, 6) AS prev, ts_ms - lag(ts_ms) OVER w AS dt FROM open_interest WINDOW w AS (PARTITION BY instrument_id ORDER BY ts_ms)")
 def lag_prev(v):
-    w = Window.partitionBy(*KEY).orderBy("ts_ms")
-    return v.open_interest.select("instrument_id", "seq", R6(F.lag("open_interest").over(w)).alias("prev"), (F.col("ts_ms") - F.lag("ts_ms").over(w)).alias("dt"))
+    rows = previous(v.open_interest, KEY, ["ts_ms", "open_interest"])
+    return rows.select("instrument_id", "seq", R6(F.col("was.open_interest")).alias("prev"), (F.col("ts_ms") - F.col("was.ts_ms")).alias("dt"))
 
 
 @query("latest_per_instrument", "SELECT instrument_id, ts_ms, seq, seq2 FROM options_ticker QUALIFY row_number() OVER (PARTITION BY instrument_id ORDER BY ts_ms DESC, seq DESC, seq2 DESC) = 1")

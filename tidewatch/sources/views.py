@@ -44,7 +44,7 @@ class Views:
 
     @cached_property
     def depth(self) -> DataFrame:
-        buy = F.col("user_id") % 2 == 0
+        buy = F.col("event_id") % 2 == 0  # not of the user, which also gives the instrument
         return self.ev.select(
             "instrument_id", "ts_ms", F.col("event_id").alias("seq"),
             F.when(buy, "buy").otherwise("sell").alias("side"),
@@ -74,7 +74,7 @@ class Views:
     @cached_property
     def liquidations(self) -> DataFrame:
         return self.ev.where("event_type = 'error'").select(
-            "instrument_id", "ts_ms", F.col("event_id").alias("seq"), F.when(F.col("user_id") % 2 == 0, "buy").otherwise("sell").alias("side"), F.lit(100.0).alias("price"), F.col("value").alias("qty"),
+            "instrument_id", "ts_ms", F.col("event_id").alias("seq"), F.when(F.col("event_id") % 2 == 0, "buy").otherwise("sell").alias("side"), F.lit(100.0).alias("price"), F.col("value").alias("qty"),
             F.when(F.col("k") % 10 != 0, F.col("value") * 100).alias("quote_qty_usd"),
         )
 
@@ -96,7 +96,7 @@ class Views:
     @cached_property
     def options_instruments(self) -> DataFrame:
         return self.table("part").select(
-            F.concat(F.lit("OPT:"), F.col("p_partkey").cast("string")).alias("instrument_id"), F.lit("BTC").alias("underlying"), (3 + 25 * (F.col("p_partkey") % 6)).cast("int").alias("expiry_days"),
+            F.concat(F.lit("OPT:"), F.col("p_partkey").cast("string")).alias("instrument_id"), F.lit("BTC").alias("underlying"), (3 + 25 * (F.floor(F.col("p_partkey") / 2) % 6)).cast("int").alias("expiry_days"),  # calls and puts at every expiry
             (80 + F.col("p_size")).cast("double").alias("strike"), F.when(F.col("p_partkey") % 2 == 0, "C").otherwise("P").alias("option_type"),
         )
 
@@ -116,16 +116,16 @@ SQL_VIEWS = """
 ev AS (SELECT event_id, user_id, event_type, value, json_extract(props, '$.k')::INTEGER AS k, event_id * 50 + json_extract(props, '$.k')::INTEGER % 20 AS ts_ms, 'SIM:PERP:' || (user_id % 4)::VARCHAR AS instrument_id FROM events),
 trades AS (SELECT instrument_id, ts_ms, event_id AS seq, CASE WHEN (event_id // 128) % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, 100::DOUBLE + 0.1::DOUBLE * ((event_id // 64) % 5) AS price, ceil(value / 50) AS qty
            FROM ev WHERE event_type IN ('click', 'view', 'purchase')),
-depth AS (SELECT instrument_id, ts_ms, event_id AS seq, CASE WHEN user_id % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, CASE WHEN event_type IN ('error', 'signup') THEN 'delete' ELSE 'insert' END AS action,
-          CASE WHEN user_id % 2 = 0 THEN 100::DOUBLE - 0.1::DOUBLE * (k % 10) ELSE 100.1::DOUBLE + 0.1::DOUBLE * (k % 10) END AS price, ceil(value / 10) AS qty FROM ev),
+depth AS (SELECT instrument_id, ts_ms, event_id AS seq, CASE WHEN event_id % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, CASE WHEN event_type IN ('error', 'signup') THEN 'delete' ELSE 'insert' END AS action,
+          CASE WHEN event_id % 2 = 0 THEN 100::DOUBLE - 0.1::DOUBLE * (k % 10) ELSE 100.1::DOUBLE + 0.1::DOUBLE * (k % 10) END AS price, ceil(value / 10) AS qty FROM ev),
 depth_abs AS (SELECT instrument_id, ts_ms, seq, side, price, CASE WHEN action = 'delete' THEN 0::DOUBLE ELSE qty END AS qty FROM depth),
 depth_seq AS (SELECT instrument_id, ts_ms, event_id AS seq, event_id * 10 - 10 + s + 1 AS first_u, event_id * 10 AS u, event_id * 10 - 10 + s AS pu FROM (SELECT *, CASE k WHEN 7 THEN 50 WHEN 13 THEN -50 WHEN 17 THEN 600000 ELSE 0 END AS s FROM ev)),
 mark_funding AS (SELECT instrument_id, ts_ms, event_id AS seq, 100::DOUBLE + value / 100 AS mark_price, 100::DOUBLE + k / 100::DOUBLE AS index_price, (k - 50) / 1e6 AS funding_rate FROM ev WHERE event_type = 'view'),
-liquidations AS (SELECT instrument_id, ts_ms, event_id AS seq, CASE WHEN user_id % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, 100::DOUBLE AS price, value AS qty, CASE WHEN k % 10 <> 0 THEN value * 100 END AS quote_qty_usd FROM ev WHERE event_type = 'error'),
+liquidations AS (SELECT instrument_id, ts_ms, event_id AS seq, CASE WHEN event_id % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, 100::DOUBLE AS price, value AS qty, CASE WHEN k % 10 <> 0 THEN value * 100 END AS quote_qty_usd FROM ev WHERE event_type = 'error'),
 open_interest AS (SELECT instrument_id, ts_ms, event_id AS seq, 1000::DOUBLE + value AS open_interest FROM ev WHERE event_type = 'signup'),
 account_ratio AS (SELECT instrument_id, ts_ms, event_id AS seq, k / 100::DOUBLE AS long_ratio, 1 - k / 100::DOUBLE AS short_ratio FROM ev WHERE event_type = 'click'),
 position_ratio AS (SELECT instrument_id, ts_ms, event_id AS seq, k / 100::DOUBLE AS long_ratio, 1 - k / 100::DOUBLE AS short_ratio FROM ev WHERE event_type = 'purchase'),
-options_instruments AS (SELECT 'OPT:' || p_partkey::VARCHAR AS instrument_id, 'BTC' AS underlying, (3 + 25 * (p_partkey % 6))::INTEGER AS expiry_days, (80 + p_size)::DOUBLE AS strike, CASE WHEN p_partkey % 2 = 0 THEN 'C' ELSE 'P' END AS option_type FROM part),
+options_instruments AS (SELECT 'OPT:' || p_partkey::VARCHAR AS instrument_id, 'BTC' AS underlying, (3 + 25 * (p_partkey // 2 % 6))::INTEGER AS expiry_days, (80 + p_size)::DOUBLE AS strike, CASE WHEN p_partkey % 2 = 0 THEN 'C' ELSE 'P' END AS option_type FROM part),
 options_ticker AS (SELECT 'OPT:' || l_partkey::VARCHAR AS instrument_id, (l_orderkey * 4 + l_linenumber) * 50 AS ts_ms, l_orderkey * 8 + l_linenumber AS seq, l_suppkey AS seq2, 0.3::DOUBLE + 4 * l_discount::DOUBLE AS mark_iv,
           CASE WHEN l_partkey % 2 = 0 THEN l_quantity::DOUBLE / 51 ELSE -l_quantity::DOUBLE / 51 END AS delta, l_tax::DOUBLE AS gamma, l_quantity::DOUBLE AS open_interest, 0.3::DOUBLE + 4 * l_discount::DOUBLE - 0.01::DOUBLE AS bid,
           0.3::DOUBLE + 4 * l_discount::DOUBLE + 0.01::DOUBLE AS ask, 105::DOUBLE AS underlying_price FROM lineitem)

@@ -12,9 +12,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; one of our own only where none is named."""
+    """The shared folder the cluster names; one of our own only where none is named and driver and executors are one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -122,3 +124,14 @@ def polled(samples: DataFrame, every_ms: int) -> DataFrame:
 def over_threshold(events: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Events at or over the threshold of their type; the static side is read anew by every micro-batch, so changed rules reach a running stream."""
     return events.join(thresholds, "event_type").where("value >= threshold")
+
+
+def into(stream: DataFrame, name: str, partition: str, merge) -> DataFrame:
+    """Run the stream over all there is into a keyed table of files (see ``operators.sinks``), a merge a micro-batch; the table's rows."""
+    from tidewatch.operators import sinks
+
+    spark = stream.sparkSession
+    base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    put = lambda rows, batch: sinks.write(rows, batch, f"{base}/table", partition, merge)
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return sinks.read(spark, f"{base}/table")
