@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from tidewatch.sources.views import DAY0_MS
 from tidewatch.streaming import jobs as J
 
 from .registry import query
@@ -26,10 +29,23 @@ def stream_dedup(v):
     return J.finished(J.deduplicated(twice.drop("copy"), ["event_id"])).select("event_id", "event_type")
 
 
-@query("stream_watermark", "SELECT event_id, user_id FROM events WHERE value >= 20")
+# Events in four chunks by arrival; one in ten comes two chunks late.
+CHUNKS = """
+mx AS (SELECT max(event_id) + 1 AS n FROM ev),
+ch AS (SELECT ev.*, event_id * 50 AS t, least(3, event_id * 4 // n + CASE WHEN k % 10 = 0 THEN 2 ELSE 0 END) AS chunk FROM ev, mx)"""
+
+
+def arriving(v):
+    size = v.ev.agg((F.max("event_id") + 1).alias("_n"))  # one row
+    chunk = F.least(F.lit(3), F.floor(F.col("event_id") * 4 / F.col("_n")) + F.when(F.col("k") % 10 == 0, 2).otherwise(0)).cast("int")
+    return v.ev.crossJoin(F.broadcast(size)).select("event_id", "user_id", "event_type", "value", F.timestamp_millis(F.lit(DAY0_MS) + F.col("event_id") * 50).alias("at"), chunk.alias("chunk"))
+
+
+@query("stream_watermark", f"{CHUNKS}, wm AS (SELECT c.chunk, max(p.t) - 15000 AS w FROM (SELECT DISTINCT chunk FROM ch) c LEFT JOIN ch p ON p.chunk < c.chunk GROUP BY 1) SELECT event_id, user_id FROM ch JOIN wm USING (chunk) WHERE w IS NULL OR t > w")
 def stream_watermark(v):
-    rows = events(v).withWatermark("ts", "2 seconds").where("value >= 20")
-    return J.finished(rows).select("event_id", "user_id")
+    """Late rows, 15 s behind what has been seen, are dropped."""
+    make = lambda stream: stream.withWatermark("at", "15 seconds").dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "user_id")
+    return J.in_chunks(arriving(v), 4, make)
 
 
 SESSION = """
@@ -69,12 +85,27 @@ def stream_sliding(v):
     return J.finished(J.sliding(samples(v), 60_000)).drop("batch")
 
 
-@query("stream_timer_poll", f"{SAMPLES}, n AS (SELECT *, lead(ts_ms) OVER (PARTITION BY user_id ORDER BY ts_ms) AS nxt FROM s) SELECT user_id, unnest(range(CASE WHEN ts_ms % 30000 = 0 THEN ts_ms ELSE (ts_ms // 30000 + 1) * 30000 END, nxt, 30000)) AS poll_ms, qty FROM n WHERE nxt IS NOT NULL")
+IN_ORDER = """
+mx AS (SELECT max(event_id) + 1 AS n FROM ev), s AS (SELECT user_id, event_id * 50 AS t, ceil(value / 50) AS qty FROM ev), wm AS (SELECT max(t) - 1000 AS w FROM s),
+nx AS (SELECT *, lead(t) OVER (PARTITION BY user_id ORDER BY t) AS nxt FROM s),
+pl AS (SELECT user_id, qty, t, nxt, unnest(range(CASE WHEN t % 3000 = 0 THEN t ELSE (t // 3000 + 1) * 3000 END, coalesce(nxt, t + 600001), 3000)) AS poll_ms FROM nx)"""
+
+
+@query("stream_timer_poll", f"{IN_ORDER} SELECT user_id, poll_ms, qty FROM pl, wm WHERE poll_ms <= t + 600000 AND (nxt IS NOT NULL OR poll_ms < w)")
 def stream_timer_poll(v):
-    return J.finished(J.polled(samples(v), 30_000)).drop("batch")
+    """Polls each 3 s; those after a user's last row come by timers, up to the watermark."""
+    size = v.ev.agg((F.max("event_id") + 1).alias("_n"))
+    t = F.lit(DAY0_MS) + F.col("event_id") * 50
+    rows = v.ev.crossJoin(F.broadcast(size)).select("user_id", t.alias("ts_ms"), F.timestamp_millis(t).alias("at"), F.ceil(F.col("value") / 50).cast("double").alias("qty"), F.floor(F.col("event_id") * 3 / F.col("_n")).cast("int").alias("chunk"))
+    return J.in_chunks(rows, 3, lambda stream: J.polled(stream, 3_000)).withColumn("poll_ms", F.col("poll_ms") - DAY0_MS)
+
+
+RULES = [[("click", 40.0), ("error", 10.0)], [("click", 20.0), ("error", 30.0)], [("view", 25.0)], [("view", 25.0), ("click", 60.0)]]
 
 
-@query("stream_rules_update", "SELECT event_id, event_type FROM events WHERE (event_type = 'click' AND value >= 40) OR (event_type = 'error' AND value >= 10)")
+@query("stream_rules_update", f"{CHUNKS}, ru(chunk, event_type, threshold) AS (VALUES {', '.join(f'({i}, {chr(39)}{t}{chr(39)}, {x})' for i, rules in enumerate(RULES) for t, x in rules)}) SELECT event_id, event_type FROM ch JOIN ru USING (chunk, event_type) WHERE value >= threshold")
 def stream_rules_update(v):
-    thresholds = v.spark.createDataFrame([("click", 40.0), ("error", 10.0)], "event_type string, threshold double")
-    return J.finished(J.over_threshold(events(v).drop("ts"), thresholds).select("event_id", "event_type")).drop("batch")
+    """The rules change ahead of each chunk."""
+    path, schema = f"{J.shared_dir(v.spark)}/rules-{uuid.uuid4().hex}", "event_type string, threshold double"
+    change = lambda chunk: v.spark.createDataFrame(RULES[chunk], schema).write.mode("overwrite").parquet(path)
+    return J.in_chunks(arriving(v), 4, lambda stream: J.over_threshold(stream, path, schema).select("event_id", "event_type"), change)

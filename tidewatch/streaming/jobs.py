@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +45,24 @@ def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.option("recursiveFileLookup", "true").schema(f"{stream.drop('batch').schema.simpleString()[7:-1].replace(':', ' ')}, batch int").parquet(f"{base}/rows")
 
 
+def in_chunks(rows: DataFrame, chunks: int, make: Callable[[DataFrame], DataFrame], before: Callable[[int], None] = lambda chunk: None) -> DataFrame:
+    """Rows (with a column ``chunk``) as they arrive: a chunk lands in the source's folder, then the query runs on from its checkpoint over what is new.
+
+    So each chunk is a micro-batch, whatever the number of its files, and state, watermark and timers live on from run to run. ``before`` runs
+    ahead of each chunk. Returns the output of all batches.
+    """
+    spark = rows.sparkSession
+    base = f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}"
+    schema = rows.drop("chunk").schema
+    for chunk in range(chunks):
+        before(chunk)
+        rows.where(F.col("chunk") == chunk).drop("chunk").write.parquet(f"{base}/in/{chunk}")
+        stream = make(spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{base}/in"))
+        put = lambda out, batch: out.write.mode("overwrite").parquet(f"{base}/out/batch={batch}/part")
+        stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.option("recursiveFileLookup", "true").schema(stream.schema).parquet(f"{base}/out")
+
+
 def tumbling(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Events per minute and type; update mode, so a minute may come again with its new count."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", "1 minute"), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
@@ -102,28 +120,47 @@ def sliding(trades: DataFrame, window_ms: int) -> DataFrame:
     return trades.groupBy("user_id").applyInPandasWithState(step, "user_id long, seq long, volume double", "times array<long>, sizes array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
-def polled(samples: DataFrame, every_ms: int) -> DataFrame:
-    """The last ``qty`` of each user at multiples of ``every_ms`` in event time, up to the user's newest row: state is the last sample."""
+def polled(samples: DataFrame, every_ms: int, late: str = "1 second", idle_ms: int = 600_000) -> DataFrame:
+    """The last ``qty`` of each user at multiples of ``every_ms`` in event time (``at``, as ``ts_ms``), whether rows come or not.
+
+    State is the last sample and the next poll. Rows bring the polls before them; a timer at the next poll brings those that the watermark has passed
+    while no row came. A user without rows for ``idle_ms`` is forgotten, and polled anew when rows come again.
+    """
 
     def step(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
         import pandas as pd
 
-        last, value = state.get if state.exists else (None, None)
+        value, due, last = state.get if state.exists else (None, None, None)
         out = []
-        for r in pd.concat(list(frames)).sort_values(["ts_ms", "seq"]).itertuples():
-            if last is not None:
-                first = -(-last // every_ms) * every_ms
-                out += [(key[0], t, value) for t in range(first, int(r.ts_ms), every_ms)]
-            last, value = int(r.ts_ms), float(r.qty)
-        state.update((last, value))
-        yield pd.DataFrame(out, columns=["user_id", "poll_ms", "qty"])
-
-    return samples.groupBy("user_id").applyInPandasWithState(step, "user_id long, poll_ms long, qty double", "last long, value double", "append", GroupStateTimeout.NoTimeout)
-
 
-def over_threshold(events: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Events at or over the threshold of their type; the static side is read anew by every micro-batch, so changed rules reach a running stream."""
-    return events.join(thresholds, "event_type").where("value >= threshold")
+        def until(t: int) -> None:
+            nonlocal due
+            while due is not None and due <= min(t, last + idle_ms):
+                out.append((key[0], due, value))
+                due += every_ms
+
+        if state.hasTimedOut:
+            until(state.getCurrentWatermarkMs() - 1)
+        else:
+            for ts, qty in sorted((int(r.ts_ms), float(r.qty)) for frame in frames for r in frame.itertuples()):
+                until(ts - 1)
+                value, last = qty, ts
+                if due is None or due < ts:
+                    due = -(-ts // every_ms) * every_ms
+        if due > last + idle_ms:
+            state.remove()
+        else:
+            state.update((value, due, last))
+            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame({"user_id": pd.Series([x[0] for x in out], dtype="int64"), "poll_ms": pd.Series([x[1] for x in out], dtype="int64"), "qty": pd.Series([x[2] for x in out], dtype="float64")})
+
+    return samples.withWatermark("at", late).groupBy("user_id").applyInPandasWithState(step, "user_id long, poll_ms long, qty double", "value double, due long, last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def over_threshold(events: DataFrame, path: str, schema: str) -> DataFrame:
+    """Events at or over the threshold of their type. The rules are a table of files, read anew by every micro-batch, so changed rules reach a running
+    stream."""
+    return events.join(events.sparkSession.read.schema(schema).parquet(path), "event_type").where("value >= threshold")
 
 
 def into(stream: DataFrame, name: str, partition: str, merge) -> DataFrame:
