@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, licenses, mixing, quality_classifier, quality_rules, simhash, token_store, topk, toxicity
+from . import bpe, html_extract, importance, licenses, mixing, quality_classifier, quality_rules, simhash, token_store, topk, toxicity
 from .common import table
 
 
@@ -99,6 +99,10 @@ def op10_token_store(spark, sf_dir):
     return token_store.digest(store)
 
 
+def op11_importance(spark, sf_dir):
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w,
@@ -133,6 +137,7 @@ def queries():
         "op8_quality_classifier": op8_quality_classifier,
         "op9_bpe": op9_bpe,
         "op10_token_store": op10_token_store,
+        "op11_importance": op11_importance,
     }
 
 
