@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, importance, licenses, mixing, quality_classifier, quality_rules, simhash, token_store, topk, toxicity
+from . import alignment, bpe, html_extract, importance, licenses, mixing, quality_classifier, quality_rules, simhash, token_store, topk, toxicity
 from .common import table
 
 
@@ -103,6 +103,10 @@ def op11_importance(spark, sf_dir):
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_alignment(spark, sf_dir):
+    return alignment.report(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w,
@@ -138,6 +142,7 @@ def queries():
         "op9_bpe": op9_bpe,
         "op10_token_store": op10_token_store,
         "op11_importance": op11_importance,
+        "op12_alignment": op12_alignment,
     }
 
 
