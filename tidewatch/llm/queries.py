@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, html_extract, importance, licenses, mixing, quality_classifier, quality_rules, simhash, token_store, topk, toxicity
+from . import alignment, bpe, html_extract, importance, licenses, mixing, personal_data, quality_classifier, quality_rules, simhash, token_store, topk, toxicity
 from .common import table
 
 
@@ -107,6 +107,11 @@ def op12_alignment(spark, sf_dir):
     return alignment.report(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
 
 
+def op13_personal_data(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return personal_data.report(docs, personal_data.fit(docs))
+
+
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w,
@@ -143,6 +148,7 @@ def queries():
         "op10_token_store": op10_token_store,
         "op11_importance": op11_importance,
         "op12_alignment": op12_alignment,
+        "op13_personal_data": op13_personal_data,
     }
 
 
