@@ -26,7 +26,8 @@ from .common import text_of
 #: Longest word that is remembered, and the most words or fragments in a memo.
 MEMO_CHARS, MEMO_ENTRIES = 48, 300_000
 
-#: Printable ASCII and Latin letters with marks: the normalizer only lower-cases such text if it is composed, and words part as below.
+#: Printable ASCII and small Latin letters with marks. Text that becomes this in lower case is composed, the normalizer makes the same of it, and words
+#: part as below. Some capitals of this range have a small letter beyond it: such text is left to the library.
 LATIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
 LATIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00c0-\u024f]+|[0-9]|[^a-z0-9\u00c0-\u024f]+")
 
@@ -149,8 +150,9 @@ class Codec:
     def _piece(self, piece: str) -> bytes:
         """Ids, as bytes, of a run of text between blanks."""
         ids: list[int] = []
-        if LATIN.fullmatch(piece) and not (self.added_split and self.added_split.search(piece)):
-            for word in LATIN_WORDS.findall(piece.lower()):
+        small = piece.lower()
+        if LATIN.fullmatch(small) and not (self.added_split and self.added_split.search(piece)):
+            for word in LATIN_WORDS.findall(small):
                 ids += self._word(word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_SYMBOLS))
             return self._pack(ids)
         for part in self.added_split.split(piece) if self.added_split else [piece]:
@@ -182,8 +184,8 @@ def codec(path: str) -> Codec:
 def encode(docs: DataFrame, path: str, column: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with the column ``ids`` (array of int), in place of any column of that name.
 
-    A null or empty text has an empty array. Rows are encoded one by one: repeated rows, very long texts and
-    extra columns need no care.
+    A null or empty text has an empty array, a very long text one of all its ids. Rows are encoded one by one: repeated rows get equal arrays, other columns
+    stay as they are, whatever their names, and an empty table stays empty with the new column.
     """
     @F.arrow_udf("array<int>")
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -202,7 +204,10 @@ def encode(docs: DataFrame, path: str, column: str = "text", ids: str = "ids") -
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", column: str = "decoded") -> DataFrame:
-    """``docs`` with the decoded text: the tokens, joined by one space as a tokenizer without a decoder does; null ids give an empty text."""
+    """``docs`` with the decoded text: the tokens, joined by one space as a tokenizer without a decoder does; null or no ids give an empty text.
+
+    Very long lists are decoded whole, repeated rows alike, other columns stay, and an empty table stays empty with the new column.
+    """
     @F.arrow_udf("string")
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import pyarrow.compute as pc
