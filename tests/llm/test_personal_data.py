@@ -69,7 +69,7 @@ def test_very_long_texts_take_time_in_proportion(spark, model):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
     began = time.perf_counter()
     rows = {r.doc_id: r for r in personal_data.report(frame, model).collect()}
-    assert time.perf_counter() - began < 100
+    assert time.perf_counter() - began < 60
     assert rows[forms.index("4111111111111111, ")].n_card == 200_000 // 18
     assert rows[forms.index("x@b.c ")].n_email == 200_000 // 6
     short = [f * (600 // len(f)) for f in forms]
@@ -116,7 +116,7 @@ def test_nulls_repeats_clashing_columns_and_redaction(spark, model):
     frame = spark.createDataFrame(rows, "doc_id long, text string, t int, base string, spans int, _whole int").repartition(2)
     got = personal_data.report(frame, model).collect()
     assert len(got) == len(rows)
-    assert {r.spans for r in got if r.doc_id in (0, None)} == {"email:5:14,phone:23:40"}
+    assert {r.spans for r in got if r.doc_id in (0, None)} == {"email:5:15,phone:24:41"}
     assert {(r.doc_id, r.spans) for r in got if r.doc_id in (1, 2, 3)} == {(1, ""), (2, ""), (3, "")}
     assert {r.spans for r in got if r.doc_id == 4} == {"secret:11:51"}
     red = personal_data.redact(frame, model)

@@ -100,13 +100,18 @@ FEATURES = {
 BEFORE, AFTER, CHUNK = 40, 4, 128
 
 
+def bound(name: str, value: str, body: str) -> str:
+    """SQL of ``body`` over the lambda variable ``name``, which holds ``value``, evaluated once: a column that is named inside a lambda may be evaluated for each element."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
 def running(values: str, step: str) -> str:
     """SQL of the running result of ``step`` (over x and y, associative, with 0 as its unit) over an array of whole numbers >= 0, chunk by chunk."""
     over = lambda x, y: step.replace("{x}", x).replace("{y}", y)
-    local = f"transform(transform(sequence(0, greatest(size({values}) - 1, 0) div {CHUNK}), c -> slice({values}, c * {CHUNK} + 1, {CHUNK})), k -> aggregate(k, cast(array() AS array<int>), (acc, v) -> concat(acc, array({over('coalesce(get(acc, size(acc) - 1), 0)', 'v')}))))"
+    local = f"transform(transform(sequence(0, greatest(size(w) - 1, 0) div {CHUNK}), c -> slice(w, c * {CHUNK} + 1, {CHUNK})), k -> aggregate(k, cast(array() AS array<int>), (acc, v) -> concat(acc, array({over('coalesce(get(acc, size(acc) - 1), 0)', 'v')}))))"
     carried = f"aggregate(l, array(0), (acc, k) -> concat(acc, array({over('get(acc, size(acc) - 1)', 'coalesce(get(k, size(k) - 1), 0)')})))"
     joined = "flatten(transform(l, (k, i) -> transform(k, v -> " + over("v", "get(r, i)") + ")))"
-    return f"get(transform(array({local}), l -> get(transform(array({carried}), r -> {joined}), 0)), 0)"
+    return bound("w", values, bound("l", local, bound("r", carried, joined)))
 
 
 SUM, MOST = "({x} + {y})", "greatest({x}, {y})"
@@ -117,10 +122,9 @@ def _matches(rows: DataFrame, patterns: dict[str, tuple[str, str]]) -> DataFrame
     keep = rows.columns
     cut = rows.selectExpr("*", *(f"CASE WHEN {test} THEN split(t, r'{p}', -1) END AS _p_{k}" for k, (p, test) in patterns.items()))
     cut = cut.selectExpr("*", *(f"CASE WHEN size(_p_{k}) > 1 THEN regexp_extract_all(t, r'{p}', 0) END AS _m_{k}" for k, (p, _) in patterns.items()))
-    cut = cut.selectExpr("*", *(f"transform(_m_{k}, (m, i) -> length(m) + length(get(_p_{k}, i))) AS _l_{k}" for k in patterns))
-    cut = cut.selectExpr("*", *(f"CASE WHEN _l_{k} IS NOT NULL THEN {running(f'_l_{k}', SUM)} END AS _e_{k}" for k in patterns))
-    found = (f"transform(_m_{k}, (m, i) -> struct(m AS s, regexp_replace(m, '[^0-9]', '') AS d, get(_e_{k}, i) - length(m) AS at, right(get(_p_{k}, i), {BEFORE}) AS before, left(get(_p_{k}, i + 1), {AFTER}) AS after)) AS {k}" for k in patterns)
-    return cut.selectExpr(*keep, *found)
+    lengths = "transform(z.m, (m, i) -> length(m) + length(get(z.p, i)))"
+    placed = f"transform(z.m, (m, i) -> struct(m AS s, regexp_replace(m, '[^0-9]', '') AS d, get(e, i) - length(m) AS at, right(get(z.p, i), {BEFORE}) AS before, left(get(z.p, i + 1), {AFTER}) AS after))"
+    return cut.selectExpr(*keep, *(f"CASE WHEN _m_{k} IS NOT NULL THEN {bound('z', f'struct(_m_{k} AS m, _p_{k} AS p)', bound('e', running(lengths, SUM), placed))} END AS {k}" for k in patterns))
 
 
 def _over(name: str, expression: str) -> str:
@@ -340,15 +344,16 @@ def find(docs: DataFrame, model: Model, column: str = "text") -> DataFrame:
     rows = rows.selectExpr("*", f"array_sort(transform(filter(_scored, x -> CASE x.kind {limits} ELSE false END), x -> struct(x.at AS at, x.end AS end, x.o AS o, x.kind AS kind))) AS _picked").drop("_scored")
     # Selected spans that overlap become one, of the kind that scores highest: a new one begins where none before reaches.
     rows = rows.selectExpr("*", f"CASE WHEN size(_picked) > 0 THEN {running('transform(_picked, x -> x.end)', MOST)} ELSE array() END AS _reach")
-    rows = rows.selectExpr("*", "filter(sequence(0, size(_picked)), i -> i = 0 OR i = size(_picked) OR get(_picked, i).at >= get(_reach, i - 1)) AS _cuts")
-    best = "array_max(transform(slice(_picked, n + 1, get(_cuts, j + 1) - n), y -> struct(y.o AS o, y.kind AS kind))).kind"
-    rows = rows.selectExpr("*", f"CASE WHEN size(_picked) > 0 THEN transform(slice(_cuts, 1, size(_cuts) - 1), (n, j) -> struct({best} AS kind, get(_picked, n).at AS at, get(_reach, get(_cuts, j + 1) - 1) AS end)) ELSE array() END AS _merged")
+    edges = lambda spans: bound("z", f"struct({spans} AS s, _reach AS r)", "filter(sequence(0, size(z.s)), i -> i = 0 OR i = size(z.s) OR get(z.s, i).at >= get(z.r, i - 1))")
+    rows = rows.selectExpr("*", f"{edges('_picked')} AS _cuts")
+    best = "array_max(transform(slice(z.s, n + 1, get(z.c, j + 1) - n), y -> struct(y.o AS o, y.kind AS kind))).kind"
+    rows = rows.selectExpr("*", f"CASE WHEN size(_picked) > 0 THEN {bound('z', 'struct(_picked AS s, _reach AS r, _cuts AS c)', f'transform(slice(z.c, 1, size(z.c) - 1), (n, j) -> struct({best} AS kind, get(z.s, n).at AS at, get(z.r, get(z.c, j + 1) - 1) AS end))')} ELSE array() END AS _merged")
     # In one order, base first among equals: a span falls away where the base before it reaches its end.
     order = f"struct(x.at AS at, 0 AS added, {rank('x.kind')} AS rank, x.end AS end, x.kind AS kind)"
     rows = rows.selectExpr("_whole", "t", f"array_sort(transform(concat({', '.join(f'base_{k}' for k in BASE_KINDS)}), x -> {order})) AS _base", f"transform(_merged, x -> {order.replace('0 AS added', '1 AS added')}) AS _more")
     rows = rows.selectExpr("*", "CASE WHEN size(_more) > 0 THEN array_sort(concat(_base, _more)) END AS _both")
-    rows = rows.selectExpr("*", f"CASE WHEN _both IS NOT NULL THEN {running('transform(_both, x -> CASE WHEN x.added = 0 THEN x.end ELSE 0 END)', MOST)} END AS _over")
-    kept = "array_sort(transform(filter(_both, (x, i) -> x.added = 0 OR get(_over, i) < x.end), x -> struct(x.at AS at, x.rank AS rank, x.end AS end, x.kind AS kind)))"
+    kept = bound("b", "_both", bound("o", running("transform(b, x -> CASE WHEN x.added = 0 THEN x.end ELSE 0 END)", MOST), "filter(b, (x, i) -> x.added = 0 OR get(o, i) < x.end)"))
+    kept = f"array_sort(transform({kept}, x -> struct(x.at AS at, x.rank AS rank, x.end AS end, x.kind AS kind)))"
     plain = "x -> struct(x.kind AS kind, x.at AS at, x.end AS end)"
     return rows.selectExpr("_whole", "t", f"transform(_base, {plain}) AS base", f"CASE WHEN _both IS NULL THEN transform(_base, {plain}) ELSE transform({kept}, {plain}) END AS spans")
 
@@ -371,7 +376,8 @@ def report(docs: DataFrame, model: Model, column: str = "text") -> DataFrame:
 def redact(docs: DataFrame, model: Model, column: str = "text") -> DataFrame:
     """``docs`` with each span in the text replaced by its kind in square brackets; spans that share characters become one, named after the first."""
     rows = find(docs, model, column).selectExpr("*", f"CASE WHEN size(spans) > 0 THEN {running('transform(spans, x -> x.end)', MOST)} ELSE array() END AS _reach")
-    rows = rows.selectExpr("*", "filter(sequence(0, size(spans)), i -> i = 0 OR i = size(spans) OR get(spans, i).at >= get(_reach, i - 1)) AS _cuts")
-    parts = "transform(slice(_cuts, 1, size(_cuts) - 1), (n, j) -> concat('[', get(spans, n).kind, ']', substr(t, get(_reach, get(_cuts, j + 1) - 1) + 1, coalesce(get(spans, get(_cuts, j + 1)).at, length(t)) - get(_reach, get(_cuts, j + 1) - 1))))"
+    rows = rows.selectExpr("*", f"{bound('z', 'struct(spans AS s, _reach AS r)', 'filter(sequence(0, size(z.s)), i -> i = 0 OR i = size(z.s) OR get(z.s, i).at >= get(z.r, i - 1))')} AS _cuts")
+    body = "transform(slice(z.c, 1, size(z.c) - 1), (n, j) -> concat('[', get(z.s, n).kind, ']', substr(z.t, get(z.r, get(z.c, j + 1) - 1) + 1, coalesce(get(z.s, get(z.c, j + 1)).at, length(z.t)) - get(z.r, get(z.c, j + 1) - 1))))"
+    parts = bound("z", "struct(spans AS s, _reach AS r, _cuts AS c, t AS t)", body)
     text = f"CASE WHEN size(spans) > 0 THEN concat(left(t, get(spans, 0).at), array_join({parts}, '')) ELSE _whole.`{column}` END"
     return rows.selectExpr(*(f"{text} AS `{c}`" if c == column else f"_whole.`{c}`" for c in docs.columns))
