@@ -169,20 +169,20 @@ def streamed(v):
 @query("sink_append_dedup", "SELECT DISTINCT instrument_id, seq, side FROM trades")
 def sink_append_dedup(v):
     twice = streamed(v).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
-    return J.into(twice, "trades", "minute", K.append_once(["instrument_id", "seq"])).select("instrument_id", "seq", "side")
+    return J.into(twice, "trades", "minute", K.append_once(["instrument_id", "seq", "minute"])).select("instrument_id", "seq", "side")
 
 
 @query("sink_metrics_series", "SELECT instrument_id, ts_ms, 60 AS window_s, 'qty' AS metric, max(qty) AS value FROM trades GROUP BY instrument_id, ts_ms")
 def sink_metrics_series(v):
     rows = streamed(v).select("instrument_id", "ts_ms", F.lit(60).alias("window_s"), F.lit("qty").alias("metric"), F.col("qty").alias("value"), "minute")
-    return J.into(rows, "series", "minute", K.upsert(["instrument_id", "ts_ms", "window_s", "metric"], ["value"])).drop("minute")
+    return J.into(rows, "series", "minute", K.upsert(["instrument_id", "ts_ms", "window_s", "metric", "minute"], ["value"])).drop("minute")
 
 
 @query("sink_slice_events", "SELECT instrument_id, ts_ms, 'slicing_aggr' AS event_type, side, round(qty, 6) AS intensity, (qty * 0.5 * 1000)::BIGINT AS duration_ms FROM trades WHERE qty >= 5")
 def sink_slice_events(v):
     rows = streamed(v).where("qty >= 5").select("instrument_id", "ts_ms", F.lit("slicing_aggr").alias("kind"), "side", "price", F.col("qty").alias("intensity"), F.create_map(F.lit("dur_s"), (F.col("qty") * 0.5).cast("string")).alias("fields"))
     rows = N.event_rows(rows).select("instrument_id", "ts_ms", "event_type", "side", R6(F.col("intensity")).alias("intensity"), "duration_ms", F.floor(F.col("ts_ms") / 60_000).alias("minute"))
-    return J.into(rows, "events", "minute", K.append_once(["instrument_id", "ts_ms", "event_type", "side"])).drop("minute")
+    return J.into(rows, "events", "minute", K.append_once(["instrument_id", "ts_ms", "event_type", "side", "minute"])).drop("minute")
 
 
 @query("sink_surface_upsert", f"{BUILD}, s AS (SELECT * FROM sf UNION ALL SELECT * REPLACE (iv + 1 AS iv) FROM sf WHERE minute % 3 = 0) SELECT minute, underlying, tenor, band, round(max(iv), 6) AS iv FROM s GROUP BY ALL")

@@ -124,7 +124,7 @@ def polled(samples: DataFrame, every_ms: int, late: str = "1 second", idle_ms: i
     """The last ``qty`` of each user at multiples of ``every_ms`` in event time (``at``, as ``ts_ms``), whether rows come or not.
 
     State is the last sample and the next poll. Rows bring the polls before them; a timer at the next poll brings those that the watermark has passed
-    while no row came. A user without rows for ``idle_ms`` is forgotten, and polled anew when rows come again.
+    while no row came. A row that comes late, older than the last sample, brings no poll back and doesn't replace the newer value. A user without rows for ``idle_ms`` is forgotten, and polled anew when rows come again.
     """
 
     def step(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
@@ -144,6 +144,8 @@ def polled(samples: DataFrame, every_ms: int, late: str = "1 second", idle_ms: i
         else:
             for ts, qty in sorted((int(r.ts_ms), float(r.qty)) for frame in frames for r in frame.itertuples()):
                 until(ts - 1)
+                if last is not None and ts < last:
+                    continue
                 value, last = qty, ts
                 if due is None or due < ts:
                     due = -(-ts // every_ms) * every_ms
@@ -169,6 +171,10 @@ def into(stream: DataFrame, name: str, partition: str, merge) -> DataFrame:
 
     spark = stream.sparkSession
     base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    put = lambda rows, batch: sinks.write(rows, batch, f"{base}/table", partition, merge)
+
+    def put(rows: DataFrame, batch: int) -> None:
+        query = rows.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")  # the same from restart to restart on one checkpoint
+        sinks.write(rows, batch, f"{base}/table", partition, merge, query)
+
     stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return sinks.read(spark, f"{base}/table")
