@@ -64,6 +64,34 @@ def test_layouts(trees, box):
     assert not wrong
 
 
+def short_pages(box):
+    """(html, text): articles of one to five words beside and around bare or role-marked boilerplate."""
+    end = box.split()[0]
+    head = "<html><body>"
+    tail = "</body></html>"
+    befores = ("<nav>Menu</nav>", "<header>Daily Site</header>", "<nav>Home News About</nav>", "<div role=navigation>Start here</div>", '<div role="banner">The Site</div>', "")
+    afters = ("<footer>F</footer>", "<footer>All rights reserved</footer>", '<div role="contentinfo">Legal</div>', '<div role="complementary">See also</div>', "<aside>Popular today</aside>", "")
+    insides = (
+        ("<h1>T</h1><p>Ok.</p>", "T\nOk."), ("<h1>Short news</h1><p>It rained.</p><p>We stayed in.</p>", "Short news\nIt rained.\nWe stayed in."), ("<p>Nothing to report today.</p>", "Nothing to report today."),
+        ("<h1>F</h1><nav>On this page</nav><p>Text follows here.</p>", "F\nText follows here."), ("<h1>News</h1><p>It is done.</p><button>Share</button>", "News\nIt is done."), ("<h1>One</h1><p>Two three.</p><aside>Four five</aside><p>Six.</p>", "One\nTwo three.\nSix."),
+        ("<h1>Head</h1><p>Body words.</p><footer>Filed under news</footer>", "Head\nBody words."), ("<header><h1>Title</h1></header><p>Body.</p>", "Title\nBody."),
+    )
+    for before, after, (inside, text) in itertools.product(befores, afters, insides):
+        yield f"{head}{before}<{box}>{inside}</{end}>{after}{tail}", text
+
+
+@pytest.mark.parametrize("box", ["article", "main", 'div role="main"', 'div class="content"'])
+def test_short_and_role_marked_pages(trees, box):
+    wrong, n = [], 0
+    for source, want in short_pages(box):
+        parsed = H.parse(source)
+        got = H.text_of_page(parsed, H.decode(parsed, trees.odds(H.features(parsed))))
+        n += 1
+        if got != want:
+            wrong.append((source, got))
+    assert not wrong, (len(wrong), n, wrong[:6])
+
+
 def test_decoding_is_the_best_consistent_labelling():
     """Outside, content, excluded: down a path never back. All labellings of trees of up to seven elements."""
     rng = random.Random(4)

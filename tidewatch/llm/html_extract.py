@@ -32,7 +32,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 KINDS = ("p", "h1 h2 h3 h4 h5 h6", "a", "li", "ul ol menu dl", "div", "section", "article", "main", "nav", "header", "footer", "aside", "form", "button select option input label fieldset textarea", "table tbody tr td th", "span b i em strong small", "body html", "blockquote pre figure figcaption dd dt")
 GOOD = frozenset("article articlebody body content entry main post story text page prose paragraph".split())
-BAD = frozenset("ad ads advert advertisement adverts advertising adsbygoogle alert announcement author avatar banner bar breadcrumb breadcrumbs byline cart comment comments commentlist consent cookie cookies copyright dialog disclaimer discussion feedback foot footer form gdpr head header hidden legal links login logo masthead menu meta modal nav navbar navigation newsletter note notice notification outbrain overlay pager pagination popular popup print promo promoted promotion recommended related replies reply respond reviews rss search share sharing sidebar side signup skip social sponsor sponsored sponsors subscribe subscription tags teaser toc toolbar tools top trending widget widgets".split())
+BAD = frozenset("ad ads advert advertisement adverts advertising adsbygoogle alert announcement author avatar banner bar breadcrumb breadcrumbs byline cart comment comments commentlist complementary consent contentinfo cookie cookies copyright dialog disclaimer discussion feedback foot footer form gdpr head header hidden legal links login logo masthead menu meta modal nav navbar navigation newsletter note notice notification outbrain overlay pager pagination popular popup print promo promoted promotion recommended related replies reply respond reviews rss search share sharing sidebar side signup skip social sponsor sponsored sponsors subscribe subscription tags teaser toc toolbar tools top trending widget widgets".split())
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:-][\w:.-]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 PART = re.compile(r"[a-z]+")
@@ -297,7 +297,14 @@ GRAFTS = (
     '<div class="share"><ul><li><a href="/f">{a}</a></li><li><a href="/g">{a}</a></li></ul></div>', '<nav class="breadcrumb"><a href="/">{a}</a> <a href="/b">{a}</a></nav>', '<nav><ul><li><a href="/n">{a}</a></li></ul></nav>', '<div class="menu"><a href="/q">{a}</a><a href="/r">{a}</a></div>', '<ul class="nav"><li><a href="/k">{a}</a></li></ul>',
     '<header><div class="logo">{a}</div><p>{b}</p></header>', '<div class="header"><p>{b}</p></div>', '<div id="header">{a}</div>', '<footer><p>{b}</p></footer>', '<div class="footer">{c}</div>', '<div id="page-footer"><p>{b}</p><a href="/z">{a}</a></div>',
     '<div class="related-posts"><h4>{a}</h4><ul><li><a href="/u">{b}</a></li><li><a href="/v">{b}</a></li></ul></div>', '<div class="pagination"><a href="?p=2">{a}</a></div>', '<div class="subscribe"><p>{b}</p></div>', '<div class="widget"><h3>{a}</h3><p>{c}</p></div>', '<p class="copyright">{b}</p>', '<div class="popup modal"><p>{b}</p></div>',
+    "<nav>{a}</nav>", "<nav>{d}</nav>", "<nav><p>{a}</p></nav>", '<nav><a href="/c">{a}</a></nav>', "<nav><span>{a}</span> <span>{a}</span></nav>", "<footer>{a}</footer>", "<footer>{d}</footer>", "<footer><span>{d}</span></footer>", "<aside>{a}</aside>", "<aside>{d}</aside>", "<button>{a}</button>", '<button type="button">{d}</button>', "<form>{a}<button>{a}</button></form>",
+    '<div role="navigation">{a}</div>', '<div role="navigation"><a href="/d">{a}</a> <a href="/e">{a}</a></div>', '<ul role="navigation"><li>{a}</li><li>{d}</li></ul>', '<div role="contentinfo">{d}</div>', '<div role="contentinfo"><p>{b}</p></div>', '<section role="contentinfo">{a}</section>', '<div role="complementary">{a}</div>', '<div role="complementary"><p>{b}</p></div>', '<div role="banner">{d}</div>', '<div role="search">{a}</div>', '<section role="complementary"><h3>{a}</h3><p>{b}</p></section>',
 )
+#: Bare boilerplate before and after the article of a short page.
+SHORT_BEFORE = ("<nav>{a}</nav>", "<nav>{d}</nav>", "<header>{a}</header>", "<header>{d}</header><nav>{a}</nav>", '<nav><a href="/">{a}</a></nav>', '<nav><ul><li><a href="/">{d}</a></li><li><a href="/n">{d}</a></li></ul></nav>', '<div role="navigation">{a}</div>', '<div role="banner">{d}</div>', '<div class="menu">{a}</div>', "")
+SHORT_AFTER = ("<footer>{a}</footer>", "<footer>{d}</footer>", "<footer><p>{a}</p></footer>", '<div role="contentinfo">{a}</div>', '<div role="contentinfo">{d}</div>', '<div role="complementary">{a}</div>', "<aside>{a}</aside><footer>{d}</footer>", '<div class="footer">{a}</div>', '<section id="comments"><h2>{d}</h2><p>{a}</p></section><footer>{d}</footer>', '<form><input name="q"><button>{d}</button></form>', "")
+#: Its article: what stands before, between and after paragraphs of one to five words.
+SHORT_HEADS = ("<h1>{a}</h1>", "<h1>{d}</h1>", "<header><h1>{d}</h1></header>", "", "<h2>{a}</h2>")
 CONTENT = (
     "<ul><li>{a}</li><li>{b}</li><li>{a}</li></ul>", "<ol><li>{b}</li><li>{c}</li></ol>", "<ol><li><p>{b}</p></li><li><p>{c}</p></li></ol>", '<ul class="list"><li>{a}</li><li><a href="/w">{a}</a> {b}</li><li>{b}</li></ul>', "<ul><li><b>{a}</b> {b}</li><li>{b}</li></ul>",
     "<table><tr><th>{a}</th><th>{a}</th></tr><tr><td>{a}</td><td>{b}</td></tr></table>", "<table><caption>{a}</caption><tbody><tr><td>{b}</td><td>{a}</td></tr><tr><td>{a}</td><td>{b}</td></tr></tbody></table>", '<table class="data"><thead><tr><th>{a}</th></tr></thead><tbody><tr><td>{b}</td></tr></tbody></table>',
@@ -323,7 +330,7 @@ def augmented(source: str, words: list[str], rng: random.Random) -> str:
         return html.escape(" ".join(words[at : at + rng.randint(lo, hi)]))
 
     def filled(forms: tuple[str, ...]) -> str:
-        return rng.choice(forms).format(a=some(1, 4), b=some(5, 40), c=some(10, 80))
+        return rng.choice(forms).format(a=some(1, 4), b=some(5, 40), c=some(10, 80), d=some(1, 1))
 
     def graft() -> str:
         return re.sub(r"^<(\w+)", r"<\1 data-x-label=0", filled(GRAFTS))
@@ -353,6 +360,27 @@ def augmented(source: str, words: list[str], rng: random.Random) -> str:
     return whole if rng.random() < 0.06 else f"{source[: inside.start()]}{whole}{source[inside.end() :]}"
 
 
+def short_page(words: list[str], rng: random.Random) -> str:
+    """A page of few blocks: an article of paragraphs, most of one to five words, bare boilerplate beside and within it, labelled as in ``augmented``; some are the article alone."""
+    def filled(forms: tuple[str, ...]) -> str:
+        a, d = (" ".join(rng.choices(words, k=n)) for n in (rng.randint(1, 5), 1))
+        return rng.choice(forms).format(a=html.escape(a), d=html.escape(d), b=html.escape(" ".join(rng.choices(words, k=rng.randint(3, 12)))), c=html.escape(a))
+
+    def bare(forms: tuple[str, ...]) -> str:
+        return re.sub(r"<(nav|header|footer|aside|div|section|form|button)\b", r"<\1 data-x-label=0", filled(forms))
+
+    box = rng.choice(CONTAINERS)
+    head = re.sub("^<header", "<header data-x-label=1", filled(SHORT_HEADS))
+    longest = rng.choice([5, 5, 5, 20, 120])
+    parts = [f"<p>{html.escape(' '.join(rng.choices(words, k=rng.randint(1, longest))).capitalize())}{rng.choice(['.', '.', '', '!'])}</p>" for _ in range(rng.randint(0 if head else 1, 4))]
+    for _ in range(rng.choice([0, 0, 0, 1, 1, 2])):
+        parts.insert(rng.randint(0, len(parts)), bare(GRAFTS))
+    if rng.random() < 0.25:
+        parts.append(bare(("<button>{a}</button>", "<button>{d}</button>", '<button type="button">{d}</button>', "<form>{a}<button>{d}</button></form>")))
+    inside = f"<{box} data-x-label=1>{head}{''.join(parts)}</{box.split()[0]}>"
+    return inside if rng.random() < 0.12 else f"<html><body>{bare(SHORT_BEFORE)}{inside}{bare(SHORT_AFTER)}</body></html>"
+
+
 def labels(page: Page) -> list[int]:
     """1 for elements of the article: below an article, main or marked container and below no boilerplate element or graft."""
     found = [0] * len(page.tags)
@@ -369,8 +397,9 @@ def labels(page: Page) -> list[int]:
     return [max(0, f) for f in found]
 
 
-def fit(pages: DataFrame, column: str = "html", sample_pages: int = 120, chars: int = 30_000, copies: int = 5, seed: int = 5) -> Trees:
-    """Trees fitted to at most ``sample_pages`` pages, the least by a hash of their id, of which ``chars`` characters serve.
+def fit(pages: DataFrame, column: str = "html", sample_pages: int = 120, chars: int = 30_000, copies: int = 5, short: int = 8, seed: int = 5) -> Trees:
+    """Trees fitted to at most ``sample_pages`` pages, the least by a hash of their id, of which ``chars`` characters serve,
+    with ``copies`` of each that have grafts and ``short`` pages of a few of its words.
 
     The pages are picked by ids and hashes alone, so whole pages never gather. Null pages and ids don't serve. Without a page that has an article
     (an empty table, for one), pages of the grafts alone serve.
@@ -389,8 +418,8 @@ def fit(pages: DataFrame, column: str = "html", sample_pages: int = 120, chars:
     words = [w for s in sources[:40] for w in re.sub(r"<[^>]*>|&\w+;", " ", s).split()] or filler
     xs, ys, ws = [], [], []
     for source in sources:
-        for copy in range(copies + 1):
-            page = parse(augmented(source, words, rng) if copy else source)
+        for copy in range(copies + 1 + short):
+            page = parse(source if not copy else augmented(source, words, rng) if copy <= copies else short_page(words, rng))
             x, size = features(page), np.zeros(len(page.tags))
             for i, _, text in page.runs:
                 size[i] += len(text)
