@@ -1,16 +1,21 @@
 """Order books from level deltas, and the metrics on them.
 
-The state of a level is a clamped running sum of its deltas. The state of a whole book at an instant is never built up
-row by row in one task: levels are cut into lifetimes, and lifetimes meet instants through time buckets.
+The state of a level is a clamped running sum of its deltas. The best levels at any instants come from a replay: time is cut into buckets, the
+level states at each bucket's start (its checkpoint) follow from sums by level and bucket, and a bucket's deltas run in order over a sorted
+map that starts from its checkpoint. So buckets are replayed side by side, each delta once, and the cost is that of deltas and instants, not of
+levels times instants. Where all levels of an instant are wanted, levels are cut into lifetimes, and these meet the instants.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .blocks import clamped_sum
+from .blocks import SPAN, clamped_sum
 
 LEVEL = ["instrument_id", "side", "price"]
 
@@ -41,22 +46,142 @@ def lifetimes(depth: DataFrame) -> DataFrame:
     return rows.select(*LEVEL, F.col("level_qty").alias("qty"), F.col("ts_ms").alias("from_ms"), "to_ms").where("to_ms is null or to_ms > from_ms")
 
 
-def with_best(depth: DataFrame, rows: DataFrame, span_ms: int = 1000) -> DataFrame:
-    """``rows`` of ``depth`` with ``best_bid`` and ``best_ask`` as of each, all deltas of that instant up to the row applied.
+#: Quantities are replayed as whole numbers of this part of a unit, so what was added and taken leaves nothing.
+UNIT = 1e8
+FIRST, LAST = -(1 << 62), 1 << 62
+HEADS = "instrument_id string, ts_ms bigint, seq bigint, bids array<struct<price:double,qty:double>>, asks array<struct<price:double,qty:double>>, bid_levels bigint, ask_levels bigint"
+
+
+def checkpoints(rows: DataFrame, last: DataFrame) -> DataFrame:
+    """The levels above zero at the start of each bucket, from ``rows`` (instrument_id, bucket, ts_ms, seq, buy, price, units) and the one row
+    ``last`` (_last, the last bucket).
 
-    Lifetimes of levels, by order of arrival, meet the rows in time buckets.
+    A bucket changes a level's state S to T + max(S, -m), of its total T and its least running sum m <= 0. Over the buckets of a level that is
+    the running total less its least value, in sums of a row a level and bucket.
     """
-    place = F.struct("ts_ms", "seq")
-    until = F.lead(place).over(Window.partitionBy(*LEVEL).orderBy("ts_ms", "seq"))
-    lives = levels(depth).withColumns({"_from": place, "_to": until}).where("level_qty > 0")
-    end = depth.agg(F.max("ts_ms").alias("_end"))
-    bucket = lambda t: F.floor(t / span_ms)
-    lives = lives.crossJoin(F.broadcast(end)).select("instrument_id", F.col("side").alias("_side"), F.col("price").alias("_price"), "_from", "_to", F.explode(F.sequence(bucket(F.col("ts_ms")), bucket(F.coalesce("_to.ts_ms", "_end")))).alias("_bucket"))
-    keyed = rows.withColumns({"_bucket": bucket(F.col("ts_ms")), "_at": place})
-    met = keyed.select("instrument_id", "_bucket", "_at").join(lives, ["instrument_id", "_bucket"]).where((F.col("_from") <= F.col("_at")) & (F.col("_to").isNull() | (F.col("_to") > F.col("_at"))))
-    side = lambda s: F.when(F.col("_side") == s, F.col("_price"))
-    best = met.groupBy("instrument_id", "_at").agg(F.max(side("buy")).alias("best_bid"), F.min(side("sell")).alias("best_ask"))
-    return keyed.join(best, ["instrument_id", "_at"], "left").drop("_bucket", "_at")
+    level = ["instrument_id", "buy", "price"]
+    running = F.sum("units").over(Window.partitionBy(*level, "bucket").orderBy("ts_ms", "seq").rowsBetween(Window.unboundedPreceding, 0))
+    parts = rows.withColumn("_x", running).groupBy(*level, "bucket").agg(F.sum("units").alias("_total"), F.least(F.min("_x"), F.lit(0)).alias("_low"))
+    of = Window.partitionBy(*level).orderBy("bucket")
+    parts = parts.withColumn("_base", F.coalesce(F.sum("_total").over(of.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    least = F.least(F.lit(0), F.min(F.col("_base") + F.col("_low")).over(of.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = parts.withColumns({"_state": F.col("_base") + F.col("_total") - least, "_next": F.lead("bucket").over(of)}).where("_state > 0").crossJoin(F.broadcast(last))
+    until = F.coalesce("_next", "_last")
+    parts = parts.where(F.col("bucket") < until).withColumn("bucket", F.explode(F.sequence(F.col("bucket") + 1, until)))
+    return parts.select("instrument_id", "bucket", (F.col("bucket") * SPAN).alias("ts_ms"), F.lit(FIRST).alias("seq"), F.lit(0).alias("kind"), "buy", "price", F.col("_state").alias("units"))
+
+
+def replay(depth: DataFrame, top: int, every_ms: int | None = None, at: DataFrame | None = None) -> DataFrame:
+    """The best ``top`` levels of each side (HEADS) at multiples of ``every_ms`` up to the last row, and at the rows of ``at`` (instrument_id, ts_ms, seq).
+
+    A row of ``at`` sees the deltas up to its place by (ts_ms, seq), an instant all of its own; an instant that ``at`` names with the seq LAST comes once. Where no
+    level is open there is no row.
+    """
+    signed = F.when(F.col("action") == "delete", -F.col("qty")).otherwise(F.col("qty"))
+    bucket = F.floor(F.col("ts_ms") / SPAN)
+    deltas = depth.select("instrument_id", bucket.alias("bucket"), "ts_ms", "seq", (F.col("side") == "buy").alias("buy"), "price", F.round(signed * UNIT).cast("long").alias("units"))
+    times = depth.select("ts_ms") if at is None else depth.select("ts_ms").unionByName(at.select("ts_ms"))
+    last = times.agg(F.floor(F.max("ts_ms") / SPAN).alias("_last"))
+    stop = depth.agg(F.max("ts_ms").alias("stop"))
+    rows = deltas.select("instrument_id", "bucket", "ts_ms", "seq", F.lit(1).alias("kind"), "buy", "price", "units").unionByName(checkpoints(deltas, last))
+    if at is not None:
+        rows = rows.unionByName(at.select("instrument_id", bucket.alias("bucket"), "ts_ms", "seq", F.lit(2).alias("kind")), allowMissingColumns=True)
+    if every_ms:
+        rows = rows.crossJoin(F.broadcast(stop))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from bisect import bisect_left, insort
+
+        import numpy as np
+
+        now, due, limit = None, None, -1
+        sides = (([], {}), ([], {}))  # asks, bids: prices in order, and their quantities
+        heads, names, times, places, counts, stops, prices, units = None, [], [], [], ([], []), ([0], [0]), ([], []), ([], [])
+
+        def emit(ts: int, seq: int) -> None:
+            nonlocal heads
+            if heads is None:
+                (asks, a), (bids, b) = sides
+                best = bids[: -top - 1 : -1]
+                heads = (best, [b[p] for p in best], asks[:top], [a[p] for p in asks[:top]], len(bids), len(asks))
+            if not heads[4] and not heads[5]:
+                return
+            names.append(now[0])
+            times.append(ts)
+            places.append(seq)
+            for k in (0, 1):
+                prices[k].extend(heads[2 * k])
+                units[k].extend(heads[2 * k + 1])
+                stops[k].append(len(prices[k]))
+                counts[k].append(heads[4 + k])
+
+        def grid(until: int) -> None:
+            """The instants up to ``until``."""
+            nonlocal due
+            while due <= until:
+                emit(due, due)
+                due += every_ms
+
+        def made() -> pa.RecordBatch:
+            levels = [pa.ListArray.from_arrays(pa.array(stops[k], pa.int32()), pa.StructArray.from_arrays([pa.array(prices[k], pa.float64()), pa.array(np.array(units[k], np.float64) / UNIT)], ["price", "qty"])) for k in (0, 1)]
+            batch = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(times, pa.int64()), pa.array(places, pa.int64()), *levels, *(pa.array(c, pa.int64()) for c in counts)], names=["instrument_id", "ts_ms", "seq", "bids", "asks", "bid_levels", "ask_levels"])
+            for held in (names, times, places, *counts, *prices, *units):
+                held.clear()
+            for k in (0, 1):
+                stops[k][:] = [0]
+            return batch
+
+        for batch in batches:
+            ends = batch.column("stop").to_pylist() if every_ms else [None] * batch.num_rows
+            for *key, ts, seq, kind, buy, price, size, end in zip(*(batch.column(k).to_pylist() for k in range(8)), ends, strict=True):
+                if key != now:
+                    if now is not None and every_ms:
+                        grid(limit)
+                    now, heads = key, None
+                    for held in sides:
+                        held[0].clear()
+                        held[1].clear()
+                    if every_ms:
+                        due, limit = -(-key[1] * SPAN // every_ms) * every_ms, min((key[1] + 1) * SPAN - 1, end)
+                if every_ms and due < ts:
+                    grid(min(ts - 1, limit))
+                if kind == 2:
+                    emit(ts, seq)
+                    if every_ms and ts == due and seq == LAST:
+                        due += every_ms
+                else:
+                    order, held = sides[buy]
+                    left = size if kind == 0 else held.get(price, 0) + size
+                    if left > 0:
+                        if price not in held:
+                            insort(order, price)
+                        held[price] = left
+                        heads = None
+                    elif price in held:
+                        del held[price], order[bisect_left(order, price)]
+                        heads = None
+                if len(times) >= 10_000:
+                    yield made()
+        if now is not None and every_ms:
+            while due <= limit:
+                grid(min(limit, due + 10_000 * every_ms))
+                yield made()
+        if times:
+            yield made()
+
+    columns = ["instrument_id", "bucket", "ts_ms", "seq", "kind", "buy", "price", "units", *(["stop"] if every_ms else [])]
+    return rows.select(columns).repartition("instrument_id", "bucket").sortWithinPartitions("instrument_id", "bucket", "ts_ms", "seq", "kind").mapInArrow(run, HEADS)
+
+
+def instants(rows: DataFrame) -> DataFrame:
+    """The distinct instants of ``rows``, each after all deltas of its own."""
+    return rows.select("instrument_id", "ts_ms").distinct().withColumn("seq", F.lit(LAST))
+
+
+def with_best(depth: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` of ``depth`` with ``best_bid`` and ``best_ask`` as of each, all deltas up to the row applied."""
+    best = replay(depth, 1, at=rows.select("instrument_id", "ts_ms", "seq")).select("instrument_id", "ts_ms", "seq", F.get("bids", F.lit(0))["price"].alias("best_bid"), F.get("asks", F.lit(0))["price"].alias("best_ask"))
+    return rows.join(best, ["instrument_id", "ts_ms", "seq"], "left")
 
 
 def at_instants(depth: DataFrame, every_ms: int) -> DataFrame:
@@ -69,17 +194,14 @@ def at_instants(depth: DataFrame, every_ms: int) -> DataFrame:
     return spans.select(*LEVEL, "qty", F.explode(F.sequence("_a", "_z", F.lit(every_ms).cast("long"))).alias("instant"))
 
 
-def summary(depth: DataFrame, every_ms: int, top: int = 5) -> DataFrame:
-    """A row per instrument and instant: best prices and quantities, volumes of the top levels, level counts and what follows from them."""
-    live = at_instants(depth, every_ms)
-    head = ranked(live, ["instrument_id", "instant"], 1 << 30)
-    side = lambda s, c: F.when(F.col("side") == s, c)
-    first, near = F.col("level") == 1, F.col("level") <= top
-    got = head.groupBy("instrument_id", "instant").agg(
-        F.max(side("buy", F.when(first, F.col("price")))).alias("best_bid"), F.max(side("sell", F.when(first, F.col("price")))).alias("best_ask"),
-        F.max(side("buy", F.when(first, F.col("qty")))).alias("bid_qty"), F.max(side("sell", F.when(first, F.col("qty")))).alias("ask_qty"),
-        F.coalesce(F.sum(side("buy", F.when(near, F.col("qty")))), F.lit(0.0)).alias("bid_vol"), F.coalesce(F.sum(side("sell", F.when(near, F.col("qty")))), F.lit(0.0)).alias("ask_vol"),
-        F.count_if(F.col("side") == "buy").alias("bid_levels"), F.count_if(F.col("side") == "sell").alias("ask_levels"),
+def summary(depth: DataFrame, every_ms: int | None, top: int = 5, at: DataFrame | None = None) -> DataFrame:
+    """A row per instrument and instant (see ``replay``): best prices and quantities, volumes of the top levels, level counts and what follows from them."""
+    got = replay(depth, top, every_ms, at)
+    first = lambda side, field: F.get(side, F.lit(0))[field]
+    volume = lambda side: F.aggregate(F.col(side)["qty"], F.lit(0.0), lambda sum_, q: sum_ + q)
+    got = got.select(
+        "instrument_id", F.col("ts_ms").alias("instant"), first("bids", "price").alias("best_bid"), first("asks", "price").alias("best_ask"), first("bids", "qty").alias("bid_qty"), first("asks", "qty").alias("ask_qty"),
+        volume("bids").alias("bid_vol"), volume("asks").alias("ask_vol"), "bid_levels", "ask_levels",
     )
     total, count = F.col("bid_vol") + F.col("ask_vol"), F.col("bid_levels") + F.col("ask_levels")
     return got.withColumns({
@@ -93,13 +215,7 @@ def depletion(now: Column, before: Column) -> Column:
     return F.greatest(F.lit(0.0), F.try_divide(before - now, before))
 
 
-def padded(state: DataFrame, keys: list[str], top: int) -> DataFrame:
-    """Arrays of ``top`` prices and quantities per side, best first, padded with zeros."""
-    head = ranked(state, keys, top)
-    arrays = []
-    for name, s in (("bid", "buy"), ("ask", "sell")):
-        own = F.sort_array(F.collect_list(F.when(F.col("side") == s, F.struct("level", "price", "qty"))))
-        for field in ("price", "qty"):
-            filled = F.concat(own[field], F.array_repeat(F.lit(0.0), top))
-            arrays.append(F.slice(filled, 1, top).alias(f"{name}_{field}s"))
-    return head.groupBy(*keys).agg(*arrays)
+def padded(heads: DataFrame, top: int) -> DataFrame:
+    """``heads`` (see ``replay``) with arrays of ``top`` prices and quantities per side, best first, padded with zeros."""
+    filled = {f"{name}_{plural}": F.slice(F.concat(F.col(side)[field], F.array_repeat(F.lit(0.0), top)), 1, top) for name, side in (("bid", "bids"), ("ask", "asks")) for field, plural in (("price", "prices"), ("qty", "qtys"))}
+    return heads.withColumns(filled).drop("bids", "asks")

@@ -13,23 +13,39 @@ from tidewatch.operators.blocks import asof_join, bucketed, trailing_sum, unbuck
 from .registry import query
 
 R6 = lambda c: F.round(c, 6)
-#: Stride of the book samples. The longest lapse of a sample behind the book is this.
-EVERY = 1_000
+#: Book samples: at each trade and every 50 ms; the wide snapshot, and the detectors and audits on it, every second.
+CADENCE, SECOND, ARRAYS = 50, 1_000, 250
 
 LEVELS = """
 lx AS (SELECT *, sum(CASE WHEN action = 'delete' THEN -qty ELSE qty END) OVER w AS s FROM depth WINDOW w AS (PARTITION BY instrument_id, side, price ORDER BY ts_ms, seq)),
 lv AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY instrument_id, side, price ORDER BY ts_ms, seq)) AS level_qty, lead(ts_ms) OVER (PARTITION BY instrument_id, side, price ORDER BY ts_ms, seq) AS to_ms, lead(seq) OVER (PARTITION BY instrument_id, side, price ORDER BY ts_ms, seq) AS to_seq FROM lx)"""
-BOOK = f"""{LEVELS},
-g AS (SELECT unnest(range(0, (SELECT max(ts_ms) FROM depth) + 1, {EVERY})) AS instant),
-live AS (SELECT instant, instrument_id, side, price, level_qty AS qty, row_number() OVER (PARTITION BY instant, instrument_id, side ORDER BY CASE WHEN side = 'buy' THEN -price ELSE price END) AS level
-         FROM g JOIN lv ON lv.ts_ms <= instant AND (to_ms IS NULL OR to_ms > instant) WHERE level_qty > 0),
+TRADED = "SELECT DISTINCT instrument_id, ts_ms AS instant FROM trades"
+
+
+def grid_sql(every: int) -> str:
+    return f"SELECT instrument_id, unnest(range(0, (SELECT max(ts_ms) FROM depth) + 1, {every})) AS instant FROM (SELECT DISTINCT instrument_id FROM depth)"
+
+
+def book_sql(instants: str) -> str:
+    """The live levels and the book at (instrument_id, instant)."""
+    return f"""{LEVELS},
+g AS ({instants}),
+live AS (SELECT instant, g.instrument_id, side, price, level_qty AS qty, row_number() OVER (PARTITION BY instant, g.instrument_id, side ORDER BY CASE WHEN side = 'buy' THEN -price ELSE price END) AS level
+         FROM g JOIN lv ON lv.instrument_id = g.instrument_id AND lv.ts_ms <= instant AND (to_ms IS NULL OR to_ms > instant) WHERE level_qty > 0),
 b AS (SELECT instrument_id, instant, max(price) FILTER (WHERE side = 'buy') AS best_bid, min(price) FILTER (WHERE side = 'sell') AS best_ask, max(qty) FILTER (WHERE side = 'buy' AND level = 1) AS bid_qty, max(qty) FILTER (WHERE side = 'sell' AND level = 1) AS ask_qty,
              coalesce(sum(qty) FILTER (WHERE side = 'buy' AND level <= 5), 0) AS bid_vol, coalesce(sum(qty) FILTER (WHERE side = 'sell' AND level <= 5), 0) AS ask_vol, count(*) FILTER (WHERE side = 'buy') AS bid_levels, count(*) FILTER (WHERE side = 'sell') AS ask_levels
       FROM live GROUP BY ALL)"""
 
 
+BOOK, BOOK_1S, BOOK_TRADED = book_sql(f"{grid_sql(CADENCE)} UNION {TRADED}"), book_sql(grid_sql(SECOND)), book_sql(TRADED)
+
+
 def book(v):
-    return B.summary(v.depth, EVERY)
+    return B.summary(v.depth, CADENCE, at=B.instants(v.trades))
+
+
+def book_1s(v):
+    return B.summary(v.depth, SECOND)
 
 
 @query("book_levels", f"{LEVELS} SELECT instrument_id, seq, level_qty FROM lv")
@@ -49,12 +65,14 @@ def book_best(v):
 
 @query("book_head", f"{BOOK} SELECT instrument_id, instant, side, level, round(price, 6) AS price, qty FROM live WHERE level <= 3")
 def book_head(v):
-    return B.ranked(B.at_instants(v.depth, EVERY), ["instrument_id", "instant"], 3).select("instrument_id", "instant", "side", F.col("level").cast("long").alias("level"), R6("price").alias("price"), "qty")
+    heads = B.replay(v.depth, 3, CADENCE, B.instants(v.trades))
+    sides = [heads.select("instrument_id", F.col("ts_ms").alias("instant"), F.lit(side).alias("side"), F.posexplode(column).alias("_i", "_l")) for side, column in (("buy", "bids"), ("sell", "asks"))]
+    return sides[0].unionByName(sides[1]).select("instrument_id", "instant", "side", (F.col("_i") + 1).cast("long").alias("level"), R6("_l.price").alias("price"), "_l.qty")
 
 
-@query("interval_join_levels", f"{BOOK} SELECT instrument_id, instant, side, round(price, 6) AS price, qty FROM live")
+@query("interval_join_levels", f"{BOOK_1S} SELECT instrument_id, instant, side, round(price, 6) AS price, qty FROM live")
 def interval_join_levels(v):
-    return B.at_instants(v.depth, EVERY).select("instrument_id", "instant", "side", R6("price").alias("price"), "qty")
+    return B.at_instants(v.depth, SECOND).select("instrument_id", "instant", "side", R6("price").alias("price"), "qty")
 
 
 def _simple(name, columns, sql):
@@ -80,30 +98,30 @@ def book_depletion_pct(v):
     return book(v).select("instrument_id", "instant", R6(B.depletion(F.col("bid_vol"), F.lag("bid_vol").over(w))).alias("bid"), R6(B.depletion(F.col("ask_vol"), F.lag("ask_vol").over(w))).alias("ask"))
 
 
-@query("book_snapshot_arrays", f"{BOOK} SELECT instrument_id, instant, list_resize(coalesce(list(round(price, 6) ORDER BY level) FILTER (WHERE side = 'buy' AND level <= 4), []), 4, 0::DOUBLE)[1] AS bid1, list_resize(coalesce(list(round(price, 6) ORDER BY level) FILTER (WHERE side = 'sell' AND level <= 4), []), 4, 0::DOUBLE)[4] AS ask4, list_resize(coalesce(list(qty ORDER BY level) FILTER (WHERE side = 'sell' AND level <= 4), []), 4, 0::DOUBLE)[2] AS ask_q2 FROM live GROUP BY ALL")
+@query("book_snapshot_arrays", f"{book_sql(grid_sql(ARRAYS))} SELECT instrument_id, instant, list_resize(coalesce(list(round(price, 6) ORDER BY level) FILTER (WHERE side = 'buy' AND level <= 4), []), 4, 0::DOUBLE)[1] AS bid1, list_resize(coalesce(list(round(price, 6) ORDER BY level) FILTER (WHERE side = 'sell' AND level <= 4), []), 4, 0::DOUBLE)[4] AS ask4, list_resize(coalesce(list(qty ORDER BY level) FILTER (WHERE side = 'sell' AND level <= 4), []), 4, 0::DOUBLE)[2] AS ask_q2 FROM live GROUP BY ALL")
 def book_snapshot_arrays(v):
-    got = B.padded(B.at_instants(v.depth, EVERY), ["instrument_id", "instant"], 4)
-    return got.select("instrument_id", "instant", R6(F.col("bid_prices")[0]).alias("bid1"), R6(F.col("ask_prices")[3]).alias("ask4"), F.col("ask_qtys")[1].alias("ask_q2"))
+    got = B.padded(B.replay(v.depth, 4, ARRAYS), 4)
+    return got.select("instrument_id", F.col("ts_ms").alias("instant"), R6(F.col("bid_prices")[0]).alias("bid1"), R6(F.col("ask_prices")[3]).alias("ask4"), F.col("ask_qtys")[1].alias("ask_q2"))
 
 
 # Means and changes of the metrics over trailing windows, on the instants.
-def timed(v):
-    return book(v).withColumns({"ts_ms": F.col("instant"), "seq": F.col("instant")})
+def timed(rows):
+    return rows.withColumns({"ts_ms": F.col("instant"), "seq": F.col("instant")})
 
 
 @query("m_imbalance_doc", f"{BOOK} SELECT instrument_id, instant, round(avg((bid_vol - ask_vol) / nullif(bid_vol + ask_vol, 0)) OVER (PARTITION BY instrument_id ORDER BY instant RANGE BETWEEN 30000 PRECEDING AND CURRENT ROW), 6) AS mean FROM b")
 def m_imbalance_doc(v):
-    return R.mean(timed(v), ["instrument_id"], "imbalance", 30_000).select("instrument_id", "instant", R6("mean").alias("mean"))
+    return R.mean(timed(book(v)), ["instrument_id"], "imbalance", 30_000).select("instrument_id", "instant", R6("mean").alias("mean"))
 
 
 @query("m_dominance_doc", f"{BOOK}, d AS (SELECT *, avg(bid_vol / nullif(bid_vol + ask_vol, 0)) OVER (PARTITION BY instrument_id ORDER BY instant RANGE BETWEEN 20000 PRECEDING AND CURRENT ROW) AS m FROM b) SELECT instrument_id, instant, round(m, 6) AS bid, round(1 - m, 6) AS ask FROM d")
 def m_dominance_doc(v):
-    return R.mean(timed(v), ["instrument_id"], "dominance_bid", 20_000).select("instrument_id", "instant", R6("mean").alias("bid"), R6(1 - F.col("mean")).alias("ask"))
+    return R.mean(timed(book(v)), ["instrument_id"], "dominance_bid", 20_000).select("instrument_id", "instant", R6("mean").alias("bid"), R6(1 - F.col("mean")).alias("ask"))
 
 
-@query("m_depletion_doc", f"{BOOK} SELECT x.instrument_id, x.instant, x.bid_vol - p.bid_vol AS bid, x.ask_vol - p.ask_vol AS ask FROM b x LEFT JOIN b p ON p.instrument_id = x.instrument_id AND p.instant = (SELECT max(q.instant) FROM b q WHERE q.instrument_id = x.instrument_id AND q.instant <= x.instant - 30000 AND q.instant >= x.instant - 90000)")
+@query("m_depletion_doc", f"{BOOK} SELECT x.instrument_id, x.instant, CASE WHEN p.instant >= x.instant - 90000 THEN x.bid_vol - p.bid_vol END AS bid, CASE WHEN p.instant >= x.instant - 90000 THEN x.ask_vol - p.ask_vol END AS ask FROM b x ASOF LEFT JOIN b p ON p.instrument_id = x.instrument_id AND p.instant <= x.instant - 30000")
 def m_depletion_doc(v):
-    bid = R.delta(timed(v), ["instrument_id"], "bid_vol", 30_000, 90_000).withColumnRenamed("delta", "bid").drop("ref")
+    bid = R.delta(timed(book(v)), ["instrument_id"], "bid_vol", 30_000, 90_000).withColumnRenamed("delta", "bid").drop("ref")
     return R.delta(bid, ["instrument_id"], "ask_vol", 30_000, 90_000).select("instrument_id", "instant", "bid", F.col("delta").alias("ask"))
 
 
@@ -159,13 +177,13 @@ def m_oi_delta_pct(v):
 
 
 # The whole snapshot: a row per instrument and instant with all metrics, documented forms beside the others.
-SNAP = f"""{BOOK},
+SNAP = f"""{BOOK_1S},
 mb AS (SELECT instrument_id, ts_ms, seq, (mark_price / index_price - 1) * 1e4 AS b, (index_price - mark_price) / mark_price * 1e4 AS d FROM mark_funding),
 mv AS (SELECT *, (b - lag(b) OVER w) / greatest((ts_ms - lag(ts_ms) OVER w) / 1000.0::DOUBLE, 1e-6) AS vel FROM mb WINDOW w AS (PARTITION BY instrument_id ORDER BY ts_ms, seq)),
 md AS (SELECT x.*, (x.d - r.v) / ((x.ts_ms - r.t) / 1000.0::DOUBLE) AS s FROM mv x {BREF.format(c='d', t='mb')}),
 ma AS (SELECT x.*, (x.s - r.v) / ((x.ts_ms - r.t) / 1000.0::DOUBLE) AS a FROM md x {BREF.format(c='s', t='md')}),
 fl AS (SELECT instrument_id, instant, coalesce(sum(qty) FILTER (WHERE side = 'buy' AND action <> 'delete'), 0) AS ib, coalesce(sum(qty) FILTER (WHERE side = 'buy' AND action = 'delete'), 0) AS db,
-              coalesce(sum(qty) FILTER (WHERE side = 'sell' AND action <> 'delete'), 0) AS ia, coalesce(sum(qty) FILTER (WHERE side = 'sell' AND action = 'delete'), 0) AS da FROM g JOIN depth ON ts_ms <= instant AND ts_ms >= instant - 3000 GROUP BY ALL),
+              coalesce(sum(qty) FILTER (WHERE side = 'sell' AND action <> 'delete'), 0) AS ia, coalesce(sum(qty) FILTER (WHERE side = 'sell' AND action = 'delete'), 0) AS da FROM g JOIN depth USING (instrument_id) WHERE ts_ms <= instant AND ts_ms >= instant - 3000 GROUP BY ALL),
 s0 AS (SELECT *, bid_vol + ask_vol AS vol, bid_levels / nullif(bid_levels + ask_levels, 0)::DOUBLE AS lev FROM b),
 s1 AS (SELECT *, (bid_vol - ask_vol) / nullif(vol, 0) AS imb, avg((bid_vol - ask_vol) / nullif(vol, 0)) OVER w AS imb_doc, avg(bid_vol / nullif(vol, 0)) OVER w AS dom_doc FROM s0 WINDOW w AS (PARTITION BY instrument_id ORDER BY instant RANGE BETWEEN 5000 PRECEDING AND CURRENT ROW)),
 s2 AS (SELECT x.*, CASE WHEN p.instant >= x.instant - 9000 THEN x.bid_vol - p.bid_vol END AS dv_bid, CASE WHEN p.instant >= x.instant - 9000 THEN x.ask_vol - p.ask_vol END AS dv_ask FROM s1 x ASOF LEFT JOIN b p ON p.instrument_id = x.instrument_id AND p.instant <= x.instant - 3000),
@@ -185,17 +203,17 @@ def snapshots(v):
     marks = X.basis_velocity(basis_doc(v))
     marks = R.second_derivative(marks, key, "b", 5000, 20000)
     marks = marks.select("instrument_id", "ts_ms", "seq", F.struct("basis", "velocity", "b", "slope", "accel").alias("m"))
-    rows = asof_join(timed(v), marks, key, F.col("m"), "m")
+    rows = asof_join(timed(book_1s(v)), marks, key, F.col("m"), "m")
     rows = bucketed(rows, 9_000)
     here = Window.partitionBy("instrument_id", "_bucket").orderBy("ts_ms")
     near, before = here.rangeBetween(-5_000, 0), here.rangeBetween(-9_000, -3_000)
     rows = unbucketed(rows.withColumns({"imbalance_doc": F.avg("imbalance").over(near), "dominance_bid_doc": F.avg("dominance_bid").over(near), "_was": F.max(F.struct("ts_ms", "bid_vol", "ask_vol")).over(before)}))
     # Each delta serves the instants up to 3 s after it.
-    first, last = F.ceil(F.col("ts_ms") / EVERY) * EVERY, F.floor((F.col("ts_ms") + 3000) / EVERY) * EVERY
+    first, last = F.ceil(F.col("ts_ms") / SECOND) * SECOND, F.floor((F.col("ts_ms") + 3000) / SECOND) * SECOND
     gone = F.when(F.col("action") == "delete", F.col("qty")).otherwise(0.0)
     came = F.when(F.col("action") != "delete", F.col("qty")).otherwise(0.0)
     sums = [F.sum(F.when(F.col("side") == side, c).otherwise(0.0)).alias(f"{name}_{end}") for side, end in (("buy", "bid"), ("sell", "ask")) for c, name in ((came, "in"), (gone, "out"))]
-    flow = v.depth.withColumn("instant", F.explode(F.sequence(first, last, F.lit(EVERY).cast("long")))).groupBy("instrument_id", "instant").agg(*sums)
+    flow = v.depth.withColumn("instant", F.explode(F.sequence(first, last, F.lit(SECOND).cast("long")))).groupBy("instrument_id", "instant").agg(*sums)
     rows = rows.join(flow, ["instrument_id", "instant"], "left")
     both = {f"dep_{e}": F.try_divide(f"out_{e}", F.col(f"in_{e}") + F.col(f"out_{e}")) for e in ("bid", "ask")} | {f"refill_{e}_3s": F.least(F.try_divide(f"in_{e}", f"out_{e}"), F.lit(1.0)) for e in ("bid", "ask")}
     named = {

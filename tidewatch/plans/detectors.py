@@ -62,9 +62,9 @@ an AS (SELECT *, last_value(CASE WHEN own IS NULL OR opp > own + 3000 THEN {'p':
               (SELECT sum(qty) FROM trades q WHERE q.instrument_id = sx.instrument_id AND q.side = sx.side AND q.seq <= sx.seq AND q.ts_ms >= sx.ts_ms - 3000) AS volume FROM sx)"""
 
 
-@query("det_absorption", f"{books.BOOK}, {ABSORB} SELECT instrument_id, seq, side, volume AS intensity FROM an WHERE volume >= 5 AND abs(passive - anchor.p) <= 0.2 + 1e-9")
+@query("det_absorption", f"{books.BOOK_TRADED}, {ABSORB} SELECT instrument_id, seq, side, volume AS intensity FROM an WHERE volume >= 5 AND abs(passive - anchor.p) <= 0.2 + 1e-9")
 def det_absorption(v):
-    best = books.timed(v).select("instrument_id", "ts_ms", "seq", "best_bid", "best_ask")
+    best = books.timed(books.B.summary(v.depth, None, 1, books.B.instants(v.trades))).select("instrument_id", "ts_ms", "seq", "best_bid", "best_ask")
     return D.absorption(v.trades, best, 3_000, 5.0, 0.2).select("instrument_id", "seq", "side", "intensity")
 
 
@@ -218,10 +218,10 @@ def calib_depletion(v):
     return percentiles(books.snapshots(v).where(amount > 0), amount)
 
 
-@query("det_spread_squeeze", f"{books.BOOK}, sq AS (SELECT *, instant AS ts_ms, instant AS seq FROM b), {held_sql('sq', 'greatest(best_ask - best_bid, 0) <= 0.5 AND bid_vol >= 20 AND ask_vol >= 20', 1500, 30000)} SELECT instrument_id, ts_ms FROM fired")
+@query("det_spread_squeeze", f"{books.BOOK_1S}, sq AS (SELECT *, instant AS ts_ms, instant AS seq FROM b), {held_sql('sq', 'greatest(best_ask - best_bid, 0) <= 0.5 AND bid_vol >= 20 AND ask_vol >= 20', 1500, 30000)} SELECT instrument_id, ts_ms FROM fired")
 def det_spread_squeeze(v):
     tight = (F.col("spread") <= 0.5) & (F.col("bid_vol") >= 20) & (F.col("ask_vol") >= 20)
-    return held(books.timed(v), ["instrument_id"], tight, 1500, 30_000).select("instrument_id", "ts_ms")
+    return held(books.timed(books.book_1s(v)), ["instrument_id"], tight, 1500, 30_000).select("instrument_id", "ts_ms")
 
 
 SPOOF = f"""{books.LEVELS},
@@ -313,6 +313,6 @@ def audit_absorption_exact(v):
     return rows.where((F.col("vol_exec") >= 20) & (F.col("drift") <= 2 + 1e-6)).select("instrument_id", "seq", "side", "vol_exec", F.round("drift", 4).alias("price_drift_ticks"))
 
 
-@query("audit_breakwall_snapshots", f"{books.BOOK} SELECT instrument_id, instant, round(greatest(best_ask - best_bid, 0), 6) AS spread, bid_vol, ask_vol, round((bid_vol - ask_vol) / nullif(bid_vol + ask_vol, 0), 6) AS imbalance FROM b")
+@query("audit_breakwall_snapshots", f"{books.BOOK_1S} SELECT instrument_id, instant, round(greatest(best_ask - best_bid, 0), 6) AS spread, bid_vol, ask_vol, round((bid_vol - ask_vol) / nullif(bid_vol + ask_vol, 0), 6) AS imbalance FROM b")
 def audit_breakwall_snapshots(v):
-    return books.book(v).select("instrument_id", "instant", R6("spread").alias("spread"), "bid_vol", "ask_vol", R6("imbalance").alias("imbalance"))
+    return books.book_1s(v).select("instrument_id", "instant", R6("spread").alias("spread"), "bid_vol", "ask_vol", R6("imbalance").alias("imbalance"))
