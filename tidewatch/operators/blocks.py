@@ -6,7 +6,8 @@ spreads over as many tasks as it has time buckets:
 * Blocks with a bounded horizon deal each row to its bucket and, if it lies within the horizon of the bucket's end, to
   the next one as a halo.
 * Blocks without one work in two levels: windows within (key, bucket), and a row per (key, bucket) that carries the last value,
-  sum or run over from bucket to bucket. Only these few rows of a key meet in one task.
+  sum or run over from bucket to bucket. Only these few rows of a key meet in one task. Such a block reads its input twice; if that is more than a scan, it
+  is evaluated once and stored (see ``once``).
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .once import once
+
 MS = 1000
 #: Time bucket of the two-level blocks.
 SPAN = 600_000
@@ -68,7 +71,7 @@ def newest(c: Column) -> Column:
 def last_known(df: DataFrame, keys: list[str], inclusive: bool = True, **values: Column) -> DataFrame:
     """``df`` with the newest non-null of each value among a key's rows up to this one, or before it."""
     names = list(values)
-    df = cut(df).withColumns({f"{n}_now": F.when(values[n].isNotNull(), F.struct(*TIME, values[n].alias("v"))) for n in names})
+    df = cut(once(df)).withColumns({f"{n}_now": F.when(values[n].isNotNull(), F.struct(*TIME, values[n].alias("v"))) for n in names})
     frame = local(keys).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     df = df.withColumns({f"{n}_near": newest(F.col(f"{n}_now")).over(frame) for n in names})
     df = carried(df, keys, **{f"{n}_far": (F.max(f"{n}_now"), newest) for n in names})
@@ -77,7 +80,7 @@ def last_known(df: DataFrame, keys: list[str], inclusive: bool = True, **values:
 
 def previous(df: DataFrame, keys: list[str], columns: list[str], name: str = "was") -> DataFrame:
     """``name``: struct of ``columns`` of the key's row before; null at the first."""
-    df = cut(df).withColumn("_now", F.struct(*TIME, F.struct(*columns).alias("v")))
+    df = cut(once(df)).withColumn("_now", F.struct(*TIME, F.struct(*columns).alias("v")))
     df = df.withColumn("_near", F.lag("_now").over(local(keys)))
     df = carried(df, keys, _far=(F.max("_now"), newest))
     return df.withColumn(name, F.coalesce("_near", "_far")["v"]).drop("_bucket", "_now", "_near", "_far")
@@ -86,7 +89,7 @@ def previous(df: DataFrame, keys: list[str], columns: list[str], name: str = "wa
 def running(df: DataFrame, keys: list[str], order: list[str], **values: Column) -> DataFrame:
     """``df`` with the running sum of each value over a key's rows in ``order``, which begins with ts_ms."""
     frame = local(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    df = cut(df).withColumns({f"{n}_add": v for n, v in values.items()})
+    df = cut(once(df)).withColumns({f"{n}_add": v for n, v in values.items()})
     df = df.withColumns({f"{n}_near": F.sum(f"{n}_add").over(frame) for n in values})
     df = carried(df, keys, **{f"{n}_far": (F.sum(f"{n}_add"), F.sum) for n in values})
     return df.withColumns({n: F.col(f"{n}_near") + F.coalesce(f"{n}_far", F.lit(0)) for n in values}).drop("_bucket", *(f"{n}_{x}" for n in values for x in ("add", "near", "far")))
@@ -103,7 +106,7 @@ def asof_joins(left: DataFrame, keys: list[str], rights: dict[str, tuple[DataFra
         values = [F.struct(value.alias("v")) if i == at else F.lit(None).cast(kinds[m]) for i, m in enumerate(sides)]
         rows = rows.unionByName(right.select(*keys, "ts_ms", F.col("seq").alias("_q"), F.lit(at).alias("_kind"), F.lit(None).cast(kind_of_row).alias("_row"), *(v.alias(f"_v{i}") for i, v in enumerate(values))))
     frame = local(keys, ("ts_ms", "_kind", "_q")).rowsBetween(Window.unboundedPreceding, 0)
-    rows = cut(rows).withColumns({f"_near{i}": newest(F.col(f"_v{i}")).over(frame) for i in range(len(sides))})
+    rows = cut(once(rows)).withColumns({f"_near{i}": newest(F.col(f"_v{i}")).over(frame) for i in range(len(sides))})
     rows = carried(rows, keys, **{f"_far{i}": (F.max_by(f"_v{i}", F.when(F.col(f"_v{i}").isNotNull(), F.struct("ts_ms", "_q"))), newest) for i in range(len(sides))})
     found = [F.coalesce(f"_near{i}", f"_far{i}")["v"].alias(n) for i, n in enumerate(sides)]
     return rows.where(F.col("_kind") == len(sides)).select("_row.*", *found)
@@ -116,12 +119,14 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], value: Column,
 
 def asof_growing(df: DataFrame, keys: list[str], value: Column, back_ms: int, name: str = "ref") -> DataFrame:
     """``asof`` without an age limit."""
+    df = once(df)
     probes = df.select(*keys, (F.col("ts_ms") - back_ms).alias("ts_ms"), F.struct(*df.columns).alias("_all"))
     return asof_join(probes, df, keys, F.struct(*TIME, value.alias("v")), name).select("_all.*", name)
 
 
 def asof_forward(df: DataFrame, keys: list[str], value: Column, ahead_ms: int, name: str = "ahead") -> DataFrame:
     """``name``: struct(ts_ms, seq, v) of the first row at least ``ahead_ms`` later: an as-of join in reversed time."""
+    df = once(df)
     probes = df.select(*keys, (-(F.col("ts_ms") + ahead_ms)).alias("ts_ms"), F.struct(*df.columns).alias("_all"))
     turned = df.select(*keys, (-F.col("ts_ms")).alias("ts_ms"), (-F.col("seq")).alias("seq"), F.struct(*TIME, value.alias("v")).alias("_found"))
     return asof_join(probes, turned, keys, F.col("_found"), name).select("_all.*", name)
@@ -144,7 +149,7 @@ def run_ids(df: DataFrame, keys: list[str], columns: list[str], breaks: Callable
     """
     starts = lambda was, now: F.when(F.coalesce(breaks(was, now), F.lit(True)), F.struct(*(now[c].alias(c) for c in TIME)))
     now, near = F.col("_now"), F.col("_near")
-    df = cut(df).withColumn("_now", F.struct(*dict.fromkeys((*TIME, *columns)))).withColumn("_near", F.lag("_now").over(local(keys)))
+    df = cut(once(df)).withColumn("_now", F.struct(*dict.fromkeys((*TIME, *columns)))).withColumn("_near", F.lag("_now").over(local(keys)))
     df = df.withColumn("_start", F.when(near.isNotNull(), starts(near, now)))
     earlier = Window.partitionBy(*keys).orderBy("_bucket")
     sums = df.groupBy(*keys, "_bucket").agg(F.min("_now").alias("_first"), F.max("_now").alias("_last"), F.max("_start").alias("_within"))
@@ -160,7 +165,7 @@ def run_ids(df: DataFrame, keys: list[str], columns: list[str], breaks: Callable
 def clamped_sum(df: DataFrame, keys: list[str], delta: Column, name: str) -> DataFrame:
     """Running sum that never falls below zero: the plain running sum less its least value so far, if that is negative."""
     frame = local(keys).rowsBetween(Window.unboundedPreceding, 0)
-    df = cut(df).withColumn("_add", delta.cast("decimal(28,8)"))
+    df = cut(once(df)).withColumn("_add", delta.cast("decimal(28,8)"))
     df = df.withColumn("_x", F.sum("_add").over(frame)).withColumn("_low", F.min("_x").over(frame))
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = df.groupBy(*keys, "_bucket").agg(F.sum("_add").alias("_total"), F.min("_x").alias("_least"))
@@ -181,6 +186,7 @@ def cooled(candidates: DataFrame, keys: list[str], cooldown_ms: int) -> DataFram
 
     Each key's candidates stream in order past a fold that holds the last firing alone, however dense they are.
     """
+    candidates = once(candidates)
     names = candidates.columns
     times = candidates.select(*keys, "ts_ms", "seq")
 
@@ -206,6 +212,7 @@ def held(samples: DataFrame, keys: list[str], condition: Column, hold_ms: int, c
 
     Runs of true samples are found in two levels; the true samples' times stream in order past a fold that holds the arm and the last firing alone.
     """
+    samples = once(samples)
     names = samples.columns
     rows = run_ids(samples.withColumn("_on", F.coalesce(condition, F.lit(False))), keys, ["_on"], lambda was, now: was["_on"] != now["_on"], "_run").where("_on")
     times = rows.select(*keys, *TIME, F.col("_run.ts_ms").alias("_run_ms"), F.col("_run.seq").alias("_run_seq"), F.lit(0).cast("long").alias("armed_ms"))

@@ -52,9 +52,8 @@ FIRST, LAST = -(1 << 62), 1 << 62
 HEADS = "instrument_id string, ts_ms bigint, seq bigint, bids array<struct<price:double,qty:double>>, asks array<struct<price:double,qty:double>>, bid_levels bigint, ask_levels bigint"
 
 
-def checkpoints(rows: DataFrame, last: DataFrame) -> DataFrame:
-    """The levels above zero at the start of each bucket, from ``rows`` (instrument_id, bucket, ts_ms, seq, buy, price, units) and the one row
-    ``last`` (_last, the last bucket).
+def checkpoints(rows: DataFrame, last: int) -> DataFrame:
+    """The levels above zero at the start of each bucket up to ``last``, from ``rows`` (instrument_id, bucket, ts_ms, seq, buy, price, units).
 
     A bucket changes a level's state S to T + max(S, -m), of its total T and its least running sum m <= 0. Over the buckets of a level that is
     the running total less its least value, in sums of a row a level and bucket.
@@ -65,8 +64,8 @@ def checkpoints(rows: DataFrame, last: DataFrame) -> DataFrame:
     of = Window.partitionBy(*level).orderBy("bucket")
     parts = parts.withColumn("_base", F.coalesce(F.sum("_total").over(of.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     least = F.least(F.lit(0), F.min(F.col("_base") + F.col("_low")).over(of.rowsBetween(Window.unboundedPreceding, 0)))
-    parts = parts.withColumns({"_state": F.col("_base") + F.col("_total") - least, "_next": F.lead("bucket").over(of)}).where("_state > 0").crossJoin(F.broadcast(last))
-    until = F.coalesce("_next", "_last")
+    parts = parts.withColumns({"_state": F.col("_base") + F.col("_total") - least, "_next": F.lead("bucket").over(of)}).where("_state > 0")
+    until = F.coalesce("_next", F.lit(last))
     parts = parts.where(F.col("bucket") < until).withColumn("bucket", F.explode(F.sequence(F.col("bucket") + 1, until)))
     return parts.select("instrument_id", "bucket", (F.col("bucket") * SPAN).alias("ts_ms"), F.lit(FIRST).alias("seq"), F.lit(0).alias("kind"), "buy", "price", F.col("_state").alias("units"))
 
@@ -80,14 +79,11 @@ def replay(depth: DataFrame, top: int, every_ms: int | None = None, at: DataFram
     signed = F.when(F.col("action") == "delete", -F.col("qty")).otherwise(F.col("qty"))
     bucket = F.floor(F.col("ts_ms") / SPAN)
     deltas = depth.select("instrument_id", bucket.alias("bucket"), "ts_ms", "seq", (F.col("side") == "buy").alias("buy"), "price", F.round(signed * UNIT).cast("long").alias("units"))
-    times = depth.select("ts_ms") if at is None else depth.select("ts_ms").unionByName(at.select("ts_ms"))
-    last = times.agg(F.floor(F.max("ts_ms") / SPAN).alias("_last"))
-    stop = depth.agg(F.max("ts_ms").alias("stop"))
-    rows = deltas.select("instrument_id", "bucket", "ts_ms", "seq", F.lit(1).alias("kind"), "buy", "price", "units").unionByName(checkpoints(deltas, last))
+    times = depth.select("ts_ms", F.col("ts_ms").alias("own")) if at is None else depth.select("ts_ms", F.col("ts_ms").alias("own")).unionByName(at.select("ts_ms"), allowMissingColumns=True)
+    newest, stop = (x or 0 for x in times.agg(F.max("ts_ms"), F.max("own")).first())  # two numbers
+    rows = deltas.select("instrument_id", "bucket", "ts_ms", "seq", F.lit(1).alias("kind"), "buy", "price", "units").unionByName(checkpoints(deltas, newest // SPAN))
     if at is not None:
         rows = rows.unionByName(at.select("instrument_id", bucket.alias("bucket"), "ts_ms", "seq", F.lit(2).alias("kind")), allowMissingColumns=True)
-    if every_ms:
-        rows = rows.crossJoin(F.broadcast(stop))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from bisect import bisect_left, insort
@@ -132,8 +128,7 @@ def replay(depth: DataFrame, top: int, every_ms: int | None = None, at: DataFram
             return batch
 
         for batch in batches:
-            ends = batch.column("stop").to_pylist() if every_ms else [None] * batch.num_rows
-            for *key, ts, seq, kind, buy, price, size, end in zip(*(batch.column(k).to_pylist() for k in range(8)), ends, strict=True):
+            for *key, ts, seq, kind, buy, price, size in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
                 if key != now:
                     if now is not None and every_ms:
                         grid(limit)
@@ -142,7 +137,7 @@ def replay(depth: DataFrame, top: int, every_ms: int | None = None, at: DataFram
                         held[0].clear()
                         held[1].clear()
                     if every_ms:
-                        due, limit = -(-key[1] * SPAN // every_ms) * every_ms, min((key[1] + 1) * SPAN - 1, end)
+                        due, limit = -(-key[1] * SPAN // every_ms) * every_ms, min((key[1] + 1) * SPAN - 1, stop)
                 if every_ms and due < ts:
                     grid(min(ts - 1, limit))
                 if kind == 2:
@@ -169,7 +164,7 @@ def replay(depth: DataFrame, top: int, every_ms: int | None = None, at: DataFram
         if times:
             yield made()
 
-    columns = ["instrument_id", "bucket", "ts_ms", "seq", "kind", "buy", "price", "units", *(["stop"] if every_ms else [])]
+    columns = ["instrument_id", "bucket", "ts_ms", "seq", "kind", "buy", "price", "units"]
     return rows.select(columns).repartition("instrument_id", "bucket").sortWithinPartitions("instrument_id", "bucket", "ts_ms", "seq", "kind").mapInArrow(run, HEADS)
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .once import once
+
 #: Ranks that the sketch tells, to one part in this many.
 ACCURACY = 10_000
 
@@ -19,7 +21,7 @@ def percentiles(df: DataFrame, value: Column, probabilities=(0.9, 0.95, 0.99), b
     """
     by = list(by)
     names = [f"p{int(round(p * 100)):02d}" for p in probabilities]
-    rows = df.select(*by, value.cast("double").alias("_v")).where("_v is not null")
+    rows = once(df.select(*by, value.cast("double").alias("_v")).where("_v is not null"))
     margin = 3.0 / accuracy
     edges = [F.array(*(F.lit(min(max(p + d, 0.0), 1.0)) for p in probabilities)) for d in (-margin, margin)]
     sketch = rows.groupBy(*by).agg(

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .once import once
+
 # Tenor buckets (up to days) and half-open moneyness bands.
 TENORS = (("0_7d", 7), ("7_30d", 30), ("30_90d", 90), ("90_180d", 180))
 BANDS = ((0.90, 0.95), (0.95, 1.00), (1.00, 1.05), (1.05, 1.10))
@@ -87,7 +89,8 @@ def serving(ticks: DataFrame, back_ms: int, ahead_ms: int) -> DataFrame:
     # A tick serves from its first minute to the one before the first minute of the instrument's next tick.
     after = F.lead(first).over(Window.partitionBy("instrument_id").orderBy("ts_ms", "seq", "seq2"))
     rows = ticks.withColumns({"_a": first, "_z": F.least(last, F.coalesce(after - 1, last))}).where("_a <= _z")
-    return rows.withColumn("minute", F.explode(F.sequence("_a", "_z"))).drop("_a", "_z")
+    # Stored as spans, a row a tick: the minutes are made where they are used.
+    return once(rows).withColumn("minute", F.explode(F.sequence("_a", "_z"))).drop("_a", "_z")
 
 
 def build(ticks: DataFrame, back_ms: int = 600_000, ahead_ms: int = 5_000, per_tenor: int = 3, quotes: bool = False, weigh: bool = True) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.sources.views import DAY0_MS
 from tidewatch.streaming import jobs as J
+from tidewatch.streaming import ordered as O
 
 from .registry import query
 
@@ -48,8 +49,20 @@ def stream_watermark(v):
     return J.in_chunks(arriving(v), 4, make)
 
 
-SESSION = """
-t AS (SELECT user_id, event_id AS seq, event_id * 50 AS ts_ms, CASE WHEN event_type IN ('click', 'view') THEN 'buy' ELSE 'sell' END AS side, ceil(value / 50) AS qty FROM events),
+# Trades in three chunks by arrival: each comes up to 9.5 s after its time, so rows near the chunks' borders come a chunk late and out of order. What lies
+# within the delay of 15 s behind the last row still waits at the end.
+SHUFFLED = "mx AS (SELECT max(event_id) * 50 - 15000 AS w FROM events), t AS (SELECT user_id, event_id AS seq, event_id * 50 AS ts_ms, CASE WHEN event_type IN ('click', 'view') THEN 'buy' ELSE 'sell' END AS side, ceil(value / 50) AS qty FROM events, mx WHERE event_id * 50 <= w)"
+
+
+def shuffled(v):
+    size = v.ev.agg((F.max("event_id") + 1).alias("_n"))  # one row
+    e, t = F.col("event_id"), F.lit(DAY0_MS) + F.col("event_id") * 50
+    chunk = F.least(F.lit(2), F.floor((e + F.col("k") % 20 * 10) * 3 / F.col("_n"))).cast("int")
+    side = F.when(F.col("event_type").isin("click", "view"), "buy").otherwise("sell")
+    return v.ev.crossJoin(F.broadcast(size)).select("user_id", t.alias("ts_ms"), F.timestamp_millis(t).alias("at"), e.alias("seq"), side.alias("side"), F.ceil(F.col("value") / 50).cast("double").alias("qty"), chunk.alias("chunk"))
+
+
+SESSION = f"""{SHUFFLED},
 b AS (SELECT *, coalesce(side <> lag(side) OVER w OR ts_ms - lag(ts_ms) OVER w > 20000, true) AS brk FROM t WINDOW w AS (PARTITION BY user_id ORDER BY ts_ms, seq)),
 r AS (SELECT *, sum(brk::INT) OVER (PARTITION BY user_id ORDER BY ts_ms, seq) AS run FROM b),
 c AS (SELECT *, count(*) OVER w AS k, sum(qty) OVER w AS volume FROM r WINDOW w AS (PARTITION BY user_id, run ORDER BY ts_ms, seq))"""
@@ -57,9 +70,7 @@ c AS (SELECT *, count(*) OVER w AS k, sum(qty) OVER w AS volume FROM r WINDOW w
 
 @query("stream_session", f"{SESSION} SELECT user_id, seq, side, k, volume FROM c WHERE k >= 2 AND volume >= 2")
 def stream_session(v):
-    side = F.when(F.col("event_type").isin("click", "view"), "buy").otherwise("sell")
-    trades = events(v).select("user_id", F.col("event_id").alias("seq"), (F.col("event_id") * 50).alias("ts_ms"), side.alias("side"), F.ceil(F.col("value") / 50).cast("double").alias("qty"))
-    return J.finished(J.sessions(trades, 20_000, 2, 2.0)).drop("batch")
+    return J.in_chunks(shuffled(v), 3, lambda stream: O.sessions(stream, 20_000, 2, 2.0, "15 seconds"))
 
 
 @query("stream_stateful_detect", f"{SESSION} SELECT user_id, seq, CASE WHEN volume >= 10 THEN 'HIGH' WHEN volume >= 5 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM c WHERE k >= 3 AND volume >= 3")
@@ -67,22 +78,13 @@ def stream_stateful_detect(v):
     """The run detector on a stream, rated by the fixed rules table in a stream-static join."""
     from tidewatch.operators.rules import rated
 
-    side = F.when(F.col("event_type").isin("click", "view"), "buy").otherwise("sell")
-    trades = events(v).select("user_id", F.col("event_id").alias("seq"), (F.col("event_id") * 50).alias("ts_ms"), side.alias("side"), F.ceil(F.col("value") / 50).cast("double").alias("qty"))
-    found = J.sessions(trades, 20_000, 3, 3.0).withColumns({"kind": F.lit("slicing_aggr"), "intensity": F.col("volume")})
-    return J.finished(rated(found).select("user_id", "seq", "severity")).drop("batch")
-
-
-def samples(v):
-    return events(v).select("user_id", F.col("event_id").alias("seq"), (F.col("event_id") * 50).alias("ts_ms"), F.ceil(F.col("value") / 50).cast("double").alias("qty"))
-
-
-SAMPLES = "s AS (SELECT user_id, event_id AS seq, event_id * 50 AS ts_ms, ceil(value / 50) AS qty FROM events)"
+    made = lambda stream: rated(O.sessions(stream, 20_000, 3, 3.0, "15 seconds").withColumns({"kind": F.lit("slicing_aggr"), "intensity": F.col("volume")})).select("user_id", "seq", "severity")
+    return J.in_chunks(shuffled(v), 3, made)
 
 
-@query("stream_sliding", f"{SAMPLES} SELECT user_id, seq, sum(qty) OVER (PARTITION BY user_id ORDER BY ts_ms RANGE BETWEEN 60000 PRECEDING AND CURRENT ROW) AS volume FROM s")
+@query("stream_sliding", f"{SHUFFLED} SELECT user_id, seq, sum(qty) OVER (PARTITION BY user_id ORDER BY ts_ms RANGE BETWEEN 60000 PRECEDING AND CURRENT ROW) AS volume FROM t")
 def stream_sliding(v):
-    return J.finished(J.sliding(samples(v), 60_000)).drop("batch")
+    return J.in_chunks(shuffled(v), 3, lambda stream: O.sliding(stream, 60_000, "15 seconds"))
 
 
 IN_ORDER = """

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,16 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; one of our own only where none is named and driver and executors are one machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+from tidewatch.operators.once import shared_dir
 
 
 def source(spark: SparkSession, sf_dir: str, table: str, files_per_trigger: int = 1) -> DataFrame:
@@ -72,54 +62,6 @@ def deduplicated(events: DataFrame, keys: list[str], late: str = "1 hour") -> Da
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-STATE = "last_ms long, side string, k long, volume double"
-
-
-def sessions(trades: DataFrame, gap_ms: int, k_min: int, qty_min: float) -> DataFrame:
-    """Runs of one side at most ``gap_ms`` apart, per user: state is the open run. Emits each trade at which a run qualifies."""
-
-    def step(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
-        import pandas as pd
-
-        last, side, k, volume = state.get if state.exists else (None, None, 0, 0.0)
-        out = []
-        rows = pd.concat(list(frames)).sort_values(["ts_ms", "seq"])
-        for r in rows.itertuples():
-            if side != r.side or last is None or r.ts_ms - last > gap_ms:
-                k, volume = 0, 0.0
-            last, side, k, volume = int(r.ts_ms), r.side, k + 1, volume + float(r.qty)
-            if k >= k_min and volume >= qty_min:
-                out.append((key[0], int(r.seq), side, k, volume))
-        state.update((last, side, k, volume))
-        yield pd.DataFrame(out, columns=["user_id", "seq", "side", "k", "volume"])
-
-    return trades.groupBy("user_id").applyInPandasWithState(step, "user_id long, seq long, side string, k long, volume double", STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def sliding(trades: DataFrame, window_ms: int) -> DataFrame:
-    """Trailing sum of ``qty`` per user at each row: state is the rows of the last window."""
-
-    def step(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
-        from collections import deque
-
-        import pandas as pd
-
-        times, sizes = (deque(x) for x in state.get) if state.exists else (deque(), deque())
-        total, out = sum(sizes), []
-        for r in pd.concat(list(frames)).sort_values(["ts_ms", "seq"]).itertuples():
-            times.append(int(r.ts_ms))
-            sizes.append(float(r.qty))
-            total += float(r.qty)
-            while times[0] < r.ts_ms - window_ms:
-                times.popleft()
-                total -= sizes.popleft()
-            out.append((key[0], int(r.seq), total))
-        state.update((list(times), list(sizes)))
-        yield pd.DataFrame(out, columns=["user_id", "seq", "volume"])
-
-    return trades.groupBy("user_id").applyInPandasWithState(step, "user_id long, seq long, volume double", "times array<long>, sizes array<double>", "append", GroupStateTimeout.NoTimeout)
-
-
 def polled(samples: DataFrame, every_ms: int, late: str = "1 second", idle_ms: int = 600_000) -> DataFrame:
     """The last ``qty`` of each user at multiples of ``every_ms`` in event time (``at``, as ``ts_ms``), whether rows come or not.
 
