@@ -10,6 +10,7 @@ from tidewatch.operators import normalize as N
 from tidewatch.operators import sinks as K
 from tidewatch.operators.blocks import latest
 from tidewatch.streaming import jobs as J
+from tidewatch.streaming import tail as T
 
 from .registry import query
 from .surface_rows import BUILD, surface
@@ -144,9 +145,20 @@ def instrument_universe(v):
     return N.universe(v.options_instruments, spot=105.0, now_days=10).select("instrument_id", "expiry_days", "strike")
 
 
-@query("tail_incremental", "SELECT instrument_id, seq, side, qty FROM trades WHERE seq > 500 ORDER BY seq LIMIT 2000")
+@query("tail_incremental", "SELECT instrument_id, seq, side, qty FROM trades WHERE seq > 500")
 def tail_incremental(v):
-    return v.trades.where("seq > 500").orderBy("seq").limit(2000).select("instrument_id", "seq", "side", "qty")
+    """The trades past the cursor 500 in batches of 2,000, put away in a keyed table; the tail stops after the first batch, and before it has committed the
+    second, and goes on from its stored cursor."""
+    base = f"{J.shared_dir(v.spark)}/tail-{uuid.uuid4().hex}"
+    rows = v.trades.select("instrument_id", "seq", "side", "qty", F.floor(F.col("ts_ms") / 60_000).alias("minute"))
+    tail = lambda: T.Tail(lambda: rows, "seq", f"{base}/cursor", 2_000, start=500)
+    put = lambda part, batch: K.write(part, batch, f"{base}/table", "minute", K.append_once(["instrument_id", "seq", "minute"]), "tail")
+    T.drain(tail(), put, 1)
+    cut_short = tail()
+    if (part := cut_short.take()) is not None:
+        put(part, cut_short.batch)
+    T.drain(tail(), put)
+    return K.read(v.spark, f"{base}/table").select("instrument_id", "seq", "side", "qty")
 
 
 @query("tail_init_latest", "SELECT instrument_id, max(seq) AS cursor FROM trades GROUP BY instrument_id")

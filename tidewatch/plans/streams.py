@@ -49,6 +49,19 @@ def stream_watermark(v):
     return J.in_chunks(arriving(v), 4, make)
 
 
+@query("stream_backpressure", f"""{CHUNKS}, n AS (SELECT chunk, count(*) AS rows_in, max(t) AS top FROM ch GROUP BY 1), wm AS (SELECT c.chunk, max(p.top) - 15000 AS w FROM n c LEFT JOIN n p ON p.chunk < c.chunk - 1 GROUP BY 1),
+l AS (SELECT chunk, count(*) FILTER (WHERE w IS NOT NULL AND t <= w) AS late FROM ch JOIN wm USING (chunk) GROUP BY 1)
+SELECT chunk::BIGINT AS batch, rows_in, late, (SELECT count(*) FROM ch) - sum(rows_in) OVER (ORDER BY chunk)::BIGINT AS waiting FROM n JOIN l USING (chunk)""")
+def stream_backpressure(v):
+    """A backlog of four files, one a micro-batch: nothing is dropped for being too much, and what comes too late is counted.
+
+    A batch's rows are held against the watermark of the batch before it, which the batches before that one made; between files of a backlog no batch without
+    data moves it on.
+    """
+    make = lambda stream: stream.withWatermark("at", "15 seconds").dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "user_id")
+    return J.worked_off(arriving(v), 4, make)
+
+
 # Trades in three chunks by arrival: each comes up to 9.5 s after its time, so rows near the chunks' borders come a chunk late and out of order. What lies
 # within the delay of 15 s behind the last row still waits at the end.
 SHUFFLED = "mx AS (SELECT max(event_id) * 50 - 15000 AS w FROM events), t AS (SELECT user_id, event_id AS seq, event_id * 50 AS ts_ms, CASE WHEN event_type IN ('click', 'view') THEN 'buy' ELSE 'sell' END AS side, ceil(value / 50) AS qty FROM events, mx WHERE event_id * 50 <= w)"

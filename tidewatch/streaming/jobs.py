@@ -53,6 +53,29 @@ def in_chunks(rows: DataFrame, chunks: int, make: Callable[[DataFrame], DataFram
     return spark.read.option("recursiveFileLookup", "true").schema(stream.schema).parquet(f"{base}/out")
 
 
+def worked_off(rows: DataFrame, chunks: int, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What becomes of a backlog: ``rows`` (with a column ``chunk``) lie there in a file a chunk before the stream starts, which takes in one file a micro-batch and
+    loses none. A row per micro-batch with input: batch, rows_in, late (rows that came behind the watermark) and waiting (rows not yet taken in).
+
+    The counts are those that the query reports of itself.
+    """
+    spark = rows.sparkSession
+    base = f"{shared_dir(spark)}/backlog-{uuid.uuid4().hex}"
+    for chunk in range(chunks):
+        rows.where(F.col("chunk") == chunk).drop("chunk").coalesce(1).write.mode("append").parquet(f"{base}/in")
+    total = rows.count()
+    stream = make(spark.readStream.schema(rows.drop("chunk").schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in"))
+    put = lambda out, batch: out.write.mode("overwrite").parquet(f"{base}/out/batch={batch}/part")
+    query = stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    told, before = [], 0
+    for p in query.recentProgress:
+        if p.numInputRows:
+            before += p.numInputRows
+            told.append((p.batchId, p.numInputRows, sum(op.numRowsDroppedByWatermark for op in p.stateOperators), total - before))
+    return spark.createDataFrame(told, "batch long, rows_in long, late long, waiting long")
+
+
 def tumbling(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Events per minute and type; update mode, so a minute may come again with its new count."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", "1 minute"), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
