@@ -53,3 +53,35 @@ def test_a_level_that_stays_is_known_in_every_bucket(spark):
     got = book.replay(depth, 1, SPAN // 2).orderBy("ts_ms").collect()
     assert [(r.ts_ms, [tuple(x) for x in r.bids]) for r in got] == [(k * SPAN // 2, [(9.0, 0.3)]) for k in range(1, 9)]
     assert book.replay(depth.limit(0), 1, 1_000).count() == 0
+
+
+FEED = "instrument_id string, ts_ms long, seq long, kind string, first_u long, u long, pu long, levels array<struct<side:string,price:double,qty:double>>"
+
+
+def test_snapshot_then_diffs(spark):
+    """Documented values: a diff of update 101 over a snapshot of update 100."""
+    snapshot = [("buy", 100.0, 1.0), ("buy", 99.5, 2.0), ("sell", 100.5, 1.5), ("sell", 101.0, 3.0)]
+    diff = [("buy", 100.0, 1.2), ("buy", 99.5, 0.0), ("sell", 100.5, 0.0), ("sell", 100.7, 1.0)]
+    feed = spark.createDataFrame([("A", 1, 1, "snapshot", None, 100, None, snapshot), ("A", 2, 2, "diff", 101, 101, 100, diff)], FEED)
+    got = sorted((r.side, r.level, r.price, r.qty, r.gapped) for r in book.absolute_books(feed, 2).collect())
+    assert got == [("buy", 1, 100.0, 1.2, False), ("sell", 1, 100.7, 1.0, False), ("sell", 2, 101.0, 3.0, False)]
+
+
+def test_epochs_end_at_gaps_and_snapshots(spark):
+    one = lambda price, qty: [("buy", price, qty)]
+    feed = [
+        ("diff", 1, 5, 0, one(1.0, 9.0)),  # before any snapshot
+        ("snapshot", None, 10, None, [("buy", 9.0, 1.0), ("sell", 11.0, 1.0)]),
+        ("diff", 8, 9, 7, one(5.0, 5.0)),  # older than the snapshot
+        ("diff", 8, 12, 7, one(8.0, 2.0)),  # spans update 11
+        ("diff", 13, 14, 12, one(9.0, 0.0)),
+        ("diff", 13, 14, 12, one(9.0, 7.0)),  # again
+        ("diff", 17, 18, 16, one(7.0, 3.0)),  # 15 and 16 are missing
+        ("diff", 19, 20, 18, one(6.0, 3.0)),
+        ("snapshot", None, 30, None, [("sell", 12.0, 4.0)]),
+        ("diff", 32, 33, 31, one(3.0, 3.0)),  # doesn't span update 31
+        ("snapshot", None, 40, None, one(2.0, 2.0)),
+    ]
+    rows = [("A", 900_000 * i, i, kind, a, u, pu, levels) for i, (kind, a, u, pu, levels) in enumerate(feed)]
+    got = sorted((r.epoch.seq, r.gapped, r.side, r.price, r.qty) for r in book.absolute_books(spark.createDataFrame(rows, FEED).repartition(3), 5).collect())
+    assert got == [(1, True, "buy", 8.0, 2.0), (1, True, "sell", 11.0, 1.0), (8, True, "sell", 12.0, 4.0), (10, False, "buy", 2.0, 2.0)]

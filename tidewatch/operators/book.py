@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .blocks import SPAN, clamped_sum
+from .blocks import SPAN, carried, clamped_sum, cut, last_known, local
+from .once import once
 
 LEVEL = ["instrument_id", "side", "price"]
 
@@ -26,11 +27,28 @@ def levels(depth: DataFrame) -> DataFrame:
     return clamped_sum(depth, LEVEL, signed, "level_qty")
 
 
-def levels_absolute(depth: DataFrame, as_of_ms: int | None, trim: int) -> DataFrame:
-    """The best ``trim`` levels of each side as of an instant (None: after all rows), from absolute quantities (zero removes a level)."""
-    seen = depth if as_of_ms is None else depth.where(F.col("ts_ms") <= as_of_ms)
-    last = seen.groupBy(*LEVEL).agg(F.max_by("qty", F.struct("ts_ms", "seq")).alias("qty")).where("qty > 0")
-    return ranked(last, ["instrument_id"], trim)
+def absolute_books(messages: DataFrame, top: int) -> DataFrame:
+    """The best ``top`` levels of each side at the end of each epoch of a feed of absolute quantities, with ``gapped``.
+
+    ``messages``: instrument_id, ts_ms, seq, kind, first_u, u, pu and levels, an array of (side, price, qty). A ``snapshot`` starts an epoch: it is the whole book
+    as of update u. A ``diff`` sets its levels, zero removes one. It must follow on: the first after a snapshot spans update u + 1, each later
+    one names the last as pu. One that brings nothing new (its u has been seen) is left out. One that doesn't follow ends the epoch: the book is
+    unknown from there to the next snapshot, and ``gapped`` is true. Diffs before the first snapshot don't count. ``epoch`` is the snapshot's (ts_ms, seq).
+    """
+    whole = F.when(F.col("kind") == "snapshot", F.struct("ts_ms", "seq", "u"))
+    rows = last_known(messages, ["instrument_id"], inclusive=True, _snap=whole).where("_snap is not null")
+    rows = cut(once(rows.withColumn("epoch", F.struct("_snap.ts_ms", "_snap.seq"))))
+    epoch = ["instrument_id", "epoch"]
+    rows = rows.withColumn("_near", F.max("u").over(local(epoch).rowsBetween(Window.unboundedPreceding, -1)))
+    rows = carried(rows, epoch, _far=(F.max("u"), F.max)).withColumn("_last", F.greatest("_near", "_far"))
+    diff = F.col("kind") == "diff"
+    rows = once(rows.where(~diff | (F.col("u") > F.col("_last"))).drop("_bucket", "_near", "_far"))
+    gap = diff & F.when(F.col("_last") == F.col("_snap.u"), F.col("first_u") > F.col("_last") + 1).otherwise(F.col("pu") != F.col("_last"))
+    broken = rows.where(gap).groupBy(*epoch).agg(F.min(F.struct("ts_ms", "seq")).alias("_broken"))
+    alive = rows.join(broken, epoch, "left").where(F.col("_broken").isNull() | (F.struct("ts_ms", "seq") < F.col("_broken")))
+    levels_of = alive.select(*epoch, "ts_ms", "seq", F.col("_broken").isNotNull().alias("gapped"), F.explode("levels").alias("_l")).select(*epoch, "ts_ms", "seq", "gapped", "_l.side", "_l.price", "_l.qty")
+    state = levels_of.groupBy(*epoch, "gapped", "side", "price").agg(F.max_by("qty", F.struct("ts_ms", "seq")).alias("qty")).where("qty > 0")
+    return ranked(state, epoch, top)
 
 
 def ranked(state: DataFrame, keys: list[str], top: int) -> DataFrame:

@@ -53,9 +53,20 @@ def book_levels(v):
     return B.levels(v.depth).select("instrument_id", "seq", "level_qty")
 
 
-@query("book_levels_absolute", "l AS (SELECT instrument_id, side, price, arg_max(qty, ts_ms) AS qty FROM depth_abs GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY instrument_id, side ORDER BY CASE WHEN side = 'buy' THEN -price ELSE price END) AS level FROM l WHERE qty > 0) SELECT instrument_id, side, round(price, 6) AS price, qty, level FROM r WHERE level <= 5")
+@query("book_levels_absolute", """
+m AS (SELECT *, max(CASE WHEN kind = 'snapshot' THEN seq END) OVER (PARTITION BY instrument_id ORDER BY ts_ms, seq) AS epoch FROM book_feed),
+p AS (SELECT *, max(u) OVER (PARTITION BY instrument_id, epoch ORDER BY ts_ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM m WHERE epoch IS NOT NULL),
+x AS (SELECT *, kind = 'diff' AND CASE WHEN last = epoch * 10 THEN first_u > last + 1 ELSE pu <> last END AS gap FROM p WHERE kind = 'snapshot' OR u > last),
+y AS (SELECT *, min(CASE WHEN gap THEN seq END) OVER (PARTITION BY instrument_id, epoch) AS broken FROM x),
+l AS (SELECT instrument_id, epoch, broken IS NOT NULL AS gapped, seq, side, price, qty FROM y WHERE kind = 'diff' AND (broken IS NULL OR seq < broken) UNION ALL
+      SELECT instrument_id, epoch, broken IS NOT NULL, seq, 'buy', 100::DOUBLE - 0.1::DOUBLE * j, 5.0::DOUBLE + j FROM y, range(3) r(j) WHERE kind = 'snapshot' UNION ALL
+      SELECT instrument_id, epoch, broken IS NOT NULL, seq, 'sell', 100.1::DOUBLE + 0.1::DOUBLE * j, 6.0::DOUBLE + j FROM y, range(3) r(j) WHERE kind = 'snapshot'),
+s AS (SELECT instrument_id, epoch, gapped, side, round(price, 6) AS price, arg_max(qty, seq) AS qty FROM l GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY instrument_id, epoch, side ORDER BY CASE WHEN side = 'buy' THEN -price ELSE price END) AS level FROM s WHERE qty > 0)
+SELECT instrument_id, epoch, gapped, side, price, qty, level FROM r WHERE level <= 5""")
 def book_levels_absolute(v):
-    return B.levels_absolute(v.depth_abs, None, 5).select("instrument_id", "side", R6("price").alias("price"), "qty", F.col("level").cast("long").alias("level"))
+    levels = B.absolute_books(v.book_feed, 5)
+    return levels.select("instrument_id", F.col("epoch.seq").alias("epoch"), "gapped", "side", R6("price").alias("price"), "qty", F.col("level").cast("long").alias("level"))
 
 
 @query("book_best", f"{BOOK} SELECT instrument_id, instant, round(best_bid, 6) AS best_bid, round(best_ask, 6) AS best_ask, bid_qty, ask_qty FROM b")

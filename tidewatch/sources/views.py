@@ -58,6 +58,20 @@ class Views:
         """Depth rows with absolute quantities, zero for a delete."""
         return self.depth.withColumn("qty", F.when(F.col("action") == "delete", F.lit(0.0)).otherwise(F.col("qty"))).drop("action")
 
+    @cached_property
+    def book_feed(self) -> DataFrame:
+        """Messages of a book by absolute quantities: each 50th of an instrument is a snapshot, the others set a level; some don't follow the one before."""
+        e, k = F.col("event_id"), F.col("k")
+        snapshot = F.floor(e / 4) % 50 == 0
+        level = lambda side, price, qty: F.struct(F.lit(side).alias("side") if isinstance(side, str) else side.alias("side"), price.alias("price"), qty.alias("qty"))
+        whole = F.array(*(level("buy", F.lit(100.0) - 0.1 * j, F.lit(5.0 + j)) for j in range(3)), *(level("sell", F.lit(100.1) + 0.1 * j, F.lit(6.0 + j)) for j in range(3)))
+        buy = F.floor(e / 4) % 2 == 0
+        one = level(F.when(buy, "buy").otherwise("sell"), F.when(buy, F.lit(100.0) - 0.1 * (k % 10)).otherwise(F.lit(100.1) + 0.1 * (k % 10)), F.when(F.col("event_type").isin("error", "signup"), F.lit(0.0)).otherwise(F.ceil(F.col("value") / 10).cast("double")))
+        return self.ev.select(
+            F.concat(F.lit("SIM:PERP:"), (e % 4).cast("string")).alias("instrument_id"), "ts_ms", e.alias("seq"), F.when(snapshot, "snapshot").otherwise("diff").alias("kind"),
+            (e * 10 - 39).alias("first_u"), (e * 10).alias("u"), (e * 10 - 40 + F.when(k == 17, 5).otherwise(0)).alias("pu"), F.when(snapshot, whole).otherwise(F.array(one)).alias("levels"),
+        )
+
     @cached_property
     def depth_seq(self) -> DataFrame:
         """Update ids with gaps, stale and huge jumps."""
@@ -119,6 +133,8 @@ trades AS (SELECT instrument_id, ts_ms, event_id AS seq, CASE WHEN (event_id //
 depth AS (SELECT instrument_id, ts_ms, event_id AS seq, CASE WHEN event_id % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, CASE WHEN event_type IN ('error', 'signup') THEN 'delete' ELSE 'insert' END AS action,
           CASE WHEN event_id % 2 = 0 THEN 100::DOUBLE - 0.1::DOUBLE * (k % 10) ELSE 100.1::DOUBLE + 0.1::DOUBLE * (k % 10) END AS price, ceil(value / 10) AS qty FROM ev),
 depth_abs AS (SELECT instrument_id, ts_ms, seq, side, price, CASE WHEN action = 'delete' THEN 0::DOUBLE ELSE qty END AS qty FROM depth),
+book_feed AS (SELECT 'SIM:PERP:' || (event_id % 4)::VARCHAR AS instrument_id, ts_ms, event_id AS seq, CASE WHEN event_id // 4 % 50 = 0 THEN 'snapshot' ELSE 'diff' END AS kind, event_id * 10 - 39 AS first_u, event_id * 10 AS u, event_id * 10 - 40 + CASE WHEN k = 17 THEN 5 ELSE 0 END AS pu,
+              CASE WHEN event_id // 4 % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, CASE WHEN event_id // 4 % 2 = 0 THEN 100::DOUBLE - 0.1::DOUBLE * (k % 10) ELSE 100.1::DOUBLE + 0.1::DOUBLE * (k % 10) END AS price, CASE WHEN event_type IN ('error', 'signup') THEN 0::DOUBLE ELSE ceil(value / 10) END AS qty FROM ev),
 depth_seq AS (SELECT instrument_id, ts_ms, event_id AS seq, event_id * 10 - 10 + s + 1 AS first_u, event_id * 10 AS u, event_id * 10 - 10 + s AS pu FROM (SELECT *, CASE k WHEN 7 THEN 50 WHEN 13 THEN -50 WHEN 17 THEN 600000 ELSE 0 END AS s FROM ev)),
 mark_funding AS (SELECT instrument_id, ts_ms, event_id AS seq, 100::DOUBLE + value / 100 AS mark_price, 100::DOUBLE + k / 100::DOUBLE AS index_price, (k - 50) / 1e6 AS funding_rate FROM ev WHERE event_type = 'view'),
 liquidations AS (SELECT instrument_id, ts_ms, event_id AS seq, CASE WHEN event_id % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, 100::DOUBLE AS price, value AS qty, CASE WHEN k % 10 <> 0 THEN value * 100 END AS quote_qty_usd FROM ev WHERE event_type = 'error'),
