@@ -147,12 +147,6 @@ def oi_calls_puts_running(v):
     return X.running_oi(X.with_instruments(v.options_ticker, v.options_instruments)).select("instrument_id", "seq", "seq2", "calls", "puts")
 
 
-@query("telemetry_minute", "SELECT ts_ms // 60000 AS minute, event_type AS rule, CASE WHEN user_id % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, count(*) FILTER (WHERE k < 50) AS emitted, count(*) FILTER (WHERE k >= 50 AND k < 80) AS disc_cooldown, count(*) FILTER (WHERE k >= 80) AS disc_threshold FROM ev GROUP BY ALL")
-def telemetry_minute(v):
-    rows = v.ev.withColumns({"rule": F.col("event_type"), "side": F.when(F.col("user_id") % 2 == 0, "buy").otherwise("sell"), "reason": F.when(F.col("k") >= 80, "threshold").when(F.col("k") >= 50, "cooldown")})
-    return X.telemetry(rows, ("cooldown", "threshold"))
-
-
 LIVE = "SELECT '{t}' AS stream, max(ts_ms) AS last_ms, count(*) AS n FROM {t}"
 
 
@@ -293,11 +287,6 @@ def calib_oi_pct(v):
     return percentiles(_delta(v.open_interest, "open_interest", 120_000), F.abs(F.col("d") / F.nullif("p", F.lit(0.0))) * 100)
 
 
-@query("calib_wmid_move", DELTA.format(c="mark_price", t="mark_funding", w=30000) + f", x AS (SELECT abs(d) AS x FROM b) SELECT {PCT(0.25, 0.5, 0.75, 0.95, 0.99)} FROM x")
-def calib_wmid_move(v):
-    return percentiles(_delta(v.mark_funding, "mark_price", 30_000), F.abs("d"), (0.25, 0.5, 0.75, 0.95, 0.99))
-
-
 def _iv1m(v):
     rows = V.by_minute(surface(v)).withColumnsRenamed({"iv_avg": "iv", "rr_25d_avg": "rr", "bf_25d_avg": "bf"})
     return rows.withColumns({"instrument_id": F.col("underlying"), "ts_ms": F.col("bucket") * MINUTE, "seq": F.col("bucket")})
@@ -365,9 +354,11 @@ def calib_gex(v):
     return got.select(*(F.round(c, 2).alias(c) for c in ("p90", "p95", "p99")), "n")
 
 
-@query("calib_tape", f"f AS ({FLOW}), x AS (SELECT (buy - sell) / nullif(buy + sell, 0) AS x FROM f WHERE n >= 10) SELECT {P3} FROM x")
+@query("calib_tape", f"f AS ({FLOW}), x AS (SELECT 'ofi' AS metric, (buy - sell) / nullif(buy + sell, 0) AS x FROM f WHERE n >= 10 UNION ALL SELECT 'qty', buy + sell FROM f WHERE n >= 10) SELECT metric, {P3} FROM x WHERE x IS NOT NULL GROUP BY 1")
 def calib_tape(v):
-    return percentiles(X.flow_per_second(v.trades).where("n >= 10"), F.col("ofi"))
+    busy = X.flow_per_second(v.trades).where("n >= 10")
+    both = F.explode(F.array(*(F.struct(F.lit(name).alias("metric"), x.alias("x")) for name, x in (("ofi", F.col("ofi")), ("qty", F.col("buy") + F.col("sell"))))))
+    return percentiles(busy.select(both.alias("m")).select("m.*"), F.col("x"), by=["metric"])
 
 
 @query("calib_top_traders_raw", f"x AS (SELECT long_ratio AS x FROM account_ratio) SELECT {PCT(0.95, 0.99)} FROM x")
@@ -375,6 +366,8 @@ def calib_top_traders_raw(v):
     return percentiles(v.account_ratio, F.col("long_ratio"), (0.95, 0.99))
 
 
-@query("calib_top_traders", f"x AS (SELECT instrument_id, k AS x FROM ev WHERE event_type = 'purchase') SELECT instrument_id, {P3} FROM x GROUP BY 1")
+@query("calib_top_traders", f"x AS (SELECT 'SIM:PERP:' || (user_id % 4)::VARCHAR AS instrument_id, json_extract(props, '$.k')::DOUBLE / 100 AS x FROM events WHERE event_type = 'purchase') SELECT instrument_id, {P3} FROM x GROUP BY 1")
 def calib_top_traders(v):
-    return percentiles(v.ev.where("event_type = 'purchase'"), F.col("k").cast("double"), by=["instrument_id"])
+    """Ratios out of the events' JSON, parsed once into a variant and read by path."""
+    rows = v.table("events").where("event_type = 'purchase'").select(F.concat(F.lit("SIM:PERP:"), (F.col("user_id") % 4).cast("string")).alias("instrument_id"), F.try_parse_json("props").alias("fields"))
+    return percentiles(rows.select("instrument_id", (F.try_variant_get("fields", "$.k", "double") / 100).alias("ratio")), F.col("ratio"), by=["instrument_id"])

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
+from tidewatch.functions import exprs as X
 from tidewatch.operators import detect as D
 from tidewatch.operators import rules as S
+from tidewatch.operators.blocks import asof_join, previous
 from tidewatch.operators.calibrate import percentiles
+from tidewatch.operators.once import once
 
 from . import books
-from .aggregates import P3, PCT
-from .detectors import SPOOF, TAPE, cooled_sql, runs_sql, spoof_rows
+from .aggregates import OI_RUN, P3, PCT
+from .detectors import BREAK, GATES, SPOOF, TAPE, break_rows, cooled_sql, gate_sql, runs_sql, spoof_rows
 from .registry import query
 
 R6 = lambda c: F.round(c, 6)
@@ -131,10 +136,56 @@ def dispatch_log(v):
     return S.dispatch_log(v.ev.select(F.col("event_id").alias("alert_id"), "k"), events(v).select(F.col("seq").alias("alert_id")))
 
 
-@query("discard_reasons", "x AS (SELECT *, CASE WHEN k % 5 = 0 THEN 'no_velocity' WHEN value < 20 THEN 'threshold' END AS reason FROM ev) SELECT reason, count(*) AS n FROM x WHERE reason IS NOT NULL GROUP BY 1")
+# What the gates of the detectors decide: the reason of each discard, null for what is emitted.
+REASONS = ("dom_spread", "metrics_none", "iv_missing", "oi_missing", "oi_low", "basis_vel_low", "dep_low", "refill_high", "top_levels_gate")
+WALLS = REASONS[5:]
+LEAST_OI = 100.0
+_DOMINANT = "spread_usd <= 2.0 AND (dominance_bid_doc >= 0.6 OR dominance_ask_doc >= 0.6)"
+GATED = f"""{BREAK}, {gate_sql('auto', *GATES['auto'])}, {OI_RUN},
+gt AS (SELECT ts_ms, 'R1/R2' AS rule, side, 'metrics_none' AS reason FROM bw WHERE vel IS NULL
+       UNION ALL SELECT ts_ms, 'R1/R2', side, verdict FROM bw WHERE verdict IN ({', '.join(repr(x) for x in WALLS)})
+       UNION ALL SELECT ts_ms, CASE WHEN side = 'buy' THEN 'R1' ELSE 'R2' END, side, NULL FROM bw WHERE verdict = 'pass' AND (side = 'buy' AND vel > 0 OR side = 'sell' AND vel < 0)
+       UNION ALL SELECT ts_ms, CASE WHEN dominance_bid_doc >= 0.6 THEN 'R9' ELSE 'R10' END, CASE WHEN dominance_bid_doc >= 0.6 THEN 'buy' ELSE 'sell' END, NULL FROM sn WHERE {_DOMINANT}
+       UNION ALL SELECT ts_ms, 'R9/R10', 'na', CASE WHEN spread_usd IS NULL THEN 'metrics_none' ELSE 'dom_spread' END FROM sn WHERE NOT coalesce({_DOMINANT}, false)
+       UNION ALL SELECT ts_ms, 'R15/R16', 'na', 'metrics_none' FROM sn WHERE basis_bps IS NULL
+       UNION ALL SELECT ts_ms, 'R17/R18', 'na', 'metrics_none' FROM sn WHERE basis_bps IS NULL OR basis_vel_bps_s IS NULL
+       UNION ALL SELECT ts_ms, 'R19/R20', 'na', 'iv_missing' FROM options_ticker WHERE mark_iv IS NULL OR mark_iv <= 0
+       UNION ALL SELECT ts_ms, 'R21/R22', 'na', 'oi_missing' FROM options_ticker WHERE open_interest IS NULL
+       UNION ALL SELECT ts_ms, 'R21/R22', 'na', 'oi_low' FROM o WHERE calls + puts < {LEAST_OI})"""
+
+
+def gated(v):
+    """(ts_ms, rule, side, reason): the break wall's gates on slicing events, those of each book sample, and of each option tick."""
+    row = lambda rows, rule, side, reason: rows.select("ts_ms", *(c.alias(n) for c, n in ((rule, "rule"), (side, "side"), (reason, "reason"))))
+    na, none = F.lit("na"), F.lit("metrics_none")
+    walls, samples = once(break_rows(v, "auto").select("ts_ms", "side", "fired", "gate", "velocity")), once(books.snapshots(v))
+    own = (F.col("side") == "buy") & (F.col("velocity") > 0) | (F.col("side") == "sell") & (F.col("velocity") < 0)
+    dominant = F.coalesce(F.expr(_DOMINANT), F.lit(False))
+    bid = F.col("dominance_bid_doc") >= 0.6
+    running = X.running_oi(X.with_instruments(v.options_ticker, v.options_instruments))
+    parts = [
+        row(walls.where("velocity is null"), F.lit("R1/R2"), F.col("side"), none),
+        row(walls.where(F.col("gate").isin(*WALLS)), F.lit("R1/R2"), F.col("side"), F.col("gate")),
+        row(walls.where(F.col("fired") & own), F.when(F.col("side") == "buy", "R1").otherwise("R2"), F.col("side"), F.lit(None).cast("string")),
+        row(samples.where(dominant), F.when(bid, "R9").otherwise("R10"), F.when(bid, "buy").otherwise("sell"), F.lit(None).cast("string")),
+        row(samples.where(~dominant), F.lit("R9/R10"), na, F.when(F.col("spread_usd").isNull(), none).otherwise("dom_spread")),
+        row(samples.where("basis_bps is null"), F.lit("R15/R16"), na, none),
+        row(samples.where("basis_bps is null or basis_vel_bps_s is null"), F.lit("R17/R18"), na, none),
+        row(v.options_ticker.where("mark_iv is null or mark_iv <= 0"), F.lit("R19/R20"), na, F.lit("iv_missing")),
+        row(v.options_ticker.where("open_interest is null"), F.lit("R21/R22"), na, F.lit("oi_missing")),
+        row(running.where(F.col("calls") + F.col("puts") < LEAST_OI), F.lit("R21/R22"), na, F.lit("oi_low")),
+    ]
+    return reduce(lambda x, y: x.unionByName(y), parts)
+
+
+@query("discard_reasons", f"{GATED} SELECT rule, reason, count(*) AS n FROM gt WHERE reason IS NOT NULL GROUP BY ALL")
 def discard_reasons(v):
-    reason = F.when(F.col("k") % 5 == 0, "no_velocity").when(F.col("value") < 20, "threshold")
-    return v.ev.groupBy(reason.alias("reason")).agg(F.count("*").alias("n")).where("reason is not null")
+    return gated(v).where("reason is not null").groupBy("rule", "reason").agg(F.count("*").alias("n"))
+
+
+@query("telemetry_minute", f"{GATED} SELECT ts_ms // 60000 AS minute, rule, side, count(*) FILTER (WHERE reason IS NULL) AS emitted, {', '.join(f'count(*) FILTER (WHERE reason = {x!r}) AS disc_{x}' for x in REASONS)} FROM gt GROUP BY ALL")
+def telemetry_minute(v):
+    return X.telemetry(gated(v), REASONS)
 
 
 @query("event_drilldown", f"{EVENTS} SELECT instrument_id, seq, 'hitting' AS mode, intensity FROM sl ORDER BY ts_ms DESC LIMIT 50")
@@ -183,9 +234,21 @@ def calib_refill(v):
     return percentiles(rows.where("r > 0"), F.col("r"))
 
 
-@query("calib_dep_refill_amounts", f"{books.BOOK}, p AS (SELECT bid_vol - lag(bid_vol) OVER (PARTITION BY instrument_id ORDER BY instant) AS d FROM b), x AS (SELECT greatest(-d, 0) AS x FROM p WHERE d IS NOT NULL) SELECT {PCT(0.5, 0.9, 0.95, 0.99)} FROM x")
+@query("calib_dep_refill_amounts", f"{books.BOOK_1S}, p AS (SELECT bid_vol - lag(bid_vol) OVER (PARTITION BY instrument_id ORDER BY instant) AS d FROM b), x AS (SELECT 'depletion' AS kind, greatest(-d, 0) AS x FROM p WHERE d IS NOT NULL UNION ALL SELECT 'refill', greatest(d, 0) FROM p WHERE d IS NOT NULL) SELECT kind, {PCT(0.5, 0.9, 0.95, 0.99)} FROM x GROUP BY 1")
 def calib_dep_refill_amounts(v):
-    from pyspark.sql.window import Window
+    rows = previous(books.timed(books.book_1s(v)).select("instrument_id", "ts_ms", "seq", "bid_vol"), ["instrument_id"], ["bid_vol"])
+    d = F.col("bid_vol") - F.col("was.bid_vol")
+    amounts = F.explode(F.array(*(F.struct(F.lit(kind).alias("kind"), F.greatest(x, F.lit(0.0)).alias("x")) for kind, x in (("depletion", -d), ("refill", d)))))
+    return percentiles(rows.where(d.isNotNull()).select(amounts.alias("a")).select("a.*"), F.col("x"), (0.5, 0.9, 0.95, 0.99), by=["kind"])
+
+
+HORIZONS = (30, 60)
+
 
-    d = F.col("bid_vol") - F.lag("bid_vol").over(Window.partitionBy("instrument_id").orderBy("instant"))
-    return percentiles(books.book(v).withColumn("d", d).where("d is not null"), F.greatest(-F.col("d"), F.lit(0.0)), (0.5, 0.9, 0.95, 0.99))
+@query("calib_wmid_move", f"{books.BOOK_1S}, q AS (SELECT instrument_id, instant, (best_ask + best_bid) / 2 AS mid FROM b WHERE best_ask IS NOT NULL AND best_bid IS NOT NULL), h(horizon_s) AS (VALUES {', '.join(f'({h})' for h in HORIZONS)}), z AS (SELECT *, instant - horizon_s * 1000 AS t FROM q, h), x AS (SELECT z.horizon_s, abs(z.mid - p.mid) AS x FROM z ASOF JOIN q p ON p.instrument_id = z.instrument_id AND p.instant <= z.t) SELECT horizon_s, {PCT(0.25, 0.5, 0.75, 0.95, 0.99)} FROM x GROUP BY 1")
+def calib_wmid_move(v):
+    """Moves of the book's mid over both horizons: a probe for each, all in one ordered stream."""
+    mids = once(books.timed(books.book_1s(v)).where("wmid is not null").select("instrument_id", "ts_ms", "seq", "wmid"))
+    probes = mids.withColumn("horizon_s", F.explode(F.array(*map(F.lit, HORIZONS)))).withColumn("ts_ms", F.col("ts_ms") - F.col("horizon_s") * 1000)
+    moved = asof_join(probes, mids, ["instrument_id"], F.col("wmid"), "was").where("was is not null")
+    return percentiles(moved, F.abs(F.col("wmid") - F.col("was")), (0.25, 0.5, 0.75, 0.95, 0.99), by=["horizon_s"])
