@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -123,10 +124,43 @@ def suppressed(alerts: DataFrame, window_ms: int = 90_000) -> DataFrame:
     return hits.mapInArrow(fold, kind)
 
 
+# What the text of each kind tells, as name, format, and column or field.
+TEXTS = {
+    "break_wall": (("price", "%.2f", "price"), ("k", "%.0f", "k")),
+    "absorption": (("price", "%.2f", "price"), ("vol", "%.2f", "intensity")),
+    "slicing_aggr": (("price", "%.2f", "price"), ("qty", "%.2f", "intensity")),
+    "slicing_pass": (("price", "%.2f", "price"), ("qty", "%.2f", "intensity")),
+    "dominance": (("share", "%.1f%%", "intensity"), ("price", "%.2f", "price")),
+    "spoofing": (("qty", "%.2f", "intensity"), ("price", "%.2f", "price"), ("cancel", "%.2f", "cancel_rate")),
+    "depletion": (("share", "%.2f", "intensity"),),
+    "metric_trigger": (("value", "%.1f", "intensity"),),
+    "basis_mean_revert": (("vel", "%.2f", "intensity"),),
+    "iv_spike_up": (("move", "%.2f%%", "intensity"),),
+    "iv_spike_down": (("move", "%.2f%%", "intensity"),),
+    "oi_skew_bull": (("ratio", "%.2f", "intensity"),),
+    "oi_skew_bear": (("ratio", "%.2f", "intensity"),),
+    "tape_pressure": (("ratio", "%.2f", "intensity"), ("price", "%.2f", "price")),
+    "oi_spike": (("oi", "%.2f%%", "oi_delta_pct"), ("mom", "%.2f USD", "momentum_usd"), ("i", "%.2f", "intensity")),
+    "liq_cluster": (("sum", "%.0f USD", "liq_sum_usd"), ("k", "%.0f", "liq_orders"), ("low", "%.1f", "price_min"), ("high", "%.1f", "price_max"), ("i", "%.2f", "intensity")),
+    "iv_spike": (("was", "%.3f", "iv_prev"), ("now", "%.3f", "iv_now"), ("dv", "%.3f", "dv"), ("vel", "%.5f/s", "velocity"), ("i", "%.2f", "intensity")),
+    "top_traders": (("acc_long", "%.2f", "acc_long"), ("acc_short", "%.2f", "acc_short"), ("pos_long", "%.2f", "pos_long"), ("pos_short", "%.2f", "pos_short"), ("i", "%.2f", "intensity")),
+    "basis_dislocation": (("basis", "%.2f", "basis_bps"), ("vel", "%.2f", "velocity"), ("trend", "%.6f", "funding_trend"), ("i", "%.2f", "intensity")),
+    "skew_shock": (("drr", "%.4f", "delta_rr"), ("vel", "%.6f/s", "velocity"), ("i", "%.2f", "intensity")),
+    "gamma_flip": (("net", "%.3e", "net_gex"), ("call", "%.3e", "call_gex"), ("put", "%.3e", "put_gex"), ("i", "%.2f", "intensity")),
+    "term_structure_invert": (("short", "%.3f", "iv_short"), ("long", "%.3f", "iv_long"), ("spread", "%.3f", "spread"), ("i", "%.2f", "intensity")),
+}
+COLUMNS = ("price", "intensity")
+
+
 def text() -> Column:
-    """A line of text for an alert, by kind."""
-    place = F.format_string("%s %s @ %.2f", F.col("instrument_id"), F.upper("side"), F.coalesce("price", F.lit(0.0)))
-    return F.when(F.col("kind") == "slicing_aggr", F.format_string("#%s %s | %s | volume %.1f", "rule", "severity", place, "intensity")).otherwise(F.format_string("#%s %s | %s | %s %.4f", "rule", "severity", "kind", place, "intensity"))
+    """A line of text for an alert: rule, kind, side, and what its kind tells (TEXTS), from the columns price and intensity and the map ``fields`` of texts.
+
+    What is missing or no number is na; a kind without an entry tells its intensity.
+    """
+    value = lambda source: F.col(source) if source in COLUMNS else F.col("fields")[source].try_cast("double")
+    told = lambda parts: F.concat_ws(" ", *(F.concat(F.lit(f"{name}="), F.coalesce(F.when(value(source).isNotNull(), F.format_string(form, value(source))), F.lit("na"))) for name, form, source in parts))
+    lines = reduce(lambda c, kind: c.when(F.col("kind") == kind, told(TEXTS[kind])), TEXTS, F)
+    return F.concat(F.lit("#"), F.col("rule"), F.lit(" "), F.col("kind"), F.lit(" "), F.upper("side"), F.lit(" | "), lines.otherwise(told((("i", "%.2f", "intensity"),))))
 
 
 def throttled(messages: DataFrame, most: int = 60) -> DataFrame:

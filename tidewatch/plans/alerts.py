@@ -116,9 +116,27 @@ def alert_upsert_suppress(v):
     return S.suppressed(keyed(v)).select("dedup_key", "ts_first", "ts_last", "n_hits")
 
 
-@query("alert_text", f"{EVENTS} SELECT instrument_id, seq, '#' || CASE WHEN side = 'buy' THEN 'R5' ELSE 'R6' END || ' ' || {SEV} || ' | ' || instrument_id || ' ' || upper(side) || ' @ ' || printf('%.2f', price) || ' | volume ' || printf('%.1f', intensity) AS text FROM sl")
+#: Fields of the catalogue's events, each missing in one event of eleven.
+TEXT_FIELDS = sorted({source for parts in S.TEXTS.values() for _, _, source in parts} - set(S.COLUMNS))
+
+
+def _field_sql(source: str) -> str:
+    if source in S.COLUMNS:
+        return {"price": "price", "intensity": "val"}[source]
+    j = TEXT_FIELDS.index(source)
+    return f"CASE WHEN k % 11 <> {j % 11} THEN (k - 40) * {j + 1} / 7::DOUBLE END"
+
+
+def _told_sql(parts) -> str:
+    return " || ' ' || ".join(f"'{name}=' || coalesce(printf('{form}', {_field_sql(source)}), 'na')" for name, form, source in parts)
+
+
+@query("alert_text", f"{EVERY_KIND}, tx AS (SELECT hit.*, ev.k, 100 + ev.k / 10::DOUBLE AS price FROM hit JOIN ev ON ev.event_id = hit.seq) SELECT instrument_id, seq, rule, '#' || rule || ' ' || kind || ' ' || upper(out_side) || ' | ' || CASE kind {' '.join(f'WHEN {kind!r} THEN {_told_sql(parts)}' for kind, parts in S.TEXTS.items())} ELSE 'i=' || coalesce(printf('%.2f', val), 'na') END AS text FROM tx")
 def alert_text(v):
-    return S.rated(events(v)).select("instrument_id", "seq", S.text().alias("text"))
+    k = F.col("k")
+    fields = F.map_filter(F.create_map(*(x for j, name in enumerate(TEXT_FIELDS) for x in (F.lit(name), F.when(k % 11 != j % 11, ((k - 40) * (j + 1) / 7.0).cast("string"))))), lambda _, x: x.isNotNull())
+    more = v.ev.select(F.col("event_id").alias("seq"), (100 + k / 10.0).alias("price"), fields.alias("fields"))
+    return S.rated(every_kind(v).join(more, "seq")).select("instrument_id", "seq", "rule", S.text().alias("text"))
 
 
 @query("alert_lag", f"{EVENTS} SELECT side, (10000000 - max(ts_ms)) / 1000.0::DOUBLE AS lag_s, count(*) AS n FROM sl GROUP BY 1")
