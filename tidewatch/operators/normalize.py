@@ -8,8 +8,8 @@ from pyspark.sql.window import Window
 
 
 def _parsed(raw: DataFrame, schema: str) -> DataFrame:
-    """``raw`` with ``m``; malformed messages are dropped."""
-    return raw.withColumn("m", F.from_json("raw", schema, {"mode": "PERMISSIVE"})).where("m is not null")
+    """``raw`` with ``m``; what is no JSON object or list is dropped, by a look at its first character, so that no message is parsed twice."""
+    return raw.where(F.col("raw").rlike(r"^\s*[\[{]")).withColumn("m", F.from_json("raw", schema, {"mode": "PERMISSIVE"}))
 
 
 def envelope(raw: DataFrame, schema: str = "e string, u long") -> DataFrame:
@@ -84,8 +84,9 @@ def option_trades(raw: DataFrame) -> DataFrame:
 def option_book(raw: DataFrame) -> DataFrame:
     """Book changes; an entry is [action, price, qty] or [price, qty], the latter a delete if its quantity is zero."""
     rows = _parsed(raw, "instrument_id string, timestamp long, change_id long, bids array<array<string>>, asks array<array<string>>")
-    side = lambda field, name: rows.select(F.col("m.instrument_id").alias("instrument_id"), F.col("m.timestamp").alias("ts_ms"), F.col("m.change_id").alias("seq"), F.lit(name).alias("side"), F.explode(f"m.{field}").alias("x"))
-    both = side("bids", "buy").unionByName(side("asks", "sell"))
+    # Both sides in one array, so a message is parsed once.
+    tagged = lambda field, name: F.transform(F.coalesce(f"m.{field}", F.array().cast("array<array<string>>")), lambda x: F.struct(F.lit(name).alias("side"), x.alias("x")))
+    both = rows.select(F.col("m.instrument_id").alias("instrument_id"), F.col("m.timestamp").alias("ts_ms"), F.col("m.change_id").alias("seq"), F.explode(F.concat(tagged("bids", "buy"), tagged("asks", "sell"))).alias("_s")).select("instrument_id", "ts_ms", "seq", "_s.side", "_s.x")
     three = F.size("x") >= 3
     qty = F.when(three, F.get("x", F.lit(2))).otherwise(F.get("x", F.lit(1))).cast("double")
     word = F.when(three, F.lower(F.col("x")[0]))

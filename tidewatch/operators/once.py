@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: What a plan must not hold to be evaluated more than once: all but scans, projections, filters and unions.
-COSTLY = re.compile(r"\b(Aggregate|Join|Window|Generate|Sort|Distinct|Deduplicate|RepartitionByExpression|Repartition|MapInArrow|MapInPandas|FlatMapGroupsInPandas|FlatMapGroupsInArrow|Expand|Intersect|Except)\b")
+COSTLY = re.compile(r"\b(Aggregate|Join|Window|Generate|Sort|Distinct|Deduplicate|RepartitionByExpression|MapInArrow|MapInPandas|FlatMapGroupsInPandas|FlatMapGroupsInArrow|Expand|Intersect|Except)\b")
 
 
 def shared_dir(spark: SparkSession) -> str:

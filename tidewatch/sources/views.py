@@ -14,6 +14,12 @@ from pyspark.sql import functions as F
 DAY0_MS = 1_704_067_200_000
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out to all cores if its files are too few to keep them busy; a table of many files stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Views:
     """The feed tables over one set of test tables."""
 
@@ -118,11 +124,11 @@ class Views:
     def options_ticker(self) -> DataFrame:
         q = F.col("l_quantity").cast("double")
         iv = F.lit(0.3) + 4 * F.col("l_discount").cast("double")
-        return self.table("lineitem").select(
+        return spread(self.table("lineitem").select(
             F.concat(F.lit("OPT:"), F.col("l_partkey").cast("string")).alias("instrument_id"), ((F.col("l_orderkey") * 4 + F.col("l_linenumber")) * 50).alias("ts_ms"),
             (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"), F.col("l_suppkey").alias("seq2"), iv.alias("mark_iv"), F.when(F.col("l_partkey") % 2 == 0, q / 51).otherwise(-q / 51).alias("delta"),
             F.col("l_tax").cast("double").alias("gamma"), q.alias("open_interest"), (iv - 0.01).alias("bid"), (iv + 0.01).alias("ask"), F.lit(105.0).alias("underlying_price"),
-        )
+        ))
 
 
 #: The same tables for the cross-check engine.
