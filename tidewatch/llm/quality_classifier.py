@@ -132,7 +132,7 @@ def score(rows: DataFrame, fitted: Model, threshold: float = 0.5, broadcast_path
 def classify(docs: DataFrame, labels: DataFrame, site: Column, path: Column, column: str = "text", threshold: float = 0.5, **fitting) -> DataFrame:
     """doc_id, doc_score (of the text alone), site_rate, path_rate, score and kept (score >= threshold).
 
-    Null sites and paths are a group of their own; a null or empty text has no words and no marks, a very long one is measured whole. Labels serve
+    Null sites and paths are a group of their own, which they share with a site or path named by the one character U+0000; a null or empty text has no words and no marks, a very long one is measured whole. Labels serve
     the fit alone, in a bounded sample. Repeated rows are scored one by one, an empty table gives no rows, other columns are left out.
     """
     rows = stored(measured(docs, site, path, column), "measured")

@@ -222,7 +222,10 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "text", per_class: int
     counts = dict(known.groupBy("toxic").count().collect())
     picked = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     sample = picked[0].unionByName(picked[1])
-    texts = docs.select("doc_id", F.left(text_of(docs, column), F.lit(chars)).alias("text")).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).collect()
+    # Of rows that share an id, the one whose text has the least hash serves, in every run.
+    text = F.left(text_of(docs, column), F.lit(chars))
+    rows = docs.select("doc_id", F.xxhash64(text).alias("_h"), text.alias("text")).join(F.broadcast(sample), "doc_id")
+    texts = rows.groupBy("doc_id", "toxic").agg(F.min(F.struct("_h", "text"))["text"].alias("text")).collect()
     texts.sort(key=lambda r: r["doc_id"])
     toxic = [int(r["toxic"]) for r in texts]
     n = Counter(toxic)
