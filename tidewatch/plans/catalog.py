@@ -7,7 +7,7 @@ import importlib
 from .registry import ORACLES, QUERIES
 
 #: Modules that register queries.
-MODULES = ("feeds", "aggregates", "windows", "books", "detectors", "macro", "alerts", "surface", "streams")
+MODULES = ("feeds", "aggregates", "windows", "books", "detectors", "macro", "alerts", "surface", "streams", "audit_calls")
 
 for _name in MODULES:
     importlib.import_module(f"{__package__}.{_name}")
