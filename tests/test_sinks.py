@@ -96,3 +96,11 @@ def test_crash_between_the_steps(spark, path, monkeypatch, whole):
     sinks.write(rows(spark, ("a", 1, 1, 5), ("b", 2, 1, 5)), 1, path, "day", merge, "w")
     assert state(spark, path) == [("a", 1, 2, 15), ("b", 2, 1, 5), ("c", 3, 1, 1)]
     assert not os.listdir(f"{path}-staged") if not whole else not sinks.exists(spark, f"{path}-staged/w-1")
+
+
+def test_an_empty_first_batch_leaves_no_table(spark, path):
+    merge = sinks.upsert(["k", "day"], ["t"])
+    sinks.write(rows(spark, ("a", 1, 1, 1)).limit(0), 0, path, "day", merge, "w")
+    assert not sinks.exists(spark, path)
+    sinks.write(rows(spark, ("a", 1, 1, 1)), 1, path, "day", merge, "w")
+    assert state(spark, path) == [("a", 1, 1, 1)]

@@ -79,8 +79,17 @@ def write(rows: DataFrame, batch: int, path: str, partition: str, merge: Merge,
     """
     if partition not in merge.keys:
         raise ValueError(f"{partition} isn't a key: rows of a key could lie in several partitions, where they don't meet")
+    recover(rows.sparkSession, path, partition)
+    rows = rows.persist()  # a micro-batch is read several times: its stateful operators run once
+    try:
+        if not rows.isEmpty():
+            _write(rows, batch, path, partition, merge, writer)
+    finally:
+        rows.unpersist()
+
+
+def _write(rows: DataFrame, batch: int, path: str, partition: str, merge: Merge, writer: str) -> None:
     spark, names = rows.sparkSession, rows.columns
-    recover(spark, path, partition)
     old = None
     known = F.create_map().cast("map<string,bigint>")
     if exists(spark, path):

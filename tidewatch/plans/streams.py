@@ -6,10 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tidewatch.operators import sinks as K
 from tidewatch.sources.views import DAY0_MS
 from tidewatch.streaming import jobs as J
 from tidewatch.streaming import ordered as O
 
+from .alerts import KEYED, UPSERT, keyed
 from .registry import query
 
 
@@ -100,6 +102,28 @@ def stream_sliding(v):
     return J.in_chunks(shuffled(v), 3, lambda stream: O.sliding(stream, 60_000, "15 seconds"))
 
 
+ALERTS = KEYED.replace("al AS", "all_al AS") + ", wl AS (SELECT max(ts_ms) - 15000 AS w FROM all_al), al AS (SELECT all_al.* FROM all_al, wl WHERE ts_ms <= w)"
+
+
+@query("stream_alert_suppress", UPSERT.replace(KEYED, ALERTS) + " SELECT dedup_key, first AS ts_first, max(t) AS ts_last, count(*) AS n_hits FROM rf GROUP BY ALL")
+def stream_alert_suppress(v):
+    """Alerts that come in three chunks, up to 9.5 s after their time: the open alert of a key lives on in state, and each batch is merged into a table by key, twice."""
+    alerts = keyed(v).select("dedup_key", "ts_ms", "seq")
+    size = alerts.agg((F.max("ts_ms") + 10_000).alias("_n"))  # one row
+    t = F.lit(DAY0_MS) + F.col("ts_ms")
+    chunk = F.floor((F.col("ts_ms") + F.col("seq") % 20 * 500) * 3 / F.col("_n")).cast("int")
+    rows = alerts.crossJoin(F.broadcast(size)).select("dedup_key", t.alias("ts_ms"), F.timestamp_millis(t).alias("at"), "seq", chunk.alias("chunk"))
+    path, merge = f"{J.shared_dir(v.spark)}/alerts-{uuid.uuid4().hex}", K.upsert(["dedup_key", "ts_first", "minute"], ["n_hits"])
+
+    def sink(part, batch):
+        part = part.withColumn("minute", F.floor(F.col("ts_first") / 60_000))
+        for _ in range(2):  # as after a failure between the write and the stream's own commit
+            K.write(part, batch, path, "minute", merge, J.query_of(part))
+
+    J.in_chunks(rows, 3, lambda stream: O.suppressed(stream, 90_000, "15 seconds"), sink=sink)
+    return K.read(v.spark, path).select("dedup_key", (F.col("ts_first") - DAY0_MS).alias("ts_first"), (F.col("ts_last") - DAY0_MS).alias("ts_last"), "n_hits")
+
+
 IN_ORDER = """
 mx AS (SELECT max(event_id) + 1 AS n FROM ev), s AS (SELECT user_id, event_id * 50 AS t, ceil(value / 50) AS qty FROM ev), wm AS (SELECT max(t) - 1000 AS w FROM s),
 nx AS (SELECT *, lead(t) OVER (PARTITION BY user_id ORDER BY t) AS nxt FROM s),

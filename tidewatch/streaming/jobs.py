@@ -35,11 +35,16 @@ def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.option("recursiveFileLookup", "true").schema(f"{stream.drop('batch').schema.simpleString()[7:-1].replace(':', ' ')}, batch int").parquet(f"{base}/rows")
 
 
-def in_chunks(rows: DataFrame, chunks: int, make: Callable[[DataFrame], DataFrame], before: Callable[[int], None] = lambda chunk: None) -> DataFrame:
+def query_of(rows: DataFrame) -> str:
+    """The id of the streaming query that a micro-batch belongs to: the same from restart to restart on one checkpoint."""
+    return rows.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+
+
+def in_chunks(rows: DataFrame, chunks: int, make: Callable[[DataFrame], DataFrame], before: Callable[[int], None] = lambda chunk: None, sink: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
     """Rows (with a column ``chunk``) as they arrive: a chunk lands in the source's folder, then the query runs on from its checkpoint over what is new.
 
     So each chunk is a micro-batch, whatever the number of its files, and state, watermark and timers live on from run to run. ``before`` runs
-    ahead of each chunk. Returns the output of all batches.
+    ahead of each chunk. Returns the output of all batches; with a ``sink``, that gets the batches, and nothing is returned.
     """
     spark = rows.sparkSession
     base = f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}"
@@ -49,8 +54,8 @@ def in_chunks(rows: DataFrame, chunks: int, make: Callable[[DataFrame], DataFram
         rows.where(F.col("chunk") == chunk).drop("chunk").write.parquet(f"{base}/in/{chunk}")
         stream = make(spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{base}/in"))
         put = lambda out, batch: out.write.mode("overwrite").parquet(f"{base}/out/batch={batch}/part")
-        stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.option("recursiveFileLookup", "true").schema(stream.schema).parquet(f"{base}/out")
+        stream.writeStream.foreachBatch(sink or put).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return None if sink else spark.read.option("recursiveFileLookup", "true").schema(stream.schema).parquet(f"{base}/out")
 
 
 def worked_off(rows: DataFrame, chunks: int, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -138,8 +143,7 @@ def into(stream: DataFrame, name: str, partition: str, merge) -> DataFrame:
     base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def put(rows: DataFrame, batch: int) -> None:
-        query = rows.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")  # the same from restart to restart on one checkpoint
-        sinks.write(rows, batch, f"{base}/table", partition, merge, query)
+        sinks.write(rows, batch, f"{base}/table", partition, merge, query_of(rows))
 
     stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return sinks.read(spark, f"{base}/table")

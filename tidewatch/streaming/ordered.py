@@ -132,6 +132,32 @@ class Trailing(Ordered):
         return (times, sizes), (seq, sum(sizes) / UNIT)
 
 
+class Suppressed(Ordered):
+    """Alerts of one key within ``window_ms`` of the first are one: at each hit the alert as it stands by then, with its first and last time and number of hits."""
+
+    fields = "ts_ms long, seq long"
+    state = "first_ms long, n long, last_ms long"
+    out = ["dedup_key", "ts_first", "ts_last", "n_hits"]
+
+    def __init__(self, window_ms: int):
+        self.idle_ms = window_ms
+
+    def start(self):
+        return (None, 0)
+
+    def step(self, state, row):
+        first, n = state
+        if first is None or row[0] - first >= self.idle_ms:
+            first, n = row[0], 0
+        return (first, n + 1), (first, row[0], n + 1)
+
+
+def suppressed(alerts: DataFrame, window_ms: int, late: str) -> DataFrame:
+    """``Suppressed`` over a stream of (dedup_key, at, ts_ms, seq); an upsert by (dedup_key, ts_first) keeps the last state of each alert."""
+    keep_state_in_files(alerts.sparkSession)
+    return alerts.withWatermark("at", late).groupBy("dedup_key").transformWithStateInPandas(Suppressed(window_ms), "dedup_key string, ts_first long, ts_last long, n_hits long", "Append", "EventTime")
+
+
 def sessions(trades: DataFrame, gap_ms: int, k_min: int, qty_min: float, late: str) -> DataFrame:
     """``Runs`` per user over a stream of (user_id, at, ts_ms, seq, side, qty); ``ts_ms`` is ``at`` in milliseconds, rows up to ``late`` behind still count."""
     keep_state_in_files(trades.sparkSession)
