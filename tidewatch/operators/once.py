@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: What a plan must not hold to be evaluated more than once: all but scans, projections, filters and unions.
 COSTLY = re.compile(r"\b(Aggregate|Join|Window|Generate|Sort|Distinct|Deduplicate|RepartitionByExpression|MapInArrow|MapInPandas|FlatMapGroupsInPandas|FlatMapGroupsInArrow|Expand|Intersect|Except)\b")
@@ -32,5 +33,8 @@ def once(df: DataFrame) -> DataFrame:
     if df.isStreaming or not COSTLY.search(df._jdf.queryExecution().analyzed().toString()):
         return df
     path = f"{shared_dir(df.sparkSession)}/once-{uuid.uuid4().hex}"
-    df.write.option("compression", "lz4").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    typed = [c for c, kind in df.dtypes if kind != "void"]  # a column without a type can't be stored and holds nothing
+    kept = df.select(typed)
+    kept.write.option("compression", "lz4").parquet(path)
+    back = df.sparkSession.read.schema(kept.schema).parquet(path)
+    return back if len(typed) == len(df.columns) else back.select(*(c if c in typed else F.lit(None).alias(c) for c in df.columns))
