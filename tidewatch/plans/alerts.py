@@ -133,10 +133,12 @@ def _told_sql(parts) -> str:
 
 @query("alert_text", f"{EVERY_KIND}, tx AS (SELECT hit.*, ev.k, 100 + ev.k / 10::DOUBLE AS price FROM hit JOIN ev ON ev.event_id = hit.seq) SELECT instrument_id, seq, rule, '#' || rule || ' ' || kind || ' ' || upper(out_side) || ' | ' || CASE kind {' '.join(f'WHEN {kind!r} THEN {_told_sql(parts)}' for kind, parts in S.TEXTS.items())} ELSE 'i=' || coalesce(printf('%.2f', val), 'na') END AS text FROM tx")
 def alert_text(v):
+    # The texts are made behind the join: it carries the number that they come from, not a map an event, and broadcasts no side, whatever its files' sizes tell.
     k = F.col("k")
     fields = F.map_filter(F.create_map(*(x for j, name in enumerate(TEXT_FIELDS) for x in (F.lit(name), F.when(k % 11 != j % 11, ((k - 40) * (j + 1) / 7.0).cast("string"))))), lambda _, x: x.isNotNull())
-    more = v.ev.select(F.col("event_id").alias("seq"), (100 + k / 10.0).alias("price"), fields.alias("fields"))
-    return S.rated(every_kind(v).join(more, "seq")).select("instrument_id", "seq", "rule", S.text().alias("text"))
+    more = v.ev.select(F.col("event_id").alias("seq"), "k").hint("merge")
+    rows = S.rated(every_kind(v).join(more, "seq")).withColumns({"price": 100 + k / 10.0, "fields": fields})
+    return rows.select("instrument_id", "seq", "rule", S.text().alias("text"))
 
 
 @query("alert_lag", f"{EVENTS} SELECT side, (10000000 - max(ts_ms)) / 1000.0::DOUBLE AS lag_s, count(*) AS n FROM sl GROUP BY 1")
