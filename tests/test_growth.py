@@ -1,5 +1,8 @@
 """What a row or a batch costs doesn't grow with the density of a feed or with the length of a table."""
 
+from pyspark.sql import functions as F
+
+from tidewatch.operators import blocks as B
 from tidewatch.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -16,3 +19,14 @@ def test_texts_of_alerts_broadcast_no_events(spark):
         assert plan(catalog.queries()["alert_text"](spark, SF)).count("BroadcastExchange") == 1
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_as_of_frames_only_grow(spark):
+    """A frame with two moving ends is gone through anew at each row."""
+    rows = [("a", t, t, float(t)) for t in (0, 1_000, 2_000, 2_000, 60_000, 61_500, 200_000)]
+    df = spark.createDataFrame(rows, "k string, ts_ms long, seq long, x double")
+    got = B.asof(df, ["k"], F.col("x"), 1_000, 60_000)
+    times = [r[1] for r in rows]
+    want = [(t, max((u for u in times if 1_000 <= t - u <= 60_000), default=None)) for t in times]
+    assert sorted((r.ts_ms, r.ref and r.ref.ts_ms) for r in got.collect()) == sorted(want, key=lambda x: (x[0], x[1] or 0))
+    assert "rangeframe, unboundedpreceding" in plan(got).lower().replace("$()", "")
