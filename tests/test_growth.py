@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import blocks as B
 from tidewatch.plans import catalog
+from tidewatch.streaming import jobs as J
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,3 +31,18 @@ def test_as_of_frames_only_grow(spark):
     want = [(t, max((u for u in times if 1_000 <= t - u <= 60_000), default=None)) for t in times]
     assert sorted((r.ts_ms, r.ref and r.ref.ts_ms) for r in got.collect()) == sorted(want, key=lambda x: (x[0], x[1] or 0))
     assert "rangeframe, unboundedpreceding" in plan(got).lower().replace("$()", "")
+
+
+def test_polls_are_taken_apart_by_spark(spark):
+    """The fold in Python gives a row a stretch of polls."""
+    samples = spark.readStream.format("rate").load().select(F.col("value").alias("user_id"), F.col("value").alias("ts_ms"), F.col("timestamp").alias("at"), F.lit(1.0).alias("qty"))
+    polled = J.polled(samples, 3_000)
+    assert polled.columns == ["user_id", "poll_ms", "qty"] and "Generate explode" in polled._jdf.queryExecution().analyzed().toString()
+
+
+def test_series_lie_in_hours(spark):
+    """A partition a minute is a file a minute, 60 times as many to list and to move."""
+    for name in ("sink_append_dedup", "sink_metrics_series", "sink_slice_events", "sink_telemetry_add", "sink_surface_upsert", "tail_incremental"):
+        files = catalog.queries()[name](spark, "/root/testdata/sf0.01").inputFiles()
+        assert files and all("/hour=" in f for f in files), name
+        assert len({f.rsplit("/", 2)[-2] for f in files}) <= 2, name

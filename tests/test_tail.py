@@ -29,3 +29,19 @@ def test_latest_begins_after_what_is_there(spark, tmp_path):
     assert [r.id for r in tail.take().collect()] == [3]
     plan = Tail(lambda: spark.read.parquet("/root/testdata/sf0.001/events.parquet"), "event_id", str(tmp_path / "other"), 5, start=100).take()._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(event_id,100)" in plan
+
+
+def test_a_backlog_is_put_away_in_few_writes(spark, tmp_path):
+    """Every row once, over ties, gaps and a stretch that is handed out again; the batch numbers go on behind it."""
+    rows = [(i, i % 3) for i in range(1, 400) if i % 7 and not 100 < i < 160] + [(200, 5)] * 30
+    table = lambda: spark.createDataFrame(rows, "id long, x int").repartition(3)
+    path, seen = str(tmp_path / "cursor"), []
+    put = lambda part, batch: seen.append((batch, sorted(tuple(r) for r in part.collect())))
+    assert drain(Tail(table, "id", path, 10), put, 2) == 2
+    again = Tail(table, "id", path, 10).take(12)
+    assert sorted(r.id for r in again.collect()) == sorted(r.id for r in Tail(table, "id", path, 10).take(12).collect())
+    drain(Tail(table, "id", path, 10), put, at_once=12)
+    assert len(seen) <= 7  # 34 of one batch each
+    assert sorted(x for _, part in seen for x in part) == sorted(rows)
+    numbers = [b for b, _ in seen]
+    assert numbers == sorted(set(numbers))
