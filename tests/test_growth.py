@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidewatch.operators import blocks as B
+from tidewatch.operators import surface as V
 from tidewatch.plans import catalog
 from tidewatch.streaming import jobs as J
 
@@ -46,3 +47,22 @@ def test_series_lie_in_hours(spark):
         files = catalog.queries()[name](spark, "/root/testdata/sf0.01").inputFiles()
         assert files and all("/hour=" in f for f in files), name
         assert len({f.rsplit("/", 2)[-2] for f in files}) <= 2, name
+
+
+def test_minutes_are_made_where_they_are_grouped(spark):
+    """Ticks are dealt once, before a row a minute is made of them; which minutes a tick serves doesn't depend on the stretch."""
+    times = [0, 100, 61_000, 3_599_000, 3_600_000, 3_605_001, 3_661_000, 7_199_999, 9_000_000]
+    rows = [(f"i{i % 2}", t, n, 0) for n, t in enumerate(times) for i in range(3)][: 3 * len(times)]
+    rows = sorted({(i, t, n, q) for i, t, n, q in rows})
+    got = V.serving(spark.createDataFrame(rows, "instrument_id string, ts_ms long, seq long, seq2 long"), 600_000, 5_000)
+    want = []
+    for minute in range(170):
+        for name in ("i0", "i1"):
+            seen = [r for r in rows if r[0] == name and minute * 60_000 - 600_000 <= r[1] <= minute * 60_000 + 5_000]
+            want += [(minute, name, max(seen, key=lambda r: r[1:])[1])] if seen else []
+    assert sorted((r.minute, r.instrument_id, r.ts_ms) for r in got.collect()) == sorted(want)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert plan(got.groupBy("_part", "minute").count()).count("Exchange hashpartitioning") == 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
