@@ -60,7 +60,8 @@ SURFACE = "minute, underlying, tenor, band, round(iv, 6) AS iv, round(rr_25d, 6)
 @query("surface_build", f"{BUILD} SELECT {SURFACE} FROM sf")
 def surface_build(v):
     names = ["n_expiries_used", "n_used", F.round("sum_weights", 4).alias("sum_weights"), "expiry_min", "expiry_max", "missing_call", "missing_put", "missing_atm"]
-    return surface(v).select("minute", "underlying", "tenor", "band", *(R6(c).alias(c) for c in ("iv", "rr_25d", "bf_25d")), *names)
+    # Sums in any order differ in their last bits, which at a tie would decide the sixth place.
+    return surface(v).select("minute", "underlying", "tenor", "band", *(R6(F.round(c, 12)).alias(c) for c in ("iv", "rr_25d", "bf_25d")), *names)
 
 
 @query("option_id_parse", "SELECT instrument_id, underlying, strike, option_type FROM options_instruments")
