@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidewatch.operators import blocks as B
+from tidewatch.operators import rolling as R
 from tidewatch.operators import surface as V
 from tidewatch.plans import catalog
 from tidewatch.streaming import jobs as J
@@ -66,3 +67,13 @@ def test_minutes_are_made_where_they_are_grouped(spark):
         assert plan(got.groupBy("_part", "minute").count()).count("Exchange hashpartitioning") == 1
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_rolling_means_by_sums_that_only_grow(spark):
+    """Over ties, nulls, gaps and values of very different size, as from each window's own rows."""
+    rows = [("a", t * 7 % 4_000 * 100, t, None if t % 9 == 0 else 1e9 if t % 50 == 0 else t % 13 / 8) for t in range(600)]
+    got = R.mean(spark.createDataFrame(rows, "k string, ts_ms long, seq long, x double"), ["k"], "x", 20_000)
+    for r in got.collect():
+        window = [x for _, t, _, x in rows if r.ts_ms - 20_000 <= t <= r.ts_ms and x is not None]
+        assert (r["mean"] is None) == (not window) and (not window or abs(r["mean"] - sum(window) / len(window)) <= 1e-12 * max(1, abs(r["mean"])))
+    assert "rangeframe, -" not in plan(got).lower() and set(got.columns) == {"k", "ts_ms", "seq", "x", "mean"}

@@ -17,8 +17,21 @@ def clean(df: DataFrame, value: str) -> DataFrame:
 
 def mean(df: DataFrame, keys: list[str], value: str, window_ms: int, name: str = "mean") -> DataFrame:
     """Mean of the samples in [t - window, t]."""
-    w = Window.partitionBy(*keys, "_bucket").orderBy("ts_ms").rangeBetween(-window_ms, 0)
-    return unbucketed(bucketed(df, window_ms).withColumn(name, F.avg(value).over(w)))
+    # A window is the end of one stretch of its length and the beginning of the next: both are sums that only grow, so nothing is taken away again.
+    # An instant's rows all count, so stretches begin after it: the earlier part is summed from its end, the later one up to this instant.
+    df = bucketed(df, window_ms).withColumn("_s", F.floor(F.col("ts_ms") / (window_ms + 1)))
+    here = Window.partitionBy(*keys, "_bucket", "_s")
+    up = here.orderBy("ts_ms").rangeBetween(Window.unboundedPreceding, 0)
+    down = here.orderBy(F.desc("ts_ms")).rangeBetween(Window.unboundedPreceding, 0)
+    both = {f"{name}{at}": f(value).over(w) for name, f in (("_sum", F.sum), ("_n", F.count)) for at, w in (("_up", up), ("_down", down))}
+    df = df.withColumns(both)
+    # The first instant at or after the window's begin, in the stretch before; frames in falling time grow too.
+    since = Window.partitionBy(*keys, "_bucket").orderBy(F.desc("ts_ms")).rangeBetween(Window.unboundedPreceding, window_ms)
+    df = df.withColumn("_tail", F.min(F.struct("ts_ms", "_s", "_sum_down", "_n_down")).over(since))
+    earlier = F.col("_tail._s") < F.col("_s")
+    total = F.when(earlier & F.col("_tail._sum_down").isNotNull(), F.coalesce("_sum_up", F.lit(0.0)) + F.col("_tail._sum_down")).otherwise(F.col("_sum_up"))
+    count = F.col("_n_up") + F.when(earlier, F.col("_tail._n_down")).otherwise(0)
+    return unbucketed(df.withColumn(name, F.try_divide(total, count)).drop("_s", "_tail", *both))
 
 
 def delta(df: DataFrame, keys: list[str], value: str, window_ms: int, max_age_ms: int) -> DataFrame:
