@@ -65,3 +65,13 @@ def test_near_copies_of_the_tables(spark):
     pairs, want = brute([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
     assert len(pairs) > 90
     assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").select("doc_id").collect()} == want
+
+
+def test_simhash_links_what_shares_no_cell(spark):
+    """Pairs of the grid are candidates of their own, exactly checked: of sets without a common cell those at 0.8 are linked, the others not."""
+    sets = {1: [1, 2, 3, 4, 5], 2: [1, 2, 3, 4, 5, 6], 3: [1, 2, 3, 4, 5], 4: [7, 8, 9, 10, 11], 5: [1, 2, 3, 4, 5]}
+    prints = {1: 0b1011, 2: 0b1000, 3: 0b1011, 4: 0b1001, 5: -1}
+    members = spark.createDataFrame([(k, len(v), prints[k], [k]) for k, v in sets.items()], "sig long, size long, fp long, cells array<long>")
+    words = spark.createDataFrame(list(sets.items()), "sig long, words array<long>")
+    roots = near_copies.roots_of(members, lambda sigs: words.join(sigs, "sig", "left_semi"), 0.8)
+    assert sorted((r.node, r.root) for r in roots.collect()) == [(2, 1), (3, 1)]

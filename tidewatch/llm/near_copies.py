@@ -1,11 +1,12 @@
 """Near copies by the Jaccard similarity of their sets of word shingles, each link checked exactly.
 
-A SimHash of 64 bits can't tell copies at 0.8: there two fingerprints differ in about ten bits, too many for a grid. So
-candidates meet in cells of min-hashes: BANDS cells a document, each of ROWS minima over pseudorandom orders. Two sets of
-similarity 0.8 share no cell with probability (1 - 0.8 ** 4) ** 24 = 3e-6, sets of 0.9 with 1e-11.
+Candidates are, first, those of ``simhash``: fingerprints of the same shingles, repeats included, that its grid and its Hamming check
+link at GRID bits or fewer. Copies at 0.8 differ in about ten bits, too many for a grid, so candidates meet in cells of
+min-hashes as well: BANDS cells a document, each of ROWS minima over pseudorandom orders. Two sets of similarity 0.8 share no
+cell with probability (1 - 0.8 ** 4) ** 24 = 3e-6, sets of 0.9 with 1e-11.
 
-Documents with the same set enter once. A first round checks each member of a cell against the least of it; a second one
-checks all pairs in a cell that are not linked yet, in a join for small cells and by pairs of bounded chunks for large
+Documents with the same set enter once. A first round checks the pairs of the grid, and each member of a cell against the least
+of it; a second one checks all pairs in a cell that are not linked yet, in a join for small cells and by pairs of bounded chunks for large
 ones, each of which returns a spanning forest. So the components are those of all links between members of a cell.
 """
 
@@ -18,9 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
+from . import simhash
 from .common import fresh, stored, text_of
 from .components import components
 
+#: Bits that the grid covers.
+GRID = 3
 BANDS, ROWS = 24, 4
 #: Members of a cell up to which all pairs meet in a join; beyond, chunks of about VOLUME shingles do.
 FEW, VOLUME = 24, 250_000
@@ -28,23 +32,11 @@ FEW, VOLUME = 24, 250_000
 SLICE = 2048
 
 
-def shingles(text: str, width: int):
-    """Sorted distinct XXH64 (seed 42) of the word shingles, words as in ``simhash.fingerprint``; fewer words than ``width`` make one, none none."""
+def shingles(hashes):
+    """Sorted distinct hashes of ``simhash.shingle_hashes``."""
     import numpy as np
-    import xxhash
-
-    words = text.encode().lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    width = min(width, len(words))
-    joined, digest = b" ".join(words), xxhash.xxh64_digest
-    ends, at = [], -1
-    for word in words:
-        at += len(word) + 1
-        ends.append(at)
-    starts = [0, *(e + 1 for e in ends[:-1])]
-    found = b"".join([digest(joined[a:b], 42) for a, b in zip(starts, ends[width - 1 :], strict=False)])
-    return np.unique(np.frombuffer(found, ">u8").astype(np.uint64))
+
+    return np.unique(np.frombuffer(hashes, ">u8").astype(np.uint64))
 
 
 def _orders():
@@ -72,23 +64,25 @@ def cells_of(hashes, orders):
 
 
 def _sketched(rows: DataFrame, width: int) -> DataFrame:
-    """(doc_id, _uid, _text) to (doc_id, _uid, sig, size, cells): ``sig`` is a hash of the set, which names it."""
+    """(doc_id, _uid, _text) to (doc_id, _uid, sig, size, fp, cells): ``sig`` is a hash of the set, which names it, ``fp`` the SimHash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         orders = _orders()
         for batch in batches:
-            sigs, sizes, cells = [], [], []
+            sigs, sizes, prints, cells = [], [], [], []
             for text in batch.column("_text"):
-                found = shingles(text.as_py(), width)
+                hashes = simhash.shingle_hashes(text.as_py(), width)
+                prints.append(simhash.fingerprint_of(hashes))
+                found = shingles(hashes)
                 sigs.append(int.from_bytes(xxhash.xxh64_digest(found.tobytes(), 42), "big", signed=True))
                 sizes.append(len(found))
                 cells.append(cells_of(found, orders) if len(found) else [])
-            columns = [batch.column("doc_id"), batch.column("_uid"), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(cells, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "_uid", "sig", "size", "cells"])
+            columns = [batch.column("doc_id"), batch.column("_uid"), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(cells, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "_uid", "sig", "size", "fp", "cells"])
 
-    more = [StructField("sig", LongType()), StructField("size", LongType()), StructField("cells", ArrayType(LongType()))]
+    more = [StructField("sig", LongType()), StructField("size", LongType()), StructField("fp", LongType()), StructField("cells", ArrayType(LongType()))]
     return rows.mapInArrow(run, StructType([*rows.select("doc_id", "_uid").schema.fields, *more]))
 
 
@@ -99,7 +93,7 @@ def _sets(rows: DataFrame, width: int) -> DataFrame:
         import numpy as np
 
         for batch in batches:
-            found = [shingles(t.as_py(), width).view(np.int64) for t in batch.column("_text")]
+            found = [shingles(simhash.shingle_hashes(t.as_py(), width)).view(np.int64) for t in batch.column("_text")]
             yield pa.RecordBatch.from_arrays([batch.column("sig"), pa.array(found, pa.list_(pa.int64()))], names=["sig", "words"])
 
     return rows.mapInArrow(run, "sig bigint, words array<bigint>")
@@ -149,13 +143,27 @@ def _forest(sigs, roots, words: list, least: float) -> list[tuple[int, int]]:
     return links
 
 
+def grid_pairs(members: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of sets (sig, size, fp) that SimHash links: those of one fingerprint with its least set, and the least sets of fingerprints at GRID bits or fewer."""
+    members = members.where("size > 0")
+    prints = stored(members.groupBy("fp").agg(F.min(F.struct("sig", "size")).alias("first"), F.count("*").alias("n")), "prints")
+    same = members.join(prints.where("n > 1"), "fp").select(F.col("first").alias("p"), F.struct("sig", "size").alias("q"))
+    found = simhash.links(prints.select("fp"), GRID)
+    one, two = (prints.select(F.col("fp").alias(k), F.col("first").alias(name)) for k, name in (("a", "p"), ("b", "q")))
+    both = same.unionByName(found.join(one, "a").join(two, "b").select("p", "q"))
+    return both.where((F.col("p.sig") != F.col("q.sig")) & _may(F.col("p.size"), F.col("q.size"), least)).select(F.greatest("p.sig", "q.sig").alias("a"), F.least("p.sig", "q.sig").alias("b"))
+
+
 def roots_of(members: DataFrame, sets_of, least: float) -> DataFrame:
-    """(node, root) as of ``components`` for the links between sets (sig, size, cells) that share a cell; ``sets_of`` looks sets up."""
+    """(node, root) as of ``components`` for the links between sets (sig, size, fp, cells) that the grid links or that share a cell; ``sets_of`` looks sets up."""
+    grid = stored(grid_pairs(members, least).distinct(), "grid")
     cells = members.select("sig", "size", F.explode("cells").alias("cell"))
     crowd = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min(F.struct("sig", "size")).alias("first"), F.sum("size").alias("volume")).where("n > 1")
     cells = stored(cells.join(crowd, "cell"), "cells")
-    sets = stored(sets_of(cells.select("sig").distinct()), "sets")
-    pairs = cells.where((F.col("sig") != F.col("first.sig")) & _may(F.col("size"), F.col("first.size"), least)).select(F.col("sig").alias("a"), F.col("first.sig").alias("b")).distinct()
+    wanted = cells.select("sig").union(grid.select("a")).union(grid.select("b")).distinct()
+    sets = stored(sets_of(wanted), "sets")
+    pairs = cells.where((F.col("sig") != F.col("first.sig")) & _may(F.col("size"), F.col("first.size"), least)).select(F.col("sig").alias("a"), F.col("first.sig").alias("b"))
+    pairs = pairs.unionByName(grid).distinct()
     linked = stored(_checked(pairs, sets, least), "links")
     roots = components(linked)
 
@@ -199,7 +207,7 @@ def dedup(docs: DataFrame, column: str = "text", width: int = 5, least: float =
     slim = keyed.select("doc_id", keyed[row].alias("_uid"), text_of(keyed, column).alias("_text"))
     rows = stored(_sketched(slim, width), "sketches")
     names = stored(rows.groupBy("sig").agg(F.min("_uid").alias("_uid")), "names")
-    members = rows.join(names.select("_uid"), "_uid", "left_semi")
+    members = rows.join(names.select("_uid"), "_uid", "left_semi").select("sig", "size", "fp", "cells")
 
     def sets_of(sigs: DataFrame) -> DataFrame:
         wanted = names.join(sigs, "sig", "left_semi")

@@ -29,25 +29,35 @@ SLABS = 6
 FEW, CHUNK = 24, 1024
 
 
-def _fingerprint(text: str, width: int) -> int:
-    import numpy as np
+def shingle_hashes(text: str, width: int) -> bytes:
+    """XXH64 (seed 42) of each word shingle in order, big-endian; words as in ``fingerprint``, fewer than ``width`` make one shingle, none none."""
     import xxhash
 
     words = text.encode().lower().split()
-    if not words:
-        return 0
     width = min(width, len(words))
     joined, digest = b" ".join(words), xxhash.xxh64_digest
     ends, at = [], -1
     for word in words:
         at += len(word) + 1
         ends.append(at)
-    starts = [0, *(e + 1 for e in ends[:-1])]
-    total, n = np.zeros(64, np.int64), len(words) - width + 1
-    for lo in range(0, n, 1 << 15):
-        hashes = b"".join([digest(joined[a:b], 42) for a, b in zip(starts[lo : min(n, lo + (1 << 15))], ends[lo + width - 1 :], strict=False)])
-        total += np.unpackbits(np.frombuffer(hashes, np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big", signed=True)
+    starts, found = [0, *(e + 1 for e in ends[:-1])], bytearray()
+    for lo in range(0, len(words) - width + 1 if words else 0, 1 << 15):
+        found += b"".join([digest(joined[a:b], 42) for a, b in zip(starts[lo : lo + (1 << 15)], ends[lo + width - 1 :], strict=False)])
+    return bytes(found)
+
+
+def fingerprint_of(hashes: bytes) -> int:
+    """The bits that are set in over half of the hashes, as a signed long."""
+    import numpy as np
+
+    each, total = np.frombuffer(hashes, np.uint8).reshape(-1, 8), np.zeros(64, np.int64)
+    for lo in range(0, len(each), 1 << 15):
+        total += np.unpackbits(each[lo : lo + (1 << 15)], axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * total > len(each)).tobytes(), "big", signed=True)
+
+
+def _fingerprint(text: str, width: int) -> int:
+    return fingerprint_of(shingle_hashes(text, width))
 
 
 def fingerprint(text: Column, width: int = 3) -> Column:
