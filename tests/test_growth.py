@@ -69,6 +69,18 @@ def test_minutes_are_made_where_they_are_grouped(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
+def test_minutes_are_reduced_without_a_sort(spark):
+    """A row a minute of each tick is met by aggregates of numbers, in tasks that grow in number with the time that the ticks span."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        built = plan(catalog.queries()["surface_build"](spark, SF))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "SortAggregate" not in built and "ObjectHashAggregate" not in built and "/once-" not in built
+    ticks = spark.createDataFrame([("i", t * 3_600_000, 0, 0) for t in (0, 50, 99)], "instrument_id string, ts_ms long, seq long, seq2 long")
+    assert V.serving(ticks, 600_000, 5_000).rdd.getNumPartitions() >= 200
+
+
 def test_rolling_means_by_sums_that_only_grow(spark):
     """Over ties, nulls, gaps and values of very different size, as from each window's own rows."""
     rows = [("a", t * 7 % 4_000 * 100, t, None if t % 9 == 0 else 1e9 if t % 50 == 0 else t % 13 / 8) for t in range(600)]

@@ -98,7 +98,7 @@ cand AS (SELECT 'BTC' AS instrument_id, minute * 60000 AS ts_ms, minute AS seq,
 @query("det_iv_spike", f"{SPIKE}, {cooled_sql('cand', 'instrument_id', 300000)} SELECT ts_ms, source, CASE WHEN d > 0 THEN 'up' ELSE 'down' END AS side, round({SCALE('abs(d)', 0.005, 0.05)}, 5) AS intensity FROM fired")
 def det_iv_spike(v):
     key = ["instrument_id"]
-    rows = V.serving(ticks(v).where(V.tenor(F.col("expiry_days")).isNotNull()), 600_000, 5_000)
+    rows = V.serving(ticks(v).where(V.tenor(F.col("expiry_days")).isNotNull()), 600_000, 5_000, v.option_times)
     gate = F.abs("delta").between(0.2, 0.8)
     mean = F.avg(F.when(gate, X.clamp(F.col("mark_iv"), 0.35, 0.65)))
     polls = rows.groupBy("minute", F.col("underlying").alias("instrument_id")).agg(F.when(F.count_if(gate) >= 5, mean).alias("iv"))
@@ -159,6 +159,6 @@ gf AS (SELECT underlying, rn, ts_ms, sg AS sign, 0 AS n, NULL::BIGINT AS fired,
 
 @query("det_gamma_flip", f"{FLIP} SELECT gf.underlying, gf.ts_ms, was AS sign_from, sign AS sign_to, round(net, 2) AS net, round({SCALE('abs(net)', 100.0, 1e6)}, 6) AS intensity FROM gf JOIN gn USING (underlying, rn) WHERE hit")
 def det_gamma_flip(v):
-    rows = X.gamma_exposure(V.serving(ticks(v), 600_000, 0))
+    rows = X.gamma_exposure(V.serving(ticks(v), 600_000, 0, v.option_times))
     polls = rows.groupBy("underlying", (F.col("minute") * MINUTE).alias("ts_ms")).agg(F.sum("gex").alias("net"))
     return M.gamma_flip(polls, 100.0, 0.1, 2, 100.0, 1e6, 300_000).select("underlying", "ts_ms", "sign_from", "sign_to", F.round("net", 2).alias("net"), R6("intensity").alias("intensity"))
