@@ -81,6 +81,20 @@ def test_minutes_are_reduced_without_a_sort(spark):
     assert V.serving(ticks, 600_000, 5_000).rdd.getNumPartitions() >= 200
 
 
+def test_stray_times_make_no_tasks(spark):
+    """Beyond the tasks that rows are dealt to without a sort, ticks and the stretches that hold any count, not the time between the first and the last."""
+    at = lambda hours: spark.createDataFrame([(h * 3_600_000,) for h in hours], "ts_ms long")
+    assert V._tasks(at([0, 1_000_000])) == V._tasks(at([0, 10, 1_000_000])) == V.TASKS and V._tasks(at([5])) == 8 and V._tasks(at([])) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    many = spark.range(900_000).select((F.col("id") % 5_000 * 3_600_000).alias("ts_ms"))
+    full, V.FULL = V.FULL, 2_000
+    try:
+        assert V._tasks(many) == 450
+    finally:
+        V.FULL = full
+    stray = V.serving(at([0, 1_000_000]).selectExpr("'i' AS instrument_id", "ts_ms", "0L AS seq", "0L AS seq2"), 60_000, 0)
+    assert {r.minute for r in stray.collect()} == {0, 1, 60_000_000, 60_000_001} and stray.rdd.getNumPartitions() == V.TASKS
+
+
 def test_rolling_means_by_sums_that_only_grow(spark):
     """Over ties, nulls, gaps and values of very different size, as from each window's own rows."""
     rows = [("a", t * 7 % 4_000 * 100, t, None if t % 9 == 0 else 1e9 if t % 50 == 0 else t % 13 / 8) for t in range(600)]
