@@ -41,7 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, ids, n_tokens and the text decoded from the ids; an empty text has none."""
     path = tokenizer("word_bpe_49k.json")
-    found = bpe.decode(bpe.encode(docs.select("doc_id", "source", "text"), path), path)
+    found = bpe.round_trip(docs.select("doc_id", "source", "text"), path)
     return found.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), "decoded")
 
 

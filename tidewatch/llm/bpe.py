@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import fresh, text_of
 
 #: Longest word that is remembered, and the most words or fragments in a memo.
 MEMO_CHARS, MEMO_ENTRIES = 48, 300_000
+#: Rows that are encoded or decoded at once.
+SLICE = 256
 
 #: Printable ASCII and small Latin letters with marks. Text that becomes this in lower case is composed, the normalizer makes the same of it, and words
 #: part as below. Some capitals of this range have a small letter beyond it: such text is left to the library.
@@ -181,6 +183,30 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """A batch in parts of SLICE rows, so that what is made of it is held, here and by Spark that reads it, for so many rows at most."""
+    for lo in range(0, len(texts), SLICE):
+        yield texts.slice(lo, SLICE)
+
+
+def _encoded(own: Codec, texts: pa.Array) -> pa.ListArray:
+    import numpy as np
+
+    width = np.dtype(own.dtype).itemsize
+    rows = [own.encode(t) for t in texts.to_pylist()]
+    values = np.frombuffer(b"".join(rows), own.dtype).astype(np.int32)
+    offsets = np.zeros(len(rows) + 1, np.int32)
+    np.cumsum([len(r) // width for r in rows], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+
+
+def _decoded(tokens: pa.Array, lists: pa.ListArray) -> pa.Array:
+    import pyarrow.compute as pc
+
+    words = pa.ListArray.from_arrays(pc.subtract(lists.offsets, lists.offsets[0]), tokens.take(lists.flatten()))
+    return pc.binary_join(words, " ")
+
+
 def encode(docs: DataFrame, path: str, column: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with the column ``ids`` (array of int), in place of any column of that name.
 
@@ -189,16 +215,10 @@ def encode(docs: DataFrame, path: str, column: str = "text", ids: str = "ids") -
     """
     @F.arrow_udf("array<int>")
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        import numpy as np
-
         own = codec(path)
-        width = np.dtype(own.dtype).itemsize
-        for texts in batches:
-            rows = [own.encode(t) for t in texts.to_pylist()]
-            values = np.frombuffer(b"".join(rows), own.dtype).astype(np.int32)
-            offsets = np.zeros(len(rows) + 1, np.int32)
-            np.cumsum([len(r) // width for r in rows], out=offsets[1:])
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+        for batch in batches:
+            for texts in slices(batch):
+                yield _encoded(own, texts)
 
     return docs.withColumn(ids, encoded(text_of(docs, column)))
 
@@ -210,11 +230,26 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", column: str = "decoded"
     """
     @F.arrow_udf("string")
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        import pyarrow.compute as pc
-
         tokens = pa.array(token_list(path))
-        for lists in batches:
-            words = pa.ListArray.from_arrays(pc.subtract(lists.offsets, lists.offsets[0]), tokens.take(lists.flatten()))
-            yield pc.binary_join(words, " ")
+        for batch in batches:
+            for lists in slices(batch):
+                yield _decoded(tokens, lists)
 
     return docs.withColumn(column, decoded(F.coalesce(docs[ids], F.array().cast("array<int>"))))
+
+
+def round_trip(docs: DataFrame, path: str, column: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``docs`` with what ``encode`` and then ``decode`` add, both made in one Python worker a task: two would hold the tokenizer twice and send the ids to and fro."""
+
+    @F.arrow_udf("ids array<int>, decoded string")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = codec(path)
+        tokens = pa.array(own.tokens)
+        for batch in batches:
+            for texts in slices(batch):
+                lists = _encoded(own, texts)
+                yield pa.StructArray.from_arrays([lists, _decoded(tokens, lists)], names=["ids", "decoded"])
+
+    found = fresh(docs, "_found")
+    rows = docs.withColumn(found, both(text_of(docs, column)))
+    return rows.withColumns({ids: rows[found]["ids"], decoded: rows[found]["decoded"]}).drop(found)

@@ -22,6 +22,8 @@ from .common import fresh, stored, text_of, words
 
 #: Weights dealt to the sources in order, repeating; and how often a source may be taken.
 WEIGHTS, MOST = (5, 2, 1), 3
+#: Documents that are cut at once.
+SLICE = 256
 
 
 @dataclass(frozen=True)
@@ -224,7 +226,7 @@ def mixed_documents(docs: DataFrame, column: str = "text", **options) -> DataFra
         import re
 
         word = re.compile("[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*")
-        for batch in batches:
+        for batch in (whole.slice(lo, SLICE) for whole in batches for lo in range(0, whole.num_rows, SLICE)):
             rows, texts = [], []
             for row, (text, pieces) in enumerate(zip(batch.column(column).to_pylist(), batch.column(parts).to_pylist(), strict=True)):
                 found = None

@@ -89,7 +89,7 @@ def op8_quality_classifier(spark, sf_dir):
 
 def op9_bpe(spark, sf_dir):
     path = tokenizer("word_bpe_49k.json")
-    docs = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    docs = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return docs.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
