@@ -42,6 +42,23 @@ def test_polls_are_taken_apart_by_spark(spark):
     assert polled.columns == ["user_id", "poll_ms", "qty"] and "Generate explode" in polled._jdf.queryExecution().analyzed().toString()
 
 
+def test_stretches_of_polls_are_stored_not_polls(spark, tmp_path):
+    """What a stream of polls keeps on disk grows with its rows: a user who is seldom heard of brings 200 polls a row."""
+    heard = [(e, e // 4_000 % 3, 50.0 * (e // 4_000 % 7) + 1) for e in range(0, 200_000, 4_000)]  # a row each 200 s, a user's each 600 s
+    heard += [(e, 3, 7.0) for e in (100, 160, 60_000, 199_999)]
+    rows = spark.createDataFrame([(e, u, "click", x, '{"k": 1}') for e, u, x in heard], "event_id long, user_id long, event_type string, value double, props string")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = catalog.queries()["stream_timer_poll"](spark, str(tmp_path))
+    top, want = 199_999 * 50, []
+    for user in range(4):
+        own = sorted((e * 50, -(-x // 50)) for e, u, x in heard if u == user)
+        for (t, qty), then in zip(own, [t for t, _ in own[1:]] + [None], strict=True):
+            end = min(t + 600_001, top - 1_000 if then is None else then)
+            want += [(user, p, qty) for p in range(-(-t // 3_000) * 3_000, end, 3_000)]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 5_000
+    assert spark.read.parquet(*got.inputFiles()).count() <= 2 * len(heard)
+
+
 def test_series_lie_in_hours(spark):
     """A partition a minute is a file a minute, 60 times as many to list and to move."""
     for name in ("sink_append_dedup", "sink_metrics_series", "sink_slice_events", "sink_telemetry_add", "sink_surface_upsert", "tail_incremental"):

@@ -132,11 +132,12 @@ pl AS (SELECT user_id, qty, t, nxt, unnest(range(CASE WHEN t % 3000 = 0 THEN t E
 
 @query("stream_timer_poll", f"{IN_ORDER} SELECT user_id, poll_ms, qty FROM pl, wm WHERE poll_ms <= t + 600000 AND (nxt IS NOT NULL OR poll_ms < w)")
 def stream_timer_poll(v):
-    """Polls each 3 s; those after a user's last row come by timers, up to the watermark."""
+    """Polls each 3 s; those after a user's last row come by timers, up to the watermark. Stretches of polls are stored, and taken apart as they are read."""
     size = v.ev.agg((F.max("event_id") + 1).alias("_n"))
     t = F.lit(DAY0_MS) + F.col("event_id") * 50
     rows = v.ev.crossJoin(F.broadcast(size)).select("user_id", t.alias("ts_ms"), F.timestamp_millis(t).alias("at"), F.ceil(F.col("value") / 50).cast("double").alias("qty"), F.floor(F.col("event_id") * 3 / F.col("_n")).cast("int").alias("chunk"))
-    return J.in_chunks(rows, 3, lambda stream: J.polled(stream, 3_000)).withColumn("poll_ms", F.col("poll_ms") - DAY0_MS)
+    found = J.in_chunks(rows, 3, lambda stream: J.stretches(stream, 3_000))
+    return J.taken_apart(found, 3_000).withColumn("poll_ms", F.col("poll_ms") - DAY0_MS)
 
 
 RULES = [[("click", 40.0), ("error", 10.0)], [("click", 20.0), ("error", 30.0)], [("view", 25.0)], [("view", 25.0), ("click", 60.0)]]
